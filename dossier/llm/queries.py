@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, toxicity, url_filters, warc
+from . import mixing, packing, ppm, quality, simhash, toxicity, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +108,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -126,6 +130,7 @@ QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_warc": op3_warc,
     "op5_toxicity": op5_toxicity,
+    "op6_lm_score": op6_lm_score,
     "op7_packing": op7_packing,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
