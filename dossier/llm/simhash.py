@@ -1,19 +1,23 @@
 """SimHash near-duplicates by vantage-point trees over Hamming distance.
 
-Fingerprints that differ in at most ``radius`` of 64 bits differ in at most ``radius // bands`` bits in one of
-``bands`` groups of bits. For each band a vantage-point tree is fitted on a bounded sample: a node holds a vantage
-fingerprint and the median distance to it, nearer fingerprints go left, others right. Every distinct fingerprint has
-one home leaf, and as a query it also visits the leaves that the triangle bound can't exclude (its distance is within
-the band's radius of the node's median). Banding keeps that boundary narrow: with 64 bits and a radius of 4, about
-two thirds of all fingerprints would lie on each boundary, with 21 bits and a radius of 1 it is one third.
+Two fingerprints within ``radius`` bits agree on all but ``radius`` of any ``blocks`` groups of bits. For every choice
+of ``blocks - radius`` groups there is one vantage-point tree under the Hamming distance of those bits, fitted on a
+bounded sample: a node holds a vantage fingerprint and the median distance to it, nearer fingerprints go left, others
+right. The two of a near pair are at distance 0 under at least one choice, so there the triangle bound leaves exactly
+one branch at every node and both reach one leaf, without visits across boundaries. (One tree over all 64 bits must
+search both sides for any fingerprint within 4 of a median, which are two thirds of all: 20 rows for each fingerprint
+at 240,000 of them, and more with every level.)
 
 A leaf is one group of a Spark job; leaves with very many fingerprints are cut into cells of bounded size. Within a
-cell all home fingerprints are compared with all its fingerprints by exact distance, and the links found are returned
-as a forest (one row for each linked fingerprint, never all pairs).
+cell, fingerprints are dealt into shells by their full distance to a vantage fingerprint, and each is compared exactly
+with its own shell and those within ``radius`` of it. The links are returned as a forest (a row for each linked
+fingerprint, never all pairs).
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import ensure_columns, stored, without
 from .components import components, forest
 
-RADIUS, BANDS = 4, 3
+RADIUS = 4
 SAMPLE, LEAF, CELL = 20_000, 2_048, 8_192
 
 
@@ -55,21 +59,22 @@ def with_fingerprint(docs: DataFrame, text_col: str, keep: list[str]) -> DataFra
             fps = np.array([fingerprint(t.as_py()) for t in texts], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], names=[*b.schema.names[:-1], "_fp"])
 
-    cols = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
+    cols = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__whole_text__"))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("_fp", F.lit(0).cast("long")).schema
     for f in schema.fields:
         f.nullable = True
     return cols.mapInArrow(run, schema)
 
 
-def masks(bands: int) -> list[int]:
-    """``bands`` groups of bits that share out the 64."""
-    cut = [64 * i // bands for i in range(bands + 1)]
-    return [((1 << b) - (1 << a)) for a, b in zip(cut, cut[1:], strict=False)]
+def masks(blocks: int, radius: int) -> list[int]:
+    """The unions of ``blocks - radius`` of ``blocks`` groups that share out the 64 bits."""
+    cut = [64 * i // blocks for i in range(blocks + 1)]
+    groups = [(1 << b) - (1 << a) for a, b in zip(cut, cut[1:], strict=False)]
+    return [sum(some) for some in combinations(groups, blocks - radius)]
 
 
-def fit_tree(sample: np.ndarray, mask: int, depth: int, least: int) -> list[tuple[int, int, int, int]]:
-    """Nodes (vantage, median, left, right); negative children are leaves -1 - leaf number."""
+def fit_tree(sample: np.ndarray, mask: int, depth: int, least: int = 4) -> list[tuple[int, int, int, int]]:
+    """Nodes (vantage, median, left, right); negative children are leaves, -1 - leaf number."""
     nodes: list = []
     leaves = [0]
 
@@ -78,11 +83,10 @@ def fit_tree(sample: np.ndarray, mask: int, depth: int, least: int) -> list[tupl
         if level < depth and len(part) >= 2 * least:
             for p in part[:: max(1, len(part) // 8)][:8]:
                 d = np.bitwise_count((part ^ p) & np.uint64(mask))
-                m = int(np.median(d))
-                near = int((d <= m).sum())
-                edge = int(((d == m) | (d == m + 1)).sum())
-                if 0 < near < len(part) and (best is None or edge + abs(2 * near - len(part)) < best[0]):
-                    best = (edge + abs(2 * near - len(part)), int(p), m, d)
+                for m in (int(np.median(d)), int(np.median(d)) - 1):
+                    uneven = abs(2 * int((d <= m).sum()) - len(part))
+                    if uneven < len(part) and (best is None or uneven < best[0]):
+                        best = uneven, int(p), m, d
         if best is None:
             leaves[0] += 1
             return -leaves[0]
@@ -93,90 +97,81 @@ def fit_tree(sample: np.ndarray, mask: int, depth: int, least: int) -> list[tupl
         nodes[at] = (p, m, left, grow(part[d > m], level + 1))
         return at
 
-    root = grow(sample, 0)
-    return nodes if root == 0 else []
+    return nodes if grow(sample, 0) == 0 else []
 
 
-def route(fps: np.ndarray, tree: list, mask: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, leaf, home) of every leaf that a fingerprint lives in or has to visit."""
-    n = len(fps)
-    if not tree:
-        return np.arange(n), np.zeros(n, np.int64), np.ones(n, bool)
-    out, todo = [], [(0, np.arange(n), np.ones(n, bool))]
+def leaf_of(fps: np.ndarray, tree: list, mask: int) -> np.ndarray:
+    """The one leaf that holds everything at distance 0 of each fingerprint under the mask."""
+    out = np.zeros(len(fps), np.int64)
+    todo = [(0, np.arange(len(fps)))] if tree else []
     while todo:
-        at, rows, home = todo.pop()
-        if not len(rows):
-            continue
+        at, rows = todo.pop()
         if at < 0:
-            out.append((rows, np.full(len(rows), -1 - at), home))
-            continue
-        p, m, left, right = tree[at]
-        d = np.bitwise_count((fps[rows] ^ np.uint64(p)) & np.uint64(mask)).astype(np.int64)
-        go = d <= m + radius
-        todo.append((left, rows[go], home[go] & (d[go] <= m)))
-        go = d > m - radius
-        todo.append((right, rows[go], home[go] & (d[go] > m)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def cell_links(fps: np.ndarray, first: np.ndarray, second: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest of the links between ``first`` and ``second`` (masks over fps): linked fingerprints and their roots."""
-    a, b = np.nonzero(first)[0], np.nonzero(second)[0]
+            out[rows] = -1 - at
+        elif len(rows):
+            p, m, left, right = tree[at]
+            near = np.bitwise_count((fps[rows] ^ np.uint64(p)) & np.uint64(mask)) <= max(m, 0)
+            todo += [(left, rows[near]), (right, rows[~near])]
+    return out
+
+
+def cell_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the links within ``a``, or between ``a`` and ``b``: linked fingerprints and their roots."""
+    fps = a if b is None else np.concatenate([a, b])
+    if not len(a):
+        return fps[:0], fps[:0]
+    shell = np.bitwise_count(fps ^ a[0]).astype(np.int64)
+    side = np.arange(len(fps)) >= len(a)
+    order = np.argsort(shell, kind="stable")
+    from_, to = (order, order) if b is None else (order[~side[order]], order[side[order]])
+    to_shell = shell[to]
     label = np.arange(len(fps))
-    step = max(1, 4_000_000 // max(1, len(b)))
-    for at in range(0, len(a), step):
-        rows = a[at : at + step]
-        i, j = np.nonzero(np.bitwise_count(fps[rows][:, None] ^ fps[b][None, :]) <= radius)
-        i, j = label[rows[i]], label[b[j]]
+    for at in range(0, len(from_), 256):
+        rows = from_[at : at + 256]
+        lo = np.searchsorted(to_shell, shell[rows[0]] - radius)
+        hi = np.searchsorted(to_shell, shell[rows[-1]] + radius, side="right")
+        lo = max(lo, at) if b is None else lo  # within one cell the earlier rows have met these
+        i, j = np.nonzero(np.bitwise_count(fps[rows][:, None] ^ fps[to[lo:hi]][None, :]) <= radius)
+        i, j = label[rows[i]], label[to[lo:hi][j]]
         if (i != j).any():
             label = forest(len(fps), i, j)[label]
     linked = np.nonzero(label != np.arange(len(fps)))[0]
     return fps[linked], fps[label[linked]]
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints (_fp) to a table (u, v) of links whose components are those of all links."""
     n = fps.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / LEAF))))
     # The least hashes are a uniform sample that does not depend on how the rows are dealt out.
     rows = fps.orderBy(F.xxhash64("_fp")).limit(SAMPLE).collect() if depth else []
     sample = np.array([r["_fp"] for r in rows], np.int64).astype(np.uint64)
-    each = radius // bands
-    trees = [(fit_tree(sample, m, depth, 4) if depth else [], m) for m in masks(bands)]
+    # One more group of bits makes trees that can be about 8 levels deeper, and more of them: 5, 15, 35.
+    blocks = radius + (1 if n < 1 << 26 else 2 if n < 1 << 33 else 3)
+    trees = [(fit_tree(sample, m, depth) if depth else [], m) for m in masks(blocks, radius)]
 
     def deal(batches):
         for pdf in batches:
             x = pdf["_fp"].to_numpy().astype(np.uint64)
-            for band, (tree, mask) in enumerate(trees):
-                r, leaf, home = route(x, tree, mask, each)
-                own = np.empty(len(x), np.int64)
-                own[r[home]] = leaf[home]
-                # Of two leaves, the fingerprint of the lower one visits the higher one: each pair meets once.
-                go = home | (leaf > own[r])
-                yield pd.DataFrame({"band": np.full(int(go.sum()), band, np.int32), "leaf": leaf[go], "fp": x[r[go]].astype(np.int64), "home": home[go]})
-
-    dealt = stored(fps.select("_fp").mapInPandas(deal, "band int, leaf long, fp long, home boolean"), "vantage-leaves")
-    counts = dealt.groupBy("band", "leaf").agg(F.ceil(F.count("*") / CELL).cast("int").alias("k")).select(
-        F.col("band").alias("_b"), F.col("leaf").alias("_l"), "k"
+            for k, (tree, mask) in enumerate(trees):
+                yield pd.DataFrame({"tree": np.full(len(x), k, np.int32), "leaf": leaf_of(x, tree, mask), "fp": x.astype(np.int64)})
+
+    dealt = stored(fps.select("_fp").mapInPandas(deal, "tree int, leaf long, fp long"), "vantage-leaves")
+    counts = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / CELL).cast("int").alias("k")).select(
+        F.col("tree").alias("_t"), F.col("leaf").alias("_l"), "k"
     )
-    cells = dealt.join(counts, (F.col("band") == F.col("_b")) & (F.col("leaf") == F.col("_l")))
+    cells = dealt.join(counts, (F.col("tree") == F.col("_t")) & (F.col("leaf") == F.col("_l")))
     cells = cells.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
     cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cells = cells.select("band", "leaf", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "c", "fp", "home")
+    cells = cells.select("tree", "leaf", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "c", "fp")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["fp"].to_numpy().astype(np.uint64)
-        home, c = pdf["home"].to_numpy(), pdf["c"].to_numpy()
+        x, c = pdf["fp"].to_numpy().astype(np.uint64), pdf["c"].to_numpy()
         c1, c2 = int(pdf["c1"].iloc[0]), int(pdf["c2"].iloc[0])
-        if c1 == c2:
-            u, v = cell_links(x, home, np.ones(len(x), bool), radius)
-        else:
-            u, v = cell_links(x, home & (c == c1), c == c2, radius)
-            w, y = cell_links(x, home & (c == c2), (c == c1) & ~home, radius)
-            u, v = np.concatenate([u, w]), np.concatenate([v, y])
+        u, v = cell_links(x, None, radius) if c1 == c2 else cell_links(x[c == c1], x[c == c2], radius)
         return pd.DataFrame({"u": u.astype(np.int64), "v": v.astype(np.int64)})
 
-    return cells.groupBy("band", "leaf", "c1", "c2").applyInPandas(compare, "u long, v long")
+    return cells.groupBy("tree", "leaf", "c1", "c2").applyInPandas(compare, "u long, v long")
 
 
 def fingerprint_groups(prints: DataFrame, id_col: str) -> DataFrame:
@@ -219,9 +214,7 @@ def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     docs = without(ensure_columns(docs, **{id_col: "long"}), "_fp")
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    keep = [c for c in docs.columns if c != text_col]
-    both = docs.select(*cols, F.col(f"`{text_col}`").alias("_text"))
-    table = stored(with_fingerprint(both, "_text", [*keep, text_col]), "documents-with-fingerprint")
+    table = stored(with_fingerprint(docs, text_col, docs.columns), "documents-with-fingerprint")
     groups = fingerprint_groups(table.select(id_col, "_fp"), id_col)
     chosen = groups.where("_first").select("_gfp", F.col("component_id").alias("_cid"))
     stay = table.join(chosen, (F.col("_fp") == F.col("_gfp")) & F.col(id_col).eqNullSafe(F.col("_cid")))
