@@ -32,25 +32,49 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        #: Whether a token ends a word.
+        self.final = np.zeros(max(vocab.values()) + 1, bool)
+        self.final[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.ids: dict[str, bytes] = {}
         self.most, self.longest = most, longest
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Each word's ids, from one call for all of them."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        ends = np.nonzero(self.final[ids])[0] + 1
+        if len(ends) != len(words) or not all(map(str.isalpha, words)):
+            # Words of several parts: a token belongs to the word that its first letter is in.
+            first = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
+            ends = np.searchsorted(first, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1))
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Puts the ids of new words into the table. A final comma or stop after a letter is a token of its own, and
+        A-Z are lower-cased, so most new words are forms of fewer plain ones."""
+        plain = {w: w.lower() if w.isascii() else w for w in new}
+        tail = {w: p[-1] if p[-1:] in (".", ",") and p[-2:-1].isalpha() else "" for w, p in plain.items()}
+        core = {w: p[:-1] if tail[w] else p for w, p in plain.items()}
+        missing = sorted({c for c in core.values() if c not in self.ids} | {".", ","} - self.ids.keys(), key=str.isalpha)
+        for at in range(0, len(missing), 1024):
+            part = missing[at : at + 1024]
+            self.ids.update(zip(part, self._encode(part), strict=True))
+        for w in new:
+            self.ids[w] = self.ids[core[w]] + self.ids[tail[w]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.ids) > self.most:
             self.ids.clear()
+        self.ids[""] = b""
         # Only white space that the tokenizer drops too, and that never composes with its neighbours.
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in self.ids})
-        once: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, x in zip(part, self._encode(part), strict=True):
-                (self.ids if len(w) <= self.longest else once)[w] = x
-        find = {**self.ids, **once}.__getitem__ if once else self.ids.__getitem__
-        return [b"".join(map(find, words)) for words in split]
+        self._learn(set().union(*split) - self.ids.keys())
+        out = [b"".join(map(self.ids.__getitem__, words)) for words in split]
+        for w in [w for words in split for w in words if len(w) > self.longest]:
+            self.ids.pop(w, None)
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
