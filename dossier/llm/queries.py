@@ -5,13 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, packing, ppm, quality, simhash, toxicity, url_filters, warc
+from . import embedding_dedup, line_dedup, mixing, packing, ppm, quality, simhash, toxicity, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+w AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l),
+u AS (SELECT w, min((doc_id, i)) AS first_at FROM w WHERE len(w) > 0 GROUP BY w),
+n AS (SELECT row_number() OVER () AS k, w, first_at FROM u),
+s AS (SELECT k, first_at, list_distinct([array_to_string(w[j:j + 4], ' ') for j in range(1, greatest(2, len(w) - 3))]) AS sh FROM n),
+e AS (SELECT k, first_at, len(sh) AS c, unnest(sh) AS t FROM s),
+late AS (SELECT DISTINCT b.k FROM (SELECT a.k AS ak, b.k AS bk, count(*) AS common FROM e a JOIN e b ON a.t = b.t AND a.first_at < b.first_at
+    GROUP BY a.k, b.k) p JOIN s a ON a.k = ak JOIN s b ON b.k = bk WHERE common >= 0.8 * (len(a.sh) + len(b.sh) - common) - 1e-9),
+stay AS (SELECT first_at FROM n WHERE k NOT IN (SELECT k FROM late)),
+o AS (SELECT doc_id, i, line, len(w) = 0 OR (doc_id, i) IN (SELECT first_at FROM stay) AS keep FROM w)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT keep) AS n_removed,
+    md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keep), '')) AS text_md5
+FROM o GROUP BY doc_id
+"""
+
+
 URL_RULES = [
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -131,6 +154,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_url_filters": op2_url_filters,
     "op3_warc": op3_warc,
     "op4_embedding_dedup": op4_embedding_dedup,
@@ -141,4 +165,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES = {"op2_url_filters": OP2_SQL, "op3_warc": OP3_SQL, "op8_mixing": OP8_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_url_filters": OP2_SQL, "op3_warc": OP3_SQL, "op8_mixing": OP8_SQL}
