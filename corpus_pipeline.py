@@ -1,3 +1,63 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""A corpus pipeline: toxicity, line dedup, SimHash near-dedup, mixing to target weights, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir), works on all documents that the stage before kept, and returns a DataFrame that
+is written as Parquet and read again as the next stage's documents. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from dossier.llm import line_dedup, mixing, packing, simhash, toxicity
+from dossier.llm.common import stored
+from dossier.llm.queries import table, tokenizer_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learned from their labels, does not reject."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that match earlier ones. Documents that lose all their words stay, with what is left;
+    n_chars stays what documents says."""
+    return line_dedup.dedup_lines(docs).select(*docs.columns)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates: the one with the smallest id."""
+    return simhash.simhash_dedup(docs).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, each as often as it is drawn."""
+    return mixing.mix_sources(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences."""
+    return packing.pack(docs, tokenizer_path=tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("line dedup", remove_lines),
+    ("simhash near-dedup", remove_near_duplicates),
+    ("mixing", mix),
+    ("best-fit packing", pack),
+]
+
+#: A learned score, fingerprints and packing are beyond SQL: the stages are tested against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, name.replace(" ", "-"))
+    return docs
