@@ -1,0 +1 @@
+"""Decision records as DataFrames: quotes, units, edges, staleness, retrieval, judging, evidence, review, scoring."""
