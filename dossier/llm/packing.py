@@ -9,6 +9,7 @@ piece takes; Spark numbers the pieces of each length and looks their slots up.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import ensure_columns, stored
 
 CAPACITY, SALTS = 2048, 256
+STOP = re.compile(r"(?<=[a-zà-öø-ÿ])([.,])(?![^ \n\t\r])")
 
 
 class WordTokenizer:
@@ -28,7 +30,7 @@ class WordTokenizer:
     order. Ids are kept as little-endian unsigned 32-bit bytes.
     """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 800_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -36,7 +38,7 @@ class WordTokenizer:
         #: Whether a token ends a word.
         self.final = np.zeros(max(vocab.values()) + 1, bool)
         self.final[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.ids: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {"": b""}
         self.most, self.longest = most, longest
 
     def _encode(self, words: list[str]) -> list[bytes]:
@@ -51,31 +53,43 @@ class WordTokenizer:
         data, ends = ids.tobytes(), (4 * ends).tolist()
         return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _learn(self, new: set[str]) -> None:
-        """Puts the ids of new words into the table. A final comma or stop after a letter is a token of its own, and
-        A-Z are lower-cased, so most new words are forms of fewer plain ones."""
-        plain = {w: w.lower() if w.isascii() else w for w in new}
-        tail = {w: p[-1] if p[-1:] in (".", ",") and p[-2:-1].isalpha() else "" for w, p in plain.items()}
-        core = {w: p[:-1] if tail[w] else p for w, p in plain.items()}
-        missing = sorted({c for c in core.values() if c not in self.ids} | {".", ","} - self.ids.keys(), key=str.isalpha)
-        for at in range(0, len(missing), 1024):
-            part = missing[at : at + 1024]
-            self.ids.update(zip(part, self._encode(part), strict=True))
-        for w in new:
-            self.ids[w] = self.ids[core[w]] + self.ids[tail[w]]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.ids) > self.most:
             self.ids.clear()
-        self.ids[""] = b""
-        # Only white space that the tokenizer drops too, and that never composes with its neighbours.
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self._learn(set().union(*split) - self.ids.keys())
+            self.ids[""] = b""
+        split = [self.words(t) for t in texts]
+        new = sorted(set().union(*split) - self.ids.keys(), key=str.isalpha)
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
+            self.ids.update(zip(part, self._encode(part), strict=True))
         out = [b"".join(map(self.ids.__getitem__, words)) for words in split]
-        for w in [w for words in split for w in words if len(w) > self.longest]:
-            self.ids.pop(w, None)
+        for w in new:
+            if len(w) > self.longest:
+                del self.ids[w]
         return out
 
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """The text parted at white space that the tokenizer drops too. In Latin-1 texts, capitals are lowered and a
+        comma or stop between a letter and white space is parted off, as the tokenizer does, so fewer words are new."""
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = STOP.sub(r" \1", text.lower())
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
+_KEPT: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_for(path: str) -> WordTokenizer:
+    """The worker's tokenizer: the words that it has learned serve its later tasks."""
+    if path not in _KEPT:
+        _KEPT[path] = WordTokenizer(path)
+    return _KEPT[path]
+
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids and ``end_id``, cut every ``capacity`` ids."""
@@ -84,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, cap
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = WordTokenizer(tokenizer_path)
+        tok = tokenizer_for(tokenizer_path)
         end, wide = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
