@@ -110,8 +110,8 @@ def decision_kind(c: Column) -> Column:
     return F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit("act")).otherwise(c)
 
 
-def gist(s: Column) -> Column:
-    """The first words, at most 20 of them and 110 bytes; `` …`` marks that there is more."""
+def _start(s: Column) -> Column:
+    """The first words, at most 20 of them and 110 bytes."""
     words = F.filter(F.split(F.trim(s), r"\s+"), lambda w: w != "")
     start = F.struct(F.lit("").alias("g"), F.lit(False).alias("full"))
 
@@ -120,13 +120,18 @@ def gist(s: Column) -> Column:
         joined = F.when(acc["g"] == "", w).otherwise(F.concat(acc["g"], F.lit(" "), w))
         return F.struct(F.when(over, acc["g"]).otherwise(joined).alias("g"), over.alias("full"))
 
-    g = F.aggregate(F.slice(words, 1, GIST_WORDS), start, add, lambda acc: acc["g"])
+    return F.aggregate(F.slice(words, 1, GIST_WORDS), start, add, lambda acc: acc["g"])
+
+
+def gist(s: Column) -> Column:
+    """The first words; `` …`` marks that there is more."""
+    g = _start(s)
     return F.when(F.octet_length(g) == F.octet_length(F.trim(s)), g).otherwise(F.concat(g, F.lit(" …")))
 
 
 def body(s: Column) -> Column:
     """The whole text where the gist is not the whole of it."""
-    return F.when(gist(s) != F.trim(s), F.trim(s))
+    return F.when(F.octet_length(_start(s)) != F.octet_length(F.trim(s)), F.trim(s))
 
 
 def paragraphs(s: Column) -> Column:
