@@ -18,6 +18,8 @@ shuffle. No group is collected.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +48,27 @@ def shingles(w: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - width + 1)), lambda i: F.slice(w, i, width))
 
 
-def ordered_tokens(w: str, classes: str, width: int) -> Column:
-    """Distinct tokens of the words in column ``w``, rarest first, as integers: rarity in the high bits, then a hash."""
-    token = lambda i: F.xxhash64(*[F.get(F.col(w), i + k) for k in range(width)])
-    rare = lambda i: F.array_min(F.slice(F.col(classes), i + 1, width))
-    key = lambda i: F.shiftleft(rare(i).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(token(i), 7))
-    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(F.col(w)) - width))
-    return F.sort_array(F.array_distinct(F.transform(at, key)))
+def ordered_words(w: str, rarity: bytes) -> Column:
+    """Each word of column ``w`` as an integer: its rarity in the high bits, then its hash."""
+    table = F.from_json(F.lit(json.dumps(list(rarity))), "array<long>")  # a constant: it is read once
+
+    def number(x):
+        h = F.xxhash64(x)
+        return F.shiftleft(F.coalesce(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")), F.lit(0)), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+
+    return F.transform(w, number)
+
+
+def ordered_tokens(numbers: str, width: int) -> Column:
+    """Distinct tokens, rarest first, as integers like those of words: as rare as the rarest word, then a hash.
+
+    The column of numbers is used more than once here, so Spark computes it before this expression, not again for each
+    token.
+    """
+    n = F.col(numbers)
+    part = lambda i: F.slice(n, i, F.lit(width))
+    key = lambda i: F.coalesce(F.array_min(part(i)), F.lit(0)).bitwiseAND(-(1 << 57)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(part(i)), 7))
+    return F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(n) - width + 1)), key)))
 
 
 def prefix_length(n: Column, threshold: float) -> Column:
@@ -63,10 +79,7 @@ def line_table(docs: DataFrame, rarity: bytes, threshold: float, width: int) ->
     """Distinct lines with words: h1, h2 (a 128-bit name), at (where the first stands), n tokens, prefix."""
     lines = docs.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
     lines = lines.withColumn("w", words(F.col("line"))).where(F.size("w") > 0)
-    table = F.lit(rarity)
-    bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")
-    lines = lines.withColumn("c", F.transform("w", lambda x: F.ascii(F.substring(table, bucket(x) + 1, F.lit(1)).cast("string"))))
-    lines = lines.withColumn("t", ordered_tokens("w", "c", width))
+    lines = lines.withColumn("v", ordered_words("w", rarity)).withColumn("t", ordered_tokens("v", width))
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("line_no").alias("line"))
     size = F.size("t")
     lines = lines.select(
