@@ -58,7 +58,7 @@ class WordTokenizer:
             self.ids.clear()
             self.ids[""] = b""
         split = [self.words(t) for t in texts]
-        new = sorted(set().union(*split) - self.ids.keys(), key=str.isalpha)
+        new = sorted((w for w in set().union(*split) if w not in self.ids), key=str.isalpha)
         for at in range(0, len(new), 1024):
             part = new[at : at + 1024]
             self.ids.update(zip(part, self._encode(part), strict=True))
