@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,8 +48,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; none for a null text."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; none for a null text.
+
+    White space becomes spaces first: parting at one plain character is faster than at a pattern.
+    """
+    spaced = F.coalesce(text, F.lit(""))
+    for ch in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(ch), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def n_words(text: Column) -> Column:

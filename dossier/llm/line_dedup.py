@@ -44,8 +44,9 @@ def word_rarity(docs: DataFrame, text_col: str) -> bytes:
 
 
 def shingles(w: Column, width: int) -> Column:
-    """Every run of ``width`` words as an array, the whole line if it is shorter."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - width + 1)), lambda i: F.slice(w, i, width))
+    """Every run of ``width`` words, joined by spaces; the whole line if it is shorter."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - width + 1))
+    return F.transform(at, lambda i: F.array_join(F.slice(w, i, width), " "))
 
 
 def ordered_words(w: str, rarity: bytes) -> Column:
@@ -111,14 +112,21 @@ def candidates(lines: DataFrame, threshold: float) -> DataFrame:
 def matches(docs: DataFrame, lines: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
     """(early, late): names of matching lines among the candidate pairs, verified on their words."""
     asked = pairs.select(F.col("x").alias("h")).union(pairs.select(F.col("y").alias("h"))).distinct()
-    asked = stored(asked.join(lines.select("h1", "at"), F.col("h") == F.col("h1")).select("h", "at"), "asked-lines")
-    here = bounded(asked.select("h", "at", F.col("at.id").alias("_aid"), F.col("at.th").alias("_ath")))
+    asked = asked.join(lines.select("h1", "at"), F.col("h") == F.col("h1")).select("h", "at")
+    # One row for each document, so that its text is parted once.
+    wanted = F.collect_list(F.struct("at.line", "h", "at")).alias("_wanted")
+    here = asked.groupBy(F.col("at.id").alias("_aid"), F.col("at.th").alias("_ath")).agg(wanted)
+    here = bounded(stored(here, "asked-lines"))
     found = docs.select("_id", "_th", "_text").join(here, F.col("_id").eqNullSafe(F.col("_aid")) & (F.col("_th") == F.col("_ath")))
-    found = found.select("h", "at", words(F.get(F.split("_text", "\n"), F.col("at.line"))).alias("w"))
-    found = stored(found.dropDuplicates(["h"]).select("h", "at", F.array_distinct(shingles(F.col("w"), width)).alias("s")), "asked-tokens")
-    x = found.select(F.col("h").alias("hx"), F.col("at").alias("ax"), F.col("s").alias("sx"))
-    y = found.select(F.col("h").alias("hy"), F.col("at").alias("ay"), F.col("s").alias("sy"))
+    found = found.select(F.split("_text", "\n").alias("_parts"), "_wanted")
+    line = lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.get(F.col("_parts"), x["line"]).alias("line"))
+    found = found.select(F.explode(F.when(F.size("_parts") > 0, F.transform("_wanted", line))).alias("f")).select("f.*")
+    found = stored(found.groupBy("h").agg(F.min("at").alias("at"), F.min("line").alias("line")), "asked-texts")
+    x = found.select(F.col("h").alias("hx"), F.col("at").alias("ax"), F.col("line").alias("lx"))
+    y = found.select(F.col("h").alias("hy"), F.col("at").alias("ay"), F.col("line").alias("ly"))
     both = pairs.join(x, F.col("x") == F.col("hx")).join(y, F.col("y") == F.col("hy"))
+    both = both.withColumns({"wx": words(F.col("lx")), "wy": words(F.col("ly"))})
+    both = both.withColumns({s: F.array_distinct(shingles(F.col(w), width)) for s, w in (("sx", "wx"), ("sy", "wy"))})
     common = F.size(F.array_intersect("sx", "sy"))
     both = both.where(common >= (F.size("sx") + F.size("sy") - common) * F.lit(threshold) - 1e-9)
     return both.select(F.when(F.col("ax") < F.col("ay"), F.col("hy")).otherwise(F.col("hx")).alias("late")).distinct()
