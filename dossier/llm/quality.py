@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, stored, without, words
+from .common import ensure_columns, stored, words
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 #: measure -> (expression, slack that a fence always leaves above and below the middle half, fence sides)
@@ -111,14 +111,13 @@ def quality_rules(
     """
     docs = ensure_columns(docs, **{lang_col: "string", source_col: "string"})
     names = [*BASE, "n_lines", "n_upper", "n_shouts", "kept", "reason"]
-    fixed = {text_col.lower(), lang_col.lower(), source_col.lower()}
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in {n.lower() for n in names}]
-    d = without(docs, *[n for n in names if n not in fixed])
-    d = measured(d, text_col)
-    own = [F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source")]
-    kept_cols = [F.col(f"`{c}`") for c in carry]
-    d = d.select(*kept_cols, *own, *[F.col(n) for n in names[:-2]], *[F.col(f"_m_{m}") for m in MEASURES])
+    # What is carried travels in one column, out of the way of all others.
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry])
+    d = docs.select(row.alias("_row"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"))
+    d = measured(d, "_text").drop("_text")
     d = stored(d, "quality-measures")
+    kept_cols = [F.col(f"_row.`{c}`").alias(c) for c in carry]
 
     good = d.where("not base_failed")
     parts = good.groupBy("_lang", "_source").agg(
