@@ -118,17 +118,18 @@ def matches(docs: DataFrame, lines: DataFrame, pairs: DataFrame, threshold: floa
     here = asked.groupBy(F.col("at.id").alias("_aid"), F.col("at.th").alias("_ath")).agg(wanted)
     here = bounded(stored(here, "asked-lines"))
     found = docs.select("_id", "_th", "_text").join(here, F.col("_id").eqNullSafe(F.col("_aid")) & (F.col("_th") == F.col("_ath")))
-    found = found.select(F.split("_text", "\n").alias("_parts"), "_wanted")
-    line = lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.get(F.col("_parts"), x["line"]).alias("line"))
-    found = found.select(F.explode(F.when(F.size("_parts") > 0, F.transform("_wanted", line))).alias("f")).select("f.*")
+    # Arrays that a lambda reads are bound by a lambda themselves: Spark then computes each once for a row.
+    line = lambda parts: lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.get(parts, x["line"]).alias("line"))
+    lines_of = F.flatten(F.transform(F.array(F.split("_text", "\n")), lambda parts: F.transform(F.col("_wanted"), line(parts))))
+    found = found.select(F.explode(lines_of).alias("f")).select("f.*")
     found = stored(found.groupBy("h").agg(F.min("at").alias("at"), F.min("line").alias("line")), "asked-texts")
     x = found.select(F.col("h").alias("hx"), F.col("at").alias("ax"), F.col("line").alias("lx"))
     y = found.select(F.col("h").alias("hy"), F.col("at").alias("ay"), F.col("line").alias("ly"))
     both = pairs.join(x, F.col("x") == F.col("hx")).join(y, F.col("y") == F.col("hy"))
-    both = both.withColumns({"wx": words(F.col("lx")), "wy": words(F.col("ly"))})
-    both = both.withColumns({s: F.array_distinct(shingles(F.col(w), width)) for s, w in (("sx", "wx"), ("sy", "wy"))})
-    common = F.size(F.array_intersect("sx", "sy"))
-    both = both.where(common >= (F.size("sx") + F.size("sy") - common) * F.lit(threshold) - 1e-9)
+    pair = F.array(F.struct(words(F.col("lx")).alias("a"), words(F.col("ly")).alias("b")))
+    sets = F.transform(pair, lambda p: F.struct(*[F.array_distinct(shingles(p[k], width)).alias(k) for k in "ab"]))
+    counts = F.transform(sets, lambda p: F.struct(F.size(F.array_intersect(p["a"], p["b"])).alias("c"), (F.size(p["a"]) + F.size(p["b"])).alias("n")))
+    both = both.where(F.exists(counts, lambda p: p["c"] >= (p["n"] - p["c"]) * F.lit(threshold) - 1e-9))
     return both.select(F.when(F.col("ax") < F.col("ay"), F.col("hy")).otherwise(F.col("hx")).alias("late")).distinct()
 
 
@@ -160,6 +161,8 @@ def dedup_lines(
         F.transform("_parts", lambda line, i: F.when(~line.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull()
     )
     d = d.withColumn("_all", F.sort_array(F.array_union(F.coalesce("_stay", F.array().cast("array<int>")), blank)))
-    new = F.when(text.isNotNull(), F.array_join(F.transform("_all", lambda i: F.get(F.col("_parts"), i)), "\n"))
+    # The parts are bound by a lambda, so that they are made once for a text, whichever columns are asked for.
+    joined = F.transform(F.array(F.col("_parts")), lambda p: F.array_join(F.transform(F.col("_all"), lambda i: F.get(p, i)), "\n"))
+    new = F.when(text.isNotNull(), F.get(joined, F.lit(0)))
     d = d.withColumns({"n_lines": F.size("_parts").cast("long"), "n_removed": (F.size("_parts") - F.size("_all")).cast("long"), "_new": new})
     return d.select(*[F.col("_new").alias(c) if c == text_col else F.col(f"`{c}`") for c in keep], "n_lines", "n_removed")
