@@ -2,15 +2,19 @@
 
 Contexts of up to ``order`` bytes are counted over all training texts. A context's node predicts a symbol it has seen
 with (count - 1/2) / n (n symbols seen, q kinds of them: escape method D); what is left, q / 2 and the counts of
-children that were pruned, is the escape to the context one byte shorter, whose predictions exclude the symbols of the
-longer one (they are divided by the weight that is left). Children seen less than a 2**-``prune_bits``-th of all positions are pruned, so an order
-has at most 2**``prune_bits`` nodes whatever the corpus, and the trie that is sent to the tasks has a proven bound.
+children seen less than ``LEAST`` times, is the escape to the context one byte shorter, whose predictions exclude the
+symbols of the longer one (they are divided by the weight that is left). ``LEAST`` is fixed: the model grows with the
+corpus. Its counts are stored tables that never pass through the driver.
+
+Texts are dealt to chunks of about ``CHUNK`` bytes. The distinct grams of all chunks get their costs in Spark, order by
+order from the shortest (a context or a suffix has at most 257 grams, so no key is large), and come back to their chunk,
+where the texts sum them up.
 
 Symbols are the bytes of the text, A-Z lower-cased, and one end symbol, which also stands before a text's start.
 A text's code length is the sum over its symbols; scores are log10 probabilities.
 
-The base score is an add-0.1 unigram model over words. Frequent words are looked up in a table with the same kind of
-bound, all others are joined with the counts of all words.
+The base score is an add-0.1 unigram model over words. Frequent words are looked up in a table of at most
+2**``COMMON_BITS`` words, all others are joined with the counts of all words.
 """
 
 from __future__ import annotations
@@ -19,15 +23,14 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ensure_columns, stored
 
-ORDER, PRUNE_BITS, COMMON_BITS = 6, 22, 20
+ORDER, LEAST, COMMON_BITS = 6, 2, 20
 BITS, END = 9, 256
-STRIDE = 1 << 21
-FIELD = np.uint64((1 << BITS) - 1)
+STRIDE, CHUNK = 1 << 21, 1 << 23
 
 
 def symbols(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,91 +110,123 @@ class Table:
         return out
 
 
-class Trie:
-    """The context trie: for each order, log probabilities of its grams and escape weights of its contexts."""
-
-    def __init__(self):
-        self.levels: list[tuple] = []
-        self.tables: list[tuple] = []
-
-    def add(self, gram: np.ndarray, n: np.ndarray, context: np.ndarray, total: np.ndarray, kinds: np.ndarray, kept: np.ndarray) -> None:
-        """The next order: kept grams with their counts; their contexts with all counts, kept kinds and kept counts."""
-        order = np.argsort(context)
-        context, total, kinds, kept = (x[order] for x in (context, total, kinds, kept))
-        at = np.searchsorted(context, gram >> np.uint64(BITS))
-        log_p = np.log((n - 0.5) / total[at])
-        left = 1 - np.bincount(at, np.exp(self.cost(gram)), len(context))
-        escape = np.log((total - kept + kinds / 2) / total) - np.log(np.maximum(left, 1e-9))
-        self.levels.append((gram, log_p.astype(np.float32), context, escape.astype(np.float32)))
+def chunks_of(docs: DataFrame) -> DataFrame:
+    """chunk, row and the columns of ``docs`` (``_text`` first): about CHUNK bytes of texts make a chunk."""
 
-    def __getstate__(self) -> list[tuple]:
-        return self.levels
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
 
-    def __setstate__(self, levels: list[tuple]) -> None:
-        self.levels, self.tables = levels, []
+        part, row, size = TaskContext.get().partitionId(), 0, 0
+        for b in batches:
+            upto = size + np.cumsum(pc.fill_null(pc.binary_length(b.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            rows = np.arange(row, row + b.num_rows)
+            if b.num_rows:
+                row, size = row + b.num_rows, int(upto[-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((part << 32) + upto // CHUNK), pa.array((part << 40) + rows), *b.columns], names=["chunk", "row", *b.schema.names]
+            )
 
-    def cost(self, gram: np.ndarray) -> np.ndarray:
-        """Natural log probability of each gram's last symbol after the ones before it."""
-        # Tables are built where they are first used: the driver never builds those of the longest contexts.
-        for g, p, c, e in self.levels[len(self.tables) :]:
-            self.tables.append((Table(g), p, Table(c), e))
-        out, todo = np.zeros(len(gram)), np.arange(len(gram))
-        for k in range(len(self.tables) - 1, -1, -1):
-            g, p, c, e = self.tables[k]
-            x = gram[todo] & np.uint64((1 << (BITS * (k + 1))) - 1)
-            at = g.find(x)
-            hit = at >= 0
-            out[todo[hit]] += p[at[hit]]
-            todo = todo[~hit]
-            if not len(todo):
-                return out
-            at = c.find(x[~hit] >> np.uint64(BITS))
-            hit = at >= 0
-            out[todo[hit]] += e[at[hit]]
-        out[todo] -= np.log(END + 1)
-        return out
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return stored(docs.mapInArrow(run, f"chunk long, row long, {columns}"), "texts", compression="zstd")
 
 
-def train_trie(train: DataFrame, order: int = ORDER, prune_bits: int = PRUNE_BITS) -> Trie:
-    """Counts the contexts of all texts (``_text``) and gathers the nodes that are not pruned."""
+def chunk_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(chunk, g, n): the distinct grams of each chunk's texts, and how often its training texts have them."""
 
     def count(batches):
-        have = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        chunk, have, size = None, [], 0
         for b in batches:
-            for g, _ in pieces([lowered(t.as_py()) for t in b.column(0)], order):
-                u, n = np.unique(g, return_counts=True)
-                both = np.concatenate([have[0], u])
-                u, back = np.unique(both, return_inverse=True)
-                have = u, np.bincount(back, np.concatenate([have[1], n]), len(u)).astype(np.int64)
-                if len(u) > 4_000_000:
-                    yield from out(have)
-                    have = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield from out(have)
-
-    def out(have):
+            ids = b.column(0).to_numpy()
+            cuts = [0, *(np.nonzero(np.diff(ids))[0] + 1).tolist(), len(ids)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if ids[lo] != chunk:
+                    yield from out(chunk, have)
+                    chunk, have, size = ids[lo], [], 0
+                held = b.column(1)[lo:hi].to_numpy(zero_copy_only=False).astype(bool)
+                for g, owner in pieces([lowered(t.as_py()) for t in b.column(2)[lo:hi]], order):
+                    apart = held[owner]
+                    have.append(np.unique(g[~apart], return_counts=True))
+                    u = np.unique(g[apart])
+                    have.append((u, np.zeros(len(u), np.int64)))
+                    size += len(have[-2][0]) + len(u)
+                    if size > 8_000_000:
+                        yield from out(chunk, have)
+                        have, size = [], 0
+        yield from out(chunk, have)
+
+    def out(chunk, have):
         import pyarrow as pa
 
-        for lo in range(0, len(have[0]), 100_000):
-            cols = [pa.array(x[lo : lo + 100_000].astype(np.int64)) for x in have]
-            yield pa.RecordBatch.from_arrays(cols, names=["g", "n"])
+        if not have:
+            return
+        g, n = (np.concatenate(x) for x in zip(*have, strict=True))
+        o = np.argsort(g, kind="stable")
+        g, n = g[o], n[o]
+        first = np.nonzero(np.concatenate([[True], g[1:] != g[:-1]]))[0] if len(g) else np.zeros(0, np.int64)
+        g, n = g[first], np.add.reduceat(n, first) if len(first) else n
+        for lo in range(0, len(g), 100_000):
+            x, y = g[lo : lo + 100_000].astype(np.int64), n[lo : lo + 100_000].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), chunk, np.int64)), pa.array(x), pa.array(y)], names=["chunk", "g", "n"])
+
+    return texts.select("chunk", "held_out", "_text").mapInArrow(count, "chunk long, g long, n long")
 
-    table = train.select("_text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    levels, least = [], None
+
+def gram_costs(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(g, cost): the natural log probability of each gram's last symbol after the ones before it.
+
+    ``counts`` (g, n) holds how often the training texts have each gram; grams to be priced that they do not have come
+    with n = 0. Counts of one gram are added up.
+    """
+    tables = []
     for k in range(order, -1, -1):
-        table = stored(table, "contexts")
-        if least is None:
-            least = max(2, -(-(table.agg(F.sum("n")).first()[0] or 0) >> prune_bits))
-        kept = F.col("n") >= least
-        by = table.groupBy(F.shiftrightunsigned("g", BITS).alias("c")).agg(
-            F.sum("n").alias("total"), F.count(F.when(kept, 1)).alias("kinds"), F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("kept")
+        tables.append(stored(counts.groupBy("g").agg(F.sum("n").alias("n")), "contexts"))
+        counts = tables[-1].select(F.col("g").bitwiseAND((1 << (BITS * k)) - 1).alias("g"), "n")
+    shorter = None
+    for k, table in enumerate(reversed(tables)):
+        if shorter is None:
+            table = table.withColumn("less", F.lit(-float(np.log(END + 1))))
+        else:
+            suffix = F.col("g").bitwiseAND((1 << (BITS * k)) - 1)
+            table = table.withColumn("s", suffix).join(shorter.select(F.col("g").alias("s"), F.col("cost").alias("less")), "s").drop("s")
+        context = Window.partitionBy("c")
+        kept = F.col("n") >= LEAST
+        table = table.withColumn("c", F.shiftrightunsigned("g", BITS)).withColumns(
+            {
+                "total": F.sum("n").over(context),
+                "kinds": F.sum(kept.cast("int")).over(context),
+                "kept": F.sum(F.when(kept, F.col("n")).otherwise(0)).over(context),
+                "taken": F.sum(F.when(kept, F.exp("less")).otherwise(0.0)).over(context),
+            }
         )
-        g, c = table.where(kept).toPandas(), by.where("kinds > 0").toPandas()
-        levels.append([g["g"].to_numpy(np.uint64), g["n"].to_numpy(float), c["c"].to_numpy(np.uint64), *[c[x].to_numpy(float) for x in ("total", "kinds", "kept")]])
-        table = table.groupBy(F.col("g").bitwiseAND((1 << (BITS * k)) - 1).alias("g")).agg(F.sum("n").alias("n"))
-    trie = Trie()
-    for x in reversed(levels):
-        trie.add(*x)
-    return trie
+        escape = F.log((F.col("total") - F.col("kept") + F.col("kinds") / 2) / F.col("total")) - F.log(F.greatest(1 - F.col("taken"), F.lit(1e-9)))
+        cost = F.when(kept, F.log((F.col("n") - 0.5) / F.col("total"))).when(F.col("kinds") > 0, escape + F.col("less")).otherwise(F.col("less"))
+        shorter = table.select("g", cost.alias("cost"))
+    return shorter
+
+
+class Trie:
+    """The stored counts of the training texts' grams, which price any others."""
+
+    def __init__(self, counts: DataFrame, order: int):
+        self.counts, self.order = counts, order
+
+    def cost(self, gram: np.ndarray) -> np.ndarray:
+        """Natural log probability of each gram's last symbol after the ones before it, for a few grams."""
+        u, back = np.unique(gram, return_inverse=True)
+        asked = self.counts.sparkSession.createDataFrame(pd.DataFrame({"g": u.astype(np.int64)}), "g long")
+        priced = gram_costs(self.counts.union(asked.withColumn("n", F.lit(0).cast("long"))), self.order)
+        got = priced.join(F.broadcast(asked), "g").toPandas().sort_values("g")
+        return got["cost"].to_numpy()[back]
+
+
+def train_trie(train: DataFrame, order: int = ORDER) -> Trie:
+    """Counts the contexts of all texts (``_text``)."""
+    texts = chunks_of(train.select("_text", F.lit(False).alias("held_out")))
+    return Trie(stored(chunk_grams(texts, order).groupBy("g").agg(F.sum("n").alias("n")), "contexts"), order)
 
 
 def train_words(train: DataFrame) -> DataFrame:
@@ -218,9 +253,7 @@ def train_words(train: DataFrame) -> DataFrame:
     return stored(parts.groupBy("token").agg(F.sum("n").alias("n")), "word-counts")
 
 
-def score_texts(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, prune_bits: int = PRUNE_BITS
-) -> DataFrame:
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """One row per document: the id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Texts whose crc32(id as text) mod 10 is 0 are held out, all others (those without an id too) are learned from.
@@ -231,57 +264,56 @@ def score_texts(
     docs = ensure_columns(docs, **{id_col: "long", text_col: "string"})
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 10 == 0, F.lit(False))
     docs = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), held.alias("held_out"))
-    train = docs.where("not held_out")
-    trie = train_trie(train, order, prune_bits)
-    counts = train_words(train)
+    kind = docs.schema["_id"].dataType.simpleString()
+    texts = chunks_of(docs)
+    grams = stored(chunk_grams(texts, order), "chunk-grams", compression="zstd")
+    counts = train_words(texts.where("not held_out"))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     below = 0.1 * (v + 1)
     # At most 2**COMMON_BITS words are this frequent.
     least = max(1, -(-n >> COMMON_BITS))
     common = counts.where(F.col("n") >= least).toPandas() if n else pd.DataFrame({"token": [], "n": []})
     known = {bytes(t): float(x) for t, x in zip(common["token"], np.log10((common["n"].to_numpy(float) + 0.1) / (n + below)), strict=True)} if n else {}
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((trie, known))
+    model = docs.sparkSession.sparkContext.broadcast(known)
 
-    def run(batches):
+    def run(left, right):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        trie, known = model.value
-        row = TaskContext.get().partitionId() << 40
-        for b in batches:
-            texts = [lowered(t.as_py()) for t in b.column(0)]
-            bits = np.zeros(len(texts))
-            for g, owner in pieces(texts, order):
-                np.add.at(bits, *_sums(owner, trie.cost(g)))
-            tokens, base, rest, n_rest, n_tokens = [], [], [], [], []
-            for t in texts:
-                words = t.split()
-                words.append(b"")
-                got = list(map(known.get, words))
-                n_tokens.append(len(words))
-                if None in got:
-                    odd = Counter(w for w, x in zip(words, got, strict=True) if x is None)
-                    rest.append(list(odd))
-                    n_rest.append(list(odd.values()))
-                    base.append(sum(x for x in got if x is not None))
-                else:
-                    rest.append([])
-                    n_rest.append([])
-                    base.append(sum(got))
-                tokens.append(len(words) - sum(n_rest[-1]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + len(texts))), b.column(1), b.column(2), pa.array(n_tokens, pa.int64()), pa.array(tokens, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(bits / np.log(10)), pa.array(rest, pa.list_(pa.binary())), pa.array(n_rest, pa.list_(pa.int64())),
-                ],
-                names=["row", "_id", "held_out", "n_tokens", "n_common", "base_common", "score", "rare", "n_rare"],
-            )
-            row += len(texts)
-
-    kind = docs.schema["_id"].dataType.simpleString()
+        known = model.value
+        g, cost = (right.column(c).to_numpy() for c in ("g", "cost"))
+        table = Table(g.astype(np.uint64))
+        texts = [lowered(t.as_py()) for t in left.column("_text")]
+        logs = np.zeros(len(texts))
+        for x, owner in pieces(texts, order):
+            np.add.at(logs, *_sums(owner, cost[table.find(x)].astype(float)))
+        tokens, base, rest, n_rest, n_tokens = [], [], [], [], []
+        for t in texts:
+            words = t.split()
+            words.append(b"")
+            got = list(map(known.get, words))
+            n_tokens.append(len(words))
+            if None in got:
+                odd = Counter(w for w, x in zip(words, got, strict=True) if x is None)
+                rest.append(list(odd))
+                n_rest.append(list(odd.values()))
+                base.append(sum(x for x in got if x is not None))
+            else:
+                rest.append([])
+                n_rest.append([])
+                base.append(sum(got))
+            tokens.append(len(words) - sum(n_rest[-1]))
+        return pa.table(
+            [
+                left.column("row"), left.column("_id"), left.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(tokens, pa.int64()),
+                pa.array(base, pa.float64()), pa.array(logs / np.log(10)), pa.array(rest, pa.list_(pa.binary())), pa.array(n_rest, pa.list_(pa.int64())),
+            ],
+            names=["row", "_id", "held_out", "n_tokens", "n_common", "base_common", "score", "rare", "n_rare"],
+        )
+
+    costs = gram_costs(grams.select("g", "n"), order).select("g", F.col("cost").cast("float").alias("cost"))
+    priced = grams.select("chunk", "g").join(costs, "g").select("chunk", "g", "cost")
     schema = f"row long, _id {kind}, held_out boolean, n_tokens long, n_common long, base_common double, score double, rare array<binary>, n_rare array<long>"
-    scored = stored(docs.mapInArrow(run, schema), "text-scores")
+    scored = stored(texts.groupBy("chunk").cogroup(priced.groupBy("chunk")).applyInArrow(run, schema), "text-scores")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "n_rare")).alias("r")).select("row", "r.rare", F.col("r.n_rare").alias("times"))
     rare = rare.join(counts, F.col("rare") == F.col("token"), "left")
     cost = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(float(n + below)))

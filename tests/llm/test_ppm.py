@@ -111,3 +111,23 @@ def test_edge_rows(spark):
     assert sorted(map(key, [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got])) == sorted(map(key, [w[:4] for w in want]))
     assert ppm.score_texts(docs.where("doc_id = 99")).count() == 0
     assert ppm.score_texts(docs).count() == 5
+
+
+def test_contexts_stay_however_large_the_corpus(spark):
+    # Nine million other symbols: a cut relative to the corpus would drop what is seen twice.
+    train = spark.createDataFrame([("a" * 9_000_000,), ("qxz",), ("qxz",)], "_text string")
+    g = ppm.grams(np.array([256, *b"qxz"], np.uint16), 3)
+    assert np.allclose(ppm.train_trie(train, order=3).cost(g), math.log(1.5 / 2), atol=1e-5)
+
+
+def test_scores_match_the_definition(spark):
+    texts = ["abracadabra", "abrasion", "bar bar bar", "", "Abba", "sonar\xe9", "bra", "zoo"] * 3
+    rows = [*enumerate(texts), (None, None)]
+    train = [(t or "").lower().encode() for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 10]
+    assert len(train) < len(rows)
+    p = brute_ppm(train, 2, 2)
+    got = {r.doc_id: r.score for r in ppm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), order=2).collect()}
+    for d, text in rows:
+        s = [256] * 2 + list((text or "").lower().encode()) + [256]
+        want = sum(math.log10(p(tuple(s[i : i + 2]), s[i + 2], 2)) for i in range(len(s) - 2))
+        assert math.isclose(got[d], want, rel_tol=1e-5)
