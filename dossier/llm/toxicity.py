@@ -1,14 +1,14 @@
 """Toxicity: a lexicon learned from labels, matched through Levenshtein automata, scored in its context.
 
 1. Document frequencies of words and of word beginnings (stems) are counted for both labels over all labelled
-   training documents. Terms whose weight (the lower bound of the smoothed log odds) is high enough form the lexicon.
+   training documents, each distinct text once. All terms whose weight (the lower bound of the smoothed log odds) is
+   high enough form the lexicon.
 2. The lexicon is a trie. A word is looked up exactly, by stem, and by intersecting the trie with the word's
    Levenshtein automaton, which finds misspelled terms. Words near a term that clean documents use are no misspellings.
 3. Each hit is weighed by its context window: quoted hits count apart from the others.
 4. A logistic model on the sums of both, fitted on about ``fit_rows`` labelled rows, gives the score.
 
-Counting and scoring cover all documents; the driver holds the lexicon (at most ``max_terms`` terms) and the words
-near it.
+Counting and scoring cover all documents; the driver holds the lexicon and the words near it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, without
+from .common import ensure_columns, stored, without
 
 TOKEN = re.compile(r"[^\W_]+")
 QUOTES = "\"“”„‟«»‹›‘’`"
@@ -74,8 +74,6 @@ class Lexicon:
     terms: dict[str, float]
     stems: dict[str, float]
     clean: set[str] = field(default_factory=set)
-    #: Misspellings are sought of the first so many terms, the strongest; weak ones are mostly words of copied texts.
-    misspelled: int = 200
 
     def __post_init__(self):
         self.trie: dict = {}
@@ -85,7 +83,7 @@ class Lexicon:
         self.heads: dict[int, dict[int, set[str]]] = {1: {}, 2: {}}
         self.tails: dict[int, dict[int, set[str]]] = {1: {}, 2: {}}
         self.middles: dict[int, dict[str, set[int]]] = {}
-        for term in [t for t in self.terms if edits_for(t)][: self.misspelled]:
+        for term in [t for t in self.terms if edits_for(t)]:
             k = edits_for(term)
             for left in shortened(term, k) if k else ():
                 self.shorter[k].setdefault(left, set()).add(term)
@@ -217,6 +215,14 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(own, F.col("_id") == F.col("_lid")).select("_id", "_text", "_y")
 
 
+def first_copies(train: DataFrame) -> DataFrame:
+    """One row of each distinct text and label of stored rows (_row, _text, _y)."""
+    firsts = stored(train.groupBy(F.md5(F.coalesce("_text", F.lit(""))).alias("_h"), F.col("_y") > 0).agg(F.min("_row").alias("_row")).select("_row"), "first-copies")
+    if firsts.count() <= BROADCAST_LABELS:
+        firsts = F.broadcast(firsts)
+    return train.join(firsts, "_row", "left_semi")
+
+
 def term_counts(train: DataFrame) -> DataFrame:
     """(term, y, n): in how many documents of label y a word, or a stem (ending in ``*``), occurs."""
 
@@ -251,26 +257,30 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     fit_rows: int = 10_000,
-    max_terms: int = 5_000,
     min_docs: int = 5,
     min_weight: float = 1.0,
 ) -> Model:
     """The model of the label. Without rows of both labels the lexicon is empty and every score is the labels' rate."""
     train = labelled(docs, labels, id_col, text_col, label_col)
-    n = {r["_y"] > 0: r["count"] for r in train.groupBy("_y").count().collect()}
+    train = stored(train.withColumn("_row", F.monotonically_increasing_id()), "labelled", compression="zstd")
+    n = {r["_y"] > 0: r["count"] for r in train.groupBy((F.col("_y") > 0).cast("int").alias("_y")).count().collect()}
     bad, good = n.get(True, 0), n.get(False, 0)
     none = np.zeros(1 + len(FEATURES))
     none[0] = math.log((bad + 0.5) / (good + 0.5)) if bad + good else -10.0
     if not bad or not good:
         return Model(Lexicon({}, {}), none)
-    counts = term_counts(train).persist()
+    share = min(1.0, fit_rows / (bad + good))
+    once = first_copies(train)
+    n = {r["_y"] > 0: r["count"] for r in once.groupBy((F.col("_y") > 0).cast("int").alias("_y")).count().collect()}
+    bad, good = n.get(True, 0), n.get(False, 0)
+    counts = term_counts(once).persist()
     weight = (
         F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
         - 1.64 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     )
     rows = (
         counts.where(F.col("bad") >= min_docs).withColumn("w", weight).where(F.col("w") >= min_weight)
-        .orderBy(F.desc(F.col("w") * F.sqrt("bad")), "term").limit(max_terms).collect()
+        .orderBy(F.desc(F.col("w") * F.sqrt("bad")), "term").collect()
     )
     found = {r["term"]: float(r["w"]) for r in rows}
     lexicon = Lexicon({t: w for t, w in found.items() if t[-1] != "*"}, {t[:-1]: w for t, w in found.items() if t[-1] == "*"})
@@ -284,7 +294,6 @@ def fit(
     counts.unpersist()
 
     # A share of the labelled rows by a hash of the id: about fit_rows of them.
-    share = min(1.0, fit_rows / (bad + good))
     sample = train.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     x = with_features(sample, lexicon, "_text", ["_y"]).toPandas()
     prior = none.copy()

@@ -69,3 +69,21 @@ def test_edge_rows(spark, labels):
     out = toxicity.score(docs, toxicity.fit(docs, y)).collect()
     assert len(out) == 6 and all(r.predicted == 0 and 0 <= r.score < 0.3 for r in out)
     assert toxicity.score(docs.where("doc_id = 99"), toxicity.fit(docs, y)).count() == 0
+
+
+def test_every_term_has_its_misspellings():
+    terms = {f"{a}{b}mn{a}{b}pq": 1.0 for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"}
+    lexicon = toxicity.Lexicon(terms, {})
+    for t in terms:
+        assert lexicon.near(t[:4] + "#" + t[5:]) == t
+
+
+def test_lexicon_is_whole_and_copies_count_once(spark):
+    # Six thousand words of six toxic texts, one text with a word of its own in forty copies, clean texts.
+    words = " ".join(f"{i:04d}" for i in range(6000))
+    bad = [f"{words} t{i}" for i in range(6)] + ["copied"] * 40
+    texts = [(t, 1) for t in bad] + [(f"fine c{i}", 0) for i in range(200)]
+    ids = (i for i in range(10_000) if zlib.crc32(str(i).encode()) % 4 != 2)  # none is held out
+    df = spark.createDataFrame([(i, t, y) for i, (t, y) in zip(ids, texts)], "doc_id long, text string, toxic int")  # noqa: B905
+    lexicon = toxicity.fit(df.drop("toxic"), df.drop("text")).lexicon
+    assert set(words.split()) <= set(lexicon.terms) and "copied" not in lexicon.terms
