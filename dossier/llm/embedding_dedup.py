@@ -6,8 +6,10 @@
    dense spot is cut like any other.
 3. Each round joins neighbours of neighbours: a node's neighbours, forward and reverse, are compared with one another,
    and every node keeps its ``k`` best. A node whose whole list is above the threshold is saturated: its ``k`` doubles.
-4. Pairs at or above the threshold are links. Lists stop growing at ``MOST`` neighbours; beyond that, and for exact
-   counts, the members of each component are compared with one another in cells of bounded size.
+   Rounds end when one brings no new link and no list grows.
+4. Every compared pair at or above the threshold is a link. Lists stop growing at ``MOST`` neighbours; all nodes of a
+   label with a list still saturated then are compared with one another in cells of bounded size, and so are, for exact
+   counts, the members of each component.
 5. The links of a fixed set of query nodes are counted by brute force over all rows; below ``recall`` of them, the
    search goes on with new orders.
 """
@@ -88,8 +90,13 @@ def best(pairs: DataFrame, k: DataFrame | None, least: int, threshold: float) ->
     return kept.select("u", "v", "s", "k", ((F.col("n") == F.col("k")) & (F.col("kth") >= threshold)).alias("saturated"), "kth")
 
 
-def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v, s): pairs among the neighbours of each node that are better than the worst one of either's list."""
+def linked(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) of the links among the pairs, the smaller node first."""
+    return pairs.where(F.col("s") >= threshold).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def descend(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, s): pairs among the neighbours of each node that are links or better than the worst one of either's list."""
     kth = graph.groupBy("u").agg(F.min("kth").alias("kth")).withColumnRenamed("u", "kid")
     reverse = Window.partitionBy("v").orderBy(F.desc("s"), "u")
     back = graph.withColumn("r", F.row_number().over(reverse)).where("r <= k").select(F.col("v").alias("w"), F.col("u").alias("x"))
@@ -115,7 +122,7 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
                 x = values[starts[a] : starts[z]].reshape(z - a, -1)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 s = x @ x.T
-                i, j = np.nonzero(np.triu(s > np.minimum(kth_[a:z, None], kth_[None, a:z]), 1))
+                i, j = np.nonzero(np.triu((s >= threshold) | (s > np.minimum(kth_[a:z, None], kth_[None, a:z])), 1))
                 out.append((ids[a + i], ids[a + j], s[i, j]))
             cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["u", "v", "s"])
@@ -153,6 +160,38 @@ def exact_counts(nodes: DataFrame, comps: DataFrame, threshold: float) -> DataFr
     return cells.groupBy("cid").agg(F.sum("more").alias("more"))
 
 
+def spanning(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same rows as all hits do, one fewer than rows for each group."""
+    new, u, v = np.ones(len(hit), bool), [], []
+    for first in range(len(hit)):
+        todo = [first] if new[first] else []
+        new[first] = False
+        while todo:
+            i = todo.pop()
+            more = np.nonzero(hit[i] & new)[0]
+            new[more] = False
+            u.append(np.full(len(more), i))
+            v.append(more)
+            todo += more.tolist()
+    return (np.concatenate(u), np.concatenate(v)) if u else (np.zeros(0, int), np.zeros(0, int))
+
+
+def exact_links(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): links that join all nodes of the given (label, dim) that are joined, by comparing every cell of them."""
+    m = nodes.join(labels, ["label", "dim"], "left_semi")
+    sizes = m.groupBy("label", "dim").agg(F.ceil(F.count("*") / CELL).cast("int").alias("chunks"))
+    m = m.join(sizes, ["label", "dim"]).withColumn("c", F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int"))
+    m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    m = m.select("label", "dim", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "nid", "vec")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids = unit(pdf["vec"]), pdf["nid"].to_numpy()
+        u, v = spanning(x @ x.T >= threshold)
+        return pd.DataFrame({"u": ids[u], "v": ids[v]})
+
+    return m.groupBy("label", "dim", "c1", "c2").applyInPandas(link, "u long, v long")
+
+
 def audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
     """Share of the links of at most AUDIT query nodes, counted by brute force against all nodes, that were found."""
     asked = nodes.orderBy(F.xxhash64("nid")).limit(AUDIT).toPandas()
@@ -173,7 +212,7 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
 
 
 def near_vectors(
-    df: DataFrame, *, id_col="vec_id", vec_col="embedding", label_col="label", threshold=0.98, k=8, tables=6, rounds=2, tries=3, recall=0.95, seed=11
+    df: DataFrame, *, id_col="vec_id", vec_col="embedding", label_col="label", threshold=0.98, k=8, tables=6, tries=3, recall=0.95, seed=11
 ) -> DataFrame:
     """One row per row of ``df``: the id, n_links, component_id, kept.
 
@@ -187,19 +226,23 @@ def near_vectors(
     nodes = nodes_of(rows)
     n, labels = nodes.agg(F.count("*"), F.count_distinct("label")).first()
     bits = max(1, min(30, int(np.log2(max(2, n / max(1, labels) / WINDOW)))))
-    links = None
+    links = ks = None
     for attempt in range(tries):
         pairs = stored(window_pairs(nodes, seed + attempt, tables, bits), "vector-pairs")
-        found = pairs.where(F.col("s") >= threshold).select("u", "v")
-        ks = None
-        for _ in range(rounds):
+        found = stored(linked(pairs, threshold).distinct(), "vector-found")
+        while True:
             graph = stored(best(pairs, ks, k, threshold), "vector-graph")
             grown = F.when(F.col("saturated"), F.least(2 * F.col("k"), F.lit(MOST))).otherwise(F.col("k"))
             ks = graph.select(F.col("u").alias("nid"), grown.alias("k")).distinct()
-            new = stored(descend(graph, nodes), "vector-pairs")
-            found = found.union(new.where(F.col("s") >= threshold).select("u", "v"))
+            growing = not graph.where(F.col("saturated") & (F.col("k") < MOST)).isEmpty()
+            new = stored(descend(graph, nodes, threshold), "vector-pairs")
             pairs = graph.select("u", "v", "s").union(new)
+            before, found = found, stored(found.union(linked(new, threshold)).distinct(), "vector-found")
+            if not growing and found.count() == before.count():
+                break
         links = found if links is None else links.union(found)
+        dense = graph.where("saturated").select(F.col("u").alias("nid")).distinct().join(nodes, "nid").select("label", "dim").distinct()
+        links = links.union(exact_links(nodes, dense, threshold))
         comps = stored(components(links), "vector-components")
         counts = stored(exact_counts(nodes, comps, threshold), "vector-links")
         if audit(nodes, counts, threshold) >= recall:

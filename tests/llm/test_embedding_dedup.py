@@ -74,3 +74,21 @@ def test_whole_table_recall(spark):
     assert set(got) == set(want) and all(got[i] <= want[i] for i in want)
     assert sum(got.values()) >= 0.98 * sum(want.values())
     assert sum(got[i] > 0 for i in got) >= 0.98 * sum(want[i] > 0 for i in want)
+
+
+def test_every_compared_link_is_emitted(spark):
+    # Nodes 1 and 2 are linked, but both have full lists of closer neighbours (kth is their own in the graph).
+    vecs = {0: [1.0, 0.0], 1: [1.0, 0.1], 2: [1.0, -0.05]}
+    nodes = spark.createDataFrame([(i, v) for i, v in vecs.items()], "nid long, vec array<float>")
+    rows = [(0, 1, 0.999, 2, True, 0.999), (0, 2, 0.999, 2, True, 0.999), (1, 0, 0.999, 1, True, 0.999), (2, 0, 0.999, 1, True, 0.999)]
+    graph = spark.createDataFrame(rows, "u long, v long, s double, k int, saturated boolean, kth double")
+    got = {tuple(sorted((r.u, r.v))) for r in ed.descend(graph, nodes, 0.98).collect()}
+    assert (1, 2) in got
+
+
+def test_exact_links_join_all(spark, monkeypatch):
+    monkeypatch.setattr(ed, "CELL", 16)
+    t = [(i, 1, 2, [float(np.cos(i * 0.1)), float(np.sin(i * 0.1))]) for i in range(60)]  # a chain: only neighbours link
+    nodes = spark.createDataFrame(t, "nid long, label int, dim int, vec array<float>")
+    links = ed.exact_links(nodes, nodes.select("label", "dim").distinct(), 0.99).collect()
+    assert {(min(r.u, r.v), max(r.u, r.v)) for r in links} == {(i, i + 1) for i in range(59)}
