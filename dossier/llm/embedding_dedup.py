@@ -10,8 +10,8 @@
 4. Every compared pair at or above the threshold is a link. Lists stop growing at ``MOST`` neighbours; all nodes of a
    label with a list still saturated then are compared with one another in cells of bounded size, and so are, for exact
    counts, the members of each component.
-5. The links of a fixed set of query nodes are counted by brute force over all rows; below ``recall`` of them, the
-   search goes on with new orders.
+5. The links of every 100th node of each label are counted by brute force over the label; labels with less than
+   ``recall`` of them are searched again with new orders, and after ``tries`` searches compared exactly.
 """
 
 from __future__ import annotations
@@ -41,18 +41,20 @@ def nodes_of(rows: DataFrame) -> DataFrame:
     return stored(g.select(F.monotonically_increasing_id().alias("nid"), "label", F.size("vec").alias("dim"), "vec", "rep", "copies"), "vectors")
 
 
-def window_pairs(nodes: DataFrame, seed: int, tables: int, bits: int) -> DataFrame:
-    """(u, v, s): similarities of nodes that are close in one of the sorted orders."""
+def window_pairs(nodes: DataFrame, seed: int, tables: int) -> DataFrame:
+    """(u, v, s): similarities of nodes that are close in one of the sorted orders; a label's size sets its sign bits."""
+    few = F.greatest(F.lit(1), F.least(F.lit(30), F.floor(F.log2(F.count("*") / WINDOW)))).cast("int")
+    nodes = nodes.join(nodes.groupBy("label", "dim").agg(few.alias("bits")), ["label", "dim"])
 
     def keys(batches):
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
                 x = unit(part["vec"])
                 for t in range(tables):
-                    r = np.random.default_rng([seed, t, int(dim)]).standard_normal((int(dim), bits + 1))
+                    r = np.random.default_rng([seed, t, int(dim)]).standard_normal((int(dim), 31))
                     p = x @ r
-                    key = ((p[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64)
-                    yield part[["label", "dim", "nid", "vec"]].assign(t=np.int32(t), key=key, proj=p[:, bits])
+                    key = ((p[:, :30] > 0) @ (1 << np.arange(30, dtype=np.int64))).astype(np.int64) & ((1 << part["bits"].to_numpy(np.int64)) - 1)
+                    yield part[["label", "dim", "nid", "vec"]].assign(t=np.int32(t), key=key, proj=p[:, 30])
 
     def near(batches):
         tail = None
@@ -68,7 +70,7 @@ def window_pairs(nodes: DataFrame, seed: int, tables: int, bits: int) -> DataFra
             tail = pdf.iloc[-WINDOW:]
 
     label = nodes.schema["label"].dataType.simpleString()
-    dealt = nodes.select("label", "dim", "nid", "vec").mapInPandas(
+    dealt = nodes.select("label", "dim", "nid", "vec", "bits").mapInPandas(
         keys, f"label {label}, dim int, nid long, vec array<float>, t int, key long, proj double"
     )
     order = ["t", "label", "dim", "key", "proj", "nid"]
@@ -192,23 +194,36 @@ def exact_links(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFr
     return m.groupBy("label", "dim", "c1", "c2").applyInPandas(link, "u long, v long")
 
 
-def audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Share of the links of at most AUDIT query nodes, counted by brute force against all nodes, that were found."""
-    asked = nodes.orderBy(F.xxhash64("nid")).limit(AUDIT).toPandas()
-    by: dict = {k: (g["nid"].to_numpy(), unit(g["vec"])) for k, g in asked.groupby(["label", "dim"])}
+def audit(nodes: DataFrame, counts: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(label, dim) of which too few links are known to be found.
 
-    def brute(batches):
-        for pdf in batches:
-            for k, part in pdf.groupby(["label", "dim"]):
-                if k in by:
-                    hit = unit(part["vec"]) @ by[k][1].T >= threshold
-                    other = part["nid"].to_numpy()[:, None] != by[k][0][None, :]
-                    yield pd.DataFrame({"q": by[k][0], "n": part["copies"].to_numpy() @ (hit & other)})
-
-    true = nodes.mapInPandas(brute, "q long, n long").groupBy("q").agg(F.sum("n").alias("n"))
-    both = true.join(counts, F.col("q") == F.col("cid"), "left")
-    n, got = both.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.least("more", "n")), F.lit(0))).first()
-    return got / n if n else 1.0
+    Every 100th node of a label, or AUDIT nodes at least, is compared with all nodes of it, in cells. Both the share of
+    links found and its mean over linked nodes must reach ``recall``; a label whose sample has no link has not shown it.
+    """
+    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n_all"))
+    share = F.greatest(F.lit(1), F.least(F.lit(100), F.floor(F.col("n_all") / AUDIT)))
+    chunks = F.ceil(F.col("n_all") / CELL).cast("int")
+    sizes = sizes.select("label", "dim", share.alias("share"), chunks.alias("chunks"), F.ceil(chunks / share).cast("int").alias("blocks"))
+    h = F.xxhash64("nid", F.lit(5))
+    m = nodes.select("label", "dim", "nid", "vec", "copies").join(sizes, ["label", "dim"])
+    all_ = m.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.pmod(F.xxhash64("nid"), "chunks").cast("int").alias("c"),
+        F.lit(False).alias("asked"), "nid", "vec", "copies")
+    asked = m.where(F.pmod(h, "share") == 0).select("label", "dim", F.pmod(F.xxhash64("nid", F.lit(9)), "blocks").cast("int").alias("b"),
+        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), F.lit(True).alias("asked"), "nid", "vec", "copies")
+
+    def brute(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, x = pdf[pdf["asked"]], pdf[~pdf["asked"]]
+        if not len(q) or not len(x):
+            return pd.DataFrame({"q": [], "n": []}).astype("int64")
+        hit = (unit(q["vec"]) @ unit(x["vec"]).T >= threshold) & (q["nid"].to_numpy()[:, None] != x["nid"].to_numpy()[None, :])
+        return pd.DataFrame({"q": q["nid"].to_numpy(), "n": hit @ x["copies"].to_numpy()})
+
+    true = all_.union(asked).groupBy("label", "dim", "b", "c").applyInPandas(brute, "q long, n long").groupBy("q").agg(F.sum("n").alias("n"))
+    both = true.where("n > 0").join(counts, F.col("q") == F.col("cid"), "left").join(nodes.select("nid", "label", "dim"), F.col("q") == F.col("nid"))
+    got = F.least(F.coalesce("more", F.lit(0)), "n")
+    seen = both.groupBy("label", "dim").agg((F.sum(got) / F.sum("n")).alias("of_links"), F.avg(got / F.col("n")).alias("of_nodes"))
+    met = F.coalesce(F.least("of_links", "of_nodes") >= recall, F.col("share") == 1)
+    return sizes.join(seen, ["label", "dim"], "left").where(~met).select("label", "dim")
 
 
 def near_vectors(
@@ -224,11 +239,10 @@ def near_vectors(
     df = ensure_columns(df, **{label_col: "int"})
     rows = df.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vec"), F.col(label_col).alias("label"))
     nodes = nodes_of(rows)
-    n, labels = nodes.agg(F.count("*"), F.count_distinct("label")).first()
-    bits = max(1, min(30, int(np.log2(max(2, n / max(1, labels) / WINDOW)))))
-    links = ks = None
+    links = ks = failing = None
     for attempt in range(tries):
-        pairs = stored(window_pairs(nodes, seed + attempt, tables, bits), "vector-pairs")
+        todo = nodes if failing is None else nodes.join(failing, ["label", "dim"], "left_semi")
+        pairs = stored(window_pairs(todo, seed + attempt, tables), "vector-pairs")
         found = stored(linked(pairs, threshold).distinct(), "vector-found")
         while True:
             graph = stored(best(pairs, ks, k, threshold), "vector-graph")
@@ -245,8 +259,13 @@ def near_vectors(
         links = links.union(exact_links(nodes, dense, threshold))
         comps = stored(components(links), "vector-components")
         counts = stored(exact_counts(nodes, comps, threshold), "vector-links")
-        if audit(nodes, counts, threshold) >= recall:
+        failing = stored(audit(nodes, counts, threshold, recall), "vector-audit")
+        if failing.isEmpty():
             break
+    else:
+        links = links.union(exact_links(nodes, failing, threshold))
+        comps = stored(components(links), "vector-components")
+        counts = stored(exact_counts(nodes, comps, threshold), "vector-links")
     reps = comps.join(nodes.select("nid", "rep"), F.col("node") == F.col("nid")).groupBy("component").agg(F.min("rep").alias("first"))
     reps = reps.select(F.col("component").alias("_c"), "first")
     named = comps.join(reps, F.col("component") == F.col("_c")).select("node", "first")

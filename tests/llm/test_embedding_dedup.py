@@ -92,3 +92,13 @@ def test_exact_links_join_all(spark, monkeypatch):
     nodes = spark.createDataFrame(t, "nid long, label int, dim int, vec array<float>")
     links = ed.exact_links(nodes, nodes.select("label", "dim").distinct(), 0.99).collect()
     assert {(min(r.u, r.v), max(r.u, r.v)) for r in links} == {(i, i + 1) for i in range(59)}
+
+
+def test_audit_names_labels_with_lost_links(spark):
+    # Label 0: a dense group whose links are all counted hides one lost pair of many; label 1: all lost; label 2: found.
+    rows = [(i, 0, 2, [1.0, 0.001 * i], 1) for i in range(20)]
+    rows += [(100 + i, 0, 2, [float(np.cos(0.5 + i // 2)), float(np.sin(0.5 + i // 2))], 1) for i in range(4)]
+    rows += [(200, 1, 2, [1.0, 0.0], 1), (201, 1, 2, [1.0, 0.01], 1), (300, 2, 2, [1.0, 0.0], 1), (301, 2, 2, [1.0, 0.01], 1)]
+    nodes = spark.createDataFrame(rows, "nid long, label int, dim int, vec array<float>, copies long")
+    counts = spark.createDataFrame([*((i, 19) for i in range(20)), (300, 1), (301, 1)], "cid long, more long")
+    assert sorted(r.label for r in ed.audit(nodes, counts, 0.98, 0.95).collect()) == [0, 1]
