@@ -4,33 +4,40 @@ Contexts of up to ``order`` bytes are counted over all training texts. A context
 with (count - 1/2) / n (n symbols seen, q kinds of them: escape method D); what is left, q / 2 and the counts of
 children seen less than ``LEAST`` times, is the escape to the context one byte shorter, whose predictions exclude the
 symbols of the longer one (they are divided by the weight that is left). ``LEAST`` is fixed: the model grows with the
-corpus. Its counts are stored tables that never pass through the driver.
+corpus.
 
-Texts are dealt to chunks of about ``CHUNK`` bytes. The distinct grams of all chunks get their costs in Spark, order by
-order from the shortest (a context or a suffix has at most 257 grams, so no key is large), and come back to their chunk,
-where the texts sum them up.
+Texts are dealt to chunks of about ``CHUNK`` bytes, grams (a context and its symbol) to parts by the last ``NEAR`` bytes
+of their context, so that a part holds whole branches of the trie: a node, its children and the longer contexts below.
+
+1. Each chunk sends every part its distinct grams with their training counts, as one sorted and packed row.
+2. A part adds the counts of all chunks, walks its branches from shorter to longer contexts, and sends each chunk the
+   code lengths of its grams. What lies above the branches, contexts of up to LOW bytes, is one small table: it has at
+   most 257**(LOW + 1) rows whatever the corpus, and is the one thing that the driver reads and broadcasts.
+3. Each chunk sums up the code lengths of its texts, symbol by symbol.
+
+Both shuffles carry a few bytes a distinct gram of a chunk; the chunks themselves are one exchange that both ends read.
 
 Symbols are the bytes of the text, A-Z lower-cased, and one end symbol, which also stands before a text's start.
 A text's code length is the sum over its symbols; scores are log10 probabilities.
 
-The base score is an add-0.1 unigram model over words. Frequent words are looked up in a table of at most
-2**``COMMON_BITS`` words, all others are joined with the counts of all words.
+The base score is an add-0.1 unigram model over words. Words travel with the grams: a part adds up the counts of the
+words that hash to it and sends them back, with how many words and tokens it has in all.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, stored
+from .common import ensure_columns
 
-ORDER, LEAST, COMMON_BITS = 6, 2, 20
+ORDER, LEAST, LOW, NEAR = 6, 2, 2, 3
 BITS, END = 9, 256
-STRIDE, CHUNK = 1 << 21, 1 << 23
+STRIDE, CHUNK, PART = 1 << 21, 1 << 24, 1 << 22
 
 
 def symbols(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,15 +78,15 @@ def pieces(texts: list[bytes], order: int):
         group, size = [], 0
 
 
-def lowered(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass").lower()
+def lowered(text: bytes | None) -> bytes:
+    return (text or b"").lower()
 
 
 class Table:
     """Integer keys to their places, by open addressing over arrays."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 3))))
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 1.5))))
         self.keys = np.full(1 << self.bits, 2**64 - 1, np.uint64)
         self.place = np.zeros(1 << self.bits, np.int32)
         todo, slot = np.arange(len(keys)), self.slot(keys)
@@ -110,227 +117,269 @@ class Table:
         return out
 
 
-def chunks_of(docs: DataFrame) -> DataFrame:
-    """chunk, row and the columns of ``docs`` (``_text`` first): about CHUNK bytes of texts make a chunk."""
 
-    def run(batches):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-        from pyspark import TaskContext
+def suffix(g: np.ndarray, k: int) -> np.ndarray:
+    """The last ``k`` symbols of each gram."""
+    return g & np.uint64((1 << (BITS * k)) - 1)
 
-        part, row, size = TaskContext.get().partitionId(), 0, 0
-        for b in batches:
-            upto = size + np.cumsum(pc.fill_null(pc.binary_length(b.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            rows = np.arange(row, row + b.num_rows)
-            if b.num_rows:
-                row, size = row + b.num_rows, int(upto[-1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((part << 32) + upto // CHUNK), pa.array((part << 40) + rows), *b.columns], names=["chunk", "row", *b.schema.names]
-            )
 
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return stored(docs.mapInArrow(run, f"chunk long, row long, {columns}"), "texts", compression="zstd")
+def summed(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order and the sums of their counts."""
+    if not len(g):
+        return g, n
+    o = np.argsort(g, kind="stable")
+    g, n = g[o], n[o]
+    first = np.nonzero(np.concatenate([[True], g[1:] != g[:-1]]))[0]
+    return g[first], np.add.reduceat(n, first)
+
+
+def level(g: np.ndarray, n: np.ndarray, less: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probability of each gram of one order, from counts and the log probabilities one context shorter.
+
+    g: distinct grams in order, all kept ones (n >= LEAST) of each context among them. Also returned: the contexts and
+    what a symbol that they have not kept costs beyond ``less``.
+    """
+    if not len(g):
+        return np.zeros(0), g, np.zeros(0)
+    c = g >> np.uint64(BITS)
+    first = np.nonzero(np.concatenate([[True], c[1:] != c[:-1]]))[0]
+    size = np.diff(np.concatenate([first, [len(g)]]))
+    kept = n >= LEAST
+    total = np.add.reduceat(n, first).astype(float)
+    kinds = np.add.reduceat(kept.astype(np.int64), first)
+    inside = np.add.reduceat(np.where(kept, n, 0), first)
+    taken = np.add.reduceat(np.where(kept, np.exp(less), 0.0), first)
+    some = kinds > 0
+    safe = np.where(some, total, 1)
+    escape = np.where(some, np.log(np.where(some, total - inside + kinds / 2, 1) / safe) - np.log(np.maximum(1 - taken, 1e-9)), 0.0)
+    cost = np.where(kept, np.log(np.maximum(n - 0.5, 0.5) / np.repeat(safe, size)), np.repeat(escape, size) + less)
+    return cost, c[first], escape
+
+
+class Low:
+    """The branches' common root: contexts of up to LOW symbols with all their counts."""
+
+    def __init__(self, g: np.ndarray, n: np.ndarray, order: int):
+        self.levels = []
+        for k in range(order + 1):
+            grams_, counts = summed(suffix(g, k + 1), n)
+            cost, contexts, escape = level(grams_, counts, self.cost(grams_, k - 1))
+            kept = counts >= LEAST
+            self.levels.append((grams_[kept], cost[kept], contexts, escape))
+
+    def cost(self, g: np.ndarray, order: int | None = None) -> np.ndarray:
+        """Log probabilities of the last symbols, with contexts of up to ``order``, whether seen or not."""
+        out = np.full(len(g), -np.log(END + 1))
+        for k, (keys, cost, contexts, escape) in enumerate(self.levels if order is None else self.levels[: order + 1]):
+            x = suffix(g, k + 1)
+            if len(contexts):
+                c = x >> np.uint64(BITS)
+                at = np.minimum(np.searchsorted(contexts, c), len(contexts) - 1)
+                out += np.where(contexts[at] == c, escape[at], 0.0)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+                out = np.where(keys[at] == x, cost[at], out)
+        return out
+
+
+def branch_costs(g: np.ndarray, n: np.ndarray, low: Low, order: int) -> np.ndarray:
+    """Log probability of each gram; g: distinct grams in order of whole branches, n: their training counts."""
+    shorter, less = None, None
+    for k in range(min(LOW, order), order + 1):
+        keys, counts = summed(suffix(g, k + 1), n)
+        if shorter is None:
+            cost = low.cost(keys)
+        else:
+            cost = level(keys, counts, less[np.searchsorted(shorter, suffix(keys, k))])[0]
+        shorter, less = keys, cost
+    return less
+
 
+def part_of(g: np.ndarray, parts: int, order: int) -> np.ndarray:
+    near = suffix(g >> np.uint64(BITS), min(NEAR, order)) + np.uint64(1)
+    return ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
 
-def chunk_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(chunk, g, n): the distinct grams of each chunk's texts, and how often its training texts have them."""
+
+def packed(x: np.ndarray) -> bytes:
+    """Integers as compressed planes of bytes."""
+    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), 1) if len(x) else b""
+
+
+def unpacked(data: bytes | None, kind) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def chunk_grams(texts: list[bytes], train: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of a chunk's texts, in order, and how often its training texts have them."""
+    have, size = [], 0
+    for g, owner in pieces(texts, order):
+        apart = ~train[owner]
+        have.append(np.unique(g[~apart], return_counts=True))
+        held = np.unique(g[apart])
+        have.append((held, np.zeros(len(held), np.int64)))
+        size += len(have[-1][0]) + len(have[-2][0])
+        if size > 8_000_000:
+            have = [summed(*map(np.concatenate, zip(*have, strict=True)))]
+            size = len(have[0][0])
+    return summed(*map(np.concatenate, zip(*have, strict=True))) if have else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def low_counts(texts: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of min(LOW, order) + 1 symbols of all texts (_text) and their counts: at most 257**(LOW + 1) rows."""
+    low = min(LOW, order)
 
     def count(batches):
-        chunk, have, size = None, [], 0
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            cuts = [0, *(np.nonzero(np.diff(ids))[0] + 1).tolist(), len(ids)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if lo == hi:
-                    continue
-                if ids[lo] != chunk:
-                    yield from out(chunk, have)
-                    chunk, have, size = ids[lo], [], 0
-                held = b.column(1)[lo:hi].to_numpy(zero_copy_only=False).astype(bool)
-                for g, owner in pieces([lowered(t.as_py()) for t in b.column(2)[lo:hi]], order):
-                    apart = held[owner]
-                    have.append(np.unique(g[~apart], return_counts=True))
-                    u = np.unique(g[apart])
-                    have.append((u, np.zeros(len(u), np.int64)))
-                    size += len(have[-2][0]) + len(u)
-                    if size > 8_000_000:
-                        yield from out(chunk, have)
-                        have, size = [], 0
-        yield from out(chunk, have)
-
-    def out(chunk, have):
         import pyarrow as pa
 
-        if not have:
-            return
-        g, n = (np.concatenate(x) for x in zip(*have, strict=True))
-        o = np.argsort(g, kind="stable")
-        g, n = g[o], n[o]
-        first = np.nonzero(np.concatenate([[True], g[1:] != g[:-1]]))[0] if len(g) else np.zeros(0, np.int64)
-        g, n = g[first], np.add.reduceat(n, first) if len(first) else n
+        g, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for b in batches:
+            parts = [(g, n)] + [np.unique(x, return_counts=True) for x, _ in pieces([lowered(t.as_py()) for t in b.column(0)], low)]
+            g, n = summed(*map(np.concatenate, zip(*parts, strict=True)))
         for lo in range(0, len(g), 100_000):
-            x, y = g[lo : lo + 100_000].astype(np.int64), n[lo : lo + 100_000].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), chunk, np.int64)), pa.array(x), pa.array(y)], names=["chunk", "g", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(g[lo : lo + 100_000].astype(np.int64)), pa.array(n[lo : lo + 100_000])], names=["g", "n"])
 
-    return texts.select("chunk", "held_out", "_text").mapInArrow(count, "chunk long, g long, n long")
+    rows = texts.select("_text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
+    return rows["g"].to_numpy(np.int64).astype(np.uint64), rows["n"].to_numpy(np.int64)
 
 
-def gram_costs(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(g, cost): the natural log probability of each gram's last symbol after the ones before it.
+SENT = "chunk long, part int, grams binary, counts binary, words binary, n_words long, word_counts binary"
+BACK = "chunk long, part int, costs binary, word_counts binary, known long, total long"
 
-    ``counts`` (g, n) holds how often the training texts have each gram; grams to be priced that they do not have come
-    with n = 0. Counts of one gram are added up.
-    """
-    tables = []
-    for k in range(order, -1, -1):
-        tables.append(stored(counts.groupBy("g").agg(F.sum("n").alias("n")), "contexts"))
-        counts = tables[-1].select(F.col("g").bitwiseAND((1 << (BITS * k)) - 1).alias("g"), "n")
-    shorter = None
-    for k, table in enumerate(reversed(tables)):
-        if shorter is None:
-            table = table.withColumn("less", F.lit(-float(np.log(END + 1))))
-        else:
-            suffix = F.col("g").bitwiseAND((1 << (BITS * k)) - 1)
-            table = table.withColumn("s", suffix).join(shorter.select(F.col("g").alias("s"), F.col("cost").alias("less")), "s").drop("s")
-        context = Window.partitionBy("c")
-        kept = F.col("n") >= LEAST
-        table = table.withColumn("c", F.shiftrightunsigned("g", BITS)).withColumns(
-            {
-                "total": F.sum("n").over(context),
-                "kinds": F.sum(kept.cast("int")).over(context),
-                "kept": F.sum(F.when(kept, F.col("n")).otherwise(0)).over(context),
-                "taken": F.sum(F.when(kept, F.exp("less")).otherwise(0.0)).over(context),
-            }
-        )
-        escape = F.log((F.col("total") - F.col("kept") + F.col("kinds") / 2) / F.col("total")) - F.log(F.greatest(1 - F.col("taken"), F.lit(1e-9)))
-        cost = F.when(kept, F.log((F.col("n") - 0.5) / F.col("total"))).when(F.col("kinds") > 0, escape + F.col("less")).otherwise(F.col("less"))
-        shorter = table.select("g", cost.alias("cost"))
-    return shorter
-
-
-class Trie:
-    """The stored counts of the training texts' grams, which price any others."""
-
-    def __init__(self, counts: DataFrame, order: int):
-        self.counts, self.order = counts, order
-
-    def cost(self, gram: np.ndarray) -> np.ndarray:
-        """Natural log probability of each gram's last symbol after the ones before it, for a few grams."""
-        u, back = np.unique(gram, return_inverse=True)
-        asked = self.counts.sparkSession.createDataFrame(pd.DataFrame({"g": u.astype(np.int64)}), "g long")
-        priced = gram_costs(self.counts.union(asked.withColumn("n", F.lit(0).cast("long"))), self.order)
-        got = priced.join(F.broadcast(asked), "g").toPandas().sort_values("g")
-        return got["cost"].to_numpy()[back]
-
-
-def train_trie(train: DataFrame, order: int = ORDER) -> Trie:
-    """Counts the contexts of all texts (``_text``)."""
-    texts = chunks_of(train.select("_text", F.lit(False).alias("held_out")))
-    return Trie(stored(chunk_grams(texts, order).groupBy("g").agg(F.sum("n").alias("n")), "contexts"), order)
-
-
-def train_words(train: DataFrame) -> DataFrame:
-    """(token, n): how often each word, and the end of a text (the empty token), occurs in all texts."""
 
-    def count(batches):
-        c: Counter = Counter()
-        for b in batches:
-            for t in b.column(0):
-                c.update(lowered(t.as_py()).split())
-                c[b""] += 1
-            if len(c) > 500_000:
-                yield from out(c)
-        yield from out(c)
-
-    def out(c):
+def sender(parts: int, order: int):
+    """One row for each part from a chunk's texts."""
+
+    def send(key, table):
         import pyarrow as pa
 
-        if c:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["token", "n"])
-            c.clear()
+        train = ~table.column("held_out").to_numpy().astype(bool)
+        texts = [lowered(t.as_py()) for t in table.column("_text")]
+        words: list[Counter] = [Counter() for _ in range(parts)]
+        counted: Counter = Counter()
+        for t, learn in zip(texts, train.tolist(), strict=True):
+            if learn:
+                counted.update(t.split())
+                counted[b""] += 1
+            else:
+                for w in (*t.split(), b""):
+                    counted.setdefault(w, 0)
+        for w, n in counted.items():
+            words[zlib.crc32(w) % parts][w] = n
+        g, n = chunk_grams(texts, train, order)
+        part = part_of(g, parts, order)
+        o = np.argsort(part, kind="stable")
+        g, n, cut = g[o], n[o].astype(np.uint32), np.searchsorted(part[o], np.arange(parts + 1))
+        rows: dict[str, list] = {c.split()[0]: [] for c in SENT.split(", ")}
+        for p in range(parts):
+            x, w = g[cut[p] : cut[p + 1]], sorted(words[p].items())
+            row = (key[0].as_py(), p, packed(np.diff(x, prepend=np.uint64(0))), packed(n[cut[p] : cut[p + 1]]), zlib.compress(b"\n".join(a for a, _ in w), 1),
+                len(w), packed(np.array([b for _, b in w], np.uint32)))
+            for c, v in zip(rows.values(), row, strict=True):
+                c.append(v)
+        kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+        return pa.table([pa.array(v, kinds[c.split()[1]]) for c, v in zip(SENT.split(", "), rows.values(), strict=True)], names=list(rows))
+
+    return send
+
+
+def pricer(model, order: int):
+    """For each chunk, code lengths of the grams and counts of the words that it sent to one part."""
+
+    def price(key, table):
+        import pyarrow as pa
 
-    parts = train.select("_text").mapInArrow(count, "token binary, n long")
-    return stored(parts.groupBy("token").agg(F.sum("n").alias("n")), "word-counts")
+        low = model.value
+        sent = [np.cumsum(unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("grams")]
+        counts = [unpacked(x.as_py(), np.uint32).astype(np.int64) for x in table.column("counts")]
+        g, n = summed(np.concatenate(sent), np.concatenate(counts))
+        cost = branch_costs(g, n, low, order).astype(np.float32)
+        lists = [zlib.decompress(x.as_py()).split(b"\n")[:k.as_py()] for x, k in zip(table.column("words"), table.column("n_words"), strict=True)]
+        total: Counter = Counter()
+        for words, x in zip(lists, table.column("word_counts"), strict=True):
+            for w, k in zip(words, unpacked(x.as_py(), np.uint32).tolist(), strict=True):
+                total[w] += k
+        known = sum(k > 0 for k in total.values())
+        return pa.table(
+            [
+                table.column("chunk"), table.column("part"), pa.array([packed(cost[np.searchsorted(g, x)]) for x in sent], pa.binary()),
+                pa.array([packed(np.array([total[w] for w in words], np.int64)) for words in lists], pa.binary()),
+                pa.array([known] * len(sent), pa.int64()), pa.array([total.total()] * len(sent), pa.int64()),
+            ],
+            names=[c.split()[0] for c in BACK.split(", ")],
+        )
 
+    return price
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """One row per document: the id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Texts whose crc32(id as text) mod 10 is 0 are held out, all others (those without an id too) are learned from.
-    A null text is empty: it has the end token alone. Repeated rows are learned from and scored each. Other columns do
-    not matter. Without any training text every symbol costs log10(257), and base scores are null (no tokens to
-    estimate from).
-    """
-    docs = ensure_columns(docs, **{id_col: "long", text_col: "string"})
-    held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 10 == 0, F.lit(False))
-    docs = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), held.alias("held_out"))
-    kind = docs.schema["_id"].dataType.simpleString()
-    texts = chunks_of(docs)
-    grams = stored(chunk_grams(texts, order), "chunk-grams", compression="zstd")
-    counts = train_words(texts.where("not held_out"))
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    below = 0.1 * (v + 1)
-    # At most 2**COMMON_BITS words are this frequent.
-    least = max(1, -(-n >> COMMON_BITS))
-    common = counts.where(F.col("n") >= least).toPandas() if n else pd.DataFrame({"token": [], "n": []})
-    known = {bytes(t): float(x) for t, x in zip(common["token"], np.log10((common["n"].to_numpy(float) + 0.1) / (n + below)), strict=True)} if n else {}
-    model = docs.sparkSession.sparkContext.broadcast(known)
-
-    def run(left, right):
+def scorer(parts: int, order: int):
+    """The scores of a chunk's texts from what the parts sent back."""
+
+    def score(left, right):
         import pyarrow as pa
 
-        known = model.value
-        g, cost = (right.column(c).to_numpy() for c in ("g", "cost"))
-        table = Table(g.astype(np.uint64))
         texts = [lowered(t.as_py()) for t in left.column("_text")]
+        train = ~left.column("held_out").to_numpy().astype(bool)
+        place = np.argsort(right.column("part").to_numpy())
+        back = lambda c, kind: [unpacked(right.column(c)[i].as_py(), kind) for i in place.tolist()]
+        g, _ = chunk_grams(texts, train, order)
+        part = part_of(g, parts, order)
+        cost = np.empty(len(g))
+        cost[np.argsort(part, kind="stable")] = np.concatenate(back("costs", np.float32))
         logs = np.zeros(len(texts))
-        for x, owner in pieces(texts, order):
-            np.add.at(logs, *_sums(owner, cost[table.find(x)].astype(float)))
-        tokens, base, rest, n_rest, n_tokens = [], [], [], [], []
-        for t in texts:
-            words = t.split()
-            words.append(b"")
-            got = list(map(known.get, words))
-            n_tokens.append(len(words))
-            if None in got:
-                odd = Counter(w for w, x in zip(words, got, strict=True) if x is None)
-                rest.append(list(odd))
-                n_rest.append(list(odd.values()))
-                base.append(sum(x for x in got if x is not None))
-            else:
-                rest.append([])
-                n_rest.append([])
-                base.append(sum(got))
-            tokens.append(len(words) - sum(n_rest[-1]))
+        if len(g):
+            table = Table(g)
+            for x, owner in pieces(texts, order):
+                logs += np.bincount(owner, weights=cost[table.find(x)], minlength=len(texts))
+        split = [[*t.split(), b""] for t in texts]
+        words: list[set] = [set() for _ in range(parts)]
+        for w in set().union(*split):
+            words[zlib.crc32(w) % parts].add(w)
+        value: dict[bytes, float] = {}
+        unseen: set[bytes] = set()
+        for mine, n in zip(words, back("word_counts", np.int64), strict=True):
+            mine = sorted(mine)
+            value.update(zip(mine, np.log10(n + 0.1).tolist(), strict=True))
+            unseen.update(mine[i] for i in np.nonzero(n == 0)[0].tolist())
+        known, total = (int(right.column(c).to_numpy().sum()) for c in ("known", "total"))
+        below = np.log10(total + 0.1 * (known + 1))
+        base = [sum(map(value.__getitem__, w)) - len(w) * below for w in split]
+        n_known = [len(w) if learn else sum(x not in unseen for x in w) for w, learn in zip(split, train.tolist(), strict=True)]
+        n = len(texts)
         return pa.table(
             [
-                left.column("row"), left.column("_id"), left.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(tokens, pa.int64()),
-                pa.array(base, pa.float64()), pa.array(logs / np.log(10)), pa.array(rest, pa.list_(pa.binary())), pa.array(n_rest, pa.list_(pa.int64())),
+                left.column("_id"), left.column("held_out"), pa.array(list(map(len, split)), pa.int64()), pa.array(n_known, pa.int64()),
+                pa.array([total] * n, pa.int64()), pa.array(base if total else [None] * n, pa.float64()), pa.array(logs / np.log(10)),
             ],
-            names=["row", "_id", "held_out", "n_tokens", "n_common", "base_common", "score", "rare", "n_rare"],
+            names=["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    costs = gram_costs(grams.select("g", "n"), order).select("g", F.col("cost").cast("float").alias("cost"))
-    priced = grams.select("chunk", "g").join(costs, "g").select("chunk", "g", "cost")
-    schema = f"row long, _id {kind}, held_out boolean, n_tokens long, n_common long, base_common double, score double, rare array<binary>, n_rare array<long>"
-    scored = stored(texts.groupBy("chunk").cogroup(priced.groupBy("chunk")).applyInArrow(run, schema), "text-scores")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "n_rare")).alias("r")).select("row", "r.rare", F.col("r.n_rare").alias("times"))
-    rare = rare.join(counts, F.col("rare") == F.col("token"), "left")
-    cost = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(float(n + below)))
-    rare = rare.groupBy(F.col("row").alias("_row")).agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * cost).alias("more_base")
-    )
-    out = scored.join(rare, F.col("row") == F.col("_row"), "left")
-    base = F.col("base_common") + F.coalesce("more_base", F.lit(0.0))
-    return out.select(
-        F.col("_id").alias(id_col), "held_out", "n_tokens", (F.col("n_common") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (base if n else F.lit(None).cast("double")).alias("base_score"), "score",
-    )
-
-
-def _sums(owner: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts of a run of positions and the sum of costs of each."""
-    if not len(owner):
-        return owner, cost
-    first = np.concatenate([[0], np.nonzero(np.diff(owner))[0] + 1])
-    return owner[first], np.add.reduceat(cost, first)
+    return score
+
+
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """One row per document: the id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Texts whose crc32(id as text) mod 10 is 0 are held out, all others (those without an id too) are learned from.
+    A null text is empty: it has the end token alone. Repeated rows are learned from and scored each; rows that repeat
+    id and text share a chunk. Other columns do not matter. An empty table gives no rows. Without any training text
+    every symbol costs log10(257), and base scores are null (no tokens to estimate from). ``order`` is at most 6.
+    """
+    if not 0 <= order <= ORDER:
+        raise ValueError(f"order must be from 0 to {ORDER}: a gram of more symbols does not fit 64 bits")
+    docs = ensure_columns(docs, **{id_col: "long", text_col: "string"})
+    held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 10 == 0, F.lit(False))
+    docs = docs.select(F.col(id_col).alias("_id"), held.alias("held_out"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
+    size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    chunks, parts = max(1, -(-size // CHUNK)), max(8, -(-size // PART))
+    low = Low(*low_counts(docs.where("not held_out"), order), min(LOW, order))
+    model = docs.sparkSession.sparkContext.broadcast(low)
+    texts = docs.withColumn("chunk", F.pmod(F.xxhash64("_id", "_text"), F.lit(chunks)))
+    sent = texts.groupBy("chunk").applyInArrow(sender(parts, order), SENT)
+    back = sent.groupBy("part").applyInArrow(pricer(model, order), BACK)
+    kind = docs.schema["_id"].dataType.simpleString()
+    schema = f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scorer(parts, order), schema)
+    return out.withColumnRenamed("_id", id_col)

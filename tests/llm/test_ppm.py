@@ -56,21 +56,34 @@ def brute_ppm(train, order, least):
     return p
 
 
-def test_trie_matches_the_definition(spark):
-    train = ["abracadabra", "abrasion", "bar bar bar", ""]
-    df = spark.createDataFrame([(t,) for t in train], "_text string")
-    trie = ppm.train_trie(df, order=3)
-    p = brute_ppm([t.encode() for t in train], 3, 2)
-    for text in (b"abra", b"barn\xc3\xa9", b""):
-        g = np.concatenate([x for x, _ in ppm.pieces([text], 3)])
-        s = [256] * 3 + list(text) + [256]
-        want = [math.log(p(tuple(s[i : i + 3]), s[i + 3], 3)) for i in range(len(text) + 1)]
-        assert np.allclose(trie.cost(g), want, atol=1e-5)
-    # All continuations of a context share out probability one.
-    for ctx in ([256, 97, 98], [1, 2, 3], [98, 97, 114]):
-        g = ppm.grams(np.array(ctx, np.uint16), 2)[0]
-        every = (np.uint64(g) << np.uint64(9)) | np.arange(257, dtype=np.uint64)
-        assert abs(np.exp(trie.cost(every)).sum() - 1) < 1e-5
+def model_costs(train, asked, order):
+    """Log probabilities of the asked grams, by the operator's own parts."""
+    g, n = ppm.chunk_grams([*train, *asked], np.array([True] * len(train) + [False] * len(asked)), order)
+    low_order = min(ppm.LOW, order)
+    low = [np.unique(x, return_counts=True) for x, _ in ppm.pieces(train, low_order)]
+    root = ppm.Low(*ppm.summed(*map(np.concatenate, zip(*low, strict=True))), low_order)
+    out = np.empty(len(g))
+    part = ppm.part_of(g, 5, order)
+    for k in range(5):
+        out[part == k] = ppm.branch_costs(g[part == k], n[part == k], root, order)
+    return g, out
+
+
+def test_branches_match_the_definition():
+    train = [b"abracadabra", b"abrasion", b"bar bar bar", b""]
+    for order in (0, 1, 2, 3, 5):
+        p = brute_ppm(train, order, 2)
+        for text in (b"abra", b"barn\xc3\xa9", b""):
+            keys, cost = model_costs(train, [text], order)
+            g = np.concatenate([x for x, _ in ppm.pieces([text], order)])
+            s = [256] * order + list(text) + [256]
+            want = [math.log(p(tuple(s[i : i + order]), s[i + order], order)) for i in range(len(text) + 1)]
+            assert np.allclose(cost[np.searchsorted(keys, g)], want, atol=1e-9)
+
+
+def test_packed_arrays_come_back():
+    for x in (np.array([], np.uint64), np.array([0, 1, 2**63], np.uint64), np.arange(1000, dtype=np.uint32)):
+        assert (ppm.unpacked(ppm.packed(x), x.dtype) == x).all()
 
 
 def test_pieces_cut_long_texts(monkeypatch):
@@ -85,7 +98,8 @@ def test_pieces_cut_long_texts(monkeypatch):
 
 
 def test_whole_table(spark, monkeypatch):
-    monkeypatch.setattr(ppm, "COMMON_BITS", 8)  # most words are joined, few are looked up
+    monkeypatch.setattr(ppm, "CHUNK", 1 << 15)  # many chunks and parts
+    monkeypatch.setattr(ppm, "PART", 1 << 14)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in ppm.score_texts(docs).collect()}
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
@@ -113,21 +127,16 @@ def test_edge_rows(spark):
     assert ppm.score_texts(docs).count() == 5
 
 
-def test_contexts_stay_however_large_the_corpus(spark):
-    # Nine million other symbols: a cut relative to the corpus would drop what is seen twice.
-    train = spark.createDataFrame([("a" * 9_000_000,), ("qxz",), ("qxz",)], "_text string")
-    g = ppm.grams(np.array([256, *b"qxz"], np.uint16), 3)
-    assert np.allclose(ppm.train_trie(train, order=3).cost(g), math.log(1.5 / 2), atol=1e-5)
-
-
 def test_scores_match_the_definition(spark):
     texts = ["abracadabra", "abrasion", "bar bar bar", "", "Abba", "sonar\xe9", "bra", "zoo"] * 3
     rows = [*enumerate(texts), (None, None)]
     train = [(t or "").lower().encode() for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 10]
     assert len(train) < len(rows)
-    p = brute_ppm(train, 2, 2)
-    got = {r.doc_id: r.score for r in ppm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), order=2).collect()}
-    for d, text in rows:
-        s = [256] * 2 + list((text or "").lower().encode()) + [256]
-        want = sum(math.log10(p(tuple(s[i : i + 2]), s[i + 2], 2)) for i in range(len(s) - 2))
-        assert math.isclose(got[d], want, rel_tol=1e-5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for order in (2, 5):
+        p = brute_ppm(train, order, 2)
+        got = {r.doc_id: r.score for r in ppm.score_texts(docs, order=order).collect()}
+        for d, text in rows:
+            s = [256] * order + list((text or "").lower().encode()) + [256]
+            want = sum(math.log10(p(tuple(s[i : i + order]), s[i + order], order)) for i in range(len(s) - order))
+            assert math.isclose(got[d], want, rel_tol=1e-5)
