@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,17 +10,20 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, the one place that driver and executors share.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else what setCheckpointDir was given.
 
-    Where the session sets none (tests on one machine), a local folder is made and set for the session.
+    A session that names neither has no such folder, and none is made up for it: the error says what to set.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        raise RuntimeError("set spark.checkpoint.dir (or SparkContext.setCheckpointDir) to a folder that driver and executors share")
+    return root.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, **options) -> DataFrame:
@@ -58,6 +60,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+def small(df: DataFrame, row_bytes: int, most: int = 64 << 20) -> DataFrame:
+    """The stored ``df`` marked for broadcast if its rows, of about ``row_bytes`` bytes each, take at most ``most``
+    bytes; a larger one is left to a shuffle join."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -4,16 +4,18 @@ A line's tokens are its shingles of five words (fewer words: the whole line). Li
 word or the Jaccard similarity of their tokens is at least ``threshold``; a line is removed if it matches an earlier
 one, earlier by document id, then line number.
 
-1. Words are counted over all documents in 65,536 hash buckets. A token is as rare as its rarest word; tokens are
-   ordered by that, then by hash, so what many lines share comes last.
-2. Equal lines become one, standing where the first of them does. Of its n ordered tokens the first
-   n - ceil(threshold * n) + 1 are its prefix; lines with a similarity of at least the threshold share a prefix token.
-3. Lines are joined on prefix tokens. The length filter and the positional filter (tokens left after the shared one
-   can't make up the overlap) are part of the join, so no other pair leaves it.
-4. Each remaining pair is verified on the whole lines' words; of two matching lines the later is removed.
-
-What is broadcast has a proven bound (the bucket table) or a checked size (``BROADCAST_ROWS``), else Spark joins by
-shuffle. No group is collected.
+1. Tokens are counted over all documents in hash buckets, and ordered by that count, then by hash, so what many lines
+   share comes last. (The order only affects speed.) Of its n ordered tokens the first n - ceil(threshold * n) + 1 are
+   a line's prefix; lines with a similarity of at least the threshold share a prefix token.
+2. Equal lines become one, standing where the first of them does. Lines of fewer than five words match nothing else.
+3. A line needs one earlier match only. First it is compared with the earliest line of two of its prefix tokens, which
+   settles most members of a group of near copies with two pairs each.
+4. Lines that are not settled are joined, as the later ones, with all lines on all prefix tokens. The length filter
+   and the positional filter (tokens left after the shared one can't make up the overlap) are part of the join.
+5. Pairs are verified on all tokens of both lines: on 32-bit names first, which can only overstate an overlap, then on
+   the words.
+
+What is broadcast has a checked size (``common.small``), else Spark joins by shuffle. No group is collected.
 """
 
 from __future__ import annotations
@@ -23,114 +25,158 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, stored, words
+from .common import ensure_columns, small, stored
 
+#: Hash buckets of tokens. What is frequent stands out from the mean of a bucket; all other tokens are equally rare.
 BUCKETS = 1 << 16
-BROADCAST_ROWS = 1_000_000
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it has few rows; a larger one is left to a shuffle join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def normal(line: Column) -> Column:
+    """A line's words joined by single spaces; other white space than spaces must have been replaced."""
+    s = F.trim(line)
+    return F.when(F.contains(s, F.lit("  ")), F.regexp_replace(s, " +", " ")).otherwise(s)
 
 
-def word_rarity(docs: DataFrame, text_col: str) -> bytes:
-    """For each hash bucket of words, the bit length of its count over all documents."""
-    w = docs.select(F.explode(words(F.col(text_col))).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b"))
-    out = bytearray(BUCKETS)
-    for r in w.groupBy("b").count().collect():  # at most BUCKETS rows
-        out[r["b"]] = r["count"].bit_length()
-    return bytes(out)
+def parted(text: Column) -> Column:
+    """The lines of a text, with white space inside them turned into spaces."""
+    spaced = text
+    for ch in "\t\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(ch), F.lit(" "))
+    return F.split(F.when(text.rlike("[\t\x0b\x0c\r]"), spaced).otherwise(text), "\n")
 
 
-def shingles(w: Column, width: int) -> Column:
-    """Every run of ``width`` words, joined by spaces; the whole line if it is shorter."""
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - width + 1))
-    return F.transform(at, lambda i: F.array_join(F.slice(w, i, width), " "))
+def all_lines(own: DataFrame) -> DataFrame:
+    """(_id, _th, _text) to (_id, _th, no, line): all lines with words, as words parted by single spaces."""
+    lines = own.select("_id", "_th", F.posexplode(parted(F.col("_text"))).alias("no", "line"))
+    return lines.withColumn("line", normal(F.col("line"))).where("line <> ''")
 
 
-def ordered_words(w: str, rarity: bytes) -> Column:
-    """Each word of column ``w`` as an integer: its rarity in the high bits, then its hash."""
-    table = F.from_json(F.lit(json.dumps(list(rarity))), "array<long>")  # a constant: it is read once
+def n_words(line: str) -> Column:
+    """How many words a line has, which single spaces part."""
+    return F.length(line) - F.length(F.replace(F.col(line), F.lit(" "), F.lit(""))) + 1
 
-    def number(x):
-        h = F.xxhash64(x)
-        return F.shiftleft(F.coalesce(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")), F.lit(0)), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-    return F.transform(w, number)
+def hashes(line: Column) -> Column:
+    return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
 
 
-def ordered_tokens(numbers: str, width: int) -> Column:
-    """Distinct tokens, rarest first, as integers like those of words: as rare as the rarest word, then a hash.
+def token_ranks(own: DataFrame, width: int) -> list[int]:
+    """For each hash bucket of tokens, the bit length of its count over the mean count of a bucket; 0 below twice that."""
+    lines = all_lines(own).where(n_words("line") >= width).select(hashes(F.col("line")).alias("h"))
+    at = lines.select("h", F.explode(F.sequence(F.lit(0), F.size("h") - width)).alias("i"))
+    bucket = F.xxhash64(*[F.get("h", F.col("i") + k) for k in range(width)]).bitwiseAND(BUCKETS - 1)
+    counts = at.groupBy(bucket.alias("b")).count().collect()  # BUCKETS rows at most
+    mean = max(1, sum(r["count"] for r in counts) // BUCKETS)
+    out = [0] * BUCKETS
+    for r in counts:
+        out[r["b"]] = (r["count"] // mean).bit_length() if r["count"] >= 2 * mean else 0
+    return out
 
-    The column of numbers is used more than once here, so Spark computes it before this expression, not again for each
-    token.
+
+def tokens(h: str, width: int, name) -> Column:
+    """``name`` of every ``width`` neighbours of the array column ``h``; none if there are fewer."""
+    left = F.greatest(F.lit(0), F.size(h) - width + 1)
+    return F.transform(F.arrays_zip(*[F.slice(h, F.lit(k + 1), left).alias(f"t{k}") for k in range(width)]), name)
+
+
+def ordered(t: str, ranks: list[int]) -> Column:
+    """Distinct tokens, rarest first, as integers: rank, then hash."""
+    table = F.from_json(F.lit(json.dumps([r << 57 for r in ranks])), "array<long>")  # a constant: it is read once
+    return F.sort_array(F.array_distinct(F.transform(t, lambda x: F.get(table, x.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(x, 7)))))
+
+
+def distinct_lines(own: DataFrame, ranks: list[int], threshold: float, width: int) -> DataFrame:
+    """All lines with words, each once: lid, at (where the first stands), o, n tokens, prefix.
+
+    Equal lines are found by two 64-bit hashes. ``o`` never decreases with ``at``: it is the id where ids are integers,
+    else 0.
     """
-    n = F.col(numbers)
-    part = lambda i: F.slice(n, i, F.lit(width))
-    key = lambda i: F.coalesce(F.array_min(part(i)), F.lit(0)).bitwiseAND(-(1 << 57)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(part(i)), 7))
-    return F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(n) - width + 1)), key)))
+    at = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("no").alias("no"))
+    lines = all_lines(own).select(at.alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), hashes(F.col("line")).alias("h"))
+    lines = lines.select("at", "h1", "h2", tokens("h", width, lambda x: F.xxhash64(x)).alias("t")).select("at", "h1", "h2", ordered("t", ranks).alias("t"))
+    lines = lines.select("at", "h1", "h2", F.size("t").alias("n"), F.slice("t", F.lit(1), prefix_length(F.size("t"), threshold)).alias("prefix"))
+    once = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    whole = own.schema["_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    o = F.coalesce(F.greatest(F.col("at.id").cast("long"), F.lit(0)), F.lit((1 << 63) - 1)) if whole else F.lit(0).cast("long")
+    return stored(once.select(F.monotonically_increasing_id().alias("lid"), "at", o.alias("o"), "n", "prefix"), "lines")
 
 
 def prefix_length(n: Column, threshold: float) -> Column:
-    return n - F.ceil(n * F.lit(threshold) - 1e-9) + 1
-
-
-def line_table(docs: DataFrame, rarity: bytes, threshold: float, width: int) -> DataFrame:
-    """Distinct lines with words: h1, h2 (a 128-bit name), at (where the first stands), n tokens, prefix."""
-    lines = docs.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("w", words(F.col("line"))).where(F.size("w") > 0)
-    lines = lines.withColumn("v", ordered_words("w", rarity)).withColumn("t", ordered_tokens("v", width))
-    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("line_no").alias("line"))
-    size = F.size("t")
-    lines = lines.select(
-        *line_name(F.col("w")), place.alias("at"), size.alias("n"), F.slice("t", F.lit(1), prefix_length(size, threshold).cast("int")).alias("prefix")
+    return F.when(n > 0, n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).otherwise(0).cast("int")
+
+
+def may_match(a: dict, b: dict, threshold: float) -> Column:
+    """The length and positional filters for lines with n tokens that share the one at place i."""
+    need = F.ceil((a["n"] + b["n"]) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    return (F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * F.lit(threshold) - 1e-9) & (
+        F.least(a["n"] - a["i"], b["n"] - b["i"]) >= need
     )
-    return lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-
-
-def line_name(w: Column) -> list[Column]:
-    joined = F.array_join(w, " ")
-    return [F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit(7), joined).alias("h2")]
-
-
-def candidates(lines: DataFrame, threshold: float) -> DataFrame:
-    """(x, y): names of lines that share a prefix token and pass the length and positional filters."""
-    t = lines.select("h1", "n", F.posexplode("prefix").alias("i", "t"))
-    side = lambda s: t.select(F.col("t").alias(f"t{s}"), F.col("h1").alias(s), F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias(f"m{s}"))
-    n = {s: F.shiftright(f"m{s}", 32) for s in "xy"}
-    left = {s: n[s] - F.col(f"m{s}").bitwiseAND(0xFFFFFFFF) for s in "xy"}
-    need = F.ceil((n["x"] + n["y"]) * F.lit(threshold / (1 + threshold)) - 1e-9)
-    on = (
-        (F.col("tx") == F.col("ty")) & (F.col("x") < F.col("y"))
-        & (F.least(n["x"], n["y"]) >= F.greatest(n["x"], n["y"]) * F.lit(threshold) - 1e-9)
-        & (F.least(left["x"], left["y"]) >= need)
-    )
+
+
+def first_candidates(lines: DataFrame) -> DataFrame:
+    """(x, y): each line y with the earliest line x of the first and the middle one of its prefix tokens."""
+    some = F.array_distinct(F.array(F.get("prefix", F.lit(0)), F.get("prefix", F.floor(F.size("prefix") / 2).cast("int"))))
+    t = lines.where("n > 0").select("lid", "o", F.explode(some).alias("t"))
+    first = t.groupBy("t").agg(F.min_by("lid", "o").alias("x"), F.count("*").alias("k")).where("k > 1").select(F.col("t").alias("tx"), "x")
+    return t.select("lid", "t").join(first, F.col("t") == F.col("tx")).where("x <> lid").select("x", F.col("lid").alias("y")).distinct()
+
+
+def all_candidates(lines: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
+    """(x, y): each line y that is not settled with all lines x, not later, that it may match."""
+    flagged = lines.where("n > 0").join(small(settled.withColumnRenamed("late", "done"), 24), F.col("lid") == F.col("done"), "left")
+    # q is o for open lines and -1 - o for settled ones, which no o is below.
+    q = F.when(F.col("done").isNull(), F.col("o")).otherwise(-1 - F.col("o"))
+    t = flagged.select(q.alias("q"), "lid", "n", F.posexplode("prefix").alias("i", "t"))
+    t = t.select("t", "lid", "q", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("m"))
+    side = lambda s: t.select(F.col("t").alias(f"t{s}"), F.col("lid").alias(s), F.col("q").alias(f"q{s}"), F.col("m").alias(f"m{s}"))
+    n_i = lambda s: {"n": F.shiftright(f"m{s}", 32), "i": F.col(f"m{s}").bitwiseAND(0xFFFFFFFF)}
+    not_later = F.col("qx").bitwiseXOR(F.shiftright("qx", 63)) <= F.col("qy")
+    # Both sides are one exchange, as no condition is on one of them alone.
+    on = (F.col("tx") == F.col("ty")) & (F.col("x") != F.col("y")) & not_later & may_match(n_i("x"), n_i("y"), threshold)
     return side("x").join(side("y"), on).select("x", "y").distinct()
 
 
-def matches(docs: DataFrame, lines: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
-    """(early, late): names of matching lines among the candidate pairs, verified on their words."""
-    asked = pairs.select(F.col("x").alias("h")).union(pairs.select(F.col("y").alias("h"))).distinct()
-    asked = asked.join(lines.select("h1", "at"), F.col("h") == F.col("h1")).select("h", "at")
+def asked_lines(own: DataFrame, lines: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(lid, at, line, t) of the lines in the pairs, with 32-bit names ``t`` of their tokens."""
+    ends = stored(pairs.select(F.col("x").alias("h")).union(pairs.select(F.col("y").alias("h"))).distinct(), "line-ends")
+    places = lines.select("lid", "at").join(small(ends, 24), F.col("lid") == F.col("h"), "left_semi")
     # One row for each document, so that its text is parted once.
-    wanted = F.collect_list(F.struct("at.line", "h", "at")).alias("_wanted")
-    here = asked.groupBy(F.col("at.id").alias("_aid"), F.col("at.th").alias("_ath")).agg(wanted)
-    here = bounded(stored(here, "asked-lines"))
-    found = docs.select("_id", "_th", "_text").join(here, F.col("_id").eqNullSafe(F.col("_aid")) & (F.col("_th") == F.col("_ath")))
+    here = places.groupBy(F.col("at.id").alias("_aid"), F.col("at.th").alias("_ath")).agg(F.collect_list(F.struct("at.no", "lid", "at")).alias("_wanted"))
+    here = small(stored(here, "lines-wanted"), 256)
+    found = own.select("_id", "_th", "_text").join(here, F.col("_id").eqNullSafe(F.col("_aid")) & (F.col("_th") == F.col("_ath")))
     # Arrays that a lambda reads are bound by a lambda themselves: Spark then computes each once for a row.
-    line = lambda parts: lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), F.get(parts, x["line"]).alias("line"))
-    lines_of = F.flatten(F.transform(F.array(F.split("_text", "\n")), lambda parts: F.transform(F.col("_wanted"), line(parts))))
-    found = found.select(F.explode(lines_of).alias("f")).select("f.*")
-    found = stored(found.groupBy("h").agg(F.min("at").alias("at"), F.min("line").alias("line")), "asked-texts")
-    x = found.select(F.col("h").alias("hx"), F.col("at").alias("ax"), F.col("line").alias("lx"))
-    y = found.select(F.col("h").alias("hy"), F.col("at").alias("ay"), F.col("line").alias("ly"))
-    both = pairs.join(x, F.col("x") == F.col("hx")).join(y, F.col("y") == F.col("hy"))
-    pair = F.array(F.struct(words(F.col("lx")).alias("a"), words(F.col("ly")).alias("b")))
-    sets = F.transform(pair, lambda p: F.struct(*[F.array_distinct(shingles(p[k], width)).alias(k) for k in "ab"]))
-    counts = F.transform(sets, lambda p: F.struct(F.size(F.array_intersect(p["a"], p["b"])).alias("c"), (F.size(p["a"]) + F.size(p["b"])).alias("n")))
-    both = both.where(F.exists(counts, lambda p: p["c"] >= (p["n"] - p["c"]) * F.lit(threshold) - 1e-9))
-    return both.select(F.when(F.col("ax") < F.col("ay"), F.col("hy")).otherwise(F.col("hx")).alias("late")).distinct()
+    line = lambda parts: lambda x: F.struct(x["lid"].alias("lid"), x["at"].alias("at"), F.get(parts, x["no"]).alias("line"))
+    texts = F.flatten(F.transform(F.array(parted(F.col("_text"))), lambda parts: F.transform(F.col("_wanted"), line(parts))))
+    found = found.select(F.explode(texts).alias("f")).select("f.lid", "f.at", normal(F.col("f.line")).alias("line"))
+    # Rows that repeat id and text give a line twice.
+    found = found.groupBy("lid").agg(F.min("at").alias("at"), F.min("line").alias("line"))
+    found = found.withColumn("h", hashes(F.col("line")))
+    return stored(found.select("lid", "at", "line", F.array_distinct(tokens("h", width, lambda x: F.hash(x))).alias("t")), "lines-asked", compression="zstd")
+
+
+def matched(own: DataFrame, lines: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(late): the later line y of each pair that matches."""
+    pairs = stored(pairs, "line-pairs")
+    asked = asked_lines(own, lines, pairs, width)
+    end = lambda s, c: asked.select(F.col("lid").alias(f"l{s}"), *[F.col(k).alias(f"{k}{s}") for k in c])
+    joined = lambda p, c: p.join(end("x", c), F.col("x") == F.col("lx")).join(end("y", c), F.col("y") == F.col("ly"))
+    enough = lambda common, n: common >= (n - common) * F.lit(threshold) - 1e-9
+    likely = joined(pairs, ["at", "t"]).where("atx < aty").withColumn("c", F.size(F.array_intersect("tx", "ty")))
+    likely = stored(likely.where(enough(F.col("c"), F.size("tx") + F.size("ty"))).select("x", "y"), "likely-pairs")
+    run = lambda w: lambda i: F.array_join(F.slice(w, i, F.lit(width)), " ")
+    shingles = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), run(w)))
+    words = F.array(F.struct(F.split("linex", " ").alias("a"), F.split("liney", " ").alias("b")))
+    sets = F.transform(words, lambda p: F.struct(shingles(p["a"]).alias("a"), shingles(p["b"]).alias("b")))
+    sure = F.exists(sets, lambda p: enough(F.size(F.array_intersect(p["a"], p["b"])), F.size(p["a"]) + F.size(p["b"])))
+    return stored(joined(likely, ["line"]).where(sure).select(F.col("y").alias("late")).distinct(), "late-lines")
+
+
+def late_lines(own: DataFrame, threshold: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct lines of (_id, _th, _text), and those of them (late) that match an earlier one."""
+    lines = distinct_lines(own, token_ranks(own, width), threshold, width)
+    settled = matched(own, lines, first_candidates(lines), threshold, width)
+    rest = matched(own, lines, all_candidates(lines, settled, threshold), threshold, width)
+    return lines, settled.union(rest)
 
 
 def dedup_lines(
@@ -141,21 +187,19 @@ def dedup_lines(
     Lines are parted by ``\\n`` and stay as they are otherwise. Lines without words match nothing and stay. A matched
     line counts as earlier for others even if it is removed itself. Documents are ordered by id, null ids last, then
     by a hash of the text; rows that repeat id and text stand in one place and do not remove each other's lines. Null
-    texts stay null, with no lines. All rows and columns are returned; columns named n_lines or n_removed are replaced.
+    texts stay null, with no lines. All rows and columns are returned, whatever other columns are called; columns named
+    n_lines or n_removed are replaced. A missing id or text column counts as nulls; an empty table gives no rows.
     """
     docs = ensure_columns(docs, **{id_col: "long", text_col: "string"})
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").withColumn("_th", F.xxhash64("_text"))
-    lines = stored(line_table(own, word_rarity(docs, text_col), threshold, width), "lines")
-    pairs = stored(candidates(lines, threshold), "line-pairs")
-    late = matches(own, lines, pairs, threshold, width)
+    row = F.struct(*[F.col(f"`{c}`") for c in keep if c not in (id_col, text_col)], F.lit(0).alias("__n"))
+    full = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_th"), row.alias("_row"))
+    lines, late = late_lines(full.where("_text is not null").select("_id", "_th", "_text"), threshold, width)
     # First places of the lines that stay; everything else with words goes.
-    stay = lines.select("h1", "at").join(late, F.col("h1") == F.col("late"), "left_anti")
-    stay = stay.groupBy(F.col("at.id").alias("_sid"), F.col("at.th").alias("_sth")).agg(F.array_sort(F.collect_list("at.line")).alias("_stay"))
-    text = F.col(f"`{text_col}`")
-    full = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(text).alias("_th"))
-    found = full.join(bounded(stored(stay, "lines-that-stay")), F.col(id_col).eqNullSafe(F.col("_sid")) & (F.col("_th") == F.col("_sth")), "left")
-    d = found.withColumn("_parts", F.coalesce(F.split(text, "\n"), F.array().cast("array<string>")))
+    stay = lines.select("lid", "at").join(small(late, 24), F.col("lid") == F.col("late"), "left_anti")
+    stay = stay.groupBy(F.col("at.id").alias("_sid"), F.col("at.th").alias("_sth")).agg(F.array_sort(F.collect_list("at.no")).alias("_stay"))
+    found = full.join(small(stored(stay, "lines-that-stay"), 128), F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_th") == F.col("_sth")), "left")
+    d = found.withColumn("_parts", F.coalesce(F.split("_text", "\n"), F.array().cast("array<string>")))
     # Numbers of the lines without words, which stay.
     blank = F.filter(
         F.transform("_parts", lambda line, i: F.when(~line.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull()
@@ -163,6 +207,7 @@ def dedup_lines(
     d = d.withColumn("_all", F.sort_array(F.array_union(F.coalesce("_stay", F.array().cast("array<int>")), blank)))
     # The parts are bound by a lambda, so that they are made once for a text, whichever columns are asked for.
     joined = F.transform(F.array(F.col("_parts")), lambda p: F.array_join(F.transform(F.col("_all"), lambda i: F.get(p, i)), "\n"))
-    new = F.when(text.isNotNull(), F.get(joined, F.lit(0)))
-    d = d.withColumns({"n_lines": F.size("_parts").cast("long"), "n_removed": (F.size("_parts") - F.size("_all")).cast("long"), "_new": new})
-    return d.select(*[F.col("_new").alias(c) if c == text_col else F.col(f"`{c}`") for c in keep], "n_lines", "n_removed")
+    new = F.when(F.col("_text").isNotNull(), F.get(joined, F.lit(0)))
+    out = {id_col: F.col("_id"), text_col: new} | {c: F.col(f"_row.`{c}`") for c in keep if c not in (id_col, text_col)}
+    n_lines = F.size("_parts").cast("long")
+    return d.select(*[out[c].alias(c) for c in keep], n_lines.alias("n_lines"), (n_lines - F.size("_all")).cast("long").alias("n_removed"))
