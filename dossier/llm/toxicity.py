@@ -3,21 +3,23 @@
 1. Document frequencies of words and of word beginnings (stems) are counted for both labels over all labelled
    training documents, each distinct text once. All terms whose weight (the lower bound of the smoothed log odds) is
    high enough form the lexicon.
-2. The lexicon is a trie. A word is looked up exactly, by stem, and by intersecting the trie with the word's
-   Levenshtein automaton, which finds misspelled terms. Words near a term that clean documents use are no misspellings.
+2. The lexicon is a trie. Each distinct word of all texts is matched once: exactly, by stem, or by intersecting the
+   whole trie with the word's Levenshtein automaton, which finds misspelled terms. The automata of many words walk the
+   trie together, as bit vectors; a branch ends where no automaton is left with a live state. Words near a term that
+   clean documents use are no misspellings. The words that match are a stored table.
 3. Each hit is weighed by its context window: quoted hits count apart from the others.
 4. A logistic model on the sums of both, fitted on about ``fit_rows`` labelled rows, gives the score.
 
-Counting and scoring cover all documents; the driver holds the lexicon and the words near it.
+Counting, matching and scoring cover all documents; the driver holds the lexicon, and the table of matching words only
+if it has at most ``HITS`` rows; a larger one is joined with the words of each document.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,151 +30,121 @@ from .common import ensure_columns, stored, without
 
 TOKEN = re.compile(r"[^\W_]+")
 QUOTES = "\"“”„‟«»‹›‘’`"
+#: Inside a word, or at the end of one that nothing opened, these are apostrophes.
+APOSTROPHE = re.compile(r"(?<=\w)[’`](?=\w)")
 WINDOW = 60
 STEMS = (4, 5, 6)
 #: The greatest label table that is sent to every executor; a longer one is joined by a shuffle.
 BROADCAST_LABELS = 4_000_000
+#: The greatest table of matching words that is sent to every task.
+HITS = 1 << 19
+#: Longer terms are matched exactly only.
+LONGEST = 60
 
 
-class LevenshteinAutomaton:
-    """Recognises the words within ``k`` edits of ``word``; a state is a row of bounded edit distances."""
-
-    def __init__(self, word: str, k: int):
-        self.word, self.k = word, k
-        self.start = tuple(min(i, k + 1) for i in range(len(word) + 1))
-
-    def step(self, state: tuple[int, ...], ch: str) -> tuple[int, ...]:
-        row = [min(state[0] + 1, self.k + 1)]
-        for i, c in enumerate(self.word):
-            row.append(min(row[i] + 1, state[i + 1] + 1, state[i] + (c != ch), self.k + 1))
-        return tuple(row)
-
-    def accepts(self, state: tuple[int, ...]) -> bool:
-        return state[-1] <= self.k
-
-    def alive(self, state: tuple[int, ...]) -> bool:
-        return min(state) <= self.k
+def edits_for(term: str) -> int:
+    """How many edits still leave a term recognisable."""
+    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
-def shortened(word: str, k: int) -> set[str]:
-    """The word and what is left of it after up to k deletions."""
-    out = {word}
-    for _ in range(k):
-        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
-    return out
+class Automata:
+    """The Levenshtein automata of many words (of up to 62 letters), as bit vectors.
 
+    Bit i of state d is set if the letters read so far are within d edits of the word's first i letters.
+    """
 
-def edits_for(term: str) -> int:
-    """How many edits still leave a term recognisable."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    def __init__(self, words: list[str]):
+        wide = max(map(len, words), default=1)
+        self.codes = np.array(words, f"<U{wide}").view(np.uint32).reshape(len(words), wide)
+        self.place = np.uint64(1) << np.arange(wide, dtype=np.uint64)
+        length = np.fromiter(map(len, words), np.uint64, len(words))
+        self.end = np.uint64(1) << length
+        self.all = (self.end << np.uint64(1)) - np.uint64(1)
+        self.letters: dict[str, np.ndarray] = {}
+
+    def start(self) -> tuple[np.ndarray, ...]:
+        return tuple(np.uint64((2 << d) - 1) & self.all for d in range(3))
+
+    def step(self, rows: np.ndarray, state: tuple[np.ndarray, ...], ch: str) -> tuple[np.ndarray, ...]:
+        """The states of the given words after one more letter."""
+        if ch not in self.letters:
+            self.letters[ch] = ((self.codes == ord(ch)) * self.place).sum(axis=1, dtype=np.uint64)
+        same, one, whole = self.letters[ch][rows], np.uint64(1), self.all[rows]
+        out: list[np.ndarray] = []
+        for d, s in enumerate(state):
+            new = (s & same) << one
+            if d:
+                new |= state[d - 1] | (state[d - 1] << one) | (out[-1] << one)
+            out.append(new & whole)
+        return tuple(out)
 
 
 @dataclass
 class Lexicon:
-    """Terms and stems with their weights, and the words near a term that are words of their own."""
+    """Terms and stems with their weights."""
 
     terms: dict[str, float]
     stems: dict[str, float]
-    clean: set[str] = field(default_factory=set)
 
     def __post_init__(self):
-        self.trie: dict = {}
-        #: What is left of terms after up to k deletions -> the terms; and parts of terms with two edits.
-        self.shorter: tuple[dict, dict, dict] = ({}, {}, {})
-        #: k -> lengths -> what words near a term start with, end with, or hold (with the places) in the middle.
-        self.heads: dict[int, dict[int, set[str]]] = {1: {}, 2: {}}
-        self.tails: dict[int, dict[int, set[str]]] = {1: {}, 2: {}}
-        self.middles: dict[int, dict[str, set[int]]] = {}
-        for term in [t for t in self.terms if edits_for(t)]:
-            k = edits_for(term)
-            for left in shortened(term, k) if k else ():
-                self.shorter[k].setdefault(left, set()).add(term)
-            node = self.trie
+        #: Nodes of the trie: children by letter, the term that ends here, the most edits of any term from here on.
+        self.trie: dict = {"edits": 0}
+        self.longest = 0
+        for term in sorted(t for t in self.terms if edits_for(t) and len(t) <= LONGEST):
+            node, k = self.trie, edits_for(term)
+            self.longest = max(self.longest, len(term) + k)
             for ch in term:
-                node = node.setdefault(ch, {})
-                node.setdefault("below", set()).add(term)
+                node = node.setdefault(ch, {"edits": 0})
+                node["edits"] = max(node["edits"], k)
             node["term"] = term
-            # A word within k edits keeps one of k + 1 parts of the term: the first or last in place, or the middle one
-            # moved by two places at most.
-            cut = [len(term) * i // (k + 1) for i in range(k + 2)] if k else []
-            if cut:
-                self.heads[k].setdefault(cut[1], set()).add(term[: cut[1]])
-                self.tails[k].setdefault(len(term) - cut[-2], set()).add(term[cut[-2] :])
-            if k == 2:
-                x, y = cut[1:3]
-                self.middles.setdefault(y - x, {}).setdefault(term[x:y], set()).update(range(max(0, x - 2), x + 3))
-        self.longest = max((len(t) for x in self.shorter for found in x.values() for t in found), default=0) + 2
-
-    def candidates(self, word: str) -> set[str]:
-        """Terms that share with the word what is left of both after deletions: all within k edits are among them."""
-        if not 4 <= len(word) <= self.longest:
-            return set()
-        out: set[str] = set()
-        if self._keeps_a_part(word, 1):
-            for left in shortened(word, 1) & self.shorter[1].keys():
-                out |= self.shorter[1][left]
-        if len(word) > 6 and (self._keeps_a_part(word, 2) or self._keeps_a_middle(word)):
-            for left in shortened(word, 2) & self.shorter[2].keys():
-                out |= self.shorter[2][left]
-        return out
-
-    def _keeps_a_part(self, word: str, k: int) -> bool:
-        return any(word[:n] in x for n, x in self.heads[k].items()) or any(word[-n:] in x for n, x in self.tails[k].items())
-
-    def _keeps_a_middle(self, word: str) -> bool:
-        return any(i in at for n, x in self.middles.items() for i in range(1, len(word) - n) if (at := x.get(word[i : i + n])))
-
-    def near(self, word: str) -> str | None:
-        """The weightiest term within its number of edits of the word: the word's automaton run over the trie's
-        branches that hold candidates."""
-        wanted = self.candidates(word)
-        if not wanted:
-            return None
-        best, auto = None, LevenshteinAutomaton(word, 2)
-        todo = [(self.trie, auto.start)]
+
+    def near(self, words: list[str]) -> list[str | None]:
+        """For each word the weightiest term within its number of edits, the first by name of several; else None."""
+        asked = [i for i, w in enumerate(words) if 4 <= len(w) <= self.longest]
+        best: list[str | None] = [None] * len(words)
+        if not asked:
+            return best
+        auto = Automata([words[i] for i in asked])
+        weight = np.full(len(asked), -np.inf)
+        todo = [(self.trie, np.arange(len(asked)), auto.start())]
         while todo:
-            node, state = todo.pop()
-            term = node.get("term")
-            if term and state[-1] <= edits_for(term) and (best is None or self.terms[term] > self.terms[best]):
-                best = term
-            for ch, nxt in node.items():
-                if len(ch) == 1 and not wanted.isdisjoint(nxt["below"]) and auto.alive(after := auto.step(state, ch)):
-                    todo.append((nxt, after))
+            node, rows, state = todo.pop()
+            if term := node.get("term"):
+                hit = (state[edits_for(term)] & auto.end[rows]) != 0
+                for i in rows[hit & (weight[rows] < self.terms[term])].tolist():
+                    weight[i], best[asked[i]] = self.terms[term], term
+            for ch in sorted((c for c in node if len(c) == 1), reverse=True):
+                after = auto.step(rows, state, ch)
+                alive = after[node[ch]["edits"]] != 0
+                if alive.any():
+                    todo.append((node[ch], rows[alive], tuple(s[alive] for s in after)))
         return best
 
-    def match(self, word: str) -> tuple[int, float] | None:
-        """(kind, weight): 0 a term, 1 a stem, 2 a misspelled term."""
+    def direct(self, word: str) -> tuple[int, float] | None:
+        """(kind, weight) of a word that is a term (0) or starts with a stem (1)."""
         if word in self.terms:
             return 0, self.terms[word]
         stems = [self.stems[word[:n]] for n in STEMS if len(word) > n and word[:n] in self.stems]
-        if stems:
-            return 1, max(stems)
-        if word not in self.clean and (term := self.near(word)):
-            return 2, self.terms[term]
-        return None
+        return (1, max(stems)) if stems else None
 
 
 FEATURES = ("strong", "sum", "rate", "misspelled", "quoted")
 
 
-def features(text: str, lexicon: Lexicon, seen: dict) -> tuple[float, ...]:
-    """Context-weighted features of one whole text; ``seen`` keeps the matches of words already looked up."""
+def features(text: str, hits: dict[str, tuple[int, float]]) -> tuple[float, ...]:
+    """Context-weighted features of one whole text, from the words that match (kind 2: misspelled) and their weights."""
     low = text.lower()
     tokens = TOKEN.findall(low)
-    words = set(tokens)
-    for w in words:
-        if w not in seen:
-            seen[w] = lexicon.match(w)
-    if not any(map(seen.__getitem__, words)):
+    if hits.keys().isdisjoint(tokens):
         return (0.0,) * len(FEATURES)
     strong = total = misspelled = quoted = 0.0
     for m in TOKEN.finditer(low):
-        if not (hit := seen[m.group()]):
+        if not (hit := hits.get(m.group())):
             continue
         kind, weight = hit
         before = low[max(0, m.start() - WINDOW) : m.start()].rpartition("\n")[2]
         after = low[m.end() : m.end() + WINDOW].partition("\n")[0]
-        if any(c in QUOTES for c in before) and any(c in QUOTES for c in after):
+        if quoted_between(before, after):
             quoted += weight
         elif kind == 2:
             misspelled += weight
@@ -181,14 +153,24 @@ def features(text: str, lexicon: Lexicon, seen: dict) -> tuple[float, ...]:
     return strong, math.log1p(total), math.log1p(100 * total / max(20, len(tokens))), math.log1p(misspelled), math.log1p(quoted)
 
 
+def quoted_between(before: str, after: str) -> bool:
+    """Whether quotation marks stand on both sides; apostrophes are none. A single closing mark needs an opening one."""
+    before, after = (APOSTROPHE.sub("", x) for x in (before, after))
+    opened = any(c in QUOTES and c != "’" for c in before)
+    return opened and any(c in QUOTES for c in after)
+
+
 @dataclass
 class Model:
     lexicon: Lexicon
     weights: np.ndarray
+    #: (term): words that clean documents use, which are never misspellings; None without a lexicon.
+    used: DataFrame | None = None
+
+
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        # Misspelled terms are rare in labels: what is learned of them starts from half of what terms are worth.
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
+def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
@@ -273,67 +255,109 @@ def fit(
     once = first_copies(train)
     n = {r["_y"] > 0: r["count"] for r in once.groupBy((F.col("_y") > 0).cast("int").alias("_y")).count().collect()}
     bad, good = n.get(True, 0), n.get(False, 0)
-    counts = term_counts(once).persist()
+    counts = stored(term_counts(once), "term-counts", compression="zstd")
     weight = (
         F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
         - 1.64 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     )
-    rows = (
-        counts.where(F.col("bad") >= min_docs).withColumn("w", weight).where(F.col("w") >= min_weight)
-        .orderBy(F.desc(F.col("w") * F.sqrt("bad")), "term").collect()
-    )
+    rows = counts.where(F.col("bad") >= min_docs).withColumn("w", weight).where(F.col("w") >= min_weight).collect()
     found = {r["term"]: float(r["w"]) for r in rows}
     lexicon = Lexicon({t: w for t, w in found.items() if t[-1] != "*"}, {t[:-1]: w for t, w in found.items() if t[-1] == "*"})
-
-    def near(batches):
-        for pdf in batches:
-            yield pdf[[t not in lexicon.terms and lexicon.near(t) is not None for t in pdf["term"]]]
-
     used = counts.where("good >= 1 and term not like '%*'").where(weight < min_weight).select("term")
-    lexicon.clean = {r["term"] for r in used.mapInPandas(near, "term string").collect()}
-    counts.unpersist()
 
     # A share of the labelled rows by a hash of the id: about fit_rows of them.
     sample = train.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    x = with_features(sample, lexicon, "_text", ["_y"]).toPandas()
+    x = with_features(sample, Model(lexicon, none, used), "_text", ["_y"]).toPandas()
+    # Misspelled terms are rare in labels: what is learned of them starts from what terms are worth.
     prior = none.copy()
     prior[1 + FEATURES.index("misspelled")] = 1.0
-    return Model(lexicon, fit_logistic(x[list(FEATURES)].to_numpy(float), (x["_y"] > 0).to_numpy(float), prior))
+    return Model(lexicon, fit_logistic(x[list(FEATURES)].to_numpy(float), (x["_y"] > 0).to_numpy(float), prior), used)
 
 
-_SEEN: dict[str, dict] = {}
+def matches(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """(word, kind, weight) of the distinct words of all texts that match the lexicon; kind 2 is a misspelling."""
+    lexicon = model.lexicon
 
+    def words(batches):
+        new: set[str] = set()
+        for b in batches:
+            for t in b.column(0):
+                new.update(TOKEN.findall((t.as_py() or "").lower()))
+            if len(new) > 500_000:
+                yield from out(new)
+        yield from out(new)
 
-def seen_by(name: str) -> dict:
-    """The words that this worker has looked up in a lexicon, kept for its later tasks; only one lexicon's at a time."""
-    if name not in _SEEN:
-        _SEEN.clear()
-        _SEEN[name] = {}
-    return _SEEN[name]
+    def out(new):
+        import pyarrow as pa
 
+        some = [w for w in new if 4 <= len(w) <= lexicon.longest or lexicon.direct(w)]
+        new.clear()
+        for lo in range(0, len(some), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(some[lo : lo + 20_000], pa.string())], names=["word"])
 
-def with_features(docs: DataFrame, lexicon: Lexicon, text_col: str, keep: list[str]) -> DataFrame:
+    def match(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), 10_000):
+                part = pdf["word"].iloc[lo : lo + 10_000].tolist()
+                found = []
+                for w, term in zip(part, lexicon.near(part), strict=True):
+                    if hit := lexicon.direct(w):
+                        found.append((w, *hit))
+                    elif term:
+                        found.append((w, 2, lexicon.terms[term]))
+                yield pd.DataFrame(found, columns=["word", "kind", "weight"])
+
+    distinct = docs.select(F.col(text_col)).mapInArrow(words, "word string").distinct()
+    hits = distinct.mapInPandas(match, "word string, kind int, weight double")
+    if model.used is not None:
+        clean = model.used.select(F.col("term").alias("_clean"), F.lit(2).alias("_kind"))
+        hits = hits.join(clean, (F.col("word") == F.col("_clean")) & (F.col("kind") == F.col("_kind")), "left_anti")
+    return stored(hits, "toxic-words")
+
+
+def with_features(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
     """The ``keep`` columns and the features of the text."""
-    name = uuid.uuid4().hex
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep])
+    texts = docs.select(row.alias("_row"), F.col(text_col).alias("_text"))
+    hits = matches(texts, model, "_text") if model.lexicon.terms or model.lexicon.stems else None
+    if hits is None or hits.count() <= HITS:
+        table = {} if hits is None else {r["word"]: (r["kind"], r["weight"]) for r in hits.collect()}
+        texts = texts.withColumn("_hits", F.lit(None).cast("array<struct<word:string,kind:int,weight:double>>"))
+    else:
+        table = None
+        texts = with_hits(texts, hits)
 
     def run(batches):
         import pyarrow as pa
 
-        seen = seen_by(name)
         for b in batches:
-            rows = []
-            for t in b.column(b.num_columns - 1):
-                rows.append(features(t.as_py() or "", lexicon, seen))
-                if len(seen) > 1_000_000:
-                    seen.clear()
+            rows, own = [], [None] * b.num_rows if table is not None else b.column(2).to_pylist()
+            for t, mine in zip(b.column(1), own, strict=True):
+                found = table if table is not None else {h["word"]: (h["kind"], h["weight"]) for h in mine or ()}
+                rows.append(features(t.as_py() or "", found))
             x = np.array(rows, float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(x[:, i]) for i in range(len(FEATURES))]], names=[*b.schema.names[:-1], *FEATURES])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, i]) for i in range(len(FEATURES))]], names=["_row", *FEATURES])
+
+    schema = texts.select("_row", *[F.lit(0.0).alias(f) for f in FEATURES]).schema
+    found = texts.mapInArrow(run, schema)
+    return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], *FEATURES)
 
-    cols = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__whole_text__"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.lit(0.0).alias(f) for f in FEATURES]).schema
-    for f in schema.fields:
-        f.nullable = True
-    return cols.mapInArrow(run, schema)
+
+def with_hits(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """``texts`` with ``_hits``: the rows of the table that each text's words match."""
+    texts = stored(texts.withColumn("_no", F.monotonically_increasing_id()), "texts", compression="zstd")
+
+    def words(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for no, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found = list(set(TOKEN.findall((t.as_py() or "").lower())))
+                yield pa.RecordBatch.from_arrays([pa.array([no] * len(found), pa.int64()), pa.array(found, pa.string())], names=["_of", "_word"])
+
+    own = texts.select("_no", "_text").mapInArrow(words, "_of long, _word string")
+    mine = own.join(hits, F.col("_word") == F.col("word")).groupBy("_of").agg(F.collect_list(F.struct("word", "kind", "weight")).alias("_hits"))
+    return texts.join(mine, F.col("_no") == F.col("_of"), "left").select("_row", "_text", "_hits")
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
@@ -347,10 +371,12 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
     docs = without(ensure_columns(docs, **{text_col: "string"}), "score", "predicted", *FEATURES)
     keep = [c for c in (keep or docs.columns) if c in docs.columns]
 
+    weights = model.weights
+
     @pandas_udf("double")
     def value(*cols: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.column_stack(cols)))
+        return pd.Series(probability(np.column_stack(cols), weights))
 
-    d = with_features(docs, model.lexicon, text_col, keep).withColumn("score", value(*FEATURES))
+    d = with_features(docs, model, text_col, keep).withColumn("score", value(*FEATURES))
     d = d.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
     return d.select(*[F.col(f"`{c}`") for c in keep], "score", "predicted")
