@@ -1,14 +1,16 @@
 """SimHash near-duplicates by vantage-point trees over Hamming distance.
 
-Two fingerprints within ``radius`` bits agree on all but ``radius`` of any ``blocks`` groups of bits. For every choice
-of ``blocks - radius`` groups there is one vantage-point tree under the Hamming distance of those bits, fitted on a
-bounded sample: a node holds a vantage fingerprint and the median distance to it, nearer fingerprints go left, others
-right. The two of a near pair are at distance 0 under at least one choice, so there the triangle bound leaves exactly
-one branch at every node and both reach one leaf, without visits across boundaries. (One tree over all 64 bits must
-search both sides for any fingerprint within 4 of a median, which are two thirds of all: 20 rows for each fingerprint
-at 240,000 of them, and more with every level.)
-
-A leaf is one group of a Spark job; leaves with very many fingerprints are cut into cells of bounded size. Within a
+The 64 bits are cut into ``GROUPS`` = 3 groups; two fingerprints within ``radius`` = 4 bits are within 4 // 3 = 1 bit of
+each other in at least one of them. For each group there is one vantage-point tree under the Hamming distance of its
+bits, fitted on a sample: a node holds a vantage fingerprint and a limit, fingerprints within the limit of the vantage
+go left, others right. By the triangle inequality a pair within 1 bit is parted only if its right one is at most 1
+beyond the limit, so fingerprints of that shell are queried against the left side too: they go into both shards. All
+other branches are pruned. Of several vantages and limits a node takes that with the smallest shards, overlap included.
+
+(One tree over all 64 bits with the full radius must take a third of all fingerprints to both sides at every node, or
+two thirds with visits both ways: at 240,000 fingerprints 20 rows each, and 13 times the rows for five times the input.)
+
+A shard is one group of a Spark job; shards with very many fingerprints are cut into cells of bounded size. Within a
 cell, fingerprints are dealt into shells by their full distance to a vantage fingerprint, and each is compared exactly
 with its own shell and those within ``radius`` of it. The links are returned as a forest (a row for each linked
 fingerprint, never all pairs).
@@ -16,18 +18,17 @@ fingerprint, never all pairs).
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, stored, without
+from .common import ensure_columns, stored
 from .components import components, forest
 
-RADIUS = 4
-SAMPLE, LEAF, CELL = 20_000, 2_048, 8_192
+RADIUS, GROUPS = 4, 3
+#: The trees are fitted on one fingerprint in 64, but SAMPLE[0] at least and about SAMPLE[1] at most.
+SAMPLE, LEAF, CELL = (20_000, 1 << 20), 2_048, 8_192
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -66,53 +67,57 @@ def with_fingerprint(docs: DataFrame, text_col: str, keep: list[str]) -> DataFra
     return cols.mapInArrow(run, schema)
 
 
-def masks(blocks: int, radius: int) -> list[int]:
-    """The unions of ``blocks - radius`` of ``blocks`` groups that share out the 64 bits."""
-    cut = [64 * i // blocks for i in range(blocks + 1)]
-    groups = [(1 << b) - (1 << a) for a, b in zip(cut, cut[1:], strict=False)]
-    return [sum(some) for some in combinations(groups, blocks - radius)]
+def masks(groups: int) -> list[int]:
+    """The groups that share out the 64 bits."""
+    cut = [64 * i // groups for i in range(groups + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def fit_tree(sample: np.ndarray, mask: int, depth: int, least: int = 4) -> list[tuple[int, int, int, int]]:
-    """Nodes (vantage, median, left, right); negative children are leaves, -1 - leaf number."""
+def fit_tree(sample: np.ndarray, mask: int, near: int, most: float, depth: int = 64) -> list[tuple[int, int, int, int]]:
+    """Nodes (vantage, limit, left, right) until ``most`` of the sample are left; negative children are -1 - leaf."""
     nodes: list = []
     leaves = [0]
 
+    def best(part: np.ndarray) -> tuple[float, int, int]:
+        some = part[:: max(1, len(part) // 4096)]
+        found = (0.9 * len(some) ** 2, -1, -1)
+        for p in some[:: max(1, len(some) // 12)][:12]:
+            below = np.cumsum(np.bincount(np.bitwise_count((some ^ p) & np.uint64(mask)), minlength=65 + near))
+            left, right = below[near : near + 64].astype(float), len(some) - below[:64].astype(float)
+            pairs = np.where((left < len(some)) & (right < len(some)), left**2 + right**2, np.inf)
+            if pairs.min() < found[0]:
+                found = float(pairs.min()), int(p), int(pairs.argmin())
+        return found
+
     def grow(part: np.ndarray, level: int) -> int:
-        best = None
-        if level < depth and len(part) >= 2 * least:
-            for p in part[:: max(1, len(part) // 8)][:8]:
-                d = np.bitwise_count((part ^ p) & np.uint64(mask))
-                for m in (int(np.median(d)), int(np.median(d)) - 1):
-                    uneven = abs(2 * int((d <= m).sum()) - len(part))
-                    if uneven < len(part) and (best is None or uneven < best[0]):
-                        best = uneven, int(p), m, d
-        if best is None:
+        _, p, m = best(part) if level < depth and len(part) > most else (0, -1, -1)
+        if m < 0:
             leaves[0] += 1
             return -leaves[0]
-        _, p, m, d = best
+        d = np.bitwise_count((part ^ np.uint64(p)) & np.uint64(mask))
         at = len(nodes)
         nodes.append(None)
-        left = grow(part[d <= m], level + 1)
+        left = grow(part[d <= m + near], level + 1)
         nodes[at] = (p, m, left, grow(part[d > m], level + 1))
         return at
 
     return nodes if grow(sample, 0) == 0 else []
 
 
-def leaf_of(fps: np.ndarray, tree: list, mask: int) -> np.ndarray:
-    """The one leaf that holds everything at distance 0 of each fingerprint under the mask."""
-    out = np.zeros(len(fps), np.int64)
-    todo = [(0, np.arange(len(fps)))] if tree else []
+def shards_of(fps: np.ndarray, tree: list, mask: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf): the shards that each fingerprint is in, its own and those whose boundary it is near to."""
+    rows_out, leaves = [], []
+    todo = [(0 if tree else -1, np.arange(len(fps)))]
     while todo:
         at, rows = todo.pop()
         if at < 0:
-            out[rows] = -1 - at
+            rows_out.append(rows)
+            leaves.append(np.full(len(rows), -1 - at))
         elif len(rows):
             p, m, left, right = tree[at]
-            near = np.bitwise_count((fps[rows] ^ np.uint64(p)) & np.uint64(mask)) <= max(m, 0)
-            todo += [(left, rows[near]), (right, rows[~near])]
-    return out
+            d = np.bitwise_count((fps[rows] ^ np.uint64(p)) & np.uint64(mask))
+            todo += [(left, rows[d <= m + near]), (right, rows[d > m])]
+    return np.concatenate(rows_out), np.concatenate(leaves)
 
 
 def cell_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,20 +146,21 @@ def cell_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
 
 def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints (_fp) to a table (u, v) of links whose components are those of all links."""
-    n = fps.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / LEAF))))
-    # The least hashes are a uniform sample that does not depend on how the rows are dealt out.
-    rows = fps.orderBy(F.xxhash64("_fp")).limit(SAMPLE).collect() if depth else []
-    sample = np.array([r["_fp"] for r in rows], np.int64).astype(np.uint64)
-    # One more group of bits makes trees that can be about 8 levels deeper, and more of them: 5, 15, 35.
-    blocks = radius + (1 if n < 1 << 26 else 2 if n < 1 << 33 else 3)
-    trees = [(fit_tree(sample, m, depth) if depth else [], m) for m in masks(blocks, radius)]
+    n, near = fps.count(), radius // GROUPS
+    wanted = min(max(SAMPLE[0], n // 64), SAMPLE[1])
+    # A share by a hash is a uniform sample that does not depend on how the rows are dealt out.
+    share = int(min(1.0, wanted / max(1, n)) * (1 << 30))
+    rows = fps.where(F.pmod(F.xxhash64("_fp"), F.lit(1 << 30)) < share).select("_fp").toArrow() if n > LEAF else None
+    sample = np.sort(rows.column(0).to_numpy().astype(np.uint64)) if rows is not None else np.zeros(0, np.uint64)
+    most = max(8, LEAF * len(sample) / max(1, n))
+    trees = [(fit_tree(sample, m, near, most), m) for m in masks(GROUPS)]
 
     def deal(batches):
         for pdf in batches:
             x = pdf["_fp"].to_numpy().astype(np.uint64)
             for k, (tree, mask) in enumerate(trees):
-                yield pd.DataFrame({"tree": np.full(len(x), k, np.int32), "leaf": leaf_of(x, tree, mask), "fp": x.astype(np.int64)})
+                at, leaf = shards_of(x, tree, mask, near)
+                yield pd.DataFrame({"tree": np.full(len(at), k, np.int32), "leaf": leaf, "fp": x[at].astype(np.int64)})
 
     dealt = stored(fps.select("_fp").mapInPandas(deal, "tree int, leaf long, fp long"), "vantage-leaves")
     counts = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / CELL).cast("int").alias("k")).select(
@@ -200,27 +206,28 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have fingerprint zero and are linked like others. Null ids never name a component while
     another id is there. Repeated rows are returned each; other columns do not matter.
     """
-    prints = stored(with_fingerprint(docs, text_col, [id_col]), "document-fingerprints")
-    groups = fingerprint_groups(prints, id_col)
+    docs = ensure_columns(docs, **{id_col: "long", text_col: "string"}).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    prints = stored(with_fingerprint(docs, "_text", ["_id"]), "document-fingerprints")
+    groups = fingerprint_groups(prints, "_id")
     joined = prints.join(groups, F.col("_fp") == F.col("_gfp"), "left")
-    return joined.select(id_col, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return joined.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays.
 
-    Of rows that repeat an id and a fingerprint one stays. All columns are kept; an extra column named ``_fp`` is
-    replaced inside and lost. Documents without words are one group. Without an id column, one row of each stays.
+    Of rows that repeat an id and a fingerprint one stays. All columns are kept, whatever they are called. Documents
+    without words are one group. A missing id or text column counts as nulls. An empty table gives no rows.
     """
-    docs = without(ensure_columns(docs, **{id_col: "long"}), "_fp")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    table = stored(with_fingerprint(docs, text_col, docs.columns), "documents-with-fingerprint")
-    groups = fingerprint_groups(table.select(id_col, "_fp"), id_col)
+    docs = ensure_columns(docs, **{id_col: "long", text_col: "string"})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(F.col(id_col).alias("_id"), row.alias("_row"), F.col(text_col).alias("_text"))
+    table = stored(with_fingerprint(own, "_text", ["_id", "_row"]), "documents-with-fingerprint")
+    groups = fingerprint_groups(table.select("_id", "_fp"), "_id")
     chosen = groups.where("_first").select("_gfp", F.col("component_id").alias("_cid"))
-    stay = table.join(chosen, (F.col("_fp") == F.col("_gfp")) & F.col(id_col).eqNullSafe(F.col("_cid")))
-    stay = stay.drop("_gfp", "_cid")
-    again = table.groupBy("_fp", id_col).count().where("count > 1").select(F.col("_fp").alias("_afp"), F.col(id_col).alias("_aid"))
-    same = (F.col("_fp") == F.col("_afp")) & F.col(id_col).eqNullSafe(F.col("_aid"))
+    stay = table.join(chosen, (F.col("_fp") == F.col("_gfp")) & F.col("_id").eqNullSafe(F.col("_cid"))).select("_id", "_fp", "_row")
+    again = table.groupBy("_fp", "_id").count().where("count > 1").select(F.col("_fp").alias("_afp"), F.col("_id").alias("_aid"))
+    same = (F.col("_fp") == F.col("_afp")) & F.col("_id").eqNullSafe(F.col("_aid"))
     once = stay.join(again, same, "left_anti")
-    several = stay.join(again, same, "left_semi").dropDuplicates(["_fp", id_col])
-    return once.unionByName(several).select(*cols)
+    several = stay.join(again, same, "left_semi").dropDuplicates(["_fp", "_id"])
+    return once.unionByName(several).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -74,13 +74,29 @@ def test_trees_and_cells_lose_no_link(spark, monkeypatch, cell):
     assert sum(r._first for r in got) == len(set(want.values()))
 
 
+def test_shards_keep_every_near_pair_together():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    y = x ^ (np.uint64(1) << rng.integers(0, 21, 3000).astype(np.uint64))
+    mask = simhash.masks(simhash.GROUPS)[0]
+    tree = simhash.fit_tree(x, mask, 1, 40)
+    assert len(tree) > 30
+    mine, its = [set() for _ in x], [set() for _ in x]
+    for fps, out in ((x, mine), (y, its)):
+        for row, leaf in zip(*simhash.shards_of(fps, tree, mask, 1), strict=True):
+            out[row].add(int(leaf))
+    assert all(a & b for a, b in zip(mine, its, strict=True))
+
+
 def test_nulls_empty_and_repeated(spark):
     docs = spark.createDataFrame(
         [(1, ""), (None, None), (7, "A b c d e"), (8, "a B c d e"), (8, "a B c d e"), (9, "one"), (None, "only null id here")],
         "doc_id long, text string",
     )
     check(spark, docs)
-    kept = simhash.simhash_dedup(docs.selectExpr("*", "1 as _fp", "2 as component_id")).collect()
+    names = ["_fp", "component_id", "_gfp", "_cid", "_afp", "_aid", "_id", "_row", "_text", "_first"]
+    kept = simhash.simhash_dedup(docs.selectExpr("*", *[f"{i} as {n}" for i, n in enumerate(names)])).collect()
+    assert all(r[n] == i for r in kept for i, n in enumerate(names))
     assert sorted(str(r.doc_id) for r in kept) == ["1", "7", "9", "None"]
     empty = docs.where("doc_id = -1")
     assert simhash.simhash_groups(empty).count() == 0 and simhash.simhash_dedup(empty).count() == 0
