@@ -37,7 +37,7 @@ from .common import ensure_columns
 
 ORDER, LEAST, LOW, NEAR = 6, 2, 2, 3
 BITS, END = 9, 256
-STRIDE, CHUNK, PART = 1 << 21, 1 << 24, 1 << 22
+STRIDE, CHUNK, PART = 1 << 21, 10 << 20, 1 << 22
 
 
 def symbols(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
