@@ -1,7 +1,8 @@
 """Quality rules: fixed base rules, and fences that adapt to each language and source.
 
-The measures of every text are summarised for each (language, source) by mergeable KLL quantile sketches. Sketches
-of small groups are merged upwards: a group with fewer than ``min_rows`` texts takes its language's fences, a small
+The measures of every text are summarised for each (language, source) by quantile sketches: counts on a grid of
+1 / GRID, at most TOP * GRID + 1 of them a measure, which merge by adding up and give the same quantiles on every rerun.
+Small groups are merged upwards: a group with fewer than ``min_rows`` texts takes its language's fences, a small
 language those of all texts. A text is kept if it passes the base rules and lies inside all fences of its group.
 
 Only DataFrame functions are used; every row is measured once, the measures are stored and read back.
@@ -9,20 +10,23 @@ Only DataFrame functions are used; every row is measured once, the measures are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, stored, words
+from .common import ensure_columns, small, stored, words
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-#: measure -> (expression, slack that a fence always leaves above and below the middle half, fence sides)
+#: measure -> (expression, tie guard, fence sides). Where the middle half of a group is narrower than the guard (most
+#: texts have no symbols at all, say), it counts as that wide, so that a single one is not beyond the fence.
 MEASURES = {
-    "mean_word": ("word_chars / n_words", 3.0, "both"),
-    "symbols": ("n_symbols / n_words", 0.25, "high"),
-    "upper": ("n_upper / word_chars", 0.15, "high"),
-    "shouts": ("n_shouts / n_words", 0.25, "high"),
-    "dup_lines": ("n_dup_lines / n_lines", 0.5, "high"),
+    "mean_word": ("word_chars / n_words", 0.1, "both"),
+    "symbols": ("n_symbols / n_words", 0.05, "high"),
+    "upper": ("n_upper / word_chars", 0.02, "high"),
+    "shouts": ("n_shouts / n_words", 0.05, "high"),
+    "dup_lines": ("n_dup_lines / n_lines", 0.1, "high"),
 }
+#: Steps of the sketches' grid in one unit; values from TOP on share its last step.
+GRID, TOP = 1024, 1024
 
 
 def repeat_words(tokens: str) -> Column:
@@ -76,17 +80,31 @@ def measured(docs: DataFrame, text_col: str) -> DataFrame:
     return d.drop("_w", "_s", "_p", "_l")
 
 
-def fences(sketches: DataFrame, whiskers: float) -> DataFrame:
-    """Low and high fence of each measure from its sketch."""
-    for name, (_, slack, sides) in MEASURES.items():
-        q = F.kll_sketch_get_quantile_double(
-            F.col(f"_m_{name}"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-        )
-        reach = F.greatest(whiskers * (q[2] - q[0]), F.lit(slack))
-        sketches = sketches.withColumn(f"_hi_{name}", q[2] + reach).withColumn(
-            f"_lo_{name}", q[0] - reach if sides == "both" else F.lit(float("-inf"))
-        )
-    return sketches
+def sketches(good: DataFrame) -> DataFrame:
+    """(lang, source, measure, step, n): how many texts of a group lie in each step of a measure's grid."""
+    steps = [F.struct(F.lit(m).alias("measure"), F.least(F.floor(F.col(f"_m_{m}") * GRID), F.lit(TOP * GRID)).cast("int").alias("step")) for m in MEASURES]
+    s = good.select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.explode(F.array(*steps)).alias("s"))
+    return stored(s.groupBy("lang", "source", "s.measure", "s.step").agg(F.count("*").alias("n")), "quality-sketches")
+
+
+def fences(parts: DataFrame, whiskers: float, min_rows: int) -> DataFrame:
+    """(level, lang, source, fences) of all groups, languages and the whole with enough texts, from merged sketches."""
+    level = lambda k, lang, source: parts.select(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source"), "measure", "step", "n")
+    none = F.lit(None).cast("string")
+    every = level(0, F.col("lang"), F.col("source")).union(level(1, F.col("lang"), none)).union(level(2, none, none))
+    merged = every.groupBy("level", "lang", "source", "measure", "step").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy("level", "lang", "source", "measure")
+    merged = merged.withColumns({"upto": F.sum("n").over(own.orderBy("step")), "all": F.sum("n").over(own)})
+    quantile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("step") / GRID))
+    q = merged.groupBy("level", "lang", "source", "measure").agg(quantile(0.25).alias("q1"), quantile(0.75).alias("q3"), F.max("all").alias("all"))
+    q = q.where((F.col("all") >= min_rows) | (F.col("level") == 2))
+    out = []
+    for m, (_, guard, sides) in MEASURES.items():
+        reach = whiskers * F.greatest(F.col("q3") - F.col("q1"), F.lit(guard))
+        out.append(F.max(F.when(F.col("measure") == m, F.col("q3") + reach)).alias(f"hi_{m}"))
+        out.append(F.max(F.when(F.col("measure") == m, F.col("q1") - reach if sides == "both" else F.lit(float("-inf")))).alias(f"lo_{m}"))
+    f = q.groupBy("level", "lang", "source").agg(*out)
+    return f.select("level", "lang", "source", F.struct(*[c for c in f.columns[3:]]).alias("fences"))
 
 
 def quality_rules(
@@ -97,13 +115,12 @@ def quality_rules(
     source_col: str = "source",
     carry: list[str] | None = None,
     min_rows: int = 50,
-    whiskers: float = 3.0,
-    sketch_k: int = 1024,
+    whiskers: float = 4.0,
 ) -> DataFrame:
     """One row per document: the carried columns (all by default), the base measures, base_failed, kept, reason.
 
-    A fence lies ``whiskers`` times the middle half's width beyond it, and at least a measure's slack. Documents that
-    fail the base rules do not enter the sketches. Sketch quantiles have a rank error of about 1.65 / ``sketch_k``.
+    A fence lies ``whiskers`` times the width of the middle half of a group's texts beyond that half. Documents that
+    fail the base rules do not enter the sketches. Quantiles are exact up to one step of the grid, 1 / GRID.
 
     Null and empty texts have no words, fail the base rules and are not kept. Null languages and sources are groups
     of their own. Repeated rows count and return each. Columns named like a result column are replaced. Only texts
@@ -119,31 +136,21 @@ def quality_rules(
     d = stored(d, "quality-measures")
     kept_cols = [F.col(f"_row.`{c}`").alias(c) for c in carry]
 
-    good = d.where("not base_failed")
-    parts = good.groupBy("_lang", "_source").agg(
-        F.count("*").alias("_n"), *[F.kll_sketch_agg_double(f"_m_{m}", F.lit(sketch_k)).alias(f"_m_{m}") for m in MEASURES]
-    )
-    merged = lambda g: g.agg(F.sum("_n").alias("_n"), *[F.kll_merge_agg_double(f"_m_{m}").alias(f"_m_{m}") for m in MEASURES])
-    parts = stored(parts, "quality-sketches")
-    limits = [f"_{side}_{m}" for m in MEASURES for side in ("lo", "hi")]
-    small = lambda df, tag: fences(df.where(F.col("_n") >= (min_rows if tag != "a" else 1)), whiskers)
-    by_group = small(parts, "g").select(
-        F.col("_lang").alias("_gl"), F.col("_source").alias("_gs"), F.struct(*limits).alias("_g")
-    )
-    by_lang = small(merged(parts.groupBy("_lang")), "l").select(F.col("_lang").alias("_ll"), F.struct(*limits).alias("_l"))
-    # One row of a dozen numbers: it is read by the driver and goes into the plan as constants.
-    first = small(merged(parts.groupBy()), "a").select(*limits).first()
-    overall = F.struct(*[F.lit(first[c] if first else None).cast("double").alias(c) for c in limits])
+    f = stored(fences(sketches(d.where("not base_failed")), whiskers, min_rows), "quality-fences")
+    at = lambda k, tag: f.where(f"level = {k}").select(*[F.col(c).alias(f"{tag}_{c}") for c in ("lang", "source", "fences")])
+    g, lang, whole = at(0, "_g"), at(1, "_l"), at(2, "_a")
     table = (
         d.select("_lang", "_source").distinct()
-        .join(by_group, F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs")), "left")
-        .join(by_lang, F.col("_lang").eqNullSafe(F.col("_ll")), "left")
-        .select(F.col("_lang").alias("_tl"), F.col("_source").alias("_ts"), F.coalesce("_g", "_l", overall).alias("_f"))
+        .join(g, F.col("_lang").eqNullSafe(F.col("_g_lang")) & F.col("_source").eqNullSafe(F.col("_g_source")), "left")
+        .join(lang, F.col("_lang").eqNullSafe(F.col("_l_lang")), "left")
+        .join(F.broadcast(whole), F.lit(True), "left")  # one row
+        .select(F.col("_lang").alias("_tl"), F.col("_source").alias("_ts"), F.coalesce("_g_fences", "_l_fences", "_a_fences").alias("_f"))
     )
+    table = small(stored(table, "quality-groups"), 512)
     joined = d.join(table, F.col("_lang").eqNullSafe(F.col("_tl")) & F.col("_source").eqNullSafe(F.col("_ts")), "left")
     reason = F.when(F.col("base_failed"), F.lit("base"))
     for m in MEASURES:
         reason = reason.when(
-            (F.col(f"_m_{m}") > F.col(f"_f._hi_{m}")) | (F.col(f"_m_{m}") < F.col(f"_f._lo_{m}")), F.lit(m)
+            (F.col(f"_m_{m}") > F.col(f"_f.hi_{m}")) | (F.col(f"_m_{m}") < F.col(f"_f.lo_{m}")), F.lit(m)
         )
     return joined.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull()).select(*kept_cols, *names)

@@ -109,6 +109,43 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP10_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT rid, unnest([{'i': i, 'k': ws[i:i + 2]} for i in range(1, len(ws) - 1)]) AS x FROM w),
+r AS (SELECT rid, x.i AS i, count(*) OVER (PARTITION BY rid, x.k) AS c FROM g),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM r WHERE c >= 2) GROUP BY rid),
+l AS (SELECT rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '\p{Lu}')) AS n_upper,
+    len(regexp_extract_all(t, '[!?]')) AS n_shouts,
+    [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM w),
+m AS (SELECT l.*, len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+    n_words < 50 OR 100 * coalesce(n, 0) > 50 * n_words AS base_failed FROM l LEFT JOIN rep ON l.rid = rep.rid),
+v AS (SELECT rid, lang, source, base_failed, unnest([
+    {'m': 'mean_word', 'x': word_chars::DOUBLE / greatest(n_words, 1), 'guard': 0.1::DOUBLE, 'low': true},
+    {'m': 'symbols', 'x': n_symbols::DOUBLE / greatest(n_words, 1), 'guard': 0.05, 'low': false},
+    {'m': 'upper', 'x': n_upper::DOUBLE / greatest(word_chars, 1), 'guard': 0.02, 'low': false},
+    {'m': 'shouts', 'x': n_shouts::DOUBLE / greatest(n_words, 1), 'guard': 0.05, 'low': false},
+    {'m': 'dup_lines', 'x': n_dup_lines::DOUBLE / greatest(n_lines, 1), 'guard': 0.1, 'low': false}]) AS s FROM m),
+sk AS (SELECT level, if(level < 2, lang, NULL) AS lang, if(level < 1, source, NULL) AS source, s.m AS m, s.guard AS guard,
+    s.low AS low, least(floor(s.x * 1024), 1048576) AS step, count(*) AS n
+  FROM v, (VALUES (0), (1), (2)) AS levels(level) WHERE NOT base_failed GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY step) AS upto,
+    sum(n) OVER (PARTITION BY level, lang, source, m) AS all_ FROM sk),
+q AS (SELECT level, lang, source, m, guard, low, min(step / 1024) FILTER (WHERE upto >= 0.25 * all_) AS q1,
+    min(step / 1024) FILTER (WHERE upto >= 0.75 * all_) AS q3 FROM c WHERE all_ >= 50 OR level = 2 GROUP BY ALL),
+f AS (SELECT level, lang, source, m, q3 + 4.0::DOUBLE * greatest(q3 - q1, guard) AS hi,
+    CASE WHEN low THEN q1 - 4.0::DOUBLE * greatest(q3 - q1, guard) ELSE '-inf'::DOUBLE END AS lo FROM q),
+out AS (SELECT rid, bool_or(s.x > coalesce(a.hi, b.hi, d.hi) OR s.x < coalesce(a.lo, b.lo, d.lo)) AS beyond FROM v
+  LEFT JOIN f a ON a.level = 0 AND a.m = s.m AND a.lang IS NOT DISTINCT FROM v.lang AND a.source IS NOT DISTINCT FROM v.source
+  LEFT JOIN f b ON b.level = 1 AND b.m = s.m AND b.lang IS NOT DISTINCT FROM v.lang
+  LEFT JOIN f d ON d.level = 2 AND d.m = s.m GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT coalesce(beyond, false) AS kept
+FROM m JOIN out ON m.rid = out.rid
+"""
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -165,4 +202,10 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_url_filters": OP2_SQL, "op3_warc": OP3_SQL, "op8_mixing": OP8_SQL}
+ORACLES = {
+    "op1_line_dedup": OP1_SQL,
+    "op2_url_filters": OP2_SQL,
+    "op3_warc": OP3_SQL,
+    "op8_mixing": OP8_SQL,
+    "op10_quality_rules": OP10_SQL,
+}
