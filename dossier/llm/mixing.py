@@ -7,9 +7,9 @@
    gives half of them to each child, so the counts of the sources in a shard follow the multivariate hypergeometric
    distribution and add up exactly to the quotas.
 4. Every shard takes the next disjoint run of each source's permuted blocks, as many as its quota says, and shuffles
-   its documents by a hash.
+   its documents by a hash: rows are dealt out by shard and sorted by that hash there.
 
-There are at most ``max_blocks`` blocks plus one for each source, so the tree and the windows over blocks work on a
+The tree has as many levels as bring a shard to about ``shard_words`` words, from 3 to ``max_depth``. There are at most ``max_blocks`` blocks plus one for each source, so the tree and the windows over blocks work on a
 table of bounded size whatever the corpus; documents themselves are hashed, aggregated and joined.
 """
 
@@ -27,7 +27,8 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     Sources in code point order, null last, take the weights in turn. Targets share the sum of all sizes by weight,
     but stop at ``cap`` times the source's size; the excess is shared again by weight until none is above. In closed
     form: target = least(cap * size, level * weight), where level is the greatest of the levels at which the first
-    k sources by cap / weight are at their cap and the others share what is left.
+    k sources by cap / weight are at their cap and the others share what is left. The table has one row a source; it is
+    ordered in one task, which takes some millions of sources.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     n = len(weights)
@@ -56,13 +57,15 @@ def split_draws(draws: DataFrame, depth: int, seed: int) -> DataFrame:
     return units.groupBy("source", "shard").agg(F.count("*").alias("n"))
 
 
-def plan_mix(sized: DataFrame, *, weights, cap, seed, depth, block_words, max_blocks) -> tuple[DataFrame, DataFrame]:
+def plan_mix(sized: DataFrame, *, weights, cap, seed, block_words, max_blocks, shard_words, max_depth) -> tuple[DataFrame, DataFrame]:
     """Sources with their targets and block counts; draws (source, block, shard, upto).
 
     sized: (_id, source, size). ``upto`` is null where a draw takes the whole block, else the greatest document hash
     that it takes. Sources without words take no part.
     """
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-totals")
+    words = totals.agg(F.sum("source_size")).first()[0] or 0
+    depth = min(max_depth, max(3, (-(-int(words) // shard_words) - 1).bit_length()))
     everything = F.sum("source_size").over(Window.partitionBy(F.lit(1)))
     sources = source_targets(totals, weights, cap).withColumn(
         "_bw", F.greatest(F.lit(block_words), F.ceil(everything / max_blocks))
@@ -129,11 +132,13 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: l
     )
 
 
-DEFAULTS = {"weights": (5, 2, 1), "cap": 3, "seed": 17, "depth": 3, "block_words": 50_000, "max_blocks": 65_536}
+DEFAULTS = {"weights": (5, 2, 1), "cap": 3, "seed": 17, "block_words": 50_000, "max_blocks": 65_536, "shard_words": 1 << 20, "max_depth": 12}
 
 
 def mix_counts(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", **params) -> DataFrame:
-    """One row per input row: the id column, size, source_size, target, taken (size times the copies drawn).
+    """One row per input row: the id column, size, source_size, target, taken (size times the copies drawn), shards.
+
+    ``shards`` lists the shards that draw the row, by number, parted by commas; taken counts what is listed there.
 
     Null ids hash alike and null sources are a source of their own, last in order. Null and empty texts have size 0.
     Rows that repeat an id are drawn together. A source without words has target 0. Reruns give the same result.
@@ -142,20 +147,27 @@ def mix_counts(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col=
     docs = ensure_columns(docs, **{source_col: "string"})
     sized = stored(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     sources, plan = plan_mix(sized, **p)
-    whole = plan.groupBy("source", "block").agg(
-        F.sum(F.col("upto").isNull().cast("long")).alias("whole"), F.max("upto").alias("upto")
-    ).select(F.col("source").alias("_ws"), F.col("block").alias("_wb"), "whole", "upto")
+    # A block is drawn as a whole up to ``cap`` times, and in part once.
+    drawn = plan.groupBy("source", "block").agg(
+        F.collect_list(F.when(F.col("upto").isNull(), F.col("shard"))).alias("whole"), F.max("upto").alias("upto"),
+        F.max(F.when(F.col("upto").isNotNull(), F.col("shard"))).alias("part"),
+    ).select(F.col("source").alias("_ws"), F.col("block").alias("_wb"), "whole", "upto", "part")
     d = with_block(sized, sources, p["seed"])
-    d = d.join(whole, F.col("source").eqNullSafe(F.col("_ws")) & (F.col("block") == F.col("_wb")), "left")
-    copies = F.coalesce("whole", F.lit(0)) + F.coalesce((F.col("_h") <= F.col("upto")).cast("long"), F.lit(0))
-    return d.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    d = d.join(drawn, F.col("source").eqNullSafe(F.col("_ws")) & (F.col("block") == F.col("_wb")), "left")
+    none = F.array().cast("array<int>")
+    shards = F.array_sort(F.concat(F.coalesce("whole", none), F.when(F.col("_h") <= F.col("upto"), F.array("part")).otherwise(none)))
+    d = d.withColumn("_shards", shards)
+    return d.select(
+        F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.size("_shards")).alias("taken"),
+        F.array_join(F.col("_shards").cast("array<string>"), ",").alias("shards"),
+    )
 
 
 def mix_sources(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", **params) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is drawn, with ``shard`` and ``shard_order``.
 
     Rows without words are not drawn, except that a block takes its own along. Columns of ``docs`` named ``shard`` or
-    ``shard_order`` are replaced. Shards are dealt out by hash and shuffled within by ``shard_order``.
+    ``shard_order`` are replaced. Rows are dealt out by shard and stand there in ``shard_order``, which shuffles them.
     """
     p = DEFAULTS | params
     docs = without(ensure_columns(docs, **{source_col: "string"}), "shard", "shard_order")
@@ -166,4 +178,5 @@ def mix_sources(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col
     d = d.join(draws, F.col("source").eqNullSafe(F.col("_ws")) & (F.col("block") == F.col("_wb")))
     d = d.where("upto is null or _h <= upto")
     d = d.withColumn("shard_order", stable_hash(p["seed"], "order", F.col("_id"), F.col("_n")))
-    return d.select("_row.*", "shard", "shard_order")
+    d = d.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns], "shard", "shard_order")
+    return d.repartition("shard").sortWithinPartitions("shard", "shard_order")

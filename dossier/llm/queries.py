@@ -72,7 +72,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH h AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+WITH RECURSIVE h AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     ('0x' || substr(md5('17/doc/' || coalesce(doc_id::VARCHAR, '~')), 1, 15))::BIGINT AS h FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM h GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS i FROM totals),
@@ -94,11 +94,31 @@ e AS (SELECT d.source, d.block, more, h, sum(size) AS size FROM d JOIN m
     ON d.source IS NOT DISTINCT FROM m.source AND d.block = m.block
   WHERE d.size > 0 AND more > 0 AND more < words GROUP BY ALL),
 f AS (SELECT *, sum(size) OVER (PARTITION BY source, block ORDER BY h) - size / 2 AS mid FROM e),
-lim AS (SELECT source, block, coalesce(max(h) FILTER (WHERE mid <= more), -1) AS upto FROM f GROUP BY source, block)
-SELECT doc_id, d.size, source_size, target, (d.size * (rounds + CASE WHEN more IS NULL OR more = 0 THEN 0
-    WHEN more = words THEN 1 WHEN h <= upto THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d LEFT JOIN m ON d.source IS NOT DISTINCT FROM m.source AND d.block = m.block
-LEFT JOIN lim ON d.source IS NOT DISTINCT FROM lim.source AND d.block = lim.block
+lim AS (SELECT source, block, coalesce(max(h) FILTER (WHERE mid <= more), -1) AS upto FROM f GROUP BY source, block),
+n AS (SELECT source, any_value(rounds) AS rounds, count(*) AS n_pos, count(*) FILTER (WHERE more > 0) AS extra
+  FROM (SELECT m.*, s.rounds FROM m JOIN s ON m.source IS NOT DISTINCT FROM s.source) GROUP BY source),
+u AS (SELECT source, unnest(range(1, (rounds * n_pos + extra + 1)::BIGINT)) AS u FROM n),
+deep AS (SELECT least(12, greatest(3, ceil(log2(greatest(1, ceil(sum(source_size) / 1048576.0))))))::INT AS depth FROM totals),
+tree AS (SELECT source, u, 0::BIGINT AS shard, 0 AS level FROM u
+  UNION ALL SELECT source, u, 2 * shard + (row_number() OVER (PARTITION BY shard ORDER BY
+      ('0x' || substr(md5('17/split/' || level || '/' || coalesce(source, '~') || '/' || u), 1, 15))::BIGINT, source, u)
+      > count(*) OVER (PARTITION BY shard) / 2.0)::BIGINT, level + 1 FROM tree, deep WHERE level < depth),
+quota AS (SELECT source, shard, count(*) AS n FROM tree, deep WHERE level = depth GROUP BY source, shard),
+ends AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY shard)::BIGINT AS upto_draw FROM quota),
+draws AS (SELECT source, shard, unnest(range(upto_draw - n + 1, upto_draw + 1)) AS draw FROM ends),
+pos AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY
+    ('0x' || substr(md5('17/block/' || coalesce(source, '~') || '/' || block::VARCHAR), 1, 15))::BIGINT, block) AS pos FROM b),
+plan AS (SELECT pos.source, pos.block, shard, draw > rounds * n_pos AS last_round FROM draws
+  JOIN n ON n.source IS NOT DISTINCT FROM draws.source
+  JOIN pos ON pos.source IS NOT DISTINCT FROM draws.source AND pos.pos = (draw - 1) % n_pos + 1),
+took AS (SELECT k.source, k.block, k.h, list(shard ORDER BY shard) AS shards FROM (SELECT DISTINCT source, block, h FROM d) k
+  JOIN plan ON plan.source IS NOT DISTINCT FROM k.source AND plan.block = k.block
+  JOIN m ON m.source IS NOT DISTINCT FROM k.source AND m.block = k.block
+  LEFT JOIN lim ON lim.source IS NOT DISTINCT FROM k.source AND lim.block = k.block
+  WHERE NOT last_round OR more = words OR k.h <= upto GROUP BY k.source, k.block, k.h)
+SELECT doc_id, d.size, source_size, target, (d.size * coalesce(len(shards), 0))::BIGINT AS taken,
+    coalesce(array_to_string(shards, ','), '') AS shards
+FROM d LEFT JOIN took ON d.source IS NOT DISTINCT FROM took.source AND d.block = took.block AND d.h = took.h
 """
 
 

@@ -116,7 +116,7 @@ def test_mixing(spark):
     docs = [(i, " ".join(["w"] * (i % 40)), "abcdefgh"[i % 8] if i % 11 else None) for i in range(3000)]
     docs += [(None, "x y", "a"), (5, "w " * 5, "f"), (5, "w " * 5, "f"), (9000, None, "empty"), (9001, "", "empty")]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "1 as size", "2 as block", "3 as shard")
-    params = {"block_words": 500, "depth": 2}
+    params = {"block_words": 500, "max_depth": 2}
     rows = mixing.mix_counts(df, **params).collect()
     sizes: Counter = Counter()
     for _, t, s in docs:
