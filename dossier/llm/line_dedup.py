@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import ensure_columns, small, stored
 
 #: Hash buckets of tokens. What is frequent stands out from the mean of a bucket; all other tokens are equally rare.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
 
 
 def normal(line: Column) -> Column:
@@ -65,11 +65,11 @@ def token_ranks(own: DataFrame, width: int) -> list[int]:
     lines = all_lines(own).where(n_words("line") >= width).select(hashes(F.col("line")).alias("h"))
     at = lines.select("h", F.explode(F.sequence(F.lit(0), F.size("h") - width)).alias("i"))
     bucket = F.xxhash64(*[F.get("h", F.col("i") + k) for k in range(width)]).bitwiseAND(BUCKETS - 1)
-    counts = at.groupBy(bucket.alias("b")).count().collect()  # BUCKETS rows at most
-    mean = max(1, sum(r["count"] for r in counts) // BUCKETS)
+    counts = stored(at.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")), "token-counts")
+    mean = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // BUCKETS)
     out = [0] * BUCKETS
-    for r in counts:
-        out[r["b"]] = (r["count"] // mean).bit_length() if r["count"] >= 2 * mean else 0
+    for r in counts.where(F.col("n") >= 2 * mean).collect():  # half of the buckets at most, a few hundredths as a rule
+        out[r["b"]] = (r["n"] // mean).bit_length()
     return out
 
 
@@ -81,8 +81,9 @@ def tokens(h: str, width: int, name) -> Column:
 
 def ordered(t: str, ranks: list[int]) -> Column:
     """Distinct tokens, rarest first, as integers: rank, then hash."""
-    table = F.from_json(F.lit(json.dumps([r << 57 for r in ranks])), "array<long>")  # a constant: it is read once
-    return F.sort_array(F.array_distinct(F.transform(t, lambda x: F.get(table, x.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(x, 7)))))
+    table = F.from_json(F.lit(json.dumps(ranks)), "array<tinyint>")  # a constant: it is read once
+    rank = lambda x: F.get(table, x.bitwiseAND(BUCKETS - 1).cast("int"))
+    return F.sort_array(F.array_distinct(F.transform(t, lambda x: F.shiftleft(rank(x).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(x, 7)))))
 
 
 def distinct_lines(own: DataFrame, ranks: list[int], threshold: float, width: int) -> DataFrame:
