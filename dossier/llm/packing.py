@@ -165,9 +165,12 @@ def best_fit(h: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
             use[top] = use.get(top, 0) + 1
             pattern.append(top)
             room -= top
-            below = np.nonzero(left[: room + 1])[0]
-            below = [int(a) for a in below[::-1][:64] if left[a] > use.get(int(a), 0)]
-            top = below[0] if below else 0
+            free = left[: room + 1].copy()
+            for a, k in use.items():
+                if a <= room:
+                    free[a] -= k
+            below = np.nonzero(free > 0)[0]
+            top = int(below[-1]) if len(below) else 0
         times = min(int(left[a]) // k for a, k in use.items())
         for a, k in use.items():
             left[a] -= times * k
