@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import ensure_columns
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEX = 8
@@ -27,23 +27,20 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """``a.b.c`` gives ``a.b.c``, ``b.c`` and ``c``."""
+def host_suffixes(host: Column, most: int) -> Column:
+    """``a.b.c`` gives ``c``, ``b.c`` and ``a.b.c``, up to ``most`` labels."""
     labels = F.split(host, r"\.")
     return F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+        F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most))), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".")
     )
 
 
-def path_prefixes(path: Column) -> Column:
-    """The path cut after each ``/``, and the empty path: what rules are keyed by."""
-    parts = F.split(path, "/")
+def path_prefixes(path: Column, most: int) -> Column:
+    """The empty path and the path cut after each of its first ``most`` slashes: what rules are keyed by."""
+    parts = F.split(path, "/", most + 1)
     return F.transform(
         F.sequence(F.lit(0), F.size(parts) - 1),
-        lambda i: F.when(i == 0, F.lit("")).otherwise(
-            F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))
-        ),
+        lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))),
     )
 
 
@@ -70,21 +67,28 @@ def url_filters(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", def
     longer host. Without a fitting rule, rule is null and the verdict is ``default``.
 
     Null URLs and URLs without ``://`` have an empty host and path and no rule. Repeated rows are each returned.
-    Columns of ``pages`` named like a result column are replaced. An empty rule table gives ``default`` for all.
+    Columns of ``pages`` named like a result column are replaced, all others are kept whatever they are called; a
+    missing URL column counts as nulls. An empty rule table gives ``default`` for all, an empty page table no rows.
+    URLs are expanded as far as the deepest rule's host and path go, which no longer expression can equal, so a very
+    long URL costs no more than its length.
     """
     out = ("host", "path", "rule", "verdict")
-    rows = without(pages, *[c for c in out if c.lower() != url_col.lower()]).withColumns(
-        {"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))}
-    )
+    pages = ensure_columns(pages, **{url_col: "string"})
+    keep = [c for c in pages.columns if c.lower() not in out]
+    row = F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("__n"))
+    url = F.col(f"`{url_col}`")
+    rows = pages.select(row.alias("_row"), host_of(url).alias("host"), path_of(url).alias("path"))
     # Each distinct pair is judged once, however many pages share it.
     sites = rows.select("host", "path").where("host <> ''").distinct()
+    keys = rule_keys(rules)
+    depth = keys.agg(F.max(F.size(F.split("r_host", r"\."))), F.max(F.size(F.split("r_path", "/")) - 1)).first()
     asked = (
-        sites.withColumn("_suffix", F.explode(host_suffixes(F.col("host"))))
-        .withColumn("_prefix", F.explode(path_prefixes(F.col("path"))))
+        sites.withColumn("_suffix", F.explode(host_suffixes(F.col("host"), depth[0] or 1)))
+        .withColumn("_prefix", F.explode(path_prefixes(F.col("path"), depth[1] or 0)))
         .withColumn("_digest", F.sha2(F.concat("_suffix", "_prefix"), 256))
         .withColumn("_short", F.substring("_digest", 1, HEX))
     )
-    hits = asked.join(rule_keys(rules), F.col("_short") == F.col("r_short")).where(
+    hits = asked.join(keys, F.col("_short") == F.col("r_short")).where(
         (F.col("_digest") == F.col("r_digest"))
         & (F.col("_suffix") == F.col("r_host"))
         & F.startswith(F.col("path"), F.col("r_path"))
@@ -110,6 +114,5 @@ def url_filters(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", def
         (F.col("_key") == F.col("_k")) & (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")),
         "left",
     )
-    return joined.withColumn("verdict", F.coalesce("_verdict", F.lit(default))).drop(
-        "_key", "_k", "_host", "_path", "_verdict"
-    )
+    verdict = F.coalesce("_verdict", F.lit(default))
+    return joined.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], "host", "path", "rule", verdict.alias("verdict"))

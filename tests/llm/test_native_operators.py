@@ -1,6 +1,7 @@
 """Line dedup, URL filters, WARC, mixing and quality rules: SQL on the smallest tables, brute force, edge rows."""
 
 import os
+import random
 from collections import Counter
 
 import duckdb
@@ -27,21 +28,73 @@ def test_matches_sql(spark, name):
     assert Counter(tuple(text(r[c]) for c in sorted(names)) for r in got.collect()) == want
 
 
+NAMES = ["_id", "_th", "_text", "_row", "_stay", "_sid", "_sth", "_parts", "_all", "h1", "lid", "at", "no"]
+
+
 def test_line_dedup_edge_rows(spark):
     long_ = " ".join(f"w{i}" for i in range(60))
     near = long_.replace("w3 ", "changed ")
     docs = spark.createDataFrame(
         [(2, f"{long_}\nown line\n\nsame"), (5, f"{near}\nsame\nsame\nlast"), (9, None), (10, ""), (None, "same\nwith null id"), (11, "twice"), (11, "twice"), (1, "same")],
         "doc_id long, text string",
-    ).selectExpr("*", "1 as n_lines", "'x' as line", "2 as _id", "3 as h1")
+    ).selectExpr("*", "1 as n_lines", "'x' as line", *[f"{i} as {n}" for i, n in enumerate(NAMES)])
     got = sorted((str(r.doc_id), str(r.text), r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs).collect())
     assert got == sorted([
         ("1", "same", 1, 0), ("2", f"{long_}\nown line\n", 4, 1), ("5", "last", 4, 3), ("9", "None", 0, 0), ("10", "", 1, 0),
         ("None", "with null id", 2, 1), ("11", "twice", 1, 0), ("11", "twice", 1, 0),
     ])
+    assert all(r[n] == i for r in line_dedup.dedup_lines(docs).collect() for i, n in enumerate(NAMES))
     assert line_dedup.dedup_lines(docs.where("doc_id = 99")).count() == 0
 
 
+def brute_lines(rows):
+    """(id, text) to the lines that stay, by comparing all pairs of lines."""
+    seen, out = [], {}
+    for d, text in sorted(rows):
+        stay = []
+        for line in text.split("\n"):
+            w = line.split()
+            s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+            if not w or not any(w == x or len(s & t) >= 0.8 * len(s | t) - 1e-9 for x, t in seen):
+                stay.append(line)
+            if w:
+                seen.append((w, s))
+        out[d] = "\n".join(stay)
+    return out
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rng = random.Random(4)
+    pool = [f"v{i}" for i in range(60)]
+    base = [" ".join(rng.choices(pool, k=rng.randint(1, 40))) for _ in range(60)]
+
+    def near(line):
+        w = line.split(" ")
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = rng.choice(pool)
+        return rng.choice(["  ", " "]).join(w) + rng.choice(["", " ", "\t"])
+
+    rows = [(i, "\n".join(near(rng.choice(base)) for _ in range(rng.randint(0, 6)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_lines(rows)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == want
+    names = df.selectExpr("cast(10000 + doc_id as string) as doc_id", "text")
+    assert {int(r.doc_id) - 10000: r.text for r in line_dedup.dedup_lines(names).collect()} == want
+
+
+def test_line_dedup_pairs_of_a_large_group(spark):
+    # 3,000 near copies of one line: a few pairs each settle them, not all pairs of the group.
+    words = [f"w{i}" for i in range(160)]
+    texts = [" ".join(words[: i % 155] + [f"x{i}"] + words[i % 155 :]) for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string").withColumn("_th", line_dedup.F.xxhash64("_text"))
+    lines = line_dedup.distinct_lines(df, line_dedup.token_ranks(df, 5), 0.8, 5)
+    first = line_dedup.first_candidates(lines)
+    assert first.count() <= 2 * 3000
+    settled = line_dedup.matched(df, lines, first, 0.8, 5)
+    assert settled.count() >= 2900
+    assert line_dedup.all_candidates(lines, settled, 0.8).count() <= 100 * 3000
+
+
 def test_line_dedup_threshold(spark):
     words = [f"w{i}" for i in range(40)]
     line = lambda k: " ".join(words[: 40 - k] + [f"x{k}-{i}" for i in range(k)])
@@ -62,7 +115,9 @@ def test_url_edge_rows(spark):
         None, "", "no scheme", "http://", "HTTP://Example.COM/en/x?q#f", "http://a.www.example.com/en/", "http://xexample.com/en/", "http://b.net/es/1", "http://net/fr",
         "http://b.net/fr/#x", "x://y://com/", "http://com", "http://com?/",
     ]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(1, "")], "page_id long, url string").selectExpr("*", "1 as host", "2 as _short", "3 as verdict")
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(1, "")], "page_id long, url string").selectExpr(
+        "*", "1 as host", "3 as verdict", *[f"{i} as {n}" for i, n in enumerate(("_short", "_k", "_key", "_host", "_path", "_verdict", "_row"))]
+    )
     rules = spark.createDataFrame([*queries.URL_RULES, ("net", "/es/1", "allow"), ("net", "/es/1", "block"), (None, "/", "block")], "host string, path string, verdict string")
     got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filters.url_filters(pages, rules).collect()}
     assert got == {
@@ -70,6 +125,9 @@ def test_url_edge_rows(spark):
         (5, "a.www.example.com", "/en/", "www.example.com/en/", "allow"), (6, "xexample.com", "/en/", "com/", "allow"), (7, "b.net", "/es/1", "net/es/1", "block"),
         (8, "net", "/fr", None, "allow"), (9, "b.net", "/fr/", "net/fr/", "block"), (10, "y:", "//com/", None, "allow"), (11, "com", "", None, "allow"), (12, "com", "", None, "allow"),
     }
+    assert all((r._key, r._row) == (2, 6) for r in url_filters.url_filters(pages, rules).collect())
+    long_ = spark.createDataFrame([(1, "http://" + "a." * 5000 + "net/es/" + "x/" * 100_000)], "page_id long, url string")
+    assert url_filters.url_filters(long_, rules).first().rule == "net/es/"
     assert url_filters.url_filters(pages.where("page_id = 99"), rules).count() == 0
     assert url_filters.url_filters(pages, rules.where("1 = 0")).where("verdict <> 'allow'").count() == 0
 
