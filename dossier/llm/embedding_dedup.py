@@ -10,8 +10,9 @@
 4. Every compared pair at or above the threshold is a link. Lists stop growing at ``MOST`` neighbours; all nodes of a
    label with a list still saturated then are compared with one another in cells of bounded size, and so are, for exact
    counts, the members of each component.
-5. The links of every 100th node of each label are counted by brute force over the label; labels with less than
-   ``recall`` of them are searched again with new orders, and after ``tries`` searches compared exactly.
+5. Recall is audited in each label: the links of every 100th node, and of up to AUDIT nodes whose best neighbour found
+   is a link or a near miss, are counted by brute force over the label. Labels with less than ``recall`` of them are
+   searched again with new orders, and after ``tries`` searches compared exactly.
 """
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ from .common import ensure_columns, stored
 from .components import components
 
 WINDOW, MOST, CELL, AUDIT = 10, 32, 1024, 256
+#: How far below the threshold a best neighbour makes a node a near miss.
+MISS = 0.03
 
 
 def unit(vectors) -> np.ndarray:
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -69,9 +73,9 @@ def window_pairs(nodes: DataFrame, seed: int, tables: int) -> DataFrame:
                     yield pd.DataFrame({"u": ids[:-o][use], "v": ids[o:][use], "s": s})
             tail = pdf.iloc[-WINDOW:]
 
-    label = nodes.schema["label"].dataType.simpleString()
+    label, vec = (nodes.schema[c].dataType.simpleString() for c in ("label", "vec"))
     dealt = nodes.select("label", "dim", "nid", "vec", "bits").mapInPandas(
-        keys, f"label {label}, dim int, nid long, vec array<float>, t int, key long, proj double"
+        keys, f"label {label}, dim int, nid long, vec {vec}, t int, key long, proj double"
     )
     order = ["t", "label", "dim", "key", "proj", "nid"]
     return dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(near, "u long, v long, s double")
@@ -122,7 +126,7 @@ def descend(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
                 if z - a < 2:
                     continue
                 x = values[starts[a] : starts[z]].reshape(z - a, -1)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                x = unit(x)
                 s = x @ x.T
                 i, j = np.nonzero(np.triu((s >= threshold) | (s > np.minimum(kth_[a:z, None], kth_[None, a:z])), 1))
                 out.append((ids[a + i], ids[a + j], s[i, j]))
@@ -194,21 +198,25 @@ def exact_links(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFr
     return m.groupBy("label", "dim", "c1", "c2").applyInPandas(link, "u long, v long")
 
 
-def audit(nodes: DataFrame, counts: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(label, dim) of which too few links are known to be found.
+def audit(nodes: DataFrame, graph: DataFrame, counts: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(label, dim) of which too few links are found.
 
-    Every 100th node of a label, or AUDIT nodes at least, is compared with all nodes of it, in cells. Both the share of
-    links found and its mean over linked nodes must reach ``recall``; a label whose sample has no link has not shown it.
+    Every 100th node of a label, AUDIT nodes at least, and up to AUDIT nodes whose best neighbour in the graph (u, s) is
+    within MISS of the threshold or above it, are compared with all nodes of the label, in cells. Both the share of
+    links found and its mean over linked nodes must reach ``recall``.
     """
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n_all"))
     share = F.greatest(F.lit(1), F.least(F.lit(100), F.floor(F.col("n_all") / AUDIT)))
     chunks = F.ceil(F.col("n_all") / CELL).cast("int")
-    sizes = sizes.select("label", "dim", share.alias("share"), chunks.alias("chunks"), F.ceil(chunks / share).cast("int").alias("blocks"))
+    sizes = sizes.select("label", "dim", share.alias("share"), chunks.alias("chunks"), (F.ceil(chunks / share) + 1).cast("int").alias("blocks"))
     h = F.xxhash64("nid", F.lit(5))
-    m = nodes.select("label", "dim", "nid", "vec", "copies").join(sizes, ["label", "dim"])
+    close = graph.where(F.col("s") >= threshold - MISS).select(F.col("u").alias("_u")).distinct().join(nodes.select("nid", "label", "dim"), F.col("_u") == F.col("nid"))
+    close = close.withColumn("r", F.row_number().over(Window.partitionBy("label", "dim").orderBy(h))).where(F.col("r") <= AUDIT).select("_u")
+    m = nodes.select("label", "dim", "nid", "vec", "copies").join(sizes, ["label", "dim"]).join(close, F.col("nid") == F.col("_u"), "left")
     all_ = m.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.pmod(F.xxhash64("nid"), "chunks").cast("int").alias("c"),
         F.lit(False).alias("asked"), "nid", "vec", "copies")
-    asked = m.where(F.pmod(h, "share") == 0).select("label", "dim", F.pmod(F.xxhash64("nid", F.lit(9)), "blocks").cast("int").alias("b"),
+    asked = m.where((F.pmod(h, "share") == 0) | F.col("_u").isNotNull()).select(
+        "label", "dim", F.pmod(F.xxhash64("nid", F.lit(9)), "blocks").cast("int").alias("b"),
         F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), F.lit(True).alias("asked"), "nid", "vec", "copies")
 
     def brute(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -222,8 +230,7 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, recall: float)
     both = true.where("n > 0").join(counts, F.col("q") == F.col("cid"), "left").join(nodes.select("nid", "label", "dim"), F.col("q") == F.col("nid"))
     got = F.least(F.coalesce("more", F.lit(0)), "n")
     seen = both.groupBy("label", "dim").agg((F.sum(got) / F.sum("n")).alias("of_links"), F.avg(got / F.col("n")).alias("of_nodes"))
-    met = F.coalesce(F.least("of_links", "of_nodes") >= recall, F.col("share") == 1)
-    return sizes.join(seen, ["label", "dim"], "left").where(~met).select("label", "dim")
+    return seen.where(F.least("of_links", "of_nodes") < recall).select("label", "dim")
 
 
 def near_vectors(
@@ -234,10 +241,13 @@ def near_vectors(
     Only vectors of one label and one length are compared. A null label, a null, empty or zero vector and one with a
     null or non-finite component link with nothing: n_links is 0 and component_id the row's own id. Equal vectors
     link; each row counts. kept tells whether the id is its component's smallest (false for null ids). Repeated rows
-    are returned each.
+    are returned each. Components stay as they come (float, or double for all other types); cosines are computed in
+    double precision. A missing label column leaves all rows without links; an empty table gives no rows.
     """
-    df = ensure_columns(df, **{label_col: "int"})
-    rows = df.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vec"), F.col(label_col).alias("label"))
+    df = ensure_columns(df, **{id_col: "long", vec_col: "array<float>", label_col: "int"})
+    kind = df.schema[vec_col].dataType
+    kind = "array<float>" if kind.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast(kind).alias("vec"), F.col(label_col).alias("label"))
     nodes = nodes_of(rows)
     links = ks = failing = None
     for attempt in range(tries):
@@ -259,7 +269,7 @@ def near_vectors(
         links = links.union(exact_links(nodes, dense, threshold))
         comps = stored(components(links), "vector-components")
         counts = stored(exact_counts(nodes, comps, threshold), "vector-links")
-        failing = stored(audit(nodes, counts, threshold, recall), "vector-audit")
+        failing = stored(audit(todo, graph, counts, threshold, recall), "vector-audit")
         if failing.isEmpty():
             break
     else:

@@ -63,17 +63,31 @@ def test_edge_rows(spark):
     assert ed.near_vectors(df.where("vec_id = 99")).count() == 0
 
 
-def test_whole_table_recall(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+def test_recall_of_rare_pairs(spark):
+    """Thousands of single vectors, a few pairs just above the threshold, one dense group."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(150):
+        side = rng.standard_normal(32)
+        side -= side @ x[i] * x[i]
+        x[3000 + i] = 0.983 * x[i] + np.sqrt(1 - 0.983**2) * side / np.linalg.norm(side)
+    x[5000:5100] = x[4999] + 0.01 * rng.standard_normal((100, 32))
+    rows = [(i, [float(a) for a in v], i % 1000 % 3) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: r.n_links for r in ed.near_vectors(df).collect()}
-    t = df.toPandas()
-    want = {}
-    for _, g in t.groupby("label"):
-        x = ed.unit(g["embedding"])
-        want.update(zip(g["vec_id"].tolist(), ((x @ x.T >= 0.98).sum(1) - 1).tolist(), strict=True))
-    assert set(got) == set(want) and all(got[i] <= want[i] for i in want)
-    assert sum(got.values()) >= 0.98 * sum(want.values())
-    assert sum(got[i] > 0 for i in got) >= 0.98 * sum(want[i] > 0 for i in want)
+    label = np.array([r[2] for r in rows])
+    hit = (ed.unit(x) @ ed.unit(x).T >= 0.98) & (label[:, None] == label[None, :])
+    want = hit.sum(1) - 1
+    mine = np.array([got[i] for i in range(len(rows))])
+    assert (mine <= want).all() and mine.sum() >= 0.95 * want.sum()
+    assert ((mine > 0) & (want > 0)).sum() >= 0.95 * (want > 0).sum() and (want > 0).sum() >= 200
+
+
+def test_large_components_of_doubles(spark):
+    rows = [(1, [1e200, 2e200, 0.0], 1), (2, [1.0, 2.0, 0.0], 1), (3, [1e-200, 2.001e-200, 0.0], 1), (4, [0.0, 0.0, 1e300], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in ed.near_vectors(df).collect()) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
 
 
 def test_every_compared_link_is_emitted(spark):
@@ -101,4 +115,5 @@ def test_audit_names_labels_with_lost_links(spark):
     rows += [(200, 1, 2, [1.0, 0.0], 1), (201, 1, 2, [1.0, 0.01], 1), (300, 2, 2, [1.0, 0.0], 1), (301, 2, 2, [1.0, 0.01], 1)]
     nodes = spark.createDataFrame(rows, "nid long, label int, dim int, vec array<float>, copies long")
     counts = spark.createDataFrame([*((i, 19) for i in range(20)), (300, 1), (301, 1)], "cid long, more long")
-    assert sorted(r.label for r in ed.audit(nodes, counts, 0.98, 0.95).collect()) == [0, 1]
+    graph = spark.createDataFrame([(200, 0.99)], "u long, s double")
+    assert sorted(r.label for r in ed.audit(nodes, graph, counts, 0.98, 0.95).collect()) == [0, 1]
