@@ -8,8 +8,9 @@ one, earlier by document id, then line number.
    share comes last. (The order only affects speed.) Of its n ordered tokens the first n - ceil(threshold * n) + 1 are
    a line's prefix; lines with a similarity of at least the threshold share a prefix token.
 2. Equal lines become one, standing where the first of them does. Lines of fewer than five words match nothing else.
-3. A line needs one earlier match only. First it is compared with the earliest line of two of its prefix tokens, which
-   settles most members of a group of near copies with two pairs each.
+3. A line needs one earlier match only. First it is compared with the earliest line of two of its prefix tokens; where
+   many lines share a token, those left are compared with the next few, twice. This settles most members of a group of
+   near copies with a bounded number of pairs each. (It only affects speed: whatever it leaves goes on to step 4.)
 4. Lines that are not settled are joined, as the later ones, with all lines on all prefix tokens. The length filter
    and the positional filter (tokens left after the shared one can't make up the overlap) are part of the join.
 5. Pairs are verified on all tokens of both lines: on 32-bit names first, which can only overstate an overlap, then on
@@ -22,13 +23,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ensure_columns, small, stored
 
 #: Hash buckets of tokens. What is frequent stands out from the mean of a bucket; all other tokens are equally rare.
 BUCKETS = 1 << 20
+CROWD, LEADERS, ROUNDS = 32, 16, 2
 
 
 def normal(line: Column) -> Column:
@@ -114,14 +116,48 @@ def may_match(a: dict, b: dict, threshold: float) -> Column:
     )
 
 
-def first_candidates(lines: DataFrame) -> DataFrame:
-    """(x, y): each line y with the earliest line x of the first and the middle one of its prefix tokens."""
-    some = F.array_distinct(F.array(F.get("prefix", F.lit(0)), F.get("prefix", F.floor(F.size("prefix") / 2).cast("int"))))
-    t = lines.where("n > 0").select("lid", "o", F.explode(some).alias("t"))
+def some_tokens(lines: DataFrame) -> DataFrame:
+    """(lid, o, t): the first and the middle one of each line's prefix tokens."""
+    two = F.array_distinct(F.array(F.get("prefix", F.lit(0)), F.get("prefix", F.floor(F.size("prefix") / 2).cast("int"))))
+    return lines.where("n > 0").select("lid", "o", F.explode(two).alias("t"))
+
+
+def first_candidates(t: DataFrame) -> DataFrame:
+    """(x, y): each line y with the earliest line x of each of its tokens (lid, o, t)."""
     first = t.groupBy("t").agg(F.min_by("lid", "o").alias("x"), F.count("*").alias("k")).where("k > 1").select(F.col("t").alias("tx"), "x")
     return t.select("lid", "t").join(first, F.col("t") == F.col("tx")).where("x <> lid").select("x", F.col("lid").alias("y")).distinct()
 
 
+def leading_candidates(t: DataFrame) -> DataFrame:
+    """(x, y): each line y with the LEADERS earliest lines x of each of its tokens."""
+    rank = F.row_number().over(Window.partitionBy("t").orderBy("o", "lid"))
+    first = t.withColumn("r", rank).where(F.col("r") <= LEADERS).select(F.col("t").alias("tx"), F.col("o").alias("ox"), F.col("lid").alias("x"))
+    return t.join(first, F.col("t") == F.col("tx")).where("x <> lid and ox <= o").select("x", F.col("lid").alias("y")).distinct()
+
+
+def crowded(t: DataFrame) -> DataFrame:
+    """The rows (lid, o, t) of tokens that CROWD lines or more have."""
+    many = t.groupBy("t").agg(F.count("*").alias("k")).where(F.col("k") >= CROWD).select(F.col("t").alias("tk"))
+    return t.join(many, F.col("t") == F.col("tk"), "left_semi")
+
+
+def settle(own: DataFrame, lines: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(late): lines that match the earliest line of one of two tokens. Where many lines share a token, those that are
+    left are compared with the earliest few of them, ROUNDS times, each time without the lines compared with before."""
+    t = some_tokens(lines)
+    pairs = stored(first_candidates(t), "line-pairs")
+    done = matched(own, lines, pairs, threshold, width)
+    t = stored(crowded(t), "crowded-tokens")
+    for _ in range(ROUNDS):
+        gone = done.union(pairs.select("x")).distinct().withColumnRenamed("late", "gone")
+        t = stored(crowded(t.join(gone, F.col("lid") == F.col("gone"), "left_anti")), "crowded-tokens")
+        if t.isEmpty():
+            break
+        pairs = stored(leading_candidates(t), "line-pairs")
+        done = done.union(matched(own, lines, pairs, threshold, width))
+    return stored(done.distinct(), "settled-lines")
+
+
 def all_candidates(lines: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
     """(x, y): each line y that is not settled with all lines x, not later, that it may match."""
     flagged = lines.where("n > 0").join(small(settled.withColumnRenamed("late", "done"), 24), F.col("lid") == F.col("done"), "left")
@@ -157,7 +193,6 @@ def asked_lines(own: DataFrame, lines: DataFrame, pairs: DataFrame, width: int)
 
 def matched(own: DataFrame, lines: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
     """(late): the later line y of each pair that matches."""
-    pairs = stored(pairs, "line-pairs")
     asked = asked_lines(own, lines, pairs, width)
     end = lambda s, c: asked.select(F.col("lid").alias(f"l{s}"), *[F.col(k).alias(f"{k}{s}") for k in c])
     joined = lambda p, c: p.join(end("x", c), F.col("x") == F.col("lx")).join(end("y", c), F.col("y") == F.col("ly"))
@@ -175,8 +210,8 @@ def matched(own: DataFrame, lines: DataFrame, pairs: DataFrame, threshold: float
 def late_lines(own: DataFrame, threshold: float, width: int) -> tuple[DataFrame, DataFrame]:
     """The distinct lines of (_id, _th, _text), and those of them (late) that match an earlier one."""
     lines = distinct_lines(own, token_ranks(own, width), threshold, width)
-    settled = matched(own, lines, first_candidates(lines), threshold, width)
-    rest = matched(own, lines, all_candidates(lines, settled, threshold), threshold, width)
+    settled = settle(own, lines, threshold, width)
+    rest = matched(own, lines, stored(all_candidates(lines, settled, threshold), "line-pairs"), threshold, width)
     return lines, settled.union(rest)
 
 

@@ -88,9 +88,8 @@ def test_line_dedup_pairs_of_a_large_group(spark):
     texts = [" ".join(words[: i % 155] + [f"x{i}"] + words[i % 155 :]) for i in range(3000)]
     df = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string").withColumn("_th", line_dedup.F.xxhash64("_text"))
     lines = line_dedup.distinct_lines(df, line_dedup.token_ranks(df, 5), 0.8, 5)
-    first = line_dedup.first_candidates(lines)
-    assert first.count() <= 2 * 3000
-    settled = line_dedup.matched(df, lines, first, 0.8, 5)
+    assert line_dedup.first_candidates(line_dedup.some_tokens(lines)).count() <= 2 * 3000
+    settled = line_dedup.settle(df, lines, 0.8, 5)
     assert settled.count() >= 2900
     assert line_dedup.all_candidates(lines, settled, 0.8).count() <= 100 * 3000
 
