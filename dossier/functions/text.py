@@ -43,6 +43,12 @@ def fold_suffix(s: Column) -> Column:
     return F.regexp_replace(s, "^(.{3,}?)(ing|ed|es|ly|s)$", "$1")
 
 
+def search_terms(s: Column) -> Column:
+    """Lower-cased Unicode words of at least three bytes with their suffixes folded, in order: what search indexes."""
+    words = F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}_]+"), lambda t: F.octet_length(t) >= 3)
+    return F.transform(words, fold_suffix)
+
+
 def flat(s: Column) -> Column:
     """White space collapsed, trimmed, lower-cased."""
     return F.lower(F.trim(F.regexp_replace(s, r"\s+", " ")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 ON = ["repo", "commit", "kind"]
 
 
@@ -106,18 +108,50 @@ def relabel_cases(results: DataFrame, registry: DataFrame) -> DataFrame:
     return j.withColumns({c: F.coalesce("r_" + c, c) for c in ("kind", "task", "contradicting")}).drop("r_kind", "r_task", "r_contradicting")
 
 
+def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value): the element at place floor(n / 2) of each group's values in order, from counts of distinct values."""
+    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(*by)
+    n = n.withColumns({"_upto": F.sum("_n").over(own.orderBy(value)), "_all": F.sum("_n").over(own)})
+    return n.where(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*by).agg(F.min(value).alias(value))
+
+
 def detector_report(cases: DataFrame, findings: DataFrame, hits: DataFrame) -> DataFrame:
-    """By kind of case and in all (null): cases, flagged, flags, contradicting, recalled, upper median of seconds."""
+    """By kind of case and in all (null): cases, flagged, flags, contradicting, recalled, missed (contradicting cases with
+    other findings only), recall, tokens, upper median of seconds. ``tokens`` is null where cases have none."""
     n = findings.groupBy("id").agg(F.count("*").alias("flags"))
     j = cases.join(n, "id", "left").join(hits.select("id", F.lit(True).alias("hit")), "id", "left").na.fill(0, ["flags"])
-    truth = F.coalesce("contradicting", F.lit(False))
-    # The upper median is the element at floor(n / 2): one sort for each group of cases.
-    sec = F.sort_array(F.collect_list("seconds"))
-    return j.rollup("kind").agg(
+    if "tokens" not in j.columns:
+        j = j.withColumn("tokens", F.lit(None).cast("long"))
+    truth, hit = F.coalesce("contradicting", F.lit(False)), F.coalesce("hit", F.lit(False))
+    both = j.select("kind", "seconds", F.lit(1).alias("level")).union(j.select(F.lit(None).cast("string"), "seconds", F.lit(0)))
+    middle = upper_median(both, ["level", "kind"], "seconds").select("level", F.col("kind").alias("_kind"), "seconds")
+    r = j.rollup("kind").agg(
         F.count("*").alias("cases"), F.count_if(F.col("flags") > 0).alias("flagged"), F.sum("flags").alias("flags"),
-        F.count_if(truth).alias("contradicting"), F.count_if(truth & F.coalesce("hit", F.lit(False))).alias("recalled"),
-        F.get(sec, F.floor(F.size(sec) / 2).cast("int")).alias("seconds"),
+        F.count_if(truth).alias("contradicting"), F.count_if(truth & hit).alias("recalled"), F.count_if(truth & ~hit & (F.col("flags") > 0)).alias("missed"),
+        F.sum("tokens").alias("tokens"), (1 - F.grouping("kind")).cast("int").alias("_level"),
     )
+    r = r.join(middle, F.col("kind").eqNullSafe(F.col("_kind")) & (F.col("_level") == F.col("level")), "left")
+    recall = F.round(F.try_divide("recalled", "contradicting"), 6)
+    return r.select("kind", "cases", "flagged", "flags", "contradicting", "recalled", "missed", recall.alias("recall"), "tokens", "seconds")
+
+
+def task_recall(cases: DataFrame, hits: DataFrame) -> DataFrame:
+    """Of each task's contradicting cases, how many have a finding that matches the task's pattern."""
+    j = cases.where("contradicting").join(hits.select("id", F.lit(True).alias("hit")), "id", "left")
+    return j.groupBy("task").agg(F.count_if("hit").alias("recalled"), F.count("*").alias("cases"))
+
+
+def run_report(runs: DataFrame, corpus: str, control: str) -> DataFrame:
+    """One row a run group (runs: (run, task, arm, is_control, violated)): violations of the two arms outside control
+    tasks, violations on control tasks (any of them makes the group invalid), and the gate."""
+    plain = ~F.col("is_control") & F.col("violated")
+    g = runs.groupBy("run").agg(
+        F.count_if(plain & (F.col("arm") == control)).alias("control_arm"), F.count_if(plain & (F.col("arm") == corpus)).alias("corpus_arm"),
+        F.count_if(F.col("is_control") & F.col("violated")).alias("on_controls"),
+    )
+    gate = F.when(F.col("control_arm") == 0, "undecided").when(F.col("corpus_arm") * 2 <= F.col("control_arm"), "met").otherwise("not met")
+    return g.withColumns({"gate": gate, "valid": F.col("on_controls") == 0})
 
 
 def detector_gate(flags: DataFrame, cases: DataFrame) -> DataFrame:
@@ -158,13 +192,15 @@ def case_registry(patches: DataFrame, runs: DataFrame, commits: DataFrame, label
     return alternate_split(patches.select(*cols).unionByName(r.select(*cols)).unionByName(c.select(*cols)), ["repo", "kind"])
 
 
-def compare_runs(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
-    """Cases in one or both runs, and how many agree in each column."""
-    x = a.select("id", *[F.col(c).alias("a_" + c) for c in columns], F.lit(True).alias("in_a"))
-    y = b.select("id", *[F.col(c).alias("b_" + c) for c in columns], F.lit(True).alias("in_b"))
-    j = x.join(y, "id", "full_outer")
+def compare_runs(a: DataFrame, b: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
+    """Cases in one or both runs, and how many agree in each column, for each group ``by``."""
+    key = [*by, "id"]
+    x = a.select(*key, *[F.col(c).alias("a_" + c) for c in columns], F.lit(True).alias("in_a"))
+    y = b.select(*key, *[F.col(c).alias("b_" + c) for c in columns], F.lit(True).alias("in_b"))
+    j = x.join(y, key, "full_outer")
     same = [F.count_if(F.col("in_a") & F.col("in_b") & F.col("a_" + c).eqNullSafe(F.col("b_" + c))).alias("same_" + c) for c in columns]
-    return j.agg(F.count_if(F.col("in_a") & F.col("in_b")).alias("both"), F.count_if(F.col("in_b").isNull()).alias("only_a"), F.count_if(F.col("in_a").isNull()).alias("only_b"), *same)
+    both, only_a, only_b = F.col("in_a") & F.col("in_b"), F.col("in_b").isNull(), F.col("in_a").isNull()
+    return j.groupBy(*by).agg(F.count_if(both).alias("both"), F.count_if(only_a).alias("only_a"), F.count_if(only_b).alias("only_b"), *same)
 
 
 def corpus_variants(cases: DataFrame, ancestors: DataFrame, recorded: DataFrame) -> DataFrame:
@@ -174,8 +210,31 @@ def corpus_variants(cases: DataFrame, ancestors: DataFrame, recorded: DataFrame)
     return g.select("id", F.sha2(F.array_join("commits", ","), 256).alias("variant"), F.size("commits").alias("commits"))
 
 
+SLICES = 1024
+
+
+def shuffled(rows: DataFrame, seed: int, id_col: str = "id") -> DataFrame:
+    """``rows`` with _n, a number from 1 in an order by a hash of the id. The order is cut into SLICES of the hash, which
+    are numbered apart and set off by the sizes of those before."""
+    h = F.xxhash64(F.lit(seed), F.col(id_col))
+    d = rows.withColumns({"_h": h, "_s": F.shiftrightunsigned(h, 54)})  # the ten highest bits
+    sizes = d.groupBy("_s").agg(F.count("*").alias("_c"))  # at most SLICES rows
+    sizes = sizes.select(F.col("_s").alias("_t"), (F.sum("_c").over(Window.orderBy("_s")) - F.col("_c")).alias("_before"))
+    own = Window.partitionBy("_s").orderBy("_h", id_col)
+    d = d.withColumn("_r", F.row_number().over(own)).join(F.broadcast(sizes), F.col("_s") == F.col("_t"))
+    return d.withColumn("_n", F.col("_before") + F.col("_r")).drop("_h", "_s", "_t", "_c", "_before", "_r")
+
+
 def blind_sheet(flags: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """Flags shuffled and numbered: the sheet without provenance, and the key."""
-    w = Window.partitionBy(F.lit(1)).orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-    named = flags.withColumn("flag", F.format_string("F%03d", F.row_number().over(w)))
+    named = shuffled(flags, seed).withColumn("flag", F.format_string("F%03d", "_n"))
     return named.select("flag", "text"), named.select("flag", "id", "change")
+
+
+def blind_pairs(answers: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of answers (id, question, first, second) as A and B in an order by a hash of the id, record ids scrubbed;
+    and the key, which says which of them A is."""
+    swap = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2)) == 1
+    a, b = F.when(swap, F.col("second")).otherwise(F.col("first")), F.when(swap, F.col("first")).otherwise(F.col("second"))
+    sheet = answers.select("id", "question", T.scrub_ids(a).alias("a"), T.scrub_ids(b).alias("b"))
+    return sheet, answers.select("id", F.when(swap, "second").otherwise("first").alias("a_is"))

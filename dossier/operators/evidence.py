@@ -51,6 +51,11 @@ def edge_from_link(linked: DataFrame) -> DataFrame:
     return e.where("edge is not null").withColumnRenamed("edge", "kind")
 
 
+def reading_attestations(units: DataFrame, importer: str) -> DataFrame:
+    """(target, kind, agent, agent_kind): the importer attests each unit made from a reading."""
+    return units.select(F.col("uid").alias("target"), F.lit("attestation").alias("kind"), F.lit(importer).alias("agent"), F.lit("tool").alias("agent_kind")).distinct()
+
+
 def readings_to_units(readings: DataFrame) -> DataFrame:
     """Each reading as a measured data unit, identified by its content."""
     gist = F.format_string("%s %s at %s", "test", "outcome", "commit")
@@ -86,9 +91,9 @@ def mutation_score(outcomes: DataFrame) -> DataFrame:
     )
     viable = F.col("caught") + F.col("missed")
     reason = (
-        F.when(viable == 0, F.format_string("none of %d mutations ran, so nothing is known", "unviable"))
-        .when(F.col("caught") == 0, F.format_string("passed under all %d mutations", "missed"))
-        .otherwise(F.format_string("failed under %d of %d mutations", F.col("caught"), viable))
+        F.when(viable == 0, F.format_string("%d mutants, not one could be run", "unviable"))
+        .when(F.col("caught") == 0, F.format_string("notices none of %d mutants", "missed"))
+        .otherwise(F.format_string("notices %d of %d mutants", F.col("caught"), viable))
     )
     return g.withColumns({"backs": (viable == 0) | (F.col("caught") > 0), "reason": reason})
 
@@ -111,8 +116,9 @@ def top_level_parts(args: Column) -> Column:
 
 
 def vacuous_tests(events: DataFrame) -> DataFrame:
-    """Macro events (test, macro, args) to tests with the reasons why they assert nothing."""
-    parts = top_level_parts(F.col("args"))
+    """Macro events (test, macro, args) to tests with the reasons why they assert nothing. White space between tokens
+    does not tell arguments apart."""
+    parts = F.transform(top_level_parts(F.col("args")), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
     same = F.col("macro").isin("assert_eq", "assert_ne") & (F.size(parts) >= 2) & (parts[0] == parts[1])
     sure = (F.col("macro") == "assert") & parts[0].isin("true", "1 == 1", "! false", "!false")
     why = F.when(same, F.lit("equal sides")).when(sure, F.lit("always true"))
@@ -156,6 +162,16 @@ def shortlist_reasons(shortlist: DataFrame, vacuous: DataFrame) -> DataFrame:
     return shortlist.join(vacuous.withColumnRenamed("test", "label"), "label", "left")
 
 
+def render_fact(facts: DataFrame) -> DataFrame:
+    """(fact, name, params, returns, file, line, is_test, cfg, doc, events (kind, prose, text)) to one text each: the
+    signature and its place, then documentation and prose events marked as prose, other events as they are."""
+    head = F.format_string("%s(%s)%s, %s line %d", "name", "params", F.when(F.col("returns") != "", F.concat(F.lit(" -> "), "returns")).otherwise(""), "file", "line")
+    tags = F.concat(F.when(F.col("is_test"), F.lit(" [test]")).otherwise(""), F.when(F.size("cfg") > 0, F.concat(F.lit(" ["), F.array_join("cfg", " "), F.lit("]"))).otherwise(""))
+    doc = F.when(F.coalesce("doc", F.lit("")) != "", F.concat(F.lit("prose: "), F.element_at(F.split("doc", "\n"), 1)))
+    lines = F.transform("events", lambda e: F.concat(F.when(e["prose"], F.lit("prose ")).otherwise(""), e["kind"], F.lit(": "), e["text"]))
+    return facts.select("fact", F.concat_ws("\n", F.concat(head, tags), doc, F.array_join(lines, "\n")).alias("text"))
+
+
 def brief_text(text: Column, lines: int) -> Column:
     """The first lines, and how many more there are."""
     parts = F.split(text, "\n")

@@ -85,6 +85,22 @@ def validate_links(links: DataFrame, shortlist: DataFrame) -> tuple[DataFrame, D
     return kept, links.join(keys, on, "left_anti")
 
 
+def normative_of(verdicts: DataFrame, units: DataFrame) -> DataFrame:
+    """Verdicts (claim label) with normative: whether the one unit that bears the label is; false where none or several do."""
+    u = units.groupBy("label").agg(F.count_distinct("uid").alias("_n"), F.bool_or("normative").alias("normative")).where("_n = 1")
+    j = verdicts.join(u.select(F.col("label").alias("claim"), "normative"), "claim", "left")
+    return j.withColumn("normative", F.coalesce("normative", F.lit(False)))
+
+
+def dedupe_decisions(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decisions (sha, part, pos, text) with text, one for each wording of a commit, from its first part; and how many of
+    each commit were left out."""
+    d = parts.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("_w", T.normalise_wording(F.col("text")))
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("sha", "_w").orderBy("part", "pos")))
+    left = d.groupBy("sha").agg(F.count_if(F.col("_r") > 1).alias("duplicates")).where("duplicates > 0")
+    return d.where("_r = 1").drop("_r", "_w"), left
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
@@ -154,4 +170,4 @@ def ask_all(asks: DataFrame, judge: Callable[[str], tuple[str, int]], *, partiti
             yield pd.DataFrame(rows, columns=["ask", "answer", "tokens", "warning"]).astype({"tokens": "Int64"})
 
     asks = asks.repartition(partitions) if partitions else asks
-    return asks.select("ask", "prompt").mapInPandas(run, "ask string, answer string, tokens long, warning string")
+    return asks.select(F.col("ask").cast("string"), "prompt").mapInPandas(run, "ask string, answer string, tokens long, warning string")

@@ -30,28 +30,30 @@ def locate_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
 def locate_anywhere(quotes: DataFrame, texts: DataFrame, width: int = 8) -> DataFrame:
     """(quote_id, quote) x (text_id, text) to (quote_id, text_id) of all texts that contain a quote whole.
 
-    Without a commit to join on, quotes are blocked on the hash of their first ``width`` words (or all of them, if
-    fewer): only texts that hold these words in a row are tested.
+    Without a commit to join on, quotes are blocked on the hash of their first ``width`` inner words (all of them, if
+    fewer), which a text must hold in a row. Only hashes that a quote has leave the scan of the texts; the texts
+    themselves are joined to the pairs that are left. Quotes without inner words are blocked on their first three
+    characters, shorter ones on the first. Blank quotes are in no text.
     """
     words = lambda c: F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), "")
-    q = quotes.withColumn("w", words(F.col("quote"))).where(F.size("w") > 0)
+    q = quotes.where(F.trim("quote") != "").withColumn("w", words(F.col("quote")))
     # A quote may start or end inside a word, so only its inner words are sure to be words of the text.
-    inner = F.when(F.size("w") > 2, F.slice("w", F.lit(2), F.least(F.size("w") - 2, F.lit(width)))).otherwise(F.array())
-    q = q.withColumn("key", inner).withColumn("n", F.size("key"))
-    sizes = sorted(r["n"] for r in q.where("n > 0").select("n").distinct().collect())  # at most ``width`` numbers
-    t = texts.withColumn("w", words(F.col("text")))
-    out = None
-    for n in sizes:
-        grams = t.select("text_id", "text", F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " "))))).alias("h"))
-        asked = q.where(F.col("n") == n).select("quote_id", "quote", F.xxhash64(F.array_join("key", " ")).alias("k"))
-        hit = grams.join(asked, F.col("h") == F.col("k")).where(F.contains("text", "quote")).select("quote_id", "text_id")
-        out = hit if out is None else out.union(hit)
-    short = q.where("n = 0").select("quote_id", "quote")
-    if not short.isEmpty():
-        few = t.join(short, F.contains("text", "quote")).select("quote_id", "text_id")
-        out = few if out is None else out.union(few)
-    return (out if out is not None else q.select("quote_id", F.lit(None).alias("text_id")).limit(0)).distinct()
+    n = F.when(F.size("w") > 2, F.least(F.size("w") - 2, F.lit(width))).otherwise(F.when(F.length("quote") >= 3, F.lit(-3)).otherwise(F.lit(-1)))
+    q = q.withColumn("n", n)
+    inner = F.xxhash64("n", F.array_join(F.slice("w", F.lit(2), F.greatest("n", F.lit(0))), " "))
+    keyed = q.select("quote_id", "quote", "n", F.when(F.col("n") > 0, inner).otherwise(F.xxhash64("n", F.substring("quote", 1, -F.col("n")))).alias("k"))
+    keys = keyed.select("n", "k").distinct()
+    sizes = sorted(r["n"] for r in keys.select("n").distinct().collect())  # at most width + 2 numbers
+    t = texts.where("text is not null").withColumn("w", words(F.col("text")))
+    grams = [F.array().cast("array<bigint>")]
+    for m in sizes:
+        of, count = ("w", F.size("w")) if m > 0 else ("text", F.length("text"))
+        piece = (lambda i: F.array_join(F.slice("w", i, F.lit(m)), " ")) if m > 0 else (lambda i: F.substring("text", i, F.lit(-m)))  # noqa: E731, B023
+        some = F.when(count >= abs(m), F.sequence(F.lit(1), count - abs(m) + 1)).otherwise(F.array().cast("array<int>"))
+        grams.append(F.transform(some, lambda i: F.xxhash64(F.lit(m), piece(i))))  # noqa: B023
+    held = t.select("text_id", F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("k")).join(keys.select("k"), "k")
+    pairs = held.join(keyed, "k").select("quote_id", "quote", "text_id").distinct()
+    return pairs.join(texts, "text_id").where(F.contains("text", "quote")).select("quote_id", "text_id").distinct()
 
 
 def check_quotes(quotes: DataFrame, files: DataFrame, framing: list[str] = ()) -> DataFrame:
@@ -92,6 +94,15 @@ def assign_status(located: DataFrame) -> DataFrame:
     })
 
 
+def check_consequences(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """Consequences (sha, pos, claimed, check) with verified, check_status and check_source: a consequence is verified if
+    it says so and its verification quote is found in its commit's texts (sha, ord, place, text)."""
+    asked = items.where("claimed and check is not null").select("sha", F.col("pos").alias("quote_id"), F.col("check").alias("quote"))
+    found = assign_status(locate_quotes(asked, texts)).where("match <> 'absent'")
+    found = found.select("sha", F.col("quote_id").alias("pos"), F.col("status").alias("check_status"), F.col("source").alias("check_source"))
+    return items.join(found, ["sha", "pos"], "left").withColumn("verified", F.col("check_status").isNotNull())
+
+
 def quote_tallies(located: DataFrame, repo: str = "repo") -> DataFrame:
     """Present, loose and absent quotes for each repository, and in all (null repository)."""
     return located.rollup(repo).agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 UNIT = ["kind", "code_kind", "gist", "body", "status", "source", "grounds", "payload"]
-PREFIX = {"decision": "d", "prerequisite": "p", "alternative": "r", "consequence": "q"}
+PREFIX = {"decision": "d", "prerequisite": "p", "alternative": "r", "consequence": "q", "evidence": "e"}
 
 
 def number_items(items: DataFrame) -> DataFrame:
@@ -39,12 +39,21 @@ def build_units(items: DataFrame) -> DataFrame:
     """Items (sha, kind, decision, n, text, item_kind, status, source, run) to units with labels and uids.
 
     A decision becomes a decision, a prerequisite a constraint, a rejected alternative a claim ``Rejected: …``, a
-    verified consequence a finding with its check as evidence, any other consequence an inferred claim, and an anchor an
-    artifact-ref. An anticipated claim is speculative if its decision is.
+    verified consequence a finding, any other consequence an inferred claim, and an anchor an artifact-ref. An
+    anticipated claim is speculative if its decision is.
+
+    With columns check, check_status and check_source (the verification quote and where it was found, see
+    ``quotes.check_consequences``) a verified consequence also gives an evidence unit ``Check: …``, which backs it.
     """
+    if "check" in items.columns:
+        checks = items.where("kind = 'consequence' and verified").select(
+            "sha", F.lit("evidence").alias("kind"), "decision", "n", F.concat(F.lit("Check: "), "check").alias("text"), "item_kind",
+            F.col("check_status").alias("status"), F.col("check_source").alias("source"), "run", F.lit(False).alias("verified"),
+        )
+        items = items.drop("check", "check_status", "check_source").unionByName(checks, allowMissingColumns=True)
     by_kind = {
         "decision": ("decision", T.decision_kind(F.col("item_kind"))), "prerequisite": ("constraint", F.col("item_kind")),
-        "alternative": ("claim", F.lit("rejected-alternative")), "anchor": ("artifact-ref", F.lit(None)),
+        "alternative": ("claim", F.lit("rejected-alternative")), "anchor": ("artifact-ref", F.lit(None)), "evidence": ("evidence", F.lit(None)),
     }
     kind, code = F.when(F.col("verified"), "finding").otherwise("claim"), F.when(F.col("verified"), "verified-consequence").otherwise("anticipated")
     for name, (k, c) in by_kind.items():
@@ -73,16 +82,20 @@ def build_units(items: DataFrame) -> DataFrame:
 
 
 def build_edges(units: DataFrame) -> DataFrame:
-    """(rid, kind, src, dst) between a decision and its items, by uid."""
+    """(rid, kind, src, dst) between a decision and its items, and from evidence to what it backs, by uid."""
     heads = units.where("item = 'decision'").select("sha", "decision", F.col("uid").alias("head"))
-    j = units.where("item <> 'decision'").join(heads, ["sha", "decision"])
+    j = units.where("item not in ('decision', 'evidence')").join(heads, ["sha", "decision"])
     forward = F.col("item").isin("prerequisite", "alternative")
     kind = (
         F.when(F.col("item") == "prerequisite", "conditions").when(F.col("item") == "alternative", "contrasts")
         .when(F.col("item") == "anchor", "x.code/touches").otherwise("causes")
     )
     src, dst = F.when(forward, F.col("uid")).otherwise(F.col("head")), F.when(forward, F.col("head")).otherwise(F.col("uid"))
-    e = j.select(kind.alias("kind"), src.alias("src"), dst.alias("dst")).distinct()
+    e = j.select(kind.alias("kind"), src.alias("src"), dst.alias("dst"))
+    # Evidence has its finding's label with another first letter.
+    of = lambda item: units.where(F.col("item") == item).select(F.expr("substring(label, 2)").alias("of"), "sha", F.col("uid").alias(item))
+    backs = of("evidence").join(of("consequence"), ["of", "sha"]).select(F.lit("backs").alias("kind"), F.col("evidence").alias("src"), F.col("consequence").alias("dst"))
+    e = e.unionByName(backs).distinct()
     return e.select(F.sha2(F.to_json(F.struct("kind", "src", "dst")), 256).alias("rid"), "kind", "src", "dst")
 
 

@@ -26,7 +26,7 @@ def postings(docs: DataFrame, terms: Column, id_col: str = "doc_id") -> DataFram
 
 
 def term_stats(post: DataFrame) -> DataFrame:
-    """(term, df)."""
+    """(term, df): in how many documents each term occurs."""
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -34,7 +34,9 @@ def bm25_search(post: DataFrame, queries: DataFrame, *, kinds: DataFrame | None
     """(query, term) against an index (doc, term, tf, len) to the ``most`` best (query, doc, score, terms, rank).
 
     Frequencies and lengths are those of the whole index; ``kinds`` (doc) restricts results before the limit. A hit
-    counts only if one of its terms contributes at least ``min_weight``. Ties go to the smaller doc.
+    counts only if one of its terms contributes at least ``min_weight``. Ties (to nine places) go to the smaller doc.
+
+    The index is read twice: for its lengths, and for the postings of the terms that are asked for.
     """
     lens = post.groupBy("doc").agg(F.max("len").alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     n, avg = lens.first()  # two numbers
@@ -48,7 +50,23 @@ def bm25_search(post: DataFrame, queries: DataFrame, *, kinds: DataFrame | None
     hits = asked.join(index.withColumn("w", idf * tf).select("doc", "term", "w"), "term")
     g = hits.groupBy("query", "doc").agg(F.sum("w").alias("score"), F.max("w").alias("top"), F.array_sort(F.collect_list(F.struct(-F.col("w"), "term"))).alias("ts"))
     g = g.where(F.col("top") >= min_weight).withColumn("terms", F.transform("ts", lambda t: t["term"]))
-    return ranked(g, ["query"], [F.desc("score"), F.col("doc")], most).select("query", "doc", "score", "terms", "rank")
+    return ranked(g, ["query"], [F.desc(F.round("score", 9)), F.col("doc")], most).select("query", "doc", "score", "terms", "rank")
+
+
+def context_scope(tasks: DataFrame, files: DataFrame, hits: DataFrame, units: DataFrame, most: int = 6) -> DataFrame:
+    """(task, sha): the commits of each task's scope.
+
+    tasks: (task, repo, path), a row for each file; files: (repo, sha, path) of all commits; hits: (task, doc, rank) by
+    search; units: (doc, repo, sha). Commits that share a file with the task, and those of its ``most`` best units; all of
+    the repository where no commit shares one.
+    """
+    touched = tasks.join(files.select("repo", "sha", "path").distinct(), ["repo", "path"]).select("task", "repo", "sha").distinct()
+    asked = tasks.select("task", "repo").distinct()
+    known = touched.select("task").distinct()
+    found = hits.where(F.col("rank") <= most).select("task", "doc").join(units.select("doc", "repo", "sha"), "doc")
+    found = found.join(asked.join(known, "task", "left_semi"), ["task", "repo"]).select("task", "sha")
+    whole = asked.join(known, "task", "left_anti").join(files.select("repo", "sha").distinct(), "repo").select("task", "sha")
+    return touched.select("task", "sha").union(found).union(whole).distinct()
 
 
 def diff_query(lines: DataFrame, files: DataFrame, most: int = 80) -> DataFrame:
@@ -95,7 +113,7 @@ def shortlist_tests(claims: DataFrame, tests: DataFrame, most: int = 10) -> Data
     touched = claims.select("claim", F.explode("files").alias("file")).join(tests.select("label", "file"), "file").select("claim", "label", F.lit(1.0).alias("t")).distinct()
     j = hits.join(touched, ["claim", "label"], "full_outer")
     j = j.select("claim", "label", (F.coalesce("s", F.lit(0.0)) + F.coalesce("t", F.lit(0.0))).alias("score"), F.transform("ts", lambda x: x["term"]).alias("terms"))
-    return ranked(j.where("score > 0"), ["claim"], [F.desc("score"), F.col("label")], most)
+    return ranked(j.where("score > 0"), ["claim"], [F.desc(F.round("score", 9)), F.col("label")], most)
 
 
 def retrieve_facts(claims: DataFrame, facts: DataFrame, *, structural: int = 30, prose: int = 10, room: int = 20_000) -> DataFrame:
@@ -160,3 +178,13 @@ def pack_prefix(closure: DataFrame, costs: DataFrame, budget: int) -> DataFrame:
     fits = per.withColumn("used", F.sum("cost").over(w)).where(F.col("used") <= budget)
     last = fits.groupBy("change").agg(F.max("rank").alias("last"))
     return closure.join(last, "change").where("rank <= last").select("change", "uid", "rank")
+
+
+def pack_fill(packed: DataFrame, candidates: DataFrame, costs: DataFrame, budget: int) -> DataFrame:
+    """Packed units (change, uid, rank) and what still fits of the candidates (change, uid, rank), best ranks first:
+    the longest run of them whose cost, added to that of the packed units, stays within the budget."""
+    used = packed.select("change", "uid").distinct().join(costs, "uid").groupBy("change").agg(F.sum("cost").alias("base"))
+    rest = candidates.join(packed.select("change", "uid"), ["change", "uid"], "left_anti").join(costs, "uid").join(used, "change", "left")
+    w = Window.partitionBy("change").orderBy("rank", "uid").rowsBetween(Window.unboundedPreceding, 0)
+    rest = rest.withColumn("used", F.coalesce("base", F.lit(0)) + F.sum("cost").over(w)).where(F.col("used") <= budget)
+    return packed.select("change", "uid", "rank").unionByName(rest.select("change", "uid", "rank"))

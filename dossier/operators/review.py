@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,16 +68,21 @@ def apply_review(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done.select("seq", "agent", "agent_kind", "r.*"), a.where("refused is not null").drop("target_kind")
 
 
-def merge_into(spark, folder: str, batch: DataFrame, key: str = "record_id") -> DataFrame:
-    """Appends what a batch adds to a Parquet store and returns (added, total, grew). Replaying a batch adds nothing."""
+def read_store(spark, folder: str, like: DataFrame) -> DataFrame:
+    """The Parquet store in a folder, empty if the folder is not there yet."""
     try:
-        store = spark.read.schema(batch.schema).parquet(folder)
-        before = store.count()
-        added = new_records(store, batch, key)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.schema(like.schema).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        before, added = 0, batch.dropDuplicates([key])
+        return like.limit(0)
+
+
+def merge_into(spark, folder: str, batch: DataFrame, key: str = "record_id") -> DataFrame:
+    """Appends what a batch adds to a Parquet store and returns (added, total, grew). Replaying a batch adds nothing."""
+    store = read_store(spark, folder, batch)
+    before = store.count()
+    added = new_records(store, batch, key)
     added.write.mode("append").parquet(folder)
     total = spark.read.schema(batch.schema).parquet(folder).count()
     return spark.range(1).select(F.lit(total - before).alias("added"), F.lit(total).alias("total"), F.lit(total > before).alias("grew"))

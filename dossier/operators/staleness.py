@@ -38,7 +38,14 @@ def stale_counts(recorded: DataFrame, moved: DataFrame) -> DataFrame:
     return r.join(m, ["repo", "sha"], "left").na.fill(0, ["changed", "gone"])
 
 
-def stale_report(moved: DataFrame, counts: DataFrame) -> DataFrame:
-    """One nested row for each stale commit."""
-    items = moved.groupBy("repo", "sha").agg(F.array_sort(F.collect_list(F.struct("file", "item", "moved", "reason"))).alias("items"))
+def stale_report(moved: DataFrame, counts: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """One nested row for each stale commit: its counts and its moved items, each with the decisions that touch it
+    (``stale_decisions``)."""
+    on = ["repo", "sha", "file", "item"]
+    if decisions is not None:
+        moved = moved.join(decisions.select(*on, "decisions"), on, "left")
+    else:
+        moved = moved.withColumn("decisions", F.lit(None).cast("array<string>"))
+    moved = moved.withColumn("decisions", F.coalesce("decisions", F.array().cast("array<string>")))
+    items = moved.groupBy("repo", "sha").agg(F.array_sort(F.collect_list(F.struct("file", "item", "moved", "reason", "decisions"))).alias("items"))
     return items.join(counts, ["repo", "sha"])

@@ -14,7 +14,8 @@ LINE_SCHEMA = "change string, file string, pos int, marker string, content strin
 def explode_diff(diffs: DataFrame) -> DataFrame:
     """(change, text) unified diffs to lines: file, pos, marker (h header, +, -, space, n none), content.
 
-    Lines before the first header are no content; ``+++`` and ``---`` lines have the marker n.
+    Lines before the first header are no content; ``+++`` and ``---`` lines have the marker n. The content of +, - and
+    space lines leaves the marker out; h and n lines are whole.
     """
     d = diffs.select("change", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     header = F.col("line").rlike(r"^diff --git ")
@@ -24,7 +25,7 @@ def explode_diff(diffs: DataFrame) -> DataFrame:
     marker = (
         F.when(header, "h").when(F.col("line").rlike(r"^(\+\+\+|---)"), "n").when(first.isin("+", "-", " "), first).otherwise("n")
     )
-    content = F.when(marker.isin("+", "-", " "), F.expr("substring(line, 2)"))
+    content = F.when(marker.isin("+", "-", " "), F.expr("substring(line, 2)")).otherwise(F.col("line"))
     return d.where("file is not null").select("change", "file", "pos", marker.alias("marker"), content.alias("content"))
 
 
@@ -38,8 +39,8 @@ def _numbered(pdf: pd.DataFrame, lines: int, file_lines: int, tokens: float, cos
             out.append(shown if fits else None)
             continue
         in_file += 1
-        need = math.ceil((len((content or "").encode()) + 1) / cost)
-        if shown >= lines or in_file > file_lines or used + need > tokens:
+        need = math.ceil((len((content or "").encode()) + (marker != "n")) / cost)
+        if shown >= lines or in_file > file_lines or used + need > tokens:  # whole lines count, marker and all
             out.append(None)
             continue
         used += need + 1
@@ -139,10 +140,23 @@ def fit_report(units: DataFrame, view: DataFrame) -> DataFrame:
     return j.select("change", "judged", "calls", warn.alias("warnings"))
 
 
+def preview_asks(units: DataFrame, view: DataFrame) -> DataFrame:
+    """What would be asked of a model, without asking: for each change its judged labels in order, how many calls they
+    take, the lines shown and in all, and the files of which nothing is shown. Changes without units are left out."""
+    u = units.groupBy("change").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("us"), F.count_distinct("group").alias("calls"))
+    hidden = unexamined_files(view).groupBy("change").agg(F.array_sort(F.collect_list("file")).alias("unexamined"))
+    j = u.join(view_summary(view), "change", "left").join(hidden, "change", "left")
+    none = F.array().cast("array<string>")
+    return j.select(
+        "change", F.transform("us", lambda x: x["label"]).alias("judged"), "calls", F.coalesce("shown", F.lit(0)).alias("shown"),
+        F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("unexamined", none).alias("unexamined"),
+    )
+
+
 def compose_asks(units: DataFrame, blocks: DataFrame, view: DataFrame) -> DataFrame:
     """One prompt for each (change, group): unit blocks, the labels to judge, the numbered change."""
     u = units.join(blocks, "label").groupBy("change", "group").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "block"))).alias("us"))
-    line = F.format_string("%4d| %s%s", F.col("shown_no"), F.when(F.col("marker").isin("h", "n"), "").otherwise(F.col("marker")), F.coalesce("content", "file"))
+    line = F.format_string("%4d| %s%s", F.col("shown_no"), F.when(F.col("marker").isin("h", "n"), "").otherwise(F.col("marker")), F.col("content"))
     v = view.where("shown_no is not null").groupBy("change").agg(F.array_sort(F.collect_list(F.struct("shown_no", line.alias("line")))).alias("ls"))
     j = u.join(v, "change", "left").join(view_summary(view).select("change", "truncated"), "change", "left")
     text = F.concat_ws(

@@ -37,11 +37,11 @@ def contended_labels(t) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT user_id::VARCHAR AS label, count(DISTINCT event_type) AS n, min(event_type) AS uid FROM events GROUP BY user_id)
+WITH b AS (SELECT user_id::VARCHAR AS label, count(DISTINCT event_type) AS n, min(event_type) AS uid FROM events WHERE event_id % 9 < 2 GROUP BY user_id)
 SELECT c_custkey::VARCHAR AS label, uid FROM customer JOIN b ON c_custkey::VARCHAR = label WHERE n = 1
 """)
 def resolved_labels(t) -> DataFrame:
-    bound = t("events").select(F.col("user_id").cast("string").alias("label"), F.col("event_type").alias("uid"))
+    bound = t("events").where("event_id % 9 < 2").select(F.col("user_id").cast("string").alias("label"), F.col("event_type").alias("uid"))
     return record.resolve_labels(t("customer").select(F.col("c_custkey").cast("string").alias("label")), bound)[0]
 
 
@@ -113,11 +113,6 @@ def page_diffs(t) -> DataFrame:
     return views.explode_diff(p)
 
 
-@query()
-def shown_lines(t) -> DataFrame:
-    return views.number_shown_lines(page_diffs(t), most=60, per_file=40, window=4_000).select("change", "pos", "shown_no")
-
-
 @query("""
 SELECT l_suppkey AS arm, l_linenumber AS task, count(*) FILTER (WHERE l_returnflag = 'R') AS violated, count(*) FILTER (WHERE l_returnflag = 'A') AS harness_error, count(*) FILTER (WHERE l_returnflag = 'N' AND l_linestatus = 'F') AS stopped,
     count(*) FILTER (WHERE l_returnflag = 'N' AND l_linestatus <> 'F') AS intact FROM lineitem GROUP BY ALL UNION ALL
@@ -161,17 +156,13 @@ def commit_backlog(t) -> DataFrame:
 
 
 @query("""
-SELECT o_orderpriority AS kind, count(*) AS both, 0 AS only_a, 0 AS only_b, count(*) FILTER (WHERE o_orderkey % 5 > 0) AS same_v FROM orders GROUP BY 1
+WITH o AS (SELECT o_orderpriority AS kind, o_orderkey % 11 > 0 AS a, o_orderkey % 13 > 0 AS b, o_orderkey % 5 > 0 AS same FROM orders)
+SELECT kind, count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS only_a, count(*) FILTER (WHERE b AND NOT a) AS only_b, count(*) FILTER (WHERE a AND b AND same) AS same_v FROM o GROUP BY 1
 """)
 def run_comparison(t) -> DataFrame:
-    o = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("v"))
-    out = None
-    for r in [x["kind"] for x in o.select("kind").distinct().collect()]:  # the five priorities
-        a = o.where(F.col("kind") == r)
-        b = a.withColumn("v", F.when(F.col("id") % 5 == 0, F.concat("v", F.lit("x"))).otherwise(F.col("v")))
-        part = evaluate.compare_runs(a, b, ["v"]).withColumn("kind", F.lit(r))
-        out = part if out is None else out.unionByName(part)
-    return out
+    a = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("v"))
+    b = a.withColumn("v", F.when(F.col("id") % 5 == 0, F.concat("v", F.lit("x"))).otherwise(F.col("v")))
+    return evaluate.compare_runs(a.where("id % 11 > 0"), b.where("id % 13 > 0"), ["v"], ["kind"])
 
 
 @query("""
@@ -184,30 +175,30 @@ def case_splits(t) -> DataFrame:
 
 
 @query("""
-SELECT o_orderpriority AS kind, count(*) AS cases, count(*) FILTER (WHERE n > 0) AS flagged, sum(n)::BIGINT AS flags, count(*) FILTER (WHERE o_orderstatus = 'F') AS contradicting,
-    count(*) FILTER (WHERE o_orderstatus = 'F' AND r) AS recalled FROM orders JOIN (SELECT l_orderkey, count(*) FILTER (WHERE l_linenumber > 3) AS n, bool_or(l_returnflag = 'R' AND l_linenumber > 3) AS r FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey
-    GROUP BY ROLLUP (o_orderpriority)
+WITH c AS (SELECT o_orderpriority AS kind, n, r, o_orderstatus = 'F' AS truth, o_custkey AS tokens, o_totalprice AS s FROM orders JOIN (SELECT l_orderkey, count(*) FILTER (WHERE l_linenumber > 3) AS n, bool_or(l_returnflag = 'R' AND l_linenumber > 3) AS r FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey)
+SELECT kind, count(*) AS cases, count(*) FILTER (WHERE n > 0) AS flagged, sum(n)::BIGINT AS flags, count(*) FILTER (WHERE truth) AS contradicting, count(*) FILTER (WHERE truth AND r) AS recalled, count(*) FILTER (WHERE truth AND NOT r AND n > 0) AS missed,
+    round(count(*) FILTER (WHERE truth AND r) / count(*) FILTER (WHERE truth), 6) AS recall, sum(tokens)::BIGINT AS tokens, list_sort(list(s))[(count(*) // 2 + 1)::INT] AS seconds FROM c GROUP BY ROLLUP (kind)
 """)
 def detector_recall(t) -> DataFrame:
     cases = t("orders").join(t("lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey").select(
-        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"), (F.col("o_orderstatus") == "F").alias("contradicting"), F.col("o_totalprice").alias("seconds"), F.lit(1).alias("task")
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"), (F.col("o_orderstatus") == "F").alias("contradicting"), F.col("o_totalprice").alias("seconds"), F.lit(1).alias("task"), F.col("o_custkey").alias("tokens")
     )
     findings = t("lineitem").where("l_linenumber > 3").select(F.col("l_orderkey").alias("id"), F.lit(1).alias("task"), F.col("l_returnflag").alias("text"))
     patterns = cases.select("task").distinct().withColumn("pattern", F.lit("^r$"))
-    return evaluate.detector_report(cases, findings, evaluate.pattern_hits(findings, patterns)).drop("seconds")
+    return evaluate.detector_report(cases, findings, evaluate.pattern_hits(findings, patterns))
 
 
 @query("""
-WITH b AS (SELECT DISTINCT l_linenumber AS build, p_brand AS feature FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49),
-n AS (SELECT DISTINCT p_type AS item, p_brand AS feature, p_size > 48 AS negated FROM part WHERE p_size > 45), k AS (SELECT DISTINCT build FROM b),
+WITH b AS (SELECT DISTINCT l_linenumber AS build, p_brand AS feature FROM lineitem JOIN part ON l_partkey = p_partkey),
+n AS (SELECT DISTINCT p_type AS item, p_brand AS feature, p_size > 48 AS negated FROM part), k AS (SELECT DISTINCT build FROM b),
 h AS (SELECT n.item, k.build, bool_and(negated <> (n.feature IN (SELECT b.feature FROM b WHERE b.build = k.build))) AS holds FROM n, k GROUP BY ALL),
 g AS (SELECT item, count(*) FILTER (WHERE holds) AS c FROM h GROUP BY item), i AS (SELECT DISTINCT p_type AS item FROM part)
 SELECT i.item, CASE WHEN g.item IS NULL THEN 'always' WHEN c = (SELECT count(*) FROM k) THEN 'always' WHEN c = 0 THEN 'never' ELSE 'some' END AS coverage, coalesce(c, (SELECT count(*) FROM k)) AS builds FROM i LEFT JOIN g ON i.item = g.item
 """)
 def build_coverage(t) -> DataFrame:
     part = t("part")
-    builds = t("lineitem").where("l_quantity > 49").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_linenumber").alias("build"), F.col("p_brand").alias("feature"))
-    needs = part.where("p_size > 45").select(F.col("p_type").alias("item"), F.col("p_brand").alias("feature"), (F.col("p_size") > 48).alias("negated"))
+    builds = t("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_linenumber").alias("build"), F.col("p_brand").alias("feature"))
+    needs = part.select(F.col("p_type").alias("item"), F.col("p_brand").alias("feature"), (F.col("p_size") > 48).alias("negated"))
     return evidence.feature_coverage(part.select(F.col("p_type").alias("item")).distinct(), needs, builds)
 
 
@@ -259,10 +250,13 @@ def queued_commits(t) -> DataFrame:
     return readers.read_queue(t("documents").select(line.alias("value")))[0]
 
 
-@query("SELECT DISTINCT event_type AS record_id, count(*) OVER (PARTITION BY event_type) > 0 AS there FROM events")
+@query("SELECT user_id || '/' || event_type AS record_id, user_id % 3 AS part FROM events WHERE event_id % 4 > 0 GROUP BY ALL")
 def merged_store(t) -> DataFrame:
-    e = t("events").select(F.col("event_type").alias("record_id"), F.lit(True).alias("there"))
-    return review.merge_store(review.merge_store(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")), e)
+    """Three logs that overlap, merged in two orders: both give the same records, each once."""
+    e = t("events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("record_id"), (F.col("user_id") % 3).alias("part"), "event_id")
+    a, b, c = (e.where(F.col("event_id") % 4 == k).drop("event_id") for k in (1, 2, 3))
+    one, two = review.merge_store(review.merge_store(a, b), c), review.merge_store(c, review.merge_store(b, review.merge_store(a, a)))
+    return one.join(two, ["record_id", "part"])
 
 
 @query("""

@@ -177,10 +177,9 @@ def record_counts(t) -> DataFrame:
 
 
 @query("""
-SELECT d.lang AS kind, d.source AS repo, count(*) AS extracted, count(l.doc_id) AS matched, 0 AS pending, count(DISTINCT l.doc_id) AS covered FROM documents d LEFT JOIN labels l
-    ON d.doc_id = l.doc_id AND l.quality = 1 GROUP BY ALL
-UNION ALL
-SELECT d.lang, NULL, count(*), count(l.doc_id), 0, count(DISTINCT l.doc_id) FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id AND l.quality = 1 GROUP BY ALL
+WITH s AS (SELECT d.lang AS kind, d.source AS repo, count(*) AS extracted, count(l.doc_id) AS matched, 0 AS pending, count(DISTINCT l.doc_id) AS covered FROM documents d LEFT JOIN labels l
+    ON d.doc_id = l.doc_id AND l.quality = 1 GROUP BY ROLLUP (d.lang, d.source) HAVING grouping(d.lang) = 0)
+SELECT *, round(matched / extracted, 6) AS precision, round(CASE WHEN matched > 0 THEN covered / matched END, 6) AS recall FROM s
 """)
 def system_scores(t) -> DataFrame:
     d = t("documents").select(F.col("lang").alias("kind"), F.col("source").alias("repo"), "doc_id", F.lit("c").alias("commit"))
@@ -188,7 +187,7 @@ def system_scores(t) -> DataFrame:
     gold = d.join(good, "doc_id").select("repo", "commit", "kind", F.col("doc_id").cast("string").alias("id"))
     system = d.join(good, "doc_id", "left").select("repo", "commit", "kind", F.when(F.col("good"), F.col("doc_id").cast("string")).otherwise("none").alias("match"))
     scores, _ = evaluate.score_system(system, gold)
-    return scores.select("kind", "repo", "extracted", "matched", "pending", "covered")
+    return scores.select("kind", "repo", "extracted", "matched", "pending", "covered", "precision", "recall")
 
 
 @query("""
@@ -226,12 +225,12 @@ def term_statistics(t) -> DataFrame:
 @query(f"""WITH {BM25_SQL}, a AS (SELECT count(*) AS nd, avg(n) AS al FROM (SELECT doc, max(n) AS n FROM p GROUP BY doc)),
 q AS (SELECT DISTINCT item_id AS query, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: strlen(t) >= 3)) AS term FROM benchmark),
 h AS (SELECT query, doc, sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / al))) AS score FROM q JOIN p USING (term) JOIN f USING (term), a GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM h)
-SELECT query, rank, round(score, 4) AS score FROM r WHERE rank <= 12""")
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM h)
+SELECT query, doc, rank, round(score, 4) AS score FROM r WHERE rank <= 12""")
 def bm25_top(t) -> DataFrame:
     post = retrieval.postings(t("documents"), words_of("text"))
     q = t("benchmark").select(F.col("item_id").alias("query"), F.explode(words_of("text")).alias("term"))
-    return retrieval.bm25_search(post, q).select("query", "rank", F.round("score", 4).alias("score"))
+    return retrieval.bm25_search(post, q).select("query", "doc", "rank", F.round("score", 4).alias("score"))
 
 
 @query("""

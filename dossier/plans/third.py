@@ -36,10 +36,11 @@ def record_only_commits(t) -> DataFrame:
     return record.corpus_only_commits(t("orders").select(F.col("o_custkey").alias("sha"), path.alias("path")), "record")
 
 
-@query("SELECT c_custkey AS sha FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT user_id FROM events)")
+@query("SELECT c_custkey AS sha FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0) AND c_custkey NOT IN (SELECT user_id FROM events WHERE user_id % 3 = 0)")
 def commits_not_recorded(t) -> DataFrame:
-    sha = lambda name, c: t(name).select(F.col(c).alias("sha")).distinct()
-    return record.not_recorded(sha("customer", "c_custkey"), sha("orders", "o_custkey"), sha("events", "user_id"))
+    sha = lambda df, c: df.select(F.col(c).alias("sha")).distinct()
+    recorded, own = sha(t("orders").where("o_orderkey % 7 = 0"), "o_custkey"), sha(t("events").where("user_id % 3 = 0"), "user_id")
+    return record.not_recorded(sha(t("customer"), "c_custkey"), recorded, own)
 
 
 @query("""
@@ -64,14 +65,19 @@ def packed_units(t) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT o_custkey AS change, o_orderkey, 'd/' || lpad(o_orderkey::VARCHAR, 9, '0') AS label, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
-j AS (SELECT change, label, least(n, 24) AS m, k FROM o WHERE k <= 24) SELECT change, label, ((k - 1 - 5) % m + m) % m + 1 AS pos, (((k - 1 - 5) % m + m) % m) // 6 AS chunk FROM j
+WITH o AS (SELECT o_custkey AS change, 'd/' || lpad(o_orderkey::VARCHAR, 9, '0') AS label, CASE WHEN o_orderkey % 3 = 0 THEN row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 = 0 ORDER BY o_orderkey DESC) END AS rank FROM orders),
+k AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY rank IS NULL, rank, label) AS k, count(*) OVER (PARTITION BY change) AS n FROM o),
+j AS (SELECT change, label, least(n, 24) AS m, k FROM k WHERE k <= 24) SELECT change, label, ((k - 1 - 5) % m + m) % m + 1 AS pos, (((k - 1 - 5) % m + m) % m) // 6 AS chunk FROM j
 """)
 def judging_order(t) -> DataFrame:
+    """A third of each customer's orders as candidates, newest first, then all of them as packed units."""
+    from pyspark.sql import Window
+
     label = F.concat(F.lit("d/"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"))
-    units = t("orders").select(F.col("o_custkey").alias("change"), label.alias("label"))
-    none = units.where("1 = 0").withColumn("rank", F.lit(0))
-    return retrieval.chunk_units(retrieval.rotate_units(retrieval.judged_units(none, units), 5), 6)
+    units = t("orders").select(F.col("o_custkey").alias("change"), label.alias("label"), "o_orderkey")
+    candidates = units.where("o_orderkey % 3 = 0").withColumn("rank", F.row_number().over(Window.partitionBy("change").orderBy(F.desc("o_orderkey"))))
+    judged = retrieval.judged_units(candidates.select("change", "label", "rank"), units.select("change", "label"))
+    return retrieval.chunk_units(retrieval.rotate_units(judged, 5), 6)
 
 
 @query("""
@@ -122,24 +128,17 @@ def valid_links(t) -> DataFrame:
     return kept.select("claim", "test", "seq")
 
 
-@query(r"""
-WITH f AS (SELECT conv_id * 1000 + turn AS fact, text FROM conversations), w AS (SELECT fact, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: strlen(x) >= 3))) AS term FROM f),
-c AS (SELECT item_id AS claim, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: strlen(x) >= 3))) AS term FROM benchmark),
-h AS (SELECT claim, fact, count(*) AS shared FROM c JOIN w USING (term) GROUP BY ALL), r AS (SELECT h.*, row_number() OVER (PARTITION BY claim ORDER BY shared DESC, f.text, fact) AS k FROM h JOIN f USING (fact))
-SELECT claim, k AS r, shared FROM r WHERE k <= 30
-""")
-def retrieved_facts(t) -> DataFrame:
-    facts = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("fact"), "text", F.lit(False).alias("prose"))
-    claims = t("benchmark").select(F.col("item_id").alias("claim"), "text")
-    return retrieval.retrieve_facts(claims, facts, room=1 << 40).select("claim", "r", "shared")
-
-
 @query("""
-WITH g AS (SELECT doc_id::VARCHAR AS id, lang AS kind, CASE WHEN trim(coalesce(text, '')) = '' THEN 'blank text' END AS e, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents) SELECT kind, count(*) FILTER (WHERE n > 1) AS repeated FROM g GROUP BY kind HAVING count(*) FILTER (WHERE n > 1) > 0
+WITH g AS (SELECT lang AS kind, doc_id, CASE WHEN lang = 'en' THEN 'decision' ELSE 'prerequisite' END AS item, md5(text) AS id, doc_id % 6 = 0 AS blank, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents),
+d AS (SELECT DISTINCT id FROM g WHERE item = 'decision'), e AS (SELECT item AS kind, id, unnest([CASE WHEN n > 1 THEN 'repeated id' END, CASE WHEN blank THEN 'blank text' END,
+    CASE WHEN item <> 'decision' AND doc_id % 4 = 0 AND md5(id) NOT IN (SELECT id FROM d) THEN 'unlabelled decision' END]) AS error FROM g)
+SELECT kind, error, count(*) AS n, min(id) AS first FROM e WHERE error IS NOT NULL GROUP BY ALL
 """)
 def gold_errors(t) -> DataFrame:
-    g = t("documents").select(F.lit("r").alias("repo"), F.lit("c").alias("commit"), F.col("lang").alias("kind"), F.md5("text").alias("id"), F.lit(None).cast("string").alias("decision"), F.lit("x").alias("text"))
-    return evaluate.validate_gold(g).groupBy("kind").agg(F.count("*").alias("repeated"))
+    item = F.when(F.col("lang") == "en", "decision").otherwise("prerequisite")
+    of = F.when((F.col("lang") != "en") & (F.col("doc_id") % 4 == 0), F.md5(F.md5("text")))
+    g = t("documents").select(F.lit("r").alias("repo"), F.lit("c").alias("commit"), item.alias("kind"), F.md5("text").alias("id"), of.alias("decision"), F.when(F.col("doc_id") % 6 == 0, F.lit(" ")).otherwise(F.lit("x")).alias("text"))
+    return evaluate.validate_gold(g).groupBy("kind", "error").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
 @query("SELECT event_type AS pass, count(*) AS flags, count(DISTINCT user_id) AS flagged, count(DISTINCT CASE WHEN event_id % 5 = 0 THEN event_id END) AS hits FROM events GROUP BY 1")
@@ -149,14 +148,17 @@ def pass_tallies(t) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT o_orderkey AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'confirm' WHEN 1 THEN 'reject' WHEN 2 THEN 'close' ELSE 'other' END AS a, o_custkey % 2 = 0 AS reason FROM orders)
-SELECT kind, count(*) AS n FROM (SELECT unnest(CASE WHEN a = 'confirm' THEN ['attestation'] WHEN a = 'reject' AND reason THEN ['reason', 'attestation', 'withdrawal'] WHEN a = 'close' THEN ['note', 'attestation', 'resolution'] ELSE [] END) AS kind FROM s) GROUP BY kind
+WITH s AS (SELECT o_orderkey AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'confirm' WHEN 1 THEN 'reject' WHEN 2 THEN 'close' ELSE 'other' END AS a, o_custkey::VARCHAR AS target, CASE WHEN o_custkey % 2 = 0 THEN 'why' END AS reason FROM orders),
+u AS (SELECT *, sha256(concat_ws(chr(31), target, reason)) AS uid FROM s),
+r AS (SELECT seq, unnest(CASE WHEN a = 'confirm' THEN [{'kind': 'attestation', 'target': target, 'step': 0}] WHEN a = 'reject' AND reason IS NOT NULL THEN [{'kind': 'reason', 'target': uid, 'step': 0}, {'kind': 'attestation', 'target': uid, 'step': 1}, {'kind': 'withdrawal', 'target': target, 'step': 2}]
+    WHEN a = 'close' THEN [{'kind': 'note', 'target': uid, 'step': 0}, {'kind': 'attestation', 'target': uid, 'step': 1}, {'kind': 'resolution', 'target': target, 'step': 2}] ELSE [] END) AS x FROM u)
+SELECT seq, x.kind AS kind, x.target AS target, x.step AS step FROM r
 """)
 def review_log(t) -> DataFrame:
     k = F.col("o_orderkey") % 4
     action = F.when(k == 0, "confirm").when(k == 1, "reject").when(k == 2, "close").otherwise("other")
     a = t("orders").select(F.col("o_orderkey").alias("seq"), action.alias("action"), F.col("o_custkey").cast("string").alias("target"), F.lit("edge").alias("target_kind"), F.lit("ann").alias("agent"), F.when(F.col("o_custkey") % 2 == 0, "why").alias("reason"))
-    return review.apply_review(a)[0].groupBy("kind").agg(F.count("*").alias("n"))
+    return review.apply_review(a)[0].select("seq", "kind", "target", "step")
 
 
 @query("""

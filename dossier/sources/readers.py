@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# The commands that build something.
+BUILD_COMMANDS = ["test", "build", "clippy", "doc", "run", "install"]
 EXTRACTION = """
 decisions ARRAY<STRUCT<decision: STRING, kind: STRING, rationale: STRING, quote: STRING>>,
 prerequisites ARRAY<STRUCT<decision: INT, text: STRING, kind: STRING, normative: BOOLEAN, quote: STRING>>,
@@ -20,9 +22,14 @@ ADJUDICATION = "system STRING, repo STRING, commit STRING, kind STRING, id STRIN
 
 def read_extractions(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """One JSON document a commit, at …/<recipe>/<repo>/<sha>.json, to four item tables with 1-based ordinals."""
-    raw = spark.read.schema(EXTRACTION).option("multiLine", True).json(path).withColumn("_f", F.col("_metadata.file_path"))
+    raw = spark.read.text(path, wholetext=True).withColumn("_f", F.col("_metadata.file_path"))
     part = lambda i: F.regexp_extract("_f", r"([^/]+)/([^/]+)/([^/]+)\.json$", i)
-    raw = raw.withColumns({"recipe": part(1), "repo": part(2), "sha": part(3)})
+    return explode_extractions(raw.select(part(1).alias("recipe"), part(2).alias("repo"), part(3).alias("sha"), "value"))
+
+
+def explode_extractions(documents: DataFrame) -> dict[str, DataFrame]:
+    """Documents (recipe, repo, sha, value) to the item tables; what is no JSON object has no items."""
+    raw = documents.select("recipe", "repo", "sha", F.from_json("value", EXTRACTION).alias("d")).select("recipe", "repo", "sha", "d.*")
     out = {}
     for name in ("decisions", "prerequisites", "alternatives", "consequences"):
         rows = raw.select("recipe", "repo", "sha", F.posexplode(name).alias("pos", "item"))
@@ -54,7 +61,9 @@ def split_failed(results: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def load_commit_texts(files: DataFrame) -> DataFrame:
     """Raw changed files (sha, path, before, after) without the texts that are binary or above one MiB."""
-    keep = lambda c: F.when((F.octet_length(c) <= 1 << 20) & (F.instr(F.substring(c, 1, 8192), "\0") == 0), F.col(c))
+    # A NUL among the first 8 KiB, in bytes, is what makes a text binary.
+    binary = lambda c: F.hex(F.substring(F.col(c).cast("binary"), 1, 8192)).rlike("^(..)*?00")
+    keep = lambda c: F.when((F.octet_length(c) <= 1 << 20) & ~binary(c), F.col(c))
     return files.withColumns({"before": keep("before"), "after": keep("after")})
 
 
@@ -74,16 +83,17 @@ def read_queue(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_ci_builds(lines: DataFrame, matrix: DataFrame) -> DataFrame:
     """Workflow lines (repo, file, line) to builds (repo, command, all_features, default_features, features).
 
-    A line that interpolates stands for every matrix entry (file, flags) of its file.
+    A line that interpolates stands for every matrix entry (repo, file, flags) of its file. A toolchain before the
+    command is taken for the command, as it is for the lines' own reader, so such lines give no build.
     """
     use = F.contains("line", F.lit("${{"))
-    m = matrix.select("file", F.col("flags").alias("_flags"))
-    j = lines.withColumn("_key", F.when(use, F.col("file"))).join(m.withColumnRenamed("file", "_mf"), F.col("_key") == F.col("_mf"), "left")
+    m = matrix.select(F.col("repo").alias("_mr"), F.col("file").alias("_mf"), F.col("flags").alias("_flags"))
+    j = lines.join(m, use & (F.col("repo") == F.col("_mr")) & (F.col("file") == F.col("_mf")), "left")
     full = F.when(use, F.concat_ws(" ", F.regexp_replace("line", r"\$\{\{[^}]*\}\}", ""), "_flags")).otherwise(F.col("line"))
-    command = F.regexp_extract(full, r"\bcargo (?:\+\S+ )?(build|check|test|clippy|run|doc)\b", 1)
+    command = F.regexp_extract(full, r"^.*?cargo \s*\+*(\S+)", 1)
     named = F.regexp_extract(full, r"--features[ =]\"?([^\"\s]+(?:,[^\"\s]+)*)", 1)
     b = j.select(
         "repo", command.alias("command"), F.contains(full, F.lit("--all-features")).alias("all_features"), (~F.contains(full, F.lit("--no-default-features"))).alias("default_features"),
         F.array_sort(F.array_distinct(F.filter(F.split(named, ","), lambda x: x != ""))).alias("features"),
     )
-    return b.where("command <> ''").distinct()
+    return b.where(F.col("command").isin(BUILD_COMMANDS)).distinct()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.review import new_records
+from ..operators.record import corpus_only_commits
+from ..operators.review import new_records, read_store
 from ..sources.readers import read_queue
 
 
@@ -13,14 +16,7 @@ def merge_batch(store: str, key: str):
     """A foreachBatch function that appends what a batch adds: replaying a batch adds nothing."""
 
     def merge(batch: DataFrame, _epoch: int) -> None:
-        spark = batch.sparkSession
-        try:
-            have = spark.read.schema(batch.schema).parquet(store)
-            batch = new_records(have, batch, key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            batch = batch.dropDuplicates([key])
+        batch = new_records(read_store(batch.sparkSession, store, batch), batch, key)
         batch.write.mode("append").parquet(store)
 
     return merge
@@ -32,9 +28,24 @@ def merge_stream(records: DataFrame, store: str, checkpoint: str, key: str = "re
     return writer.trigger(availableNow=True).start()
 
 
-def drain_queue(spark: SparkSession, folder: str, store: str, checkpoint: str) -> StreamingQuery:
+def drain_queue(
+    spark: SparkSession, folder: str, store: str, checkpoint: str, record: Callable[[DataFrame], DataFrame] | None = None, files: DataFrame | None = None, corpus: str = "corpus"
+) -> StreamingQuery:
     """Queued commit lines to recorded commits. The checkpoint is what is left in the queue: a line is forgotten only
-    once its batch has been written, so an interrupted drain goes on where it stopped."""
+    once its batch has been written, so an interrupted drain goes on where it stopped.
+
+    Commits all of whose ``files`` (sha, path) are below the ``corpus`` folder are dropped. ``record`` turns the commits
+    (sha) of a batch into records with a ``record_id``; without it the commits themselves are stored.
+    """
     lines = spark.readStream.schema("value string").text(folder)
     shas, _ = read_queue(lines)
-    return merge_stream(shas, store, checkpoint, "sha")
+    key = "record_id" if record else "sha"
+    merge = merge_batch(store, key)
+
+    def drain(batch: DataFrame, epoch: int) -> None:
+        todo = batch.select("sha").distinct()
+        if files is not None:
+            todo = todo.join(corpus_only_commits(files, corpus), "sha", "left_anti")
+        merge(record(todo) if record else todo, epoch)
+
+    return shas.writeStream.foreachBatch(drain).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -149,7 +149,7 @@ def test_readers(spark):
     good, bad = readers.read_queue(q)
     assert sorted(r.sha for r in good.collect()) == ["a" * 40, "b" * 40, "b" * 40] and bad.count() == 3
     lines = spark.createDataFrame([("r", "w.yml", "run: cargo test ${{ matrix.flags }}"), ("r", "w.yml", "run: cargo build --no-default-features --features b,a")], "repo string, file string, line string")
-    m = spark.createDataFrame([("w.yml", "--all-features"), ("w.yml", "--features z")], "file string, flags string")
+    m = spark.createDataFrame([("r", "w.yml", "--all-features"), ("r", "w.yml", "--features z"), ("q", "w.yml", "--features other")], "repo string, file string, flags string")
     got = {(r.command, r.all_features, r.default_features, tuple(r.features)) for r in readers.read_ci_builds(lines, m).collect()}
     assert got == {("test", True, True, ()), ("test", False, True, ("z",)), ("build", False, False, ("a", "b"))}
 

@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from dossier.plans import more, third  # noqa: F401
+from dossier.plans import fifth, fourth, more, third  # noqa: F401
 from dossier.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
