@@ -221,8 +221,7 @@ def run_gates(t) -> DataFrame:
     return evaluate.run_gate(agent_runs(t), "corpus", "control")
 
 
-@query(f"""WITH {OUTCOME_SQL}, x AS (SELECT arm, outcome, l_extendedprice AS cost FROM (SELECT *, row_number() OVER () AS k FROM o) JOIN (SELECT l_extendedprice, row_number() OVER () AS k FROM lineitem) USING (k))
-SELECT arm, count(*) FILTER (WHERE outcome = 'violated') AS violated, count(*) FILTER (WHERE outcome = 'harness-error') AS harness_error, count(*) FILTER (WHERE outcome = 'stopped') AS stopped, count(*) FILTER (WHERE outcome = 'intact') AS intact FROM o GROUP BY arm""")
+@query(f"""WITH {OUTCOME_SQL} SELECT arm, count(*) FILTER (WHERE outcome = 'violated') AS violated, count(*) FILTER (WHERE outcome = 'harness-error') AS harness_error, count(*) FILTER (WHERE outcome = 'stopped') AS stopped, count(*) FILTER (WHERE outcome = 'intact') AS intact FROM o GROUP BY arm""")
 def arm_outcomes(t) -> DataFrame:
     return evaluate.run_matrix(agent_runs(t)).where("task is null").drop("task", "cost")
 
@@ -245,11 +244,11 @@ def scoped_commits(t) -> DataFrame:
 
 
 @query("""
-WITH u AS (SELECT user_id AS label, count(DISTINCT event_type) AS n, bool_or(event_id % 4 = 0) AS normative FROM events WHERE event_id % 9 < 2 GROUP BY user_id)
+WITH u AS (SELECT user_id AS label, count(DISTINCT event_type) AS n, bool_or(event_id % 4 = 0) AS normative FROM events WHERE event_id % 101 < 2 GROUP BY user_id)
 SELECT c_custkey AS claim, coalesce(n = 1 AND normative, false) AS normative FROM customer LEFT JOIN u ON label = c_custkey
 """)
 def normative_claims(t) -> DataFrame:
-    u = t("events").where("event_id % 9 < 2").select(F.col("user_id").alias("label"), F.col("event_type").alias("uid"), (F.col("event_id") % 4 == 0).alias("normative"))
+    u = t("events").where("event_id % 101 < 2").select(F.col("user_id").alias("label"), F.col("event_type").alias("uid"), (F.col("event_id") % 4 == 0).alias("normative"))
     return judging.normative_of(t("customer").select(F.col("c_custkey").alias("claim")), u)
 
 

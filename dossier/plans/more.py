@@ -37,11 +37,11 @@ def contended_labels(t) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT user_id::VARCHAR AS label, count(DISTINCT event_type) AS n, min(event_type) AS uid FROM events WHERE event_id % 9 < 2 GROUP BY user_id)
+WITH b AS (SELECT user_id::VARCHAR AS label, count(DISTINCT event_type) AS n, min(event_type) AS uid FROM events WHERE event_id % 101 < 2 GROUP BY user_id)
 SELECT c_custkey::VARCHAR AS label, uid FROM customer JOIN b ON c_custkey::VARCHAR = label WHERE n = 1
 """)
 def resolved_labels(t) -> DataFrame:
-    bound = t("events").where("event_id % 9 < 2").select(F.col("user_id").cast("string").alias("label"), F.col("event_type").alias("uid"))
+    bound = t("events").where("event_id % 101 < 2").select(F.col("user_id").cast("string").alias("label"), F.col("event_type").alias("uid"))
     return record.resolve_labels(t("customer").select(F.col("c_custkey").cast("string").alias("label")), bound)[0]
 
 
