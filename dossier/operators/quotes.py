@@ -40,18 +40,20 @@ def locate_anywhere(quotes: DataFrame, texts: DataFrame, width: int = 8) -> Data
     # A quote may start or end inside a word, so only its inner words are sure to be words of the text.
     n = F.when(F.size("w") > 2, F.least(F.size("w") - 2, F.lit(width))).otherwise(F.when(F.length("quote") >= 3, F.lit(-3)).otherwise(F.lit(-1)))
     q = q.withColumn("n", n)
-    inner = F.xxhash64("n", F.array_join(F.slice("w", F.lit(2), F.greatest("n", F.lit(0))), " "))
-    keyed = q.select("quote_id", "quote", "n", F.when(F.col("n") > 0, inner).otherwise(F.xxhash64("n", F.substring("quote", 1, -F.col("n")))).alias("k"))
+    inner = F.when(F.col("n") > 0, F.slice("w", F.lit(2), F.greatest("n", F.lit(0)))).otherwise(F.array(F.substring("quote", 1, F.abs("n"))))
+    keyed = q.select("quote_id", "quote", "n", F.xxhash64("n", inner).alias("k"))
     keys = keyed.select("n", "k").distinct()
     sizes = sorted(r["n"] for r in keys.select("n").distinct().collect())  # at most width + 2 numbers
-    t = texts.where("text is not null").withColumn("w", words(F.col("text")))
-    grams = [F.array().cast("array<bigint>")]
+    t = texts.where("text is not null").select("text_id", "text", words(F.col("text")).alias("w"))
+    held = None
     for m in sizes:
-        of, count = ("w", F.size("w")) if m > 0 else ("text", F.length("text"))
-        piece = (lambda i: F.array_join(F.slice("w", i, F.lit(m)), " ")) if m > 0 else (lambda i: F.substring("text", i, F.lit(-m)))  # noqa: E731, B023
-        some = F.when(count >= abs(m), F.sequence(F.lit(1), count - abs(m) + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(some, lambda i: F.xxhash64(F.lit(m), piece(i))))  # noqa: B023
-    held = t.select("text_id", F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("k")).join(keys.select("k"), "k")
+        count, piece = (F.size("w") - m + 1, F.slice("w", F.col("i"), F.lit(m))) if m > 0 else (F.length("text") + m + 1, F.array(F.substring("text", F.col("i"), F.lit(-m))))
+        at = t.where(count > 0).select("text_id", "text", "w", F.explode(F.sequence(F.lit(1), count)).alias("i"))
+        mine = keys.where(F.col("n") == m).select("k")
+        hit = at.select("text_id", F.xxhash64(F.lit(m), piece).alias("k")).join(mine, "k").distinct()
+        held = hit if held is None else held.unionByName(hit)
+    if held is None:
+        return texts.select(F.lit(None).cast(quotes.schema["quote_id"].dataType).alias("quote_id"), "text_id").limit(0)
     pairs = held.join(keyed, "k").select("quote_id", "quote", "text_id").distinct()
     return pairs.join(texts, "text_id").where(F.contains("text", "quote")).select("quote_id", "text_id").distinct()
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .shared import stored
 
 # The kinds a change can contradict.
 JUDGED_KINDS = ["act", "decline", "existing-behaviour", "invariant", "tool-setting", "prior-change", "assumption", "rejected-alternative"]
@@ -36,8 +37,9 @@ def bm25_search(post: DataFrame, queries: DataFrame, *, kinds: DataFrame | None
     Frequencies and lengths are those of the whole index; ``kinds`` (doc) restricts results before the limit. A hit
     counts only if one of its terms contributes at least ``min_weight``. Ties (to nine places) go to the smaller doc.
 
-    The index is read twice: for its lengths, and for the postings of the terms that are asked for.
+    The index is stored once, as it is read for its lengths and for the postings of the terms that are asked for.
     """
+    post = stored(post, "postings")
     lens = post.groupBy("doc").agg(F.max("len").alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     n, avg = lens.first()  # two numbers
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -47,10 +49,12 @@ def bm25_search(post: DataFrame, queries: DataFrame, *, kinds: DataFrame | None
     if kinds is not None:
         index = index.join(kinds.select(F.col("doc")), "doc", "left_semi")
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg or 1.0)))
-    hits = asked.join(index.withColumn("w", idf * tf).select("doc", "term", "w"), "term")
-    g = hits.groupBy("query", "doc").agg(F.sum("w").alias("score"), F.max("w").alias("top"), F.array_sort(F.collect_list(F.struct(-F.col("w"), "term"))).alias("ts"))
-    g = g.where(F.col("top") >= min_weight).withColumn("terms", F.transform("ts", lambda t: t["term"]))
-    return ranked(g, ["query"], [F.desc(F.round("score", 9)), F.col("doc")], most).select("query", "doc", "score", "terms", "rank")
+    hits = stored(asked.join(index.withColumn("w", idf * tf).select("doc", "term", "w"), "term"), "search-hits")
+    g = hits.groupBy("query", "doc").agg(F.sum("w").alias("score"), F.max("w").alias("top")).where(F.col("top") >= min_weight)
+    best = ranked(g, ["query"], [F.desc(F.round("score", 9)), F.col("doc")], most)
+    # Terms are gathered for the hits that are kept only.
+    kept = hits.join(best, ["query", "doc"]).groupBy("query", "doc", "score", "rank").agg(F.array_sort(F.collect_list(F.struct(-F.col("w"), "term"))).alias("ts"))
+    return kept.select("query", "doc", "score", F.transform("ts", lambda t: t["term"]).alias("terms"), "rank")
 
 
 def context_scope(tasks: DataFrame, files: DataFrame, hits: DataFrame, units: DataFrame, most: int = 6) -> DataFrame:

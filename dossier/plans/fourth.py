@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluate, evidence, judging, quotes, record, staleness, views
+from ..operators.shared import shared_folder
 from ..sources import readers, sinks
 from ..streaming import streams
 from .more import event_log, page_diffs
@@ -16,12 +15,7 @@ from .queries import query
 
 
 def scratch(df: DataFrame, name: str) -> str:
-    """A fresh folder that driver and executors share."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(df.sparkSession, name)
 
 
 NOISE_SQL = "['the', 'and', 'not', 'for', 'with', 'that', 'this', 'test', 'tests', 'fn']"

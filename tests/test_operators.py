@@ -193,3 +193,36 @@ def test_judge_failures_become_rows(spark):
     asks = spark.createDataFrame([("1", "good"), ("2", "bad")], "ask string, prompt string")
     got = {r.ask: (r.answer, r.warning) for r in judging.ask_all(asks, judge).collect()}
     assert got["1"] == ("[]", None) and got["2"][0] is None and "no answer" in got["2"][1]
+
+
+def test_sessions_without_a_shared_folder_are_told():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from dossier.operators.shared import shared_folder
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(bare, "x")
+    bare.sparkContext.getCheckpointDir = lambda: "hdfs://c/dir/"
+    assert shared_folder(bare, "x").startswith("hdfs://c/dir/x-")
+
+
+def test_quotes_of_any_length_are_found_anywhere(spark):
+    texts = [(1, "One two, three four five."), (2, "another TEXT"), (3, None), (4, "wo, thr"), (5, "é"), (6, "")]
+    asked = [(1, "wo, thr"), (2, "e"), (3, "é"), (4, " "), (5, "two, three four"), (6, "TEXT"), (7, "absent words here"), (8, "One two, three four five."), (9, "xt")]
+    t = spark.createDataFrame(texts, "text_id int, text string")
+    q = spark.createDataFrame(asked, "quote_id int, quote string")
+    want = {(i, k) for i, x in asked for k, s in texts if s and x.strip() and x in s}
+    found = quotes.locate_anywhere(q, t)
+    assert {tuple(r) for r in found.select("quote_id", "text_id").collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert quotes.locate_anywhere(q.where("quote_id = 99"), t).count() == 0
+
+
+def test_numbers_of_a_shuffled_table(spark):
+    d = evaluate.shuffled(spark.range(500).select(F.col("id")), 3)
+    got = [(r.id, r["_n"]) for r in d.collect()]
+    assert sorted(n for _, n in got) == list(range(1, 501)) and [i for i, n in sorted(got, key=lambda x: x[1])] != list(range(500))
