@@ -245,3 +245,13 @@ def test_quality_edge_rows(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_measures(texts[r.doc_id])
     assert quality.quality_rules(docs.where("doc_id = 99")).count() == 0
     assert quality.quality_rules(docs.drop("lang", "source")).count() == len(texts) + 1
+
+
+def test_sessions_without_a_shared_folder_are_told():
+    from types import SimpleNamespace
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(bare, "x")
+    bare.sparkContext.getCheckpointDir = lambda: "hdfs://c/dir/"
+    assert shared_dir(bare, "x").startswith("hdfs://c/dir/x-")
