@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import ensure_columns, small, stored
 
 #: Hash buckets of tokens. What is frequent stands out from the mean of a bucket; all other tokens are equally rare.
-BUCKETS = 1 << 20
+BUCKETS, STEPS = 1 << 20, (2, 8, 32)
 CROWD, LEADERS, ROUNDS = 32, 16, 2
 
 
@@ -62,16 +62,19 @@ def hashes(line: Column) -> Column:
     return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
 
 
-def token_ranks(own: DataFrame, width: int) -> list[int]:
-    """For each hash bucket of tokens, the bit length of its count over the mean count of a bucket; 0 below twice that."""
+def frequent_buckets(own: DataFrame, width: int) -> list[list[list[int]]]:
+    """For each of STEPS the hash buckets of tokens that hold at least so many times the mean of a bucket, as lists of
+    the low eight bits by the high ones."""
     lines = all_lines(own).where(n_words("line") >= width).select(hashes(F.col("line")).alias("h"))
     at = lines.select("h", F.explode(F.sequence(F.lit(0), F.size("h") - width)).alias("i"))
     bucket = F.xxhash64(*[F.get("h", F.col("i") + k) for k in range(width)]).bitwiseAND(BUCKETS - 1)
     counts = stored(at.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")), "token-counts")
     mean = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // BUCKETS)
-    out = [0] * BUCKETS
-    for r in counts.where(F.col("n") >= 2 * mean).collect():  # half of the buckets at most, a few hundredths as a rule
-        out[r["b"]] = (r["n"] // mean).bit_length()
+    out: list[list[list[int]]] = [[[] for _ in range(BUCKETS >> 8)] for _ in STEPS]
+    for r in counts.where(F.col("n") >= STEPS[0] * mean).collect():  # half of the buckets at most, a few hundredths as a rule
+        for k, step in enumerate(STEPS):
+            if r["n"] >= step * mean:
+                out[k][r["b"] >> 8].append(r["b"] & 255)
     return out
 
 
@@ -81,14 +84,16 @@ def tokens(h: str, width: int, name) -> Column:
     return F.transform(F.arrays_zip(*[F.slice(h, F.lit(k + 1), left).alias(f"t{k}") for k in range(width)]), name)
 
 
-def ordered(t: str, ranks: list[int]) -> Column:
-    """Distinct tokens, rarest first, as integers: rank, then hash."""
-    table = F.from_json(F.lit(json.dumps(ranks)), "array<tinyint>")  # a constant: it is read once
-    rank = lambda x: F.get(table, x.bitwiseAND(BUCKETS - 1).cast("int"))
-    return F.sort_array(F.array_distinct(F.transform(t, lambda x: F.shiftleft(rank(x).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(x, 7)))))
+def ordered(t: str, frequent: list[list[list[int]]]) -> Column:
+    """Distinct tokens, rarest first, as integers: how many of the STEPS their bucket reaches, then the hash."""
+    tables = [F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<array<int>>") for x in frequent]  # constants: each is read once
+    high, low = lambda x: F.shiftright(x.bitwiseAND(BUCKETS - 1), 8).cast("int"), lambda x: x.bitwiseAND(255).cast("int")
+    rank = lambda x: sum(F.array_contains(F.get(table, high(x)), low(x)).cast("long") for table in tables)
+    name = lambda x: F.shiftleft(F.coalesce(rank(x), F.lit(0)), 57).bitwiseOR(F.shiftrightunsigned(x, 7))
+    return F.sort_array(F.array_distinct(F.transform(t, name)))
 
 
-def distinct_lines(own: DataFrame, ranks: list[int], threshold: float, width: int) -> DataFrame:
+def distinct_lines(own: DataFrame, frequent: list[list[list[int]]], threshold: float, width: int) -> DataFrame:
     """All lines with words, each once: lid, at (where the first stands), o, n tokens, prefix.
 
     Equal lines are found by two 64-bit hashes. ``o`` never decreases with ``at``: it is the id where ids are integers,
@@ -96,7 +101,7 @@ def distinct_lines(own: DataFrame, ranks: list[int], threshold: float, width: in
     """
     at = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("no").alias("no"))
     lines = all_lines(own).select(at.alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), hashes(F.col("line")).alias("h"))
-    lines = lines.select("at", "h1", "h2", tokens("h", width, lambda x: F.xxhash64(x)).alias("t")).select("at", "h1", "h2", ordered("t", ranks).alias("t"))
+    lines = lines.select("at", "h1", "h2", tokens("h", width, lambda x: F.xxhash64(x)).alias("t")).select("at", "h1", "h2", ordered("t", frequent).alias("t"))
     lines = lines.select("at", "h1", "h2", F.size("t").alias("n"), F.slice("t", F.lit(1), prefix_length(F.size("t"), threshold)).alias("prefix"))
     once = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     whole = own.schema["_id"].dataType.typeName() in ("byte", "short", "integer", "long")
@@ -209,7 +214,7 @@ def matched(own: DataFrame, lines: DataFrame, pairs: DataFrame, threshold: float
 
 def late_lines(own: DataFrame, threshold: float, width: int) -> tuple[DataFrame, DataFrame]:
     """The distinct lines of (_id, _th, _text), and those of them (late) that match an earlier one."""
-    lines = distinct_lines(own, token_ranks(own, width), threshold, width)
+    lines = distinct_lines(own, frequent_buckets(own, width), threshold, width)
     settled = settle(own, lines, threshold, width)
     rest = matched(own, lines, stored(all_candidates(lines, settled, threshold), "line-pairs"), threshold, width)
     return lines, settled.union(rest)

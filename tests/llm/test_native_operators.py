@@ -87,7 +87,7 @@ def test_line_dedup_pairs_of_a_large_group(spark):
     words = [f"w{i}" for i in range(160)]
     texts = [" ".join(words[: i % 155] + [f"x{i}"] + words[i % 155 :]) for i in range(3000)]
     df = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string").withColumn("_th", line_dedup.F.xxhash64("_text"))
-    lines = line_dedup.distinct_lines(df, line_dedup.token_ranks(df, 5), 0.8, 5)
+    lines = line_dedup.distinct_lines(df, line_dedup.frequent_buckets(df, 5), 0.8, 5)
     assert line_dedup.first_candidates(line_dedup.some_tokens(lines)).count() <= 2 * 3000
     settled = line_dedup.settle(df, lines, 0.8, 5)
     assert settled.count() >= 2900
