@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import evaluate, evidence, judging, record, retrieval, review, views
 from ..sources import readers
 from .queries import query

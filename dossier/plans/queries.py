@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, evidence, graph, judging, quotes, record, retrieval, review, staleness, views
+from ..operators import evaluate, graph, quotes, record, retrieval, staleness
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 QUERIES: dict = {}
