@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, mixing, packing, ppm, quality, simhash, toxicity, url_filters, warc
+from . import embedding_dedup, line_dedup, mixing, packing, ppm, quality, simhash, token_files, toxicity, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -210,6 +210,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def byte_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = token_files.round_trip(docs, tokenizer_path=byte_tokenizer_path(), end_id=2)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_url_filters": op2_url_filters,
@@ -221,6 +233,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_files": op11_token_files,
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
