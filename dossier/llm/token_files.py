@@ -69,9 +69,10 @@ class ByteTokenizer:
         """Ids of new pieces, many in one call: ``mark`` (a space or a line feed) is put before each."""
         for at in range(0, len(new), 1024):
             part = new[at : at + 1024]
-            ids = self._ids(mark + mark.join(part))
+            joined = mark + mark.join(part)
+            ids = self._ids(joined)
             after = np.cumsum(self.bytes_of[ids])
-            size = np.fromiter((len(w.encode("utf-8")) for w in part), np.int64, len(part)) + 1
+            size = np.fromiter(map(len, part if joined.isascii() else [w.encode("utf-8") for w in part]), np.int64, len(part)) + 1
             stop = np.cumsum(size)
             # Where a space belongs to its piece, a piece starts with it; a line feed is a token of its own.
             start = stop - size + (mark == "\n")
@@ -92,10 +93,7 @@ class ByteTokenizer:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.rest) > self.most:
-            self.first.clear()
-            self.rest.clear()
-        plan, first, rest = [], set(), set()
+        plan, first, rest, odd = [], set(), set(), set()
         for text in texts:
             if not text or "<|" in text:
                 plan.append(None)
@@ -104,15 +102,19 @@ class ByteTokenizer:
             if lines is None:
                 cut = CUT.split(text)
                 lines = [[cut[0], *(w[1:] for w in cut[1:])]]
+                odd.update(w for w in lines[0] if w != w.strip())
             plan.append(lines)
             for words in lines:
                 first.add(words[0])
                 rest.update(words[1:])
+        if len(self.first) + len(self.rest) > self.most:
+            # What these texts share with earlier ones stays: that is what later texts will ask for.
+            self.first = {w: self.first[w] for w in first if w in self.first}
+            self.rest = {w: self.rest[w] for w in rest if w in self.rest}
         first.difference_update(self.first)
         rest.difference_update(self.rest)
-        odd = {w for w in first | rest if w != w.strip() or not w}
         for known, new, mark in ((self.first, first, "\n"), (self.rest, rest, " ")):
-            self._learn(known, sorted(new - odd), mark)
+            self._learn(known, list(new - odd if odd else new), mark)
             known.update((w, self._one(w if mark == "\n" else mark + w)) for w in new & odd)
         out = []
         for text, lines in zip(texts, plan, strict=True):
@@ -271,7 +273,8 @@ def read_tokens(manifest: DataFrame, folder: str, most: int = 8 << 20) -> DataFr
     """
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(STRETCH).cast("long")))
     wanted = manifest.where("n_docs > 0").select("name", "n_docs", "base_token", first.alias("first"))
-    wanted = wanted.repartition("name", "first").sortWithinPartitions("name", "first")
+    # As many tasks as files: the manifest itself is too small for Spark to tell what reading its files takes.
+    wanted = wanted.repartition(max(1, manifest.count()), "name", "first").sortWithinPartitions("name", "first")
     names = ["doc_id", "start", "n_tokens", "ids"]
 
     def run(batches):
