@@ -1,8 +1,7 @@
-"""The append-only store and its review log."""
+"""Merged logs, versions of documents, and the review log."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +11,6 @@ def merge_store(a: DataFrame, b: DataFrame, key: str = "record_id") -> DataFrame
     return a.unionByName(b).dropDuplicates([key])
 
 
-def new_records(store: DataFrame, batch: DataFrame, key: str = "record_id") -> DataFrame:
-    """What a batch adds to the store, each record once."""
-    return batch.dropDuplicates([key]).join(store.select(key), key, "left_anti")
-
-
 def merge_versions(ours: DataFrame, theirs: DataFrame, key: str = "record_id") -> tuple[DataFrame, DataFrame]:
     """Two versions of documents (doc, record_id, text, …) merged, and versions with text but no records."""
     both = ours.withColumn("side", F.lit("ours")).unionByName(theirs.withColumn("side", F.lit("theirs")))
@@ -66,23 +60,3 @@ def apply_review(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     done = a.where("refused is null").select("seq", "agent", F.lit("human").alias("agent_kind"), F.explode(rows).alias("r"))
     return done.select("seq", "agent", "agent_kind", "r.*"), a.where("refused is not null").drop("target_kind")
-
-
-def read_store(spark, folder: str, like: DataFrame) -> DataFrame:
-    """The Parquet store in a folder, empty if the folder is not there yet."""
-    try:
-        return spark.read.schema(like.schema).parquet(folder)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return like.limit(0)
-
-
-def merge_into(spark, folder: str, batch: DataFrame, key: str = "record_id") -> DataFrame:
-    """Appends what a batch adds to a Parquet store and returns (added, total, grew). Replaying a batch adds nothing."""
-    store = read_store(spark, folder, batch)
-    before = store.count()
-    added = new_records(store, batch, key)
-    added.write.mode("append").parquet(folder)
-    total = spark.read.schema(batch.schema).parquet(folder).count()
-    return spark.range(1).select(F.lit(total - before).alias("added"), F.lit(total).alias("total"), F.lit(total > before).alias("grew"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, evidence, judging, quotes, record, staleness, views
+from ..operators import evaluate, evidence, judging, quotes, record, staleness, store, views
 from ..operators.shared import shared_folder
 from ..sources import readers, sinks
 from ..streaming import streams
@@ -138,10 +138,10 @@ def latest_results(t) -> DataFrame:
 def rebuilt_store(t) -> DataFrame:
     """Each event type's users as records of commits, written twice; the store is rebuilt from all commits."""
     e = t("events").select(F.col("event_type").alias("repo"), (F.col("user_id") % 3).cast("string").alias("sha12"), F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("record_id"))
-    commits, store = scratch(e, "commits"), scratch(e, "store")
+    commits, at = scratch(e, "commits"), scratch(e, "store")
     for _ in range(2):
         sinks.record_commits(e, commits)
-    return sinks.rebuild_store(e.sparkSession, commits, store).groupBy("repo").agg(F.count("*").alias("records"))
+    return sinks.rebuild_store(e.sparkSession, commits, at, buckets=8).groupBy("repo").agg(F.count("*").alias("records"))
 
 
 @query("""
@@ -150,12 +150,12 @@ SELECT user_id % 5 = 0 AS again, count(DISTINCT event_type || '/' || user_id) AS
 def streamed_records(t) -> DataFrame:
     """Records as they arrive in files, merged twice into one store; the log keeps what is appended."""
     e = t("events").select((F.col("user_id") % 5 == 0).alias("again"), F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("record_id"))
-    folder, store, log = (scratch(e, n) for n in ("arriving", "store", "log"))
+    folder, at, log = (scratch(e, n) for n in ("arriving", "store", "log"))
     e.write.parquet(folder)
     for _ in range(2):
         arriving = e.sparkSession.readStream.schema(e.schema).parquet(folder)
-        streams.merge_stream(arriving, store, scratch(e, "stream")).awaitTermination()
-    stored = e.sparkSession.read.schema(e.schema).parquet(store)
+        streams.merge_stream(arriving, at, scratch(e, "stream"), buckets=8).awaitTermination()
+    stored = store.read_store(e.sparkSession, at, e)
     sinks.append_review(stored.where("again"), log)
     sinks.append_review(stored.where("not again"), log)
     logged = e.sparkSession.read.parquet(log).groupBy("again").agg(F.count("*").alias("logged"))
@@ -169,11 +169,34 @@ WITH q AS (SELECT sha1(text) AS sha, doc_id FROM documents) SELECT DISTINCT sha
 def drained_commits(t) -> DataFrame:
     """Documents as queued commits; those whose files are all in the record's own folder are dropped."""
     d = t("documents").select(F.sha1(F.col("text").cast("binary")).alias("sha"), "doc_id")
-    folder, store = scratch(d, "queue"), scratch(d, "drained")
+    folder, at = scratch(d, "queue"), scratch(d, "drained")
     d.select(F.when(F.col("doc_id") % 3 < 2, F.col("sha")).otherwise(F.lit("no commit")).alias("value")).write.text(folder)
     files = d.select("sha", F.when(F.col("doc_id") % 4 == 0, F.lit("corpus/x")).otherwise(F.lit("src/x")).alias("path"))
-    streams.drain_queue(d.sparkSession, folder, store, scratch(d, "stream"), files=files).awaitTermination()
-    return d.sparkSession.read.schema("sha string").parquet(store)
+    streams.drain_queue(d.sparkSession, folder, at, scratch(d, "stream"), files=files, buckets=8).awaitTermination()
+    return store.read_store(d.sparkSession, at, d.select("sha"))
+
+
+@query("""
+WITH r AS (SELECT DISTINCT CASE WHEN event_id % 5 < 2 THEN 1 WHEN event_id % 5 < 4 THEN 2 ELSE 3 END AS batch, user_id || '/' || event_type AS record_id, 'd/' || user_id % 500 AS label, user_id % 1500 AS uid FROM events),
+f AS (SELECT record_id, label, uid, min(batch) AS batch FROM r GROUP BY ALL), s AS (SELECT unnest([1, 2, 3]) AS batch),
+c AS (SELECT s.batch, f.label FROM s JOIN f ON f.batch <= s.batch GROUP BY ALL HAVING max(f.batch) = s.batch AND count(DISTINCT uid) > 1),
+a AS (SELECT s.batch, count(*) FILTER (WHERE f.batch = s.batch) AS added, count(*) AS total FROM s JOIN f ON f.batch <= s.batch GROUP BY s.batch)
+SELECT batch AS step, added, total, added > 0 AS grew, (SELECT count(*) FROM c WHERE c.batch = a.batch) AS contentions FROM a
+UNION ALL SELECT 4, 0, max(total), false, 0 FROM a
+""")
+def store_merges(t) -> DataFrame:
+    """Events in three batches that overlap, merged one after the other, and the second one again."""
+    k, user = F.col("event_id") % 5, F.col("user_id")
+    e = t("events").select(
+        F.when(k < 2, 1).when(k < 4, 2).otherwise(3).alias("batch"), F.concat_ws("/", user.cast("string"), "event_type").alias("record_id"),
+        F.concat(F.lit("d/"), (user % 500).cast("string")).alias("label"), (user % 1500).alias("uid"),
+    )
+    at, spark, out = scratch(e, "store"), e.sparkSession, None
+    for step, k in ((1, 1), (2, 2), (3, 3), (4, 2)):
+        report = store.merge_into(spark, at, e.where(F.col("batch") == k), label="label", uid="uid", buckets=8)
+        row = report.select(F.lit(step).alias("step"), "added", "total", "grew", "contentions")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.review import merge_store
+from ..operators.store import read_store, replace_store
 
 
 def record_commits(units: DataFrame, folder: str) -> None:
@@ -13,11 +13,11 @@ def record_commits(units: DataFrame, folder: str) -> None:
     units.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", "sha12").parquet(folder)
 
 
-def rebuild_store(spark: SparkSession, commits: str, store: str, key: str = "record_id") -> DataFrame:
-    """The merged store derived from all commits."""
+def rebuild_store(spark: SparkSession, commits: str, store: str, key: str = "record_id", buckets: int = 64) -> DataFrame:
+    """The merged store derived from all commits: a new version of what is in ``store``."""
     all_ = spark.read.parquet(commits)
-    merge_store(all_, all_.limit(0), key).write.mode("overwrite").parquet(store)
-    return spark.read.parquet(store)
+    replace_store(spark, store, all_, key, buckets=buckets)
+    return read_store(spark, store, all_)
 
 
 def write_readings_csv(readings: DataFrame, folder: str) -> None:

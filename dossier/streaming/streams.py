@@ -8,29 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.record import corpus_only_commits
-from ..operators.review import new_records, read_store
+from ..operators.store import merge_into
 from ..sources.readers import read_queue
 
 
-def merge_batch(store: str, key: str):
-    """A foreachBatch function that appends what a batch adds: replaying a batch adds nothing."""
+def merge_batch(store: str, key: str, buckets: int = 64):
+    """A foreachBatch function that merges a batch into the store: replaying a batch adds nothing."""
 
     def merge(batch: DataFrame, _epoch: int) -> None:
-        batch = new_records(read_store(batch.sparkSession, store, batch), batch, key)
-        batch.write.mode("append").parquet(store)
+        merge_into(batch.sparkSession, store, batch, key, buckets=buckets)
 
     return merge
 
 
-def merge_stream(records: DataFrame, store: str, checkpoint: str, key: str = "record_id") -> StreamingQuery:
+def merge_stream(records: DataFrame, store: str, checkpoint: str, key: str = "record_id", buckets: int = 64) -> StreamingQuery:
     """Arriving records merged into the store, idempotently; returns the running query (all that is there, then ends)."""
-    writer = records.writeStream.foreachBatch(merge_batch(store, key)).option("checkpointLocation", checkpoint)
+    writer = records.writeStream.foreachBatch(merge_batch(store, key, buckets)).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
 def drain_queue(
-    spark: SparkSession, folder: str, store: str, checkpoint: str, record: Callable[[DataFrame], DataFrame] | None = None, files: DataFrame | None = None, corpus: str = "corpus"
-) -> StreamingQuery:
+    spark: SparkSession, folder: str, store: str, checkpoint: str, record: Callable[[DataFrame], DataFrame] | None = None, files: DataFrame | None = None,
+    corpus: str = "corpus", buckets: int = 64,
+) -> StreamingQuery:
     """Queued commit lines to recorded commits. The checkpoint is what is left in the queue: a line is forgotten only
     once its batch has been written, so an interrupted drain goes on where it stopped.
 
@@ -40,7 +40,7 @@ def drain_queue(
     lines = spark.readStream.schema("value string").text(folder)
     shas, _ = read_queue(lines)
     key = "record_id" if record else "sha"
-    merge = merge_batch(store, key)
+    merge = merge_batch(store, key, buckets)
 
     def drain(batch: DataFrame, epoch: int) -> None:
         todo = batch.select("sha").distinct()
