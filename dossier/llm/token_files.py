@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import string
 import struct
 import uuid
 
@@ -31,6 +32,7 @@ MANIFEST = "part long, name string, n_docs long, n_tokens long"
 STRETCH, BLOCK = 1 << 14, 1 << 10
 #: A place where the tokenizer's pattern always parts a text: before a single space between other characters.
 CUT = re.compile(r"(?<=\S)(?= \S)")
+PUNCTUATION = string.punctuation
 
 
 class ByteTokenizer:
@@ -56,6 +58,8 @@ class ByteTokenizer:
         #: Ids of pieces that start a text or line, and of pieces after a space (without that space).
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        #: Ids of punctuation behind a word.
+        self.tails: dict[str, bytes] = {}
         self.feed = self._one("\n")
 
     def _one(self, text: str) -> bytes:
@@ -65,10 +69,28 @@ class ByteTokenizer:
         # The fast form leaves out offsets, which are not needed here.
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _learn(self, known: dict[str, bytes], new: list[str], mark: str) -> None:
+    def _learn(self, known: dict[str, bytes], new: set[str], mark: str) -> None:
+        """Ids of new pieces: a word and the punctuation behind it, which the pattern always parts, one by one."""
+        plain, ending = set(), []
+        for w in new:
+            stem = w.rstrip(PUNCTUATION)
+            if len(stem) == len(w) or len(w) > self.longest or not stem[-1:].isalnum():
+                plain.add(w)
+            else:
+                ending.append((w, stem))
+                if stem not in known:
+                    plain.add(stem)
+        self._encode(known, sorted(plain), mark)
+        for w, stem in ending:
+            tail = w[len(stem) :]
+            if tail not in self.tails:
+                self.tails[tail] = self._one(tail)
+            known[w] = known[stem] + self.tails[tail]
+
+    def _encode(self, known: dict[str, bytes], new: list[str], mark: str) -> None:
         """Ids of new pieces, many in one call: ``mark`` (a space or a line feed) is put before each."""
-        for at in range(0, len(new), 1024):
-            part = new[at : at + 1024]
+        for at in range(0, len(new), 256):
+            part = new[at : at + 256]
             joined = mark + mark.join(part)
             ids = self._ids(joined)
             after = np.cumsum(self.bytes_of[ids])
@@ -111,10 +133,11 @@ class ByteTokenizer:
             # What these texts share with earlier ones stays: that is what later texts will ask for.
             self.first = {w: self.first[w] for w in first if w in self.first}
             self.rest = {w: self.rest[w] for w in rest if w in self.rest}
+            self.tails.clear()
         first.difference_update(self.first)
         rest.difference_update(self.rest)
         for known, new, mark in ((self.first, first, "\n"), (self.rest, rest, " ")):
-            self._learn(known, list(new - odd if odd else new), mark)
+            self._learn(known, new - odd if odd else new, mark)
             known.update((w, self._one(w if mark == "\n" else mark + w)) for w in new & odd)
         out = []
         for text, lines in zip(texts, plan, strict=True):
