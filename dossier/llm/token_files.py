@@ -58,6 +58,7 @@ class ByteTokenizer:
         #: Ids of pieces that start a text or line, and of pieces after a space (without that space).
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         #: Ids of punctuation behind a word.
         self.tails: dict[str, bytes] = {}
         self.feed = self._one("\n")
@@ -130,12 +131,14 @@ class ByteTokenizer:
                 first.add(words[0])
                 rest.update(words[1:])
         if len(self.first) + len(self.rest) > self.most:
-            # What these texts share with earlier ones stays: that is what later texts will ask for.
-            self.first = {w: self.first[w] for w in first if w in self.first}
-            self.rest = {w: self.rest[w] for w in rest if w in self.rest}
+            # The full tables become the older generation; what texts ask for again comes back from it.
+            self.older, self.first, self.rest = (self.first, self.rest), {}, {}
             self.tails.clear()
-        first.difference_update(self.first)
-        rest.difference_update(self.rest)
+        for known, old, new in ((self.first, self.older[0], first), (self.rest, self.older[1], rest)):
+            new.difference_update(known)
+            again = old.keys() & new
+            known.update(zip(again, map(old.__getitem__, again), strict=True))
+            new -= again
         for known, new, mark in ((self.first, first, "\n"), (self.rest, rest, " ")):
             self._learn(known, new - odd if odd else new, mark)
             known.update((w, self._one(w if mark == "\n" else mark + w)) for w in new & odd)
