@@ -204,10 +204,17 @@ def compare_runs(a: DataFrame, b: DataFrame, columns: list[str], by: list[str] =
 
 
 def corpus_variants(cases: DataFrame, ancestors: DataFrame, recorded: DataFrame) -> DataFrame:
-    """(id, base) to (id, variant, commits): cases whose base reaches the same recorded commits share a variant."""
-    have = ancestors.join(recorded.select(F.col("sha").alias("node")), "node", "left_semi").select(F.col("root").alias("base"), "node")
-    g = cases.join(have, "base", "left").groupBy("id").agg(F.array_sort(F.collect_set("node")).alias("commits"))
-    return g.select("id", F.sha2(F.array_join("commits", ","), 256).alias("variant"), F.size("commits").alias("commits"))
+    """(id, base) to (id, variant, commits): cases whose base reaches the same recorded commits share a variant.
+
+    A variant is the number of commits and the sums of two 60-bit parts of their names' MD5: the same for any order, and
+    added up before the shuffle.
+    """
+    half = lambda at: F.conv(F.substring(F.md5("node"), at, 15), 16, 10).cast("decimal(20,0)")
+    have = ancestors.join(recorded.select(F.col("sha").alias("node")).distinct(), "node", "left_semi").select(F.col("root").alias("base"), "node")
+    sums = have.groupBy("base").agg(F.count("*").alias("commits"), F.sum(half(1)).alias("a"), F.sum(half(16)).alias("b"))
+    g = cases.select("id", "base").distinct().join(sums, "base", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    return g.select("id", F.concat_ws(":", zero("commits"), zero("a"), zero("b")).alias("variant"), F.coalesce("commits", F.lit(0)).alias("commits"))
 
 
 SLICES = 1024

@@ -6,28 +6,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .shared import stored
 
 # A mutation replaces the first of these that a line has, in this order.
 MUTATIONS = [(" == ", " != "), (" != ", " == "), (" < ", " >= "), (" > ", " <= "), (" && ", " || "), ("true", "false"), (" + ", " - ")]
+STRETCH = 256
+#: Lines of a log that one task folds together, by their positions.
+BLOCK = 1 << 16
 
 
-def read_test_log(lines: DataFrame) -> DataFrame:
+def log_events(lines: DataFrame) -> DataFrame:
+    """Lines of test output with test, outcome (of tests) and result, time (of a suite's result lines); others are
+    dropped. Names with spaces and other outcomes are no tests."""
+    line = F.regexp_replace("line", r"^\s+|\s+$", "")
+    verdict = F.regexp_extract(line, r"^test (\S+) \.\.\. +(ok$|FAILED|ignored)", 2)
+    outcome = F.when(verdict == "ok", "passed").when(verdict == "FAILED", "failed").when(verdict == "ignored", "ignored")
+    result = F.startswith(line, F.lit("test result:"))
+    time = F.regexp_extract(line, r"finished in ([0-9.]+)s?", 1).try_cast("double")
+    d = lines.withColumns({"test": F.regexp_extract(line, r"^test (\S+) \.\.\. ", 1), "outcome": outcome, "result": result, "time": F.when(result, time)})
+    return d.where("outcome is not null or result").drop("line")
+
+
+def read_test_log(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """(suite, pos, line) of test output to (suite, pos, test, outcome, run_seconds).
 
     A test takes the first non-zero time that its suite reports after it; a result line without a time repeats the one
-    before. Names with spaces and other outcomes are no tests.
+    before.
+
+    A suite may be one long log: its lines are folded in blocks of ``block`` positions, each by its own task. A block
+    hands on two numbers: the last time that it tells, which later blocks repeat, and, once those are known, the first
+    non-zero time that its lines stand for, which earlier blocks wait for.
     """
-    line = F.trim("line")
-    verdict = F.regexp_extract(line, r"^test (\S+) \.\.\. +(ok$|FAILED|ignored)", 2)
-    name = F.regexp_extract(line, r"^test (\S+) \.\.\. ", 1)
-    result = F.startswith(line, F.lit("test result:"))
-    time = F.regexp_extract(line, r"finished in ([0-9.]+)s?", 1).try_cast("double")
-    past = Window.partitionBy("suite").orderBy("pos")
-    ahead = past.rowsBetween(0, Window.unboundedFollowing)
-    d = lines.withColumns({"name": name, "verdict": verdict, "said": F.when(result, F.coalesce(F.last(F.when(result, time), ignorenulls=True).over(past), F.lit(0.0)))})
-    d = d.withColumn("run_seconds", F.coalesce(F.first(F.when(F.col("said") > 0, F.col("said")), ignorenulls=True).over(ahead), F.lit(0.0)))
-    outcome = F.when(F.col("verdict") == "ok", "passed").when(F.col("verdict") == "FAILED", "failed").when(F.col("verdict") == "ignored", "ignored")
-    return d.withColumn("outcome", outcome).where("outcome is not null").select("suite", "pos", F.col("name").alias("test"), "outcome", "run_seconds")
+    key = ["suite", "_block"]
+    d = stored(log_events(lines).withColumn("_block", F.floor(F.col("pos") / block)), "log-events")
+    past, ahead = (Window.partitionBy(*key).orderBy("pos").rowsBetween(*ends) for ends in ((Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)))
+    ends = d.groupBy(*key).agg(F.max_by("time", F.when(F.col("time").isNotNull(), F.col("pos"))).alias("_last"))
+    before = Window.partitionBy("suite").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*key, F.coalesce(F.last("_last", ignorenulls=True).over(before), F.lit(0.0)).alias("_carried"))
+    said = F.when(F.col("result"), F.coalesce(F.last("time", ignorenulls=True).over(past), F.col("_carried")))
+    d = d.join(carried, key).withColumn("_said", said).withColumn("_said", F.when(F.col("_said") > 0, F.col("_said")))
+    starts = d.groupBy(*key).agg(F.min_by("_said", F.when(F.col("_said").isNotNull(), F.col("pos"))).alias("_first"))
+    after = Window.partitionBy("suite").orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    awaited = starts.select(*key, F.coalesce(F.first("_first", ignorenulls=True).over(after), F.lit(0.0)).alias("_awaited"))
+    d = d.join(awaited, key).withColumn("run_seconds", F.coalesce(F.first("_said", ignorenulls=True).over(ahead), F.col("_awaited")))
+    return d.where("outcome is not null").select("suite", "pos", "test", "outcome", "run_seconds")
 
 
 def link_readings(links: DataFrame, readings: DataFrame) -> DataFrame:
@@ -66,7 +88,8 @@ def readings_to_units(readings: DataFrame) -> DataFrame:
 def mutant_rows(lines: DataFrame, functions: DataFrame, most: int = 5) -> DataFrame:
     """Source lines (file, line, text) inside functions (file, label, start, end) to at most ``most`` mutants each.
 
-    A range join behind the equality of file. Comments, attributes and lines with quotes are left alone.
+    An interval join: functions stand in each stretch of ``STRETCH`` lines that they reach into, a line meets those of its
+    own stretch only. Comments, attributes and lines with quotes are left alone.
     """
     t = F.ltrim("text")
     code = lines.where(~t.rlike(r'^(//|#\[|#!|\*)') & ~F.contains("text", F.lit('"')))
@@ -77,7 +100,10 @@ def mutant_rows(lines: DataFrame, functions: DataFrame, most: int = 5) -> DataFr
         after = F.when(at > 0, swapped).otherwise(after)
         operator = F.when(at > 0, F.lit(f"{a.strip()} to {b.strip()}")).otherwise(operator)
     code = code.withColumns({"after": after, "operator": operator}).where("after is not null")
-    j = code.join(functions, "file").where("line between start and end")
+    code = code.withColumn("_at", F.floor(F.col("line") / STRETCH))
+    spans = F.sequence(F.floor(F.col("start") / STRETCH), F.floor(F.col("end") / STRETCH))
+    inside = functions.where("start <= end").withColumn("_at", F.explode(spans))
+    j = code.join(inside, ["file", "_at"]).where("line between start and end")
     w = Window.partitionBy("file", "label").orderBy("line")
     return j.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("file", "label", "line", F.col("text").alias("before"), "after", "operator")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .shared import stored
 
 #: Ordered support levels.
 SUPPORT = ["Prompt", "Absent", "Loose", "InCommit", "Added"]
@@ -27,31 +28,62 @@ def locate_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     return g.select("sha", "quote_id", F.col("b.place").alias("place"), match.alias("match"))
 
 
-def locate_anywhere(quotes: DataFrame, texts: DataFrame, width: int = 8) -> DataFrame:
+#: Word grams and windows, longest first: of ``gram + window - 1`` words that a quote and a text share, one gram is the
+#: least of a window in both.
+WINNOW = [(4, 5), (2, 1), (1, 1)]
+
+
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def winnowed(words: Column, gram: int, window: int) -> Column:
+    """The least hash of each ``window`` of neighbouring grams of ``gram`` words, each once."""
+    none = F.array().cast("array<bigint>")
+
+    def each(items: Column, width: int, f) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(items) - width, F.lit(0)))
+        return F.when(F.size(items) >= width, F.transform(places, lambda i: f(*[F.get(items, i + j) for j in range(width)]))).otherwise(none)
+
+    least = (lambda *g: F.least(*g)) if window > 1 else lambda g: g
+    return F.array_distinct(bound(words, lambda w: bound(each(w, gram, F.xxhash64), lambda g: each(g, window, least))))
+
+
+def locate_anywhere(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """(quote_id, quote) x (text_id, text) to (quote_id, text_id) of all texts that contain a quote whole.
 
-    Without a commit to join on, quotes are blocked on the hash of their first ``width`` inner words (all of them, if
-    fewer), which a text must hold in a row. Only hashes that a quote has leave the scan of the texts; the texts
-    themselves are joined to the pairs that are left. Quotes without inner words are blocked on their first three
-    characters, shorter ones on the first. Blank quotes are in no text.
+    Without a commit to join on, quotes meet texts by winnowed word grams: a text has a row for each gram that is the
+    least of a window (one in three of its words for quotes of eight inner words and more), a quote one row, its first
+    window's. A quote may start or end inside a word, so only its inner words are sure to be words of the text. Quotes
+    of fewer inner words meet texts by pairs of words or one word, quotes without by their first three characters or the
+    first. Only hashes that a quote has leave the scan of the texts. Blank quotes are in no text.
     """
     words = lambda c: F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), "")
-    q = quotes.where(F.trim("quote") != "").withColumn("w", words(F.col("quote")))
-    # A quote may start or end inside a word, so only its inner words are sure to be words of the text.
-    n = F.when(F.size("w") > 2, F.least(F.size("w") - 2, F.lit(width))).otherwise(F.when(F.length("quote") >= 3, F.lit(-3)).otherwise(F.lit(-1)))
-    q = q.withColumn("n", n)
-    inner = F.when(F.col("n") > 0, F.slice("w", F.lit(2), F.greatest("n", F.lit(0)))).otherwise(F.array(F.substring("quote", 1, F.abs("n"))))
-    keyed = q.select("quote_id", "quote", "n", F.xxhash64("n", inner).alias("k"))
-    keys = keyed.select("n", "k").distinct()
-    sizes = sorted(r["n"] for r in keys.select("n").distinct().collect())  # at most width + 2 numbers
-    t = texts.where("text is not null").select("text_id", "text", words(F.col("text")).alias("w"))
-    held = None
-    for m in sizes:
-        count, piece = (F.size("w") - m + 1, F.slice("w", F.col("i"), F.lit(m))) if m > 0 else (F.length("text") + m + 1, F.array(F.substring("text", F.col("i"), F.lit(-m))))
-        at = t.where(count > 0).select("text_id", "text", "w", F.explode(F.sequence(F.lit(1), count)).alias("i"))
-        mine = keys.where(F.col("n") == m).select("k")
-        hit = at.select("text_id", F.xxhash64(F.lit(m), piece).alias("k")).join(mine, "k").distinct()
-        held = hit if held is None else held.unionByName(hit)
+    q = quotes.where(F.trim("quote") != "").select("quote_id", "quote", words(F.col("quote")).alias("w"))
+    q = q.withColumn("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))).withColumn("n", F.size("w"))
+    way = F.lit(None).cast("int")
+    for k, (gram, window) in reversed(list(enumerate(WINNOW))):
+        way = F.when(F.col("n") >= gram + window - 1, k).otherwise(way)
+    way = F.coalesce(way, F.when(F.length("quote") >= 3, len(WINNOW)).otherwise(len(WINNOW) + 1))
+    q = stored(q.withColumn("way", way), "quotes")
+    ways = sorted(r["way"] for r in q.select("way").distinct().collect())  # five numbers at most
+    keyed, held = None, None
+    for k in ways:
+        mine = q.where(F.col("way") == k)
+        if k < len(WINNOW):
+            gram, window = WINNOW[k]
+            mine = mine.withColumn("f", F.get(winnowed(F.slice("w", 1, gram + window - 1), gram, window), F.lit(0)))
+            at = texts.where("text is not null").select("text_id", winnowed(words(F.col("text")), gram, window).alias("f"))
+        else:
+            length = 3 if k == len(WINNOW) else 1
+            mine = mine.withColumn("f", F.xxhash64(F.substring("quote", 1, length)))
+            places = F.sequence(F.lit(1), F.greatest(F.length("text") - length + 1, F.lit(1)))
+            at = texts.where("text is not null").withColumn("f", F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(length))))))
+        mine = mine.select("quote_id", "quote", F.xxhash64(F.lit(k), "f").alias("k"))
+        hit = at.select("text_id", F.explode("f").alias("f")).select("text_id", F.xxhash64(F.lit(k), "f").alias("k"))
+        hit = hit.join(mine.select("k").distinct(), "k", "left_semi")
+        keyed, held = (mine, hit) if held is None else (keyed.unionByName(mine), held.unionByName(hit))
     if held is None:
         return texts.select(F.lit(None).cast(quotes.schema["quote_id"].dataType).alias("quote_id"), "text_id").limit(0)
     pairs = held.join(keyed, "k").select("quote_id", "quote", "text_id").distinct()

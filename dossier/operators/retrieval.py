@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,10 +19,18 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], most: int, name: s
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= most)
 
 
-def postings(docs: DataFrame, terms: Column, id_col: str = "doc_id") -> DataFrame:
-    """(doc, term, tf, len) of an array column of terms."""
+def postings(docs: DataFrame, terms: Column, id_col: str = "doc_id", asked: DataFrame | None = None, lengths: Observation | None = None) -> DataFrame:
+    """(doc, term, tf, len) of an array column of terms; with ``asked`` (term), of those terms only.
+
+    ``lengths`` sees all documents pass, and tells their number and length once the postings have been read.
+    """
     d = docs.select(F.col(id_col).alias("doc"), terms.alias("terms"))
+    if lengths is not None:
+        n = F.size("terms")
+        d = d.observe(lengths, F.count_if(n > 0).alias("n_docs"), F.sum(F.greatest(n, F.lit(0))).alias("n_terms"))
     d = d.select("doc", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    if asked is not None:
+        d = d.join(asked.select("term").distinct(), "term", "left_semi")
     return d.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
@@ -31,30 +39,97 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25_search(post: DataFrame, queries: DataFrame, *, kinds: DataFrame | None = None, most: int = 12, min_weight: float = 0.0) -> DataFrame:
-    """(query, term) against an index (doc, term, tf, len) to the ``most`` best (query, doc, score, terms, rank).
+#: What sums of scores may differ by when they are added up in another order.
+SLACK = 1e-6
 
-    Frequencies and lengths are those of the whole index; ``kinds`` (doc) restricts results before the limit. A hit
-    counts only if one of its terms contributes at least ``min_weight``. Ties (to nine places) go to the smaller doc.
 
-    The index is stored once, as it is read for its lengths and for the postings of the terms that are asked for.
+def bm25_search(
+    post: DataFrame, queries: DataFrame, *, kinds: DataFrame | None = None, most: int = 12, min_weight: float = 0.0, lengths: Observation | None = None
+) -> DataFrame:
+    """(query, term) against an index (doc, term, tf, len) to the ``most`` best (query, doc, score, terms, rank).
+
+    Frequencies and lengths are those of the whole index (``lengths`` has seen them, where ``post`` holds asked terms
+    only); ``kinds`` (doc) restricts results before the limit. A hit counts only if one of its terms contributes at least
+    ``min_weight``. Ties (to nine places) go to the smaller doc.
     """
-    post = stored(post, "postings")
-    lens = post.groupBy("doc").agg(F.max("len").alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    n, avg = lens.first()  # two numbers
+    asked = stored(queries.select("query", "term").distinct(), "asked-terms")
+    if lengths is None:
+        n, avg = post.groupBy("doc").agg(F.max("len").alias("len")).agg(F.count("*"), F.avg("len")).first()  # two numbers
+        post = post.join(asked.select("term").distinct(), "term", "left_semi")
+    index = stored(post, "postings")
+    if lengths is not None:
+        n, avg = lengths.get["n_docs"] or 0, (lengths.get["n_terms"] or 0) / max(1, lengths.get["n_docs"] or 0)
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = queries.select("query", "term").distinct()
-    index = post.join(asked.select("term").distinct(), "term", "left_semi")
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg or 1.0)))
     index = index.join(term_stats(index), "term")
     if kinds is not None:
-        index = index.join(kinds.select(F.col("doc")), "doc", "left_semi")
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg or 1.0)))
-    hits = stored(asked.join(index.withColumn("w", idf * tf).select("doc", "term", "w"), "term"), "search-hits")
-    g = hits.groupBy("query", "doc").agg(F.sum("w").alias("score"), F.max("w").alias("top")).where(F.col("top") >= min_weight)
-    best = ranked(g, ["query"], [F.desc(F.round("score", 9)), F.col("doc")], most)
-    # Terms are gathered for the hits that are kept only.
-    kept = hits.join(best, ["query", "doc"]).groupBy("query", "doc", "score", "rank").agg(F.array_sort(F.collect_list(F.struct(-F.col("w"), "term"))).alias("ts"))
-    return kept.select("query", "doc", "score", F.transform("ts", lambda t: t["term"]).alias("terms"), "rank")
+        index = index.join(kinds.select("doc"), "doc", "left_semi")
+    index = stored(index.select("doc", "term", (idf * tf).alias("w")), "weights")
+    top = top_scores(asked, index, most, min_weight=min_weight)
+    best = stored(ranked(top, ["query"], [F.desc(F.round("score", 9)), F.col("doc")], most), "best-hits")
+    return best.join(shared_terms(best, asked, index), ["query", "doc"]).select("query", "doc", "score", "terms", "rank")
+
+
+def shared_terms(pairs: DataFrame, asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(query, doc, terms) of pairs: the terms that they share, heaviest first."""
+    hits = pairs.select("query", "doc").join(asked.select("query", "term"), "query").join(index, ["doc", "term"])
+    g = hits.groupBy("query", "doc").agg(F.array_sort(F.collect_list(F.struct(-F.col("w"), "term"))).alias("ts"))
+    return g.select("query", "doc", F.transform("ts", lambda t: t["term"]).alias("terms"))
+
+
+def top_scores(asked: DataFrame, index: DataFrame, most: int, *, min_weight: float = 0.0, bonus: DataFrame | None = None) -> DataFrame:
+    """(query, term) against an index (doc, term, w), both stored, to (query, doc, score): for each query the ``most``
+    documents with the greatest sums of weights over shared terms, and those that tie with the last (to nine places).
+
+    Documents count only if one shared term weighs at least ``min_weight``. ``bonus`` (query, doc, bonus) is added to the
+    sum, and is a document's score where no term is shared.
+
+    Not every document that shares a term is scored. Those that share a query's rarest terms are scored first; the
+    ``most``-th of them sets the query's threshold. With the query's terms in order of their greatest weights, a document
+    is at most what its last term weighs in it and all terms before weigh anywhere: only postings for which that reaches
+    the threshold make a document a candidate, and only candidates are looked up under all terms.
+    """
+    bounds = index.groupBy("term").agg(F.count("*").alias("n"), F.max("w").alias("bound"))
+    asked = stored(asked.select("query", "term").join(bounds, "term"), "query-terms")
+    extra = None if bonus is None else stored(bonus, "bonus")
+    first = stored(scored(first_hits(asked, index, 16 * most), asked, index, min_weight, extra), "first-hits")
+    reached = ranked(first, ["query"], [F.desc("score")], most).groupBy("query").agg(F.count("*").alias("k"), F.min("score").alias("least"))
+    reached = reached.where(F.col("k") == most).select("query", (F.col("least") - SLACK).alias("least"))
+    pairs = candidates(stored(with_thresholds(asked, reached), "thresholds"), index)
+    all_ = scored(pairs, asked, index, min_weight, extra)
+    return all_.withColumn("_r", F.rank().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9))))).where(F.col("_r") <= most).drop("_r")
+
+
+def first_hits(asked: DataFrame, index: DataFrame, enough: int) -> DataFrame:
+    """(query, doc) under each query's rarest terms, as many of them as it takes to ``enough`` postings."""
+    w = Window.partitionBy("query").orderBy("n", "term").rowsBetween(Window.unboundedPreceding, -1)
+    rare = asked.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") < enough)
+    return rare.select("query", "term").join(index, "term").select("query", "doc").distinct()
+
+
+def scored(pairs: DataFrame, asked: DataFrame, index: DataFrame, min_weight: float, bonus: DataFrame | None) -> DataFrame:
+    """(query, doc, score) of pairs (and of those with a bonus) by all of the query's terms."""
+    if bonus is not None:
+        pairs = pairs.union(bonus.select("query", "doc")).distinct()
+    hits = pairs.join(asked.select("query", "term"), "query").join(index, ["doc", "term"])
+    g = hits.groupBy("query", "doc").agg(F.sum("w").alias("score"), F.max("w").alias("top")).where(F.col("top") >= min_weight).drop("top")
+    if bonus is None:
+        return g
+    both = g.join(bonus, ["query", "doc"], "full_outer")
+    return both.select("query", "doc", (F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))).alias("score"))
+
+
+def with_thresholds(asked: DataFrame, reached: DataFrame) -> DataFrame:
+    """``asked`` with need: what a term has to weigh in a document so that the document may reach the query's threshold
+    without any later term. 0 where no threshold is known. Of equal bounds, frequent terms come first."""
+    before = Window.partitionBy("query").orderBy("bound", F.desc("n"), "term").rowsBetween(Window.unboundedPreceding, -1)
+    need = F.coalesce(F.col("least") - F.coalesce(F.sum("bound").over(before), F.lit(0.0)), F.lit(0.0))
+    return asked.join(reached, "query", "left").select("query", "term", "bound", need.alias("need")).where("bound >= need")
+
+
+def candidates(split: DataFrame, index: DataFrame) -> DataFrame:
+    """(query, doc) of the postings that weigh what their query needs of them."""
+    return split.join(index, "term").where(F.col("w") >= F.col("need")).select("query", "doc").distinct()
 
 
 def context_scope(tasks: DataFrame, files: DataFrame, hits: DataFrame, units: DataFrame, most: int = 6) -> DataFrame:
@@ -106,25 +181,32 @@ def shortlist_tests(claims: DataFrame, tests: DataFrame, most: int = 10) -> Data
 
     A term weighs max(ln(N / (1 + df)), 0.1) over all tests.
     """
-    post = tests.select("label", "file", F.explode(T.identifier_terms(F.col("text"))).alias("term"))
-    n = tests.count()
-    df = post.groupBy("term").agg(F.count_distinct("label").alias("df"))
-    weight = F.greatest(F.log(F.lit(float(n)) / (1 + F.col("df"))), F.lit(0.1))
-    c = claims.select("claim", F.explode(T.identifier_terms(F.col("text"))).alias("term"))
-    hits = c.join(post.join(df.withColumn("w", weight), "term"), "term").groupBy("claim", "label").agg(
-        F.sum("w").alias("s"), F.array_sort(F.collect_list(F.struct(-F.col("w"), "term"))).alias("ts")
-    )
-    touched = claims.select("claim", F.explode("files").alias("file")).join(tests.select("label", "file"), "file").select("claim", "label", F.lit(1.0).alias("t")).distinct()
-    j = hits.join(touched, ["claim", "label"], "full_outer")
-    j = j.select("claim", "label", (F.coalesce("s", F.lit(0.0)) + F.coalesce("t", F.lit(0.0))).alias("score"), F.transform("ts", lambda x: x["term"]).alias("terms"))
-    return ranked(j.where("score > 0"), ["claim"], [F.desc(F.round("score", 9)), F.col("label")], most)
+    post = tests.select(F.col("label").alias("doc"), F.explode(T.identifier_terms(F.col("text"))).alias("term"))
+    weight = F.greatest(F.log(F.lit(float(tests.count())) / (1 + F.col("df"))), F.lit(0.1))
+    asked = stored(claims.select(F.col("claim").alias("query"), F.explode(T.identifier_terms(F.col("text"))).alias("term")).distinct(), "asked-terms")
+    post = stored(post.join(asked.select("term").distinct(), "term", "left_semi"), "postings")
+    df = post.groupBy("term").agg(F.count_distinct("doc").alias("df"))
+    index = stored(post.join(df.select("term", weight.alias("w")), "term").select("doc", "term", "w"), "weights")
+    touched = claims.select("claim", F.explode("files").alias("file")).join(tests.select("label", "file"), "file")
+    touched = touched.select(F.col("claim").alias("query"), F.col("label").alias("doc"), F.lit(1.0).alias("bonus")).distinct()
+    top = top_scores(asked, index, most, bonus=touched).where("score > 0")
+    best = stored(ranked(top, ["query"], [F.desc(F.round("score", 9)), F.col("doc")], most), "shortlist")
+    out = best.join(shared_terms(best, asked, index), ["query", "doc"], "left")
+    return out.select(F.col("query").alias("claim"), F.col("doc").alias("label"), "score", "terms", "rank")
 
 
 def retrieve_facts(claims: DataFrame, facts: DataFrame, *, structural: int = 30, prose: int = 10, room: int = 20_000) -> DataFrame:
     """Claims (claim, text) to facts (fact, text, prose) with most shared words: two quotas, then a cut at ``room`` bytes."""
-    words = facts.select("fact", "prose", "text", F.explode(T.word_terms(F.col("text"))).alias("term"))
-    c = claims.select("claim", F.explode(T.word_terms(F.col("text"))).alias("term"))
-    hits = c.join(words, "term").groupBy("claim", "fact").agg(F.count("*").alias("shared"), F.first("prose").alias("prose"), F.first("text").alias("text"))
+    asked = stored(claims.select(F.col("claim").alias("query"), F.explode(T.word_terms(F.col("text"))).alias("term")).distinct(), "asked-terms")
+    words = facts.select(F.col("fact").alias("doc"), F.coalesce("prose", F.lit(False)).alias("prose"), F.explode(T.word_terms(F.col("text"))).alias("term"))
+    index = stored(words.join(asked.select("term").distinct(), "term", "left_semi").withColumn("w", F.lit(1.0)), "postings")
+    hits = None
+    for kind, most in ((False, structural), (True, prose)):
+        top = top_scores(asked, index.where(F.col("prose") == kind).drop("prose"), most)
+        top = top.select(F.col("query").alias("claim"), F.col("doc").alias("fact"), F.col("score").cast("long").alias("shared"), F.lit(kind).alias("prose"))
+        hits = top if hits is None else hits.unionByName(top)
+    # Texts settle ties only, so that they join what is left.
+    hits = hits.join(facts.select("fact", "text"), "fact")
     w = Window.partitionBy("claim", "prose").orderBy(F.desc("shared"), "text", "fact")
     hits = hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.when(F.col("prose"), prose).otherwise(structural))
     order = Window.partitionBy("claim").orderBy("prose", "r").rowsBetween(Window.unboundedPreceding, 0)

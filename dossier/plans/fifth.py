@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -74,10 +74,11 @@ SELECT query, doc, rank, terms, round(score, 6) AS score FROM r WHERE rank <= 5
 """)
 def searched_kinds(t) -> DataFrame:
     """The best documents of one language for each benchmark item, with terms folded and a least weight."""
-    post = retrieval.postings(t("documents"), T.search_terms(F.col("text")))
     q = t("benchmark").select(F.col("item_id").alias("query"), F.explode(T.search_terms(F.col("text"))).alias("term"))
+    lengths = Observation()
+    post = retrieval.postings(t("documents"), T.search_terms(F.col("text")), asked=q, lengths=lengths)
     kinds = t("documents").withColumn("kind", F.when(F.col("lang") == "en", retrieval.JUDGED_KINDS[0]).otherwise("note")).where(F.col("kind").isin(retrieval.JUDGED_KINDS))
-    got = retrieval.bm25_search(post, q, kinds=kinds.select(F.col("doc_id").alias("doc")), most=5, min_weight=2.0)
+    got = retrieval.bm25_search(post, q, kinds=kinds.select(F.col("doc_id").alias("doc")), most=5, min_weight=2.0, lengths=lengths)
     return got.select("query", "doc", "rank", F.size("terms").cast("long").alias("terms"), F.round("score", 6).alias("score"))
 
 
@@ -167,8 +168,9 @@ def labelling_status(t) -> DataFrame:
 
 @query("""
 WITH a AS (SELECT conv_id, turn, list(turn) FILTER (WHERE turn % 3 = 0) OVER (PARTITION BY conv_id ORDER BY turn) AS have FROM conversations),
-v AS (SELECT conv_id || '/' || turn AS id, array_to_string(list_sort(list_transform(coalesce(have, []), lambda x: conv_id || '/' || x)), ',') AS set_, len(coalesce(have, [])) AS commits FROM a)
-SELECT id, sha256(set_) AS variant, commits FROM v
+v AS (SELECT conv_id || '/' || turn AS id, list_transform(coalesce(have, []), lambda x: md5(conv_id || '/' || x)) AS hs FROM a),
+s AS (SELECT id, len(hs) AS commits, coalesce(list_sum(list_transform(hs, lambda h: ('0x' || substr(h, 1, 15))::HUGEINT)), 0)::HUGEINT AS a, coalesce(list_sum(list_transform(hs, lambda h: ('0x' || substr(h, 16, 15))::HUGEINT)), 0)::HUGEINT AS b FROM v)
+SELECT id, commits || ':' || a || ':' || b AS variant, commits FROM s
 """)
 def shared_corpora(t) -> DataFrame:
     """Each turn as a case based on itself; every third turn is recorded, all before it are its ancestors."""

@@ -10,7 +10,7 @@ from ..operators import evaluate, evidence, judging, quotes, record, staleness,
 from ..operators.shared import shared_folder
 from ..sources import readers, sinks
 from ..streaming import streams
-from .more import event_log, page_diffs
+from .more import LOG_SQL, event_log, page_diffs
 from .queries import query
 
 
@@ -75,24 +75,50 @@ def commit_texts(t) -> DataFrame:
     return got.select("sha", F.octet_length("after").cast("long").alias("bytes"))
 
 
-@query("""
-WITH l AS (SELECT DISTINCT p_brand AS repo, ['test', 'build', 'check', 'install', '+nightly doc'][(p_size % 5 + 1)::INT] AS command, p_size % 2 = 0 AS uses FROM part),
-m AS (SELECT DISTINCT p_brand AS repo, CASE WHEN p_size % 3 = 0 THEN '--all-features' ELSE '--no-default-features --features ' || lower(p_type) END AS flags FROM part),
-j AS (SELECT l.repo, command, uses, flags FROM l LEFT JOIN m ON uses AND l.repo = m.repo)
-SELECT DISTINCT repo, command, uses AND contains(flags, '--all') AS all_features, NOT (uses AND contains(flags, '--no-default')) AS default_features,
-    CASE WHEN uses THEN regexp_extract(flags, '--features (.*)$', 1) ELSE 'a,b' END AS features FROM j WHERE command IN ('test', 'build', 'install')
-""")
+CI_SQL = """
+w AS (SELECT DISTINCT p_brand AS repo, p_mfgr_ AS file, ['test', 'build', 'check', 'install', '+nightly doc'][(p_size % 5 + 1)::INT] AS command,
+    [' --features a ${{ matrix.f }}', ' --features x --features y', ' --features  z', ' --features --all-features', ' ${{ matrix.flags }}', ' --features "b,a," --features=c'][(p_size % 6 + 1)::INT] AS rest
+    FROM (SELECT *, 'w' || p_partkey % 2 AS p_mfgr_ FROM part)),
+m AS (SELECT DISTINCT p_brand AS repo, 'w' || p_partkey % 2 AS file, CASE p_size % 3 WHEN 0 THEN '--all-features' WHEN 1 THEN '--no-default-features --features ' || lower(p_type) ELSE '--features b' END AS flags FROM part WHERE p_partkey % 2 = 0),
+j AS (SELECT w.repo, command, concat_ws(' ', rest, flags) AS line FROM w LEFT JOIN m ON contains(rest, '${{') AND w.repo = m.repo AND w.file = m.file WHERE command IN ('test', 'build', 'install')),
+f AS (SELECT *, list_sort(list_distinct(list_filter(list_transform(flatten(list_transform(regexp_extract_all(line, '--features[ =]*([^ ]*)', 1), lambda x: string_split(x, ','))), lambda y: trim(y, '",')),
+    lambda z: z <> '' AND NOT starts_with(z, '--')))) AS features FROM j),
+b AS (SELECT DISTINCT repo, command, contains(line, '--all-features') AS all_features, NOT contains(line, '--no-default-features') AS default_features, array_to_string(features, ',') AS features FROM f)
+"""
+
+
+def workflows(t) -> DataFrame:
+    """Two workflow files a brand; every line runs one command, the first file's list items are its matrix."""
+    part = t("part").select("p_size", F.col("p_brand").alias("repo"), F.concat(F.lit("w"), (F.col("p_partkey") % 2).cast("string")).alias("file"), F.lower("p_type").alias("type"), "p_partkey")
+    pick = lambda k, *items: F.element_at(F.array(*map(F.lit, items)), (k + 1).cast("int"))
+    command = pick(F.col("p_size") % 5, "test", "build", "check", "install", "+nightly doc")
+    rest = pick(
+        F.col("p_size") % 6, " --features a ${{ matrix.f }}", " --features x --features y", " --features  z", " --features --all-features", " ${{ matrix.flags }}", ' --features "b,a," --features=c'
+    )
+    flags = F.when(F.col("p_size") % 3 == 0, F.lit("--all-features")).when(F.col("p_size") % 3 == 1, F.concat(F.lit("--no-default-features --features "), "type")).otherwise(F.lit("--features b"))
+    runs = part.select("repo", "file", F.concat(F.lit("  - run: cargo "), command, rest).alias("line"))
+    items = part.where("p_partkey % 2 = 0").select("repo", "file", F.concat(F.lit('      - "'), flags, F.lit('"')).alias("line"))
+    return runs.unionByName(items).unionByName(part.select("repo", "file", F.lit("      - plain").alias("line")))
+
+
+@query(f"WITH {CI_SQL} SELECT repo, command, all_features, default_features, features FROM b")
 def ci_builds(t) -> DataFrame:
-    part = t("part")
-    command = F.element_at(F.array(*map(F.lit, ["test", "build", "check", "install", "+nightly doc"])), (F.col("p_size") % 5 + 1).cast("int"))
-    rest = F.when(F.col("p_size") % 2 == 0, F.lit(" ${{ matrix.flags }}")).otherwise(F.lit(" --features b,a"))
-    lines = part.select(F.col("p_brand").alias("repo"), F.lit("ci.yml").alias("file"), F.concat(F.lit("  - run: cargo "), command, rest).alias("line")).distinct()
-    flags = F.when(F.col("p_size") % 3 == 0, F.lit("--all-features")).otherwise(F.concat(F.lit("--no-default-features --features "), F.lower("p_type")))
-    matrix = part.select(F.col("p_brand").alias("repo"), F.lit("ci.yml").alias("file"), flags.alias("flags")).distinct()
-    b = readers.read_ci_builds(lines, matrix)
+    b = readers.read_ci_builds(workflows(t))
     return b.select("repo", "command", "all_features", "default_features", F.array_join("features", ",").alias("features"))
 
 
+@query(f"""WITH {CI_SQL}, k AS (SELECT row_number() OVER () AS build, unnest(string_split(features, ',')) AS feature FROM b WHERE features <> ''), n AS (SELECT DISTINCT p_type AS item, CASE WHEN p_size % 2 = 0 THEN lower(p_type) ELSE 'a' END AS feature FROM part),
+h AS (SELECT n.item, k.build, count(DISTINCT n.feature) AS has FROM n JOIN k USING (feature) GROUP BY ALL), c AS (SELECT item, count(*) AS needed FROM n GROUP BY item),
+g AS (SELECT c.item, count(h.build) FILTER (WHERE has = needed) AS holds FROM c LEFT JOIN h ON h.item = c.item GROUP BY c.item)
+SELECT item, CASE WHEN holds = (SELECT count(DISTINCT build) FROM k) THEN 'always' WHEN holds = 0 THEN 'never' ELSE 'some' END AS coverage, holds AS builds FROM g""")
+def ci_coverage(t) -> DataFrame:
+    """What the workflows' builds cover, of features that go by part types."""
+    b = readers.read_ci_builds(workflows(t)).where(F.size("features") > 0)
+    builds = b.select(F.sha2(F.to_json(F.struct("*")), 256).alias("build"), F.explode("features").alias("feature"))
+    needs = t("part").select(F.col("p_type").alias("item"), F.when(F.col("p_size") % 2 == 0, F.lower("p_type")).otherwise(F.lit("a")).alias("feature"), F.lit(False).alias("negated"))
+    return evidence.feature_coverage(needs.select("item").distinct(), needs, builds)
+
+
 @query("""
 WITH c AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
 SELECT 'decision' AS kind, conv_id::VARCHAR AS commit, 'D' || k AS id, role || ' ' || turn AS text FROM c
@@ -275,6 +301,20 @@ def checked_consequences(t) -> DataFrame:
     return n(edges.where("kind = 'backs'"), "backs").union(n(none, "none")).union(n(edges.where("kind = 'causes'"), "causes")).union(n(u.where("kind = 'finding'"), "finding"))
 
 
+@query(f"WITH {LOG_SQL} SELECT user_id AS suite, 'm::t' || pos AS test, outcome, s::DOUBLE AS run_seconds FROM f WHERE outcome IS NOT NULL")
+def streamed_readings(t) -> DataFrame:
+    """The test log as it arrives in four pieces, with what still waits when it ends."""
+    log, spark = event_log(t), t("events").sparkSession
+    folder, out, at = (scratch(log, n) for n in ("log", "readings", "stream"))
+    most = log.agg(F.max("pos")).first()[0] or 0
+    for k in range(4):
+        log.where((F.col("pos") * 4 > k * most) & (F.col("pos") * 4 <= (k + 1) * most) | ((k == 0) & (F.col("pos") <= 0))).write.mode("append").parquet(folder)
+        readings = streams.stream_test_log(spark.readStream.schema(log.schema).parquet(folder))
+        readings.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out).unionByName(streams.waiting_tests(spark, at))
+    return rows.select("suite", "test", "outcome", "run_seconds")
+
+
 @query("""
 WITH r AS (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'failed' WHEN event_id % 7 = 0 THEN 'ignored' ELSE 'passed' END AS outcome FROM events),
 k AS (SELECT *, ['verifies', 'exercises', 'unrelated'][(event_id % 3 + 1)::INT] AS kind FROM r WHERE outcome IS NOT NULL)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -228,9 +228,10 @@ h AS (SELECT query, doc, sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.2 / (
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM h)
 SELECT query, doc, rank, round(score, 4) AS score FROM r WHERE rank <= 12""")
 def bm25_top(t) -> DataFrame:
-    post = retrieval.postings(t("documents"), words_of("text"))
     q = t("benchmark").select(F.col("item_id").alias("query"), F.explode(words_of("text")).alias("term"))
-    return retrieval.bm25_search(post, q).select("query", "doc", "rank", F.round("score", 4).alias("score"))
+    lengths = Observation()
+    post = retrieval.postings(t("documents"), words_of("text"), asked=q, lengths=lengths)
+    return retrieval.bm25_search(post, q, lengths=lengths).select("query", "doc", "rank", F.round("score", 4).alias("score"))
 
 
 @query("""

@@ -80,20 +80,30 @@ def read_queue(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return q.where("ids is not null").select(F.explode("ids").alias("sha")), q.where("ids is null").select("value", why.alias("reason"))
 
 
-def read_ci_builds(lines: DataFrame, matrix: DataFrame) -> DataFrame:
+def read_ci_builds(lines: DataFrame, matrix: DataFrame | None = None) -> DataFrame:
     """Workflow lines (repo, file, line) to builds (repo, command, all_features, default_features, features).
 
-    A line that interpolates stands for every matrix entry (repo, file, flags) of its file. A toolchain before the
-    command is taken for the command, as it is for the lines' own reader, so such lines give no build.
+    A line that interpolates stands for every flag entry of its file's matrix: the list items of the same file that
+    start with two dashes, or ``matrix`` (repo, file, flags) where it is given. All ``--features`` lists of a line count,
+    but for names that are options themselves. A toolchain before the command is taken for the command, as it is for the
+    lines' own reader, so such lines give no build.
     """
-    use = F.contains("line", F.lit("${{"))
-    m = matrix.select(F.col("repo").alias("_mr"), F.col("file").alias("_mf"), F.col("flags").alias("_flags"))
-    j = lines.join(m, use & (F.col("repo") == F.col("_mr")) & (F.col("file") == F.col("_mf")), "left")
-    full = F.when(use, F.concat_ws(" ", F.regexp_replace("line", r"\$\{\{[^}]*\}\}", ""), "_flags")).otherwise(F.col("line"))
-    command = F.regexp_extract(full, r"^.*?cargo \s*\+*(\S+)", 1)
-    named = F.regexp_extract(full, r"--features[ =]\"?([^\"\s]+(?:,[^\"\s]+)*)", 1)
-    b = j.select(
-        "repo", command.alias("command"), F.contains(full, F.lit("--all-features")).alias("all_features"), (~F.contains(full, F.lit("--no-default-features"))).alias("default_features"),
-        F.array_sort(F.array_distinct(F.filter(F.split(named, ","), lambda x: x != ""))).alias("features"),
-    )
-    return b.where(F.col("command").isin(BUILD_COMMANDS)).distinct()
+    bare = lambda c, what: F.regexp_replace(c, rf"^{what}+|{what}+$", "")
+    if matrix is None:
+        item = bare(F.col("line"), r"\s")
+        matrix = lines.where(F.startswith(item, F.lit("- "))).select("repo", "file", bare(F.substring(item, 3, 1 << 30), "[\"']").alias("flags"))
+        matrix = matrix.where(F.startswith("flags", F.lit("--")))
+    after = F.when(F.contains("line", F.lit("cargo ")), F.substring_index(F.regexp_replace("line", r"^.*?cargo ", "\n"), "\n", -1))
+    rest = lines.select("repo", "file", after.alias("rest")).where("rest is not null")
+    rest = rest.withColumn("command", F.regexp_extract("rest", r"^\s*\+*(\S*)", 1)).where(F.col("command").isin(BUILD_COMMANDS))
+    m = matrix.select(F.col("repo").alias("_mr"), F.col("file").alias("_mf"), F.col("flags").alias("_flags")).distinct()
+    j = rest.join(m, F.contains("rest", F.lit("${{")) & (F.col("repo") == F.col("_mr")) & (F.col("file") == F.col("_mf")), "left")
+    full = F.concat_ws(" ", "rest", "_flags")
+    # What follows is looked at without being passed over: the next list may start in it.
+    lists = F.regexp_extract_all(full, F.lit(r"--features(?=[ =]*\s*(\S*))"), 1)
+    names = F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), lambda x: bare(x, "[\"',]"))
+    names = F.filter(names, lambda x: (x != "") & ~F.startswith(x, F.lit("--")))
+    return j.select(
+        "repo", "command", F.contains(full, F.lit("--all-features")).alias("all_features"), (~F.contains(full, F.lit("--no-default-features"))).alias("default_features"),
+        F.array_sort(F.array_distinct(names)).alias("features"),
+    ).distinct()

@@ -1,12 +1,16 @@
-"""Two append logs as streams: the commit queue and the record store."""
+"""Append logs as streams: the commit queue, the record store, and test output as it is written."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.evidence import log_events
 from ..operators.record import corpus_only_commits
 from ..operators.store import merge_into
 from ..sources.readers import read_queue
@@ -49,3 +53,47 @@ def drain_queue(
         merge(record(todo) if record else todo, epoch)
 
     return shas.writeStream.foreachBatch(drain).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+READING = "suite {0}, pos long, test string, outcome string, run_seconds double"
+WAITING = "places array<long>, tests array<string>, outcomes array<string>, last double"
+
+
+def close_tests(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Folds a suite's new lines: tests wait in the state until a result line tells or repeats a non-zero time."""
+    if state.exists:
+        places, tests, outcomes, last = (*map(list, state.get[:3]), state.get[3])
+    else:
+        places, tests, outcomes, last = [], [], [], 0.0
+    done = []
+    for r in pd.concat(list(frames)).sort_values("pos", kind="stable").itertuples(index=False):
+        if not r.result:
+            places.append(int(r.pos))
+            tests.append(r.test)
+            outcomes.append(r.outcome)
+            continue
+        last = last if pd.isna(r.time) else float(r.time)
+        if last > 0:
+            done += [(key[0], p, t, o, last) for p, t, o in zip(places, tests, outcomes, strict=True)]
+            places, tests, outcomes = [], [], []
+    state.update((places, tests, outcomes, last))
+    yield pd.DataFrame(done, columns=["suite", "pos", "test", "outcome", "run_seconds"])
+
+
+def stream_test_log(lines: DataFrame) -> DataFrame:
+    """Arriving lines (suite, pos, line) of test output to readings (suite, pos, test, outcome, run_seconds), each as soon
+    as its suite's time is known: in the end, with ``waiting_tests``, the rows of ``read_test_log``.
+
+    A suite's lines arrive in the order of their positions from batch to batch, in any order within one. The state of a
+    suite is its last time and the tests that still wait; a query that starts again goes on from its checkpoint.
+    """
+    kind = lines.schema["suite"].dataType.simpleString()
+    events = log_events(lines).select("suite", "pos", "test", "outcome", "result", "time")
+    return events.groupBy("suite").applyInPandasWithState(close_tests, READING.format(kind), WAITING, "append", GroupStateTimeout.NoTimeout)
+
+
+def waiting_tests(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Tests in the state of a stopped ``stream_test_log``, which no non-zero time has followed: their time is 0."""
+    held = spark.read.format("statestore").load(checkpoint).select("key.*", "value.groupState.*")
+    rows = held.select(F.col(held.columns[0]).alias("suite"), F.explode(F.arrays_zip("places", "tests", "outcomes")).alias("x"))
+    return rows.select("suite", F.col("x.places").alias("pos"), F.col("x.tests").alias("test"), F.col("x.outcomes").alias("outcome"), F.lit(0.0).alias("run_seconds"))

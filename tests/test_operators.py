@@ -157,6 +157,16 @@ def test_readers(spark):
     m = spark.createDataFrame([("r", "w.yml", "--all-features"), ("r", "w.yml", "--features z"), ("q", "w.yml", "--features other")], "repo string, file string, flags string")
     got = {(r.command, r.all_features, r.default_features, tuple(r.features)) for r in readers.read_ci_builds(lines, m).collect()}
     assert got == {("test", True, True, ()), ("test", False, True, ("z",)), ("build", False, False, ("a", "b"))}
+    text = [
+        "jobs:", '      - "--features b"', "  - --all-features", "  - plain", "  run: cargo test --features a ${{ matrix.f }}", "run: cargo build --features x --features y", "cargo doc --features  z",
+        "cargo run --features --all-features", "cargo +nightly test --features n", "cargo install --features='p,q',", "cargo clippy && cargo test", "cargo", "no cargo here",
+    ]
+    lines = spark.createDataFrame([("r", "w.yml", x) for x in text] + [("r", "v.yml", "cargo doc ${{ x }}"), ("r", "v.yml", None)], "repo string, file string, line string")
+    got = {(r.command, r.all_features, tuple(r.features)) for r in readers.read_ci_builds(lines).collect()}
+    assert got == {
+        ("test", False, ("a", "b")), ("test", True, ("a",)), ("build", False, ("x", "y")), ("doc", False, ("z",)), ("run", True, ()), ("install", False, ("p", "q")), ("clippy", False, ()),
+        ("doc", False, ()),
+    }
 
 
 def test_streams_are_idempotent(spark, tmp_path):
