@@ -148,6 +148,11 @@ def one_paragraph(s: Column) -> Column:
     return F.replace(F.array_join(paragraphs(s), " "), F.lit("\n"), F.lit(" "))
 
 
+def reflowed(s: Column) -> Column:
+    """Whether ``one_paragraph`` joins several paragraphs."""
+    return F.size(paragraphs(s)) > 1
+
+
 def first_sentence(s: Column) -> Column:
     """Up to the first full stop followed by a space, or 110 characters."""
     found = F.regexp_extract(s, r"(?s)^(.*?\.) ", 1)
@@ -174,6 +179,17 @@ def input_room(window: Column, answer: Column, chars_per_token: Column) -> Colum
     return F.greatest(F.lit(2000.0), (window - answer) * chars_per_token - 4000)
 
 
+def check_reserve(prompt: Column, view: Column, answer: Column) -> Column:
+    """Tokens that a check keeps free of records: the prompt's, the view's and the answer's."""
+    return prompt + view + answer
+
+
+def check_budget(reserve: Column, budget: Column, window: Column) -> Column:
+    """What prompt, view, answer and packed records may take together: as much as the window holds, and at least 512
+    tokens beyond the reserve."""
+    return F.least(reserve + budget, F.greatest(window, reserve + 512))
+
+
 def is_prose_path(path: Column) -> Column:
     """A file that says what exists rather than doing it."""
     p = F.lower(path)

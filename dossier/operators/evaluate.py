@@ -116,11 +116,20 @@ def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return n.where(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*by).agg(F.min(value).alias(value))
 
 
-def detector_report(cases: DataFrame, findings: DataFrame, hits: DataFrame) -> DataFrame:
+def missed_cases(cases: DataFrame, findings: DataFrame, hits: DataFrame) -> DataFrame:
+    """(id, task, flags) of contradicting cases that have findings, none of which matches their task's pattern."""
+    n = findings.groupBy("id").agg(F.count("*").alias("flags"))
+    return cases.where("contradicting").select("id", "task").join(hits.select("id"), "id", "left_anti").join(n, "id")
+
+
+def detector_report(cases: DataFrame, findings: DataFrame, hits: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
     """By kind of case and in all (null): cases, flagged, flags, contradicting, recalled, missed (contradicting cases with
-    other findings only), recall, tokens, upper median of seconds. ``tokens`` is null where cases have none."""
+    other findings only), recall, tokens, upper median of seconds, and drops: the verdicts (id) that validation left out.
+    ``tokens`` is null where cases have none."""
     n = findings.groupBy("id").agg(F.count("*").alias("flags"))
     j = cases.join(n, "id", "left").join(hits.select("id", F.lit(True).alias("hit")), "id", "left").na.fill(0, ["flags"])
+    out = cases.select("id").limit(0) if dropped is None else dropped
+    j = j.join(out.groupBy("id").agg(F.count("*").alias("drops")), "id", "left").na.fill(0, ["drops"])
     if "tokens" not in j.columns:
         j = j.withColumn("tokens", F.lit(None).cast("long"))
     truth, hit = F.coalesce("contradicting", F.lit(False)), F.coalesce("hit", F.lit(False))
@@ -129,11 +138,11 @@ def detector_report(cases: DataFrame, findings: DataFrame, hits: DataFrame) -> D
     r = j.rollup("kind").agg(
         F.count("*").alias("cases"), F.count_if(F.col("flags") > 0).alias("flagged"), F.sum("flags").alias("flags"),
         F.count_if(truth).alias("contradicting"), F.count_if(truth & hit).alias("recalled"), F.count_if(truth & ~hit & (F.col("flags") > 0)).alias("missed"),
-        F.sum("tokens").alias("tokens"), (1 - F.grouping("kind")).cast("int").alias("_level"),
+        F.sum("tokens").alias("tokens"), F.sum("drops").alias("drops"), (1 - F.grouping("kind")).cast("int").alias("_level"),
     )
     r = r.join(middle, F.col("kind").eqNullSafe(F.col("_kind")) & (F.col("_level") == F.col("level")), "left")
     recall = F.round(F.try_divide("recalled", "contradicting"), 6)
-    return r.select("kind", "cases", "flagged", "flags", "contradicting", "recalled", "missed", recall.alias("recall"), "tokens", "seconds")
+    return r.select("kind", "cases", "flagged", "flags", "contradicting", "recalled", "missed", recall.alias("recall"), "tokens", "seconds", "drops")
 
 
 def task_recall(cases: DataFrame, hits: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .shared import stored
 
+#: The place of a commit's own message.
+MESSAGE = "<message>"
 #: Ordered support levels.
 SUPPORT = ["Prompt", "Absent", "Loose", "InCommit", "Added"]
 
@@ -137,12 +139,21 @@ def check_consequences(items: DataFrame, texts: DataFrame) -> DataFrame:
     return items.join(found, ["sha", "pos"], "left").withColumn("verified", F.col("check_status").isNotNull())
 
 
-def quote_tallies(located: DataFrame, repo: str = "repo") -> DataFrame:
-    """Present, loose and absent quotes for each repository, and in all (null repository)."""
-    return located.rollup(repo).agg(
+def quote_tallies(located: DataFrame, repo: str = "repo", built: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Present, loose and absent quotes for each repository, those found in its diffs, and in all (null repository).
+
+    ``built`` names more to count by repository: what a build made and left out (units, edges, dropped), say.
+    """
+    found = F.col("match") != "absent"
+    out = located.rollup(repo).agg(
         F.count_if(F.col("match") == "exact").alias("present"), F.count_if(F.col("match") == "loose").alias("loose"),
         F.count_if(F.col("match") == "absent").alias("absent"), F.count("*").alias("quotes"),
+        F.count_if(found & (F.col("place") != MESSAGE)).alias("in_diff"),
     )
+    for name, rows in (built or {}).items():
+        n = rows.rollup(repo).agg(F.count("*").alias(name)).withColumnRenamed(repo, "_repo")
+        out = out.join(n, F.col(repo).eqNullSafe(F.col("_repo")), "left").drop("_repo").na.fill(0, [name])
+    return out
 
 
 def support_histogram(checked: DataFrame) -> DataFrame:

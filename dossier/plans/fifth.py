@@ -229,29 +229,31 @@ def arm_outcomes(t) -> DataFrame:
 
 
 @query("""
-WITH k AS (SELECT DISTINCT o_custkey AS task, o_orderpriority AS path FROM orders WHERE o_orderkey % 40 = 0), f AS (SELECT DISTINCT o_orderkey AS sha, o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '/x' END AS path FROM orders WHERE o_custkey % 5 = 0),
-t AS (SELECT DISTINCT task, sha FROM k JOIN f USING (path) WHERE task % 2 = 0), h AS (SELECT user_id AS task, event_id AS doc, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events)
-SELECT task, sha FROM t UNION SELECT k.task, h.doc FROM h JOIN (SELECT DISTINCT task FROM t) k ON k.task = h.task WHERE rank <= 6
-UNION SELECT k.task, f.sha FROM (SELECT DISTINCT task FROM k WHERE task NOT IN (SELECT task FROM t)) k, f
+WITH k AS (SELECT o_orderkey AS task, o_custkey AS repo, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'nowhere' END AS path FROM orders),
+f AS (SELECT o_custkey AS repo, o_orderkey AS sha, o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '/x' END AS path FROM orders),
+t AS (SELECT DISTINCT task, repo, sha FROM k JOIN f USING (repo, path)), h AS (SELECT l_orderkey AS task, l_orderkey * 8 + l_linenumber AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rank FROM lineitem)
+SELECT task, sha FROM t UNION SELECT k.task, h.doc FROM h JOIN (SELECT DISTINCT task FROM t) k ON k.task = h.task WHERE rank <= 3
+UNION SELECT k.task, f.sha FROM (SELECT task, repo FROM k WHERE task NOT IN (SELECT task FROM t)) k JOIN f ON f.repo = k.repo
 """)
 def scoped_commits(t) -> DataFrame:
-    """Every second task names files that commits touch; hits are events, each its own unit and commit."""
-    o = t("orders")
-    path = F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderpriority")).otherwise(F.lit("nowhere"))
-    tasks = o.where("o_orderkey % 40 = 0").select(F.col("o_custkey").alias("task"), F.lit("r").alias("repo"), path.alias("path")).distinct()
-    files = o.where("o_custkey % 5 = 0").select(F.lit("r").alias("repo"), F.col("o_orderkey").alias("sha"), F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("/x")).alias("path"))
-    e = t("events").select(F.col("user_id").alias("task"), F.col("event_id").alias("doc"))
-    hits = e.withColumn("rank", F.row_number().over(Window.partitionBy("task").orderBy("doc")))
-    return retrieval.context_scope(tasks, files, hits, e.select("doc", F.lit("r").alias("repo"), F.col("doc").alias("sha")))
+    """Customers as repositories, their orders as tasks and as commits; every second task names a file that commits may
+    touch. Hits are line items, each its own unit and commit."""
+    o = t("orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("sha"), "o_orderpriority")
+    tasks = o.select(F.col("sha").alias("task"), "repo", F.when(F.col("sha") % 2 == 0, F.col("o_orderpriority")).otherwise(F.lit("nowhere")).alias("path"))
+    files = o.select("repo", "sha", F.concat("o_orderpriority", F.when(F.col("sha") % 3 == 0, "").otherwise("/x")).alias("path"))
+    items = t("lineitem").select(F.col("l_orderkey").alias("task"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("doc"))
+    hits = items.withColumn("rank", F.row_number().over(Window.partitionBy("task").orderBy("doc")))
+    units = items.join(o.select(F.col("sha").alias("task"), "repo"), "task").select("doc", "repo", F.col("doc").alias("sha"))
+    return retrieval.context_scope(tasks, files, hits, units, most=3)
 
 
 @query("""
-WITH u AS (SELECT user_id AS label, count(DISTINCT event_type) AS n, bool_or(event_id % 4 = 0) AS normative FROM events WHERE event_id % 101 < 2 GROUP BY user_id)
-SELECT c_custkey AS claim, coalesce(n = 1 AND normative, false) AS normative FROM customer LEFT JOIN u ON label = c_custkey
+WITH u AS (SELECT l_orderkey AS label, count(DISTINCT l_returnflag) AS n, bool_or(l_linenumber = 4) AS normative FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS claim, coalesce(n = 1 AND normative, false) AS normative FROM orders LEFT JOIN u ON label = o_orderkey
 """)
 def normative_claims(t) -> DataFrame:
-    u = t("events").where("event_id % 101 < 2").select(F.col("user_id").alias("label"), F.col("event_type").alias("uid"), (F.col("event_id") % 4 == 0).alias("normative"))
-    return judging.normative_of(t("customer").select(F.col("c_custkey").alias("claim")), u)
+    u = t("lineitem").select(F.col("l_orderkey").alias("label"), F.col("l_returnflag").alias("uid"), (F.col("l_linenumber") == 4).alias("normative"))
+    return judging.normative_of(t("orders").select(F.col("o_orderkey").alias("claim")), u)
 
 
 @query("""

@@ -32,16 +32,20 @@ SELECT conv_id, turn, len({IDENTS.format('text')}) AS idents, md5(array_to_strin
     sha256(role || chr(31) || text) AS print, coalesce(CASE WHEN turn > 1 THEN role END, 'none') AS role, substr(md5(text), 1, 12) AS short,
     CASE WHEN regexp_extract(text, '(?s)^(.*?\.) ', 1) <> '' THEN regexp_extract(text, '(?s)^(.*?\.) ', 1) ELSE left(text, 110) END AS sentence,
     CASE WHEN turn > 1 THEN role || ' ' || text ELSE role END AS claim,
-    greatest(2000.0, (turn * 1000 - 500) * 3.5 - 4000) AS room, ceil(turn * 3.5 / 4)::BIGINT AS units FROM conversations
+    greatest(2000.0, (turn * 1000 - 500) * 3.5 - 4000) AS room, ceil(turn * 3.5 / 4)::BIGINT AS units,
+    ceil(strlen(role) / 4.0)::BIGINT + ceil(strlen(text) / 4.0)::BIGINT + 100 AS reserve,
+    least(ceil(strlen(role) / 4.0)::BIGINT + ceil(strlen(text) / 4.0)::BIGINT + 100 + 300 * turn, greatest(450, ceil(strlen(role) / 4.0)::BIGINT + ceil(strlen(text) / 4.0)::BIGINT + 612)) AS ceiling FROM conversations
 """)
 def scalar_functions(t) -> DataFrame:
     s, turn = F.col("text"), F.col("turn")
+    reserve = T.check_reserve(T.token_cost(F.col("role")), T.token_cost(s), F.lit(100))
     ids = F.concat(F.lit("see d/g"), F.left(F.md5(s), F.lit(12)), F.lit("-1 and "), F.md5(s), F.lit(" in "), F.col("role"))
     return t("conversations").select(
         "conv_id", "turn", F.size(T.identifier_terms(s)).alias("idents"), F.md5(F.array_join(T.search_terms(s), " ")).alias("folded"), T.scrub_ids(ids).alias("scrubbed"),
         T.agent_name(F.concat("role", F.lit(" "), F.substring(s, 1, 9))).alias("agent"), T.fingerprint(F.col("role"), s).alias("print"),
         T.null_default(F.when(turn > 1, F.col("role")), "none").alias("role"), T.short_sha(F.md5(s)).alias("short"), T.first_sentence(s).alias("sentence"),
         T.claim_text(F.col("role"), F.when(turn > 1, s)).alias("claim"), T.input_room(turn * 1000, F.lit(500), F.lit(3.5)).alias("room"), T.budget_units(turn, 3.5).alias("units"),
+        reserve.alias("reserve"), T.check_budget(reserve, 300 * turn, F.lit(450)).alias("ceiling"),
     )
 
 
@@ -51,7 +55,7 @@ SELECT doc_id, md5(replace(array_to_string(list_filter(list_transform(string_spl
 """)
 def single_paragraphs(t) -> DataFrame:
     s = F.col("text")
-    return t("documents").select("doc_id", F.md5(T.one_paragraph(s)).alias("one"), (F.size(T.paragraphs(s)) > 1).alias("several"))
+    return t("documents").select("doc_id", F.md5(T.one_paragraph(s)).alias("one"), T.reflowed(s).alias("several"))
 
 
 @query("""

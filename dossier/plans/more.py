@@ -36,12 +36,12 @@ def contended_labels(t) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT user_id::VARCHAR AS label, count(DISTINCT event_type) AS n, min(event_type) AS uid FROM events WHERE event_id % 101 < 2 GROUP BY user_id)
-SELECT c_custkey::VARCHAR AS label, uid FROM customer JOIN b ON c_custkey::VARCHAR = label WHERE n = 1
+WITH b AS (SELECT l_orderkey, count(DISTINCT l_returnflag) AS n, min(l_returnflag) AS uid FROM lineitem GROUP BY 1)
+SELECT o_orderkey::VARCHAR AS label, uid FROM orders JOIN b ON o_orderkey = l_orderkey WHERE n = 1
 """)
 def resolved_labels(t) -> DataFrame:
-    bound = t("events").where("event_id % 101 < 2").select(F.col("user_id").cast("string").alias("label"), F.col("event_type").alias("uid"))
-    return record.resolve_labels(t("customer").select(F.col("c_custkey").cast("string").alias("label")), bound)[0]
+    bound = t("lineitem").select(F.col("l_orderkey").cast("string").alias("label"), F.col("l_returnflag").alias("uid"))
+    return record.resolve_labels(t("orders").select(F.col("o_orderkey").cast("string").alias("label")), bound)[0]
 
 
 RUNS_SQL = """
@@ -174,9 +174,9 @@ def case_splits(t) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT o_orderpriority AS kind, n, r, o_orderstatus = 'F' AS truth, o_custkey AS tokens, o_totalprice AS s FROM orders JOIN (SELECT l_orderkey, count(*) FILTER (WHERE l_linenumber > 3) AS n, bool_or(l_returnflag = 'R' AND l_linenumber > 3) AS r FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey)
+WITH c AS (SELECT o_orderpriority AS kind, n, r, d, o_orderstatus = 'F' AS truth, o_custkey AS tokens, o_totalprice AS s FROM orders JOIN (SELECT l_orderkey, count(*) FILTER (WHERE l_linenumber > 3) AS n, count(*) FILTER (WHERE l_linestatus = 'O') AS d, bool_or(l_returnflag = 'R' AND l_linenumber > 3) AS r FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey)
 SELECT kind, count(*) AS cases, count(*) FILTER (WHERE n > 0) AS flagged, sum(n)::BIGINT AS flags, count(*) FILTER (WHERE truth) AS contradicting, count(*) FILTER (WHERE truth AND r) AS recalled, count(*) FILTER (WHERE truth AND NOT r AND n > 0) AS missed,
-    round(count(*) FILTER (WHERE truth AND r) / count(*) FILTER (WHERE truth), 6) AS recall, sum(tokens)::BIGINT AS tokens, list_sort(list(s))[(count(*) // 2 + 1)::INT] AS seconds FROM c GROUP BY ROLLUP (kind)
+    round(count(*) FILTER (WHERE truth AND r) / count(*) FILTER (WHERE truth), 6) AS recall, sum(tokens)::BIGINT AS tokens, list_sort(list(s))[(count(*) // 2 + 1)::INT] AS seconds, sum(d)::BIGINT AS drops FROM c GROUP BY ROLLUP (kind)
 """)
 def detector_recall(t) -> DataFrame:
     cases = t("orders").join(t("lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey").select(
@@ -184,7 +184,21 @@ def detector_recall(t) -> DataFrame:
     )
     findings = t("lineitem").where("l_linenumber > 3").select(F.col("l_orderkey").alias("id"), F.lit(1).alias("task"), F.col("l_returnflag").alias("text"))
     patterns = cases.select("task").distinct().withColumn("pattern", F.lit("^r$"))
-    return evaluate.detector_report(cases, findings, evaluate.pattern_hits(findings, patterns))
+    dropped = t("lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("id"))
+    return evaluate.detector_report(cases, findings, evaluate.pattern_hits(findings, patterns), dropped)
+
+
+@query("""
+SELECT o_orderkey AS id, o_shippriority_ AS task, flags FROM (SELECT *, o_orderkey % 3 AS o_shippriority_ FROM orders WHERE o_orderstatus = 'F') o
+JOIN (SELECT l_orderkey, count(*) AS flags, list(l_returnflag) AS fs FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey WHERE NOT list_contains(fs, ['N', 'R', 'A'][(o_shippriority_ + 1)::INT])
+""")
+def missed_flags(t) -> DataFrame:
+    """Contradicting orders with line items, none of which has the flag that the order's task asks for."""
+    task = F.col("o_orderkey") % 3
+    cases = t("orders").select(F.col("o_orderkey").alias("id"), task.alias("task"), (F.col("o_orderstatus") == "F").alias("contradicting"))
+    findings = t("lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_orderkey") % 3).alias("task"), F.col("l_returnflag").alias("text"))
+    patterns = cases.select("task").distinct().withColumn("pattern", F.element_at(F.array(F.lit("^n$"), F.lit("^r$"), F.lit("^a$")), (F.col("task") + 1).cast("int")))
+    return evaluate.missed_cases(cases, findings, evaluate.pattern_hits(findings, patterns))
 
 
 @query("""

@@ -62,13 +62,17 @@ def quote_locations(t) -> DataFrame:
     return quotes.assign_status(quotes.locate_quotes(conversation_quotes(t), texts))
 
 
-@query(f"""WITH {LOCATE_SQL} SELECT repo, count(*) FILTER (WHERE match = 'exact') AS present, count(*) FILTER (WHERE match = 'loose') AS loose,
-    count(*) FILTER (WHERE match = 'absent') AS absent, count(*) AS quotes FROM l GROUP BY ROLLUP (repo)""")
+@query(f"""WITH {LOCATE_SQL}, n AS (SELECT repo, count(*) FILTER (WHERE match = 'exact') AS present, count(*) FILTER (WHERE match = 'loose') AS loose,
+    count(*) FILTER (WHERE match = 'absent') AS absent, count(*) AS quotes, count(*) FILTER (WHERE match <> 'absent' AND place <> 'user0') AS in_diff FROM l GROUP BY ROLLUP (repo)),
+u AS (SELECT role AS repo, count(*) AS units, count(*) FILTER (WHERE turn = 1) AS dropped FROM conversations GROUP BY ROLLUP (role))
+SELECT n.*, units, dropped FROM n JOIN u ON n.repo IS NOT DISTINCT FROM u.repo""")
 def quote_tallies(t) -> DataFrame:
-    texts = t("conversations").select(F.col("conv_id").cast("string").alias("sha"), F.col("turn").alias("ord"), F.col("role").alias("place"), "text")
+    place = F.concat("role", F.col("turn").cast("string"))
+    texts = t("conversations").select(F.col("conv_id").cast("string").alias("sha"), F.col("turn").alias("ord"), F.when(place == "user0", quotes.MESSAGE).otherwise(place).alias("place"), "text")
     q = conversation_quotes(t)
     located = quotes.locate_quotes(q, texts).join(q.select("sha", "quote_id", "repo"), ["sha", "quote_id"])
-    return quotes.quote_tallies(located)
+    units = t("conversations").select(F.col("role").alias("repo"), "turn")
+    return quotes.quote_tallies(located, built={"units": units, "dropped": units.where("turn = 1")})
 
 
 @query(r"""
