@@ -155,6 +155,13 @@ def token_usage(calls: DataFrame) -> DataFrame:
     )
 
 
+def with_settings(rows: DataFrame, *, prompt: str, chars_per_token: float, **more) -> DataFrame:
+    """``rows`` with what they were made with: prompt_print, a fingerprint of the system prompt, chars_per_token, and any
+    other settings by their names."""
+    known = {"prompt_print": T.fingerprint(F.lit(prompt)), "chars_per_token": F.lit(float(chars_per_token))}
+    return rows.withColumns(known | {k: F.lit(v) for k, v in more.items()})
+
+
 def ask_all(asks: DataFrame, judge: Callable[[str], tuple[str, int]], *, partitions: int | None = None) -> DataFrame:
     """Runs a user's judge over asks (ask, prompt): (ask, answer, tokens, warning). A failed call is a warning row."""
 

@@ -137,18 +137,50 @@ def render_units(units: DataFrame, edges: DataFrame, detail: int = 1) -> DataFra
     return units.join(out, "uid", "left").select("label", F.concat_ws("\n", *lines, F.concat_ws("\n", "links")).alias("block"))
 
 
-def render_record(units: DataFrame, markdown: bool = False) -> DataFrame:
-    """One document for each commit: a line of counts, then each decision with what it needs, rejects and leads to."""
-    mark = F.concat(F.lit(" ["), F.col("status"), F.lit("]"))
-    mark = F.when(F.col("status") != "cited", mark).otherwise(F.lit("")) if markdown else mark
-    order = F.element_at(F.create_map(*[F.lit(x) for p in (("decision", 0), ("prerequisite", 1), ("alternative", 2), ("consequence", 3)) for x in p]), F.col("item"))
-    head = F.when(F.col("item") == "decision", F.concat(F.lit("## " if markdown else ""), F.col("label"), F.lit(" "))).otherwise(F.lit("  "))
-    word = F.element_at(F.create_map(*[F.lit(x) for p in (("decision", ""), ("prerequisite", "needs "), ("alternative", "not "), ("consequence", "so ")) for x in p]), F.col("item"))
-    line = F.concat(head, word, "gist", mark)
-    rows = units.where("item <> 'anchor'").select("sha", F.struct("decision", order.alias("o"), "label", line.alias("line")).alias("r"), "item")
-    g = rows.groupBy("sha").agg(F.array_sort(F.collect_list("r")).alias("rs"), F.count_if(F.col("item") == "decision").alias("d"), F.count("*").alias("n"))
-    counts = F.format_string("%s: %d decisions, %d items", F.col("sha"), F.col("d"), F.col("n"))
-    return g.select("sha", F.concat_ws("\n", counts, F.array_join(F.transform("rs", lambda r: r["line"]), "\n")).alias("document"))
+#: Kinds of items: their headings in text and in Markdown.
+SECTIONS = [("prerequisite", "needs", "Rests on:"), ("alternative", "not", "Turned down:"), ("consequence", "so", "So:")]
+
+
+def render_record(units: DataFrame, markdown: bool = False, touches: DataFrame | None = None, footer: str = "") -> DataFrame:
+    """One document for each commit (sha): a line of counts, then its decisions in order of their numbers, with why they
+    were taken, what they touch (``touches``: sha, decision, anchor), need, turn down and lead to.
+
+    Text always shows a unit's status, Markdown only if it is not cited; ``footer`` ends a Markdown document. Items whose
+    decision is not there are counted only.
+    """
+    cat = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    many = lambda items, f: F.array_join(F.transform(items, f), "")
+    some = lambda items, text: F.when(F.size(items) > 0, text).otherwise(F.lit(""))
+    of = lambda kind: F.col("item") == kind
+    item = F.struct(F.length("label").alias("n"), "label", "gist", "status")  # numbers end a label
+    heads = F.max(F.when(of("decision"), F.struct("label", "gist", "status", F.coalesce("body", F.lit("")).alias("body"))))
+    g = units.groupBy("sha", "decision").agg(heads.alias("h"), *[F.array_sort(F.collect_list(F.when(of(k), item))).alias(k) for k, _, _ in SECTIONS]).where("h is not null")
+    if touches is None:
+        g = g.withColumn("anchors", F.array().cast("array<string>"))
+    else:
+        seen = touches.groupBy("sha", "decision").agg(F.array_sort(F.collect_set("anchor")).alias("anchors"))
+        g = g.join(seen, ["sha", "decision"], "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<string>")))
+    body = F.col("h.body")
+    if markdown:
+        mark = lambda s: F.when(s != "cited", cat(" _(", s, ")_")).otherwise(F.lit(""))
+        lists = [some(k, cat(f"\n{name}\n", many(k, lambda i: cat("- ", i["gist"], mark(i["status"]), "\n")))) for k, _, name in SECTIONS]
+        block = cat(
+            "\n**", F.col("h.gist"), "**", mark(F.col("h.status")), "\n", F.when(body != "", cat("\n", body, "\n")).otherwise(F.lit("")), *lists,
+            some("anchors", cat("\nTouches: `", F.array_join("anchors", "`, `"), "`\n")),
+        )
+    else:
+        line = lambda name: lambda i: cat(f"  {name}: ", i["gist"], " [", i["status"], "]\n")
+        lists = [many(k, line(name)) for k, name, _ in SECTIONS]
+        block = cat(
+            "\n", F.col("h.label"), " [", F.col("h.status"), "]\n  ", F.col("h.gist"), "\n", F.when(body != "", cat("  because: ", body, "\n")).otherwise(F.lit("")),
+            many("anchors", lambda a: cat("  touches: ", a, "\n")), *lists,
+        )
+    blocks = g.groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("decision", block.alias("text")))).alias("blocks"))
+    n = units.groupBy("sha").agg(*[F.count_if(of(k)).cast("string").alias(k) for k in ("decision", *[k for k, _, _ in SECTIONS])])
+    counts = cat(F.col("decision"), " decision(s), ", F.col("prerequisite"), " prerequisite(s), ", F.col("alternative"), " alternative(s), ", F.col("consequence"), " consequence(s)")
+    top = cat("### Why this change\n\nRecorded from `", F.col("sha"), "` — ", counts, ".\n") if markdown else cat(F.col("sha"), ": ", counts, "\n")
+    all_ = F.coalesce(many("blocks", lambda b: b["text"]), F.lit(""))
+    return n.join(blocks, "sha", "left").select("sha", cat(top, all_, footer if markdown else "").alias("document"))
 
 
 def commit_input(files: DataFrame, messages: DataFrame) -> DataFrame:

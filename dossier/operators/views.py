@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import math
 
 import pandas as pd
@@ -29,24 +30,29 @@ def explode_diff(diffs: DataFrame) -> DataFrame:
     return d.where("file is not null").select("change", "file", "pos", marker.alias("marker"), content.alias("content"))
 
 
-def _numbered(pdf: pd.DataFrame, lines: int, file_lines: int, tokens: float, cost: float) -> pd.DataFrame:
-    shown, in_file, used, out = 0, 0, 0, []
-    for marker, content in zip(pdf["marker"], pdf["content"], strict=True):
+class View:
+    """A view that is filled line by line: ``add`` says which number a line gets, None where a cap hides it."""
+
+    def __init__(self, lines: int, file_lines: int, tokens: float, cost: float):
+        self.lines, self.file_lines, self.tokens, self.cost = lines, file_lines, tokens, cost
+        self.shown, self.in_file, self.used, self.cut = 0, 0, 0, False
+
+    def add(self, marker: str, content: str | None) -> int | None:
         if marker == "h":
-            in_file = 0
-            fits = shown < lines
-            shown += fits
-            out.append(shown if fits else None)
-            continue
-        in_file += 1
-        need = math.ceil((len((content or "").encode()) + (marker != "n")) / cost)
-        if shown >= lines or in_file > file_lines or used + need > tokens:  # whole lines count, marker and all
-            out.append(None)
-            continue
-        used += need + 1
-        shown += 1
-        out.append(shown)
-    return pdf.assign(shown_no=pd.array(out, "Int32"))
+            self.in_file = 0
+            if self.shown >= self.lines:
+                self.cut = True
+                return None
+            self.shown += 1
+            return self.shown
+        self.in_file += 1
+        need = math.ceil((len((content or "").encode()) + (marker != "n")) / self.cost)  # whole lines count, marker and all
+        if self.shown >= self.lines or self.in_file > self.file_lines or self.used + need > self.tokens:
+            self.cut = True
+            return None
+        self.used += need + 1
+        self.shown += 1
+        return self.shown
 
 
 def number_shown_lines(lines: DataFrame, *, most: int = 400, per_file: int = 150, window: int = 32_000, chars_per_token: float = 4.0) -> DataFrame:
@@ -57,7 +63,9 @@ def number_shown_lines(lines: DataFrame, *, most: int = 400, per_file: int = 150
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _numbered(pdf.sort_values("pos"), most, per_file, window / 2, chars_per_token)
+        pdf = pdf.sort_values("pos")
+        view = View(most, per_file, window / 2, chars_per_token)
+        return pdf.assign(shown_no=pd.array([view.add(m, c) for m, c in zip(pdf["marker"], pdf["content"], strict=True)], "Int32"))
 
     return lines.groupBy("change").applyInPandas(fold, LINE_SCHEMA + ", shown_no int")
 
@@ -74,19 +82,39 @@ def view_summary(view: DataFrame) -> DataFrame:
     )
 
 
-def split_change(lines: DataFrame, parts: int = 4, *, most: int = 400, per_file: int = 150) -> DataFrame:
-    """Adds part: whole files together while they fit the view, at most ``parts`` parts (the last takes the rest)."""
+def split_change(
+    lines: DataFrame, parts: int = 4, *, most: int = 400, per_file: int = 150, window: int = 32_000, chars_per_token: float = 4.0
+) -> DataFrame:
+    """Adds part: whole files together while the view hides nothing of them, at most ``parts`` parts.
+
+    A change that the view shows whole is one part. A file that alone is too large for the view has a part for itself.
+    The last part takes one file; what comes after it has no part (null).
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        part, used, of = 0, 0, {}
-        for file, n in pdf.groupby("file", sort=False).size().items():
-            n = min(n, per_file + 1)
-            if used and used + n > most and part + 1 < parts:
-                part, used = part + 1, 0
+        fresh = lambda: View(most, per_file, window / 2, chars_per_token)
+
+        def fill(view: View, rows: pd.DataFrame) -> View:
+            view.in_file = 0
+            for m, c in zip(rows["marker"], rows["content"], strict=True):
+                view.add(m, c)
+            return view
+
+        if parts <= 1 or not fill(fresh(), pdf).cut:
+            return pdf.assign(part=pd.array([0] * len(pdf), "Int32"))
+        part, view, of = 0, None, {}
+        for file, rows in pdf.groupby("file", sort=False):
+            if part >= parts - 1:
+                of[file] = None
+                continue
+            if view is not None:
+                with_file = fill(copy.copy(view), rows)
+                if with_file.cut:
+                    part, view = part + 1, None
+            view = fill(fresh(), rows) if view is None else with_file
             of[file] = part
-            used += n
-        return pdf.assign(part=pdf["file"].map(of).astype("int32"))
+        return pdf.assign(part=pd.array([of[f] for f in pdf["file"]], "Int32"))
 
     return lines.groupBy("change").applyInPandas(fold, LINE_SCHEMA + ", part int")
 

@@ -264,10 +264,14 @@ def unit_uids(t) -> DataFrame:
     return short_units(t).select("label", "uid")
 
 
-@query(f"""WITH {SHORT_SQL} SELECT sha, '# ' || '' AS mark, sha || ': ' || count(*) FILTER (WHERE head) || ' decisions, ' || count(*) || ' items' || chr(10) ||
-    string_agg(CASE WHEN head THEN '## ' || label || ' ' || text ELSE '  needs ' || text END || CASE WHEN status <> 'cited' THEN ' [' || status || ']' ELSE '' END, chr(10) ORDER BY decision, head DESC, label) AS document FROM l GROUP BY sha""")
+@query(f"""WITH {SHORT_SQL}, g AS (SELECT sha, decision, max(CASE WHEN head THEN label || ' [' || status || ']' || chr(10) || '  ' || text || chr(10) || CASE WHEN decision % 2 = 0 THEN '  touches: a::' || decision || chr(10) ELSE '' END END) AS block,
+    coalesce(string_agg('  needs: ' || text || ' [' || status || ']' || chr(10), '' ORDER BY strlen(label), label) FILTER (WHERE NOT head), '') AS needs FROM l GROUP BY ALL)
+SELECT sha, any_value(sha || ': ' || d || ' decision(s), ' || p || ' prerequisite(s), 0 alternative(s), 0 consequence(s)' || chr(10)) || string_agg(chr(10) || block || needs, '' ORDER BY decision) AS document
+FROM g JOIN (SELECT sha, count(*) FILTER (WHERE head) AS d, count(*) FILTER (WHERE NOT head) AS p FROM l GROUP BY sha) n USING (sha) WHERE block IS NOT NULL GROUP BY sha""")
 def rendered_record(t) -> DataFrame:
-    return record.render_record(short_units(t), markdown=True).select("sha", F.lit("# ").alias("mark"), "document")
+    u = short_units(t)
+    touches = u.where("item = 'decision' and decision % 2 = 0").select("sha", "decision", F.concat(F.lit("a::"), F.col("decision").cast("string")).alias("anchor"))
+    return record.render_record(u, touches=touches)
 
 
 @query(f"""WITH {SHORT_SQL}, b AS (SELECT p.label, d.label AS to_, d.head FROM l p JOIN l d ON p.uid = p.uid AND p.sha = d.sha AND p.decision = d.decision AND NOT p.head AND d.head)
@@ -449,17 +453,20 @@ def commit_parts(t) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE l AS (SELECT o_custkey AS change, o_orderkey AS file, least(o_orderkey % 37 + 2, 31) AS n, o_orderkey % 37 + 2 AS lines, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
-p AS (SELECT change, file, k, lines, 0 AS part, n AS used FROM l WHERE k = 1
-  UNION ALL SELECT l.change, l.file, l.k, l.lines, CASE WHEN p.used + l.n > 60 AND p.part + 1 < 4 THEN p.part + 1 ELSE p.part END, CASE WHEN p.used + l.n > 60 AND p.part + 1 < 4 THEN l.n ELSE p.used + l.n END FROM p JOIN l ON l.change = p.change AND l.k = p.k + 1)
-SELECT change::VARCHAR AS change, file::VARCHAR AS file, part, lines FROM p
+WITH RECURSIVE l AS (SELECT o_custkey AS change, o_orderkey AS file, o_orderkey % 37 + 2 AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+c AS (SELECT change, bool_or(n > 30) OR sum(n) > 40 AS cut FROM l GROUP BY change),
+p AS (SELECT change, file, k, n, 0 AS part, least(n, 30) AS used, n > 30 AS full_ FROM l WHERE k = 1
+  UNION ALL SELECT l.change, l.file, l.k, l.n, CASE WHEN p.part >= 3 THEN 4 WHEN full_ OR l.n > 30 OR used + l.n > 40 THEN p.part + 1 ELSE p.part END,
+    CASE WHEN full_ OR l.n > 30 OR used + l.n > 40 THEN least(l.n, 30) ELSE used + l.n END, l.n > 30 FROM p JOIN l ON l.change = p.change AND l.k = p.k + 1)
+SELECT change::VARCHAR AS change, file::VARCHAR AS file, CASE WHEN NOT cut THEN 0 WHEN part < 4 THEN part END AS part, n AS lines FROM p JOIN c USING (change)
 """)
 def change_parts(t) -> DataFrame:
-    """Customers as changes, their orders as files of up to 38 lines, cut into at most four parts."""
+    """Customers as changes, their orders as files of up to 38 lines, cut into at most four parts: 60 lines, 30 a file and
+    80 tokens, that is 40 lines."""
     o = t("orders").select(F.col("o_custkey").cast("string").alias("change"), F.col("o_orderkey").cast("string").alias("file"), F.col("o_orderkey").alias("k"))
     lines = o.select("change", "file", "k", F.explode(F.sequence(F.lit(0), F.col("k") % 37 + 1)).alias("i"))
     lines = lines.select("change", "file", (F.col("k") * 64 + F.col("i")).cast("int").alias("pos"), F.lit("+").alias("marker"), F.lit("x").alias("content"))
-    return views.split_change(lines, most=60, per_file=30).groupBy("change", "file").agg(F.max("part").alias("part"), F.count("*").alias("lines"))
+    return views.split_change(lines, most=60, per_file=30, window=160).groupBy("change", "file").agg(F.max("part").alias("part"), F.count("*").alias("lines"))
 
 
 @query("""
@@ -480,11 +487,11 @@ def judge(prompt: str) -> tuple[str, int]:
 
 @query("""
 SELECT event_id AS ask, CASE WHEN event_type <> 'error' THEN upper(event_type || ' ' || user_id) END AS answer, CASE WHEN event_type <> 'error' THEN length(event_type || ' ' || user_id) END AS tokens,
-    CASE WHEN event_type = 'error' THEN 'a call failed: no answer' END AS warning FROM events
+    CASE WHEN event_type = 'error' THEN 'a call failed: no answer' END AS warning, sha256('judge the units') AS prompt_print, 3.5::DOUBLE AS chars_per_token, 32000 AS window_tokens FROM events
 """)
 def asked_prompts(t) -> DataFrame:
     asks = t("events").select(F.col("event_id").alias("ask"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("prompt"))
-    return judging.ask_all(asks, judge)
+    return judging.with_settings(judging.ask_all(asks, judge), prompt="judge the units", chars_per_token=3.5, window_tokens=32_000)
 
 
 @query("""

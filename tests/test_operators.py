@@ -241,3 +241,35 @@ def test_numbers_of_a_shuffled_table(spark):
     d = evaluate.shuffled(spark.range(500).select(F.col("id")), 3)
     got = [(r.id, r["_n"]) for r in d.collect()]
     assert sorted(n for _, n in got) == list(range(1, 501)) and [i for i, n in sorted(got, key=lambda x: x[1])] != list(range(500))
+
+
+def test_rendered_records(spark):
+    label = lambda k, *n: f"{k}/gabc-" + "-".join(map(str, n))
+    rows_ = [
+        ("abc", 1, "decision", label("d", 1), "Do it", "cited", "It pays."), ("abc", 1, "prerequisite", label("p", 1, 10), "ten", "cited", None),
+        ("abc", 1, "prerequisite", label("p", 1, 2), "two", "speculative", None), ("abc", 1, "alternative", label("r", 1, 1), "wait", "inferred", None),
+        ("abc", 1, "consequence", label("q", 1, 1), "speed", "cited", None), ("abc", 2, "decision", label("d", 2), "Stop", "speculative", ""), ("abc", 9, "consequence", label("q", 9, 1), "lost", "cited", None),
+    ]
+    units = spark.createDataFrame(rows_, "sha string, decision int, item string, label string, gist string, status string, body string")
+    touches = spark.createDataFrame([("abc", 1, "b::f"), ("abc", 1, "a::f")], "sha string, decision int, anchor string")
+    counts = "2 decision(s), 2 prerequisite(s), 1 alternative(s), 2 consequence(s)"
+    assert record.render_record(units, touches=touches).first().document == (
+        f"abc: {counts}\n\nd/gabc-1 [cited]\n  Do it\n  because: It pays.\n  touches: a::f\n  touches: b::f\n  needs: two [speculative]\n  needs: ten [cited]\n"
+        "  not: wait [inferred]\n  so: speed [cited]\n\nd/gabc-2 [speculative]\n  Stop\n"
+    )
+    assert record.render_record(units, True, touches, "\nend\n").first().document == (
+        f"### Why this change\n\nRecorded from `abc` — {counts}.\n\n**Do it**\n\nIt pays.\n\nRests on:\n- two _(speculative)_\n- ten\n\nTurned down:\n- wait _(inferred)_\n"
+        "\nSo:\n- speed\n\nTouches: `a::f`, `b::f`\n\n**Stop** _(speculative)_\n\nend\n"
+    )
+
+
+def test_parts_fit_the_view(spark):
+    files = {"a": ["x" * 40] * 3, "b": ["y"] * 2, "c": ["z"] * 9, "d": ["w"], "e": ["v"], "f": ["u"]}
+    rows_ = [("c", f, 100 * k + i, "+", s) for k, (f, ls) in enumerate(files.items()) for i, s in enumerate(ls)]
+    lines = spark.createDataFrame(rows_, "change string, file string, pos int, marker string, content string")
+    got = lambda **caps: {r.file: r.part for r in views.split_change(lines, **caps).collect()}
+    assert set(got().values()) == {0}  # the view shows the change whole
+    # 40 tokens: a takes 36 of them, c has more lines than a file may show; the last part takes one file.
+    assert got(parts=4, per_file=5, window=80) == {"a": 0, "b": 0, "c": 1, "d": 2, "e": 2, "f": 2}
+    assert got(parts=3, per_file=5, window=80) == {"a": 0, "b": 0, "c": 1, "d": 2, "e": None, "f": None}
+    assert set(got(parts=1, per_file=5, window=80).values()) == {0}
