@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, evidence, judging, quotes, record, staleness, store, views
+from ..operators import evaluate, evidence, judging, quotes, record, staleness, store, terms, views
 from ..operators.shared import shared_folder
 from ..sources import readers, sinks
 from ..streaming import streams
 from .more import LOG_SQL, event_log, page_diffs
-from .queries import query
+from .queries import query, words_of
 
 
 def scratch(df: DataFrame, name: str) -> str:
@@ -529,3 +529,22 @@ def blind_answers(t) -> DataFrame:
     return sheet.join(key, "id").select("id", "question", F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("one"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("two"))
 
 
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda t: strlen(t) >= 3) AS ws FROM documents),
+v AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN [] WHEN doc_id % 3 = 0 THEN ws ELSE ws[1:len(ws) // 2] END AS ts FROM w),
+f AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(ts) AS term FROM v) GROUP BY term)
+SELECT df, count(*) AS terms, (SELECT count(*) FROM v WHERE len(ts) > 0) AS n_docs, (SELECT sum(len(ts))::BIGINT FROM v) AS n_terms FROM f GROUP BY df
+""")
+def kept_terms(t) -> DataFrame:
+    """Frequencies kept over four batches: halves of all texts, whole texts, older versions of those, and withdrawals."""
+    d = t("documents").select(F.col("doc_id").cast("string").alias("doc"), "doc_id", words_of("text").alias("ws")).where("ws is not null")
+    half = F.slice("ws", F.lit(1), F.floor(F.size("ws") / 2).cast("int"))
+    batch = lambda rows, version, words: rows.select("doc", F.lit(version).cast("long").alias("version"), words.alias("terms"))
+    at, spark = scratch(d, "terms"), d.sparkSession
+    thirds, none = d.where("doc_id % 3 = 0"), F.lit(None).cast("array<string>")
+    for rows in (batch(d, 1, half), batch(thirds, 3, F.col("ws")), batch(thirds, 2, F.reverse("ws")), batch(d.where("doc_id % 5 = 0"), 4, none)):
+        terms.update_term_stats(spark, at, rows, buckets=8)
+    n = terms.kept_lengths(spark, at).first()
+    return terms.kept_term_stats(spark, at).groupBy("df").agg(F.count("*").alias("terms")).select("df", "terms", F.lit(n.n_docs).alias("n_docs"), F.lit(n.n_terms).alias("n_terms"))
