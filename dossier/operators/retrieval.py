@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import premise_closure
 from .shared import stored
 
 # The kinds a change can contradict.
@@ -274,3 +275,16 @@ def pack_fill(packed: DataFrame, candidates: DataFrame, costs: DataFrame, budget
     w = Window.partitionBy("change").orderBy("rank", "uid").rowsBetween(Window.unboundedPreceding, 0)
     rest = rest.withColumn("used", F.coalesce("base", F.lit(0)) + F.sum("cost").over(w)).where(F.col("used") <= budget)
     return packed.select("change", "uid", "rank").unionByName(rest.select("change", "uid", "rank"))
+
+
+def pack_task(hits: DataFrame, seeds: DataFrame, edges: DataFrame, costs: DataFrame, budget: int, most: int = 6) -> DataFrame:
+    """(change, uid, rank) for a task's context: hits (change, uid, rank) and what they rest on, then seeds.
+
+    The focus is the ``most`` best hits, less the last ones until it fits the budget with all its premises. What is left
+    of the budget goes to seeds (change, uid), the units that come from the task's files, in order of their ids. Tasks of
+    which not even the best hit fits have no rows.
+    """
+    packed = stored(pack_prefix(premise_closure(hits.where(F.col("rank") <= most), edges), costs, budget), "packed")
+    order = Window.partitionBy("change").orderBy("uid")
+    wanted = seeds.select("change", "uid").distinct().join(packed.select("change").distinct(), "change", "left_semi")
+    return pack_fill(packed, wanted.withColumn("rank", F.row_number().over(order)), costs, budget)

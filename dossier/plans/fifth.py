@@ -43,6 +43,20 @@ def filled_packs(t) -> DataFrame:
     return retrieval.pack_fill(packed, f, costs, 1800).join(mine, ["change", "uid"], "left").select("change", "uid", "rank", F.col("was").isNull().alias("filled"))
 
 
+@query(f"""WITH {FOCUS_SQL}, h AS (SELECT change, uid, min(rank) AS rank FROM t WHERE rank <= 6 GROUP BY ALL), k AS (SELECT *, strlen(uid) * 7 AS cost FROM h), p AS (SELECT change, rank, sum(cost) AS cost FROM k GROUP BY ALL),
+w AS (SELECT *, sum(cost) OVER (PARTITION BY change ORDER BY rank) AS used FROM p), l AS (SELECT change, max(rank) AS last FROM w WHERE used <= 250 GROUP BY change),
+a AS (SELECT k.change, uid, rank, cost FROM k JOIN l ON k.change = l.change WHERE rank <= last), b AS (SELECT change, sum(cost) AS base FROM a GROUP BY change),
+s AS (SELECT c_nationkey AS change, 'c' || c_custkey AS uid FROM customer), n AS (SELECT s.*, row_number() OVER (PARTITION BY change ORDER BY uid) AS rank FROM s SEMI JOIN a USING (change)),
+x AS (SELECT n.change, n.uid, n.rank, base + sum(strlen(n.uid) * 7) OVER (PARTITION BY n.change ORDER BY n.rank ROWS UNBOUNDED PRECEDING) AS used FROM n JOIN b USING (change) ANTI JOIN a ON a.change = n.change AND a.uid = n.uid)
+SELECT change, uid, rank FROM a UNION ALL SELECT change, uid, rank FROM x WHERE used <= 250""")
+def task_packs(t) -> DataFrame:
+    """Orders as a task's hits, the customers of the nation of its number as units of its files."""
+    seeds = t("customer").select(F.col("c_nationkey").cast("long").alias("change"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("uid"))
+    edges = premises(t)
+    uids = edges.select(F.col("src").alias("uid")).union(edges.select("dst")).distinct()
+    return retrieval.pack_task(focus(t), seeds, edges, uids.withColumn("cost", F.octet_length("uid") * 7), 250)
+
+
 @query(f"""
 WITH t AS (SELECT conv_id || '/' || turn AS label, conv_id AS file, text FROM conversations), p AS (SELECT label, unnest({IDENTS.format('text')}) AS term FROM t),
 w AS (SELECT term, greatest(ln((SELECT count(*) FROM t)::DOUBLE / (1 + count(DISTINCT label))), 0.1) AS w FROM p GROUP BY term),

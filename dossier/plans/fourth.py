@@ -548,3 +548,12 @@ def kept_terms(t) -> DataFrame:
         terms.update_term_stats(spark, at, rows, buckets=8)
     n = terms.kept_lengths(spark, at).first()
     return terms.kept_term_stats(spark, at).groupBy("df").agg(F.count("*").alias("terms")).select("df", "terms", F.lit(n.n_docs).alias("n_docs"), F.lit(n.n_terms).alias("n_terms"))
+
+
+@query("SELECT event_id AS id, user_id AS task, CASE WHEN event_id % 3 > 0 THEN event_type END AS kind, NULL::BOOLEAN AS contradicting FROM events")
+def json_rows(t) -> DataFrame:
+    """Events as JSON lines, read by a schema with a field that none has and one that some lack; other fields are left."""
+    e = t("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("task"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("kind"), F.lit(1).alias("more"))
+    at = scratch(e, "json")
+    e.write.json(at)
+    return readers.read_json_table(e.sparkSession, at, "id long, task long, kind string, contradicting boolean")

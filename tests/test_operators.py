@@ -273,3 +273,39 @@ def test_parts_fit_the_view(spark):
     assert got(parts=4, per_file=5, window=80) == {"a": 0, "b": 0, "c": 1, "d": 2, "e": 2, "f": 2}
     assert got(parts=3, per_file=5, window=80) == {"a": 0, "b": 0, "c": 1, "d": 2, "e": None, "f": None}
     assert set(got(parts=1, per_file=5, window=80).values()) == {0}
+
+
+def test_extraction_files(spark, tmp_path):
+    for sha, text in (("a1", '{"decisions": [{"decision": "x", "kind": "act"}, {"decision": "y"}], "alternatives": []}'), ("b2", "no json"), ("c3", '{"decisions": null, "consequences": [{"decision": 1, "text": "z", "verified": true}]}')):
+        at = tmp_path / "recipe" / "repo" / f"{sha}.json"
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(text)
+    got = readers.read_extractions(spark, str(tmp_path / "*" / "*" / "*.json"))
+    assert [(r.recipe, r.repo, r.sha, r.ordinal, r.decision) for r in got["decisions"].orderBy("ordinal").collect()] == [("recipe", "repo", "a1", 1, "x"), ("recipe", "repo", "a1", 2, "y")]
+    assert [(r.sha, r.text, r.verified, r.quote) for r in got["consequences"].collect()] == [("c3", "z", True, None)]
+    assert got["alternatives"].count() == 0
+
+
+def test_one_long_suite_in_blocks(spark):
+    """Whatever the blocks, a log gives the same readings: times reach back and repeat over block ends."""
+    lines = ["test a ... ok", "test result: ok. finished in 0.00s", "test b ... FAILED", "noise", "test c ... ignored", "test result: FAILED.", "test d ... ok", "test result: ok. finished in 1.5s",
+             "test e ... ok", "test result: ok.", "test x y ... ok", "test f ... ok", "test result: ok. finished in 0.25s", "test g ... ok"]
+    log = spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)] + [("t", i, x) for i, x in enumerate(lines[2:5])], "suite string, pos long, line string")
+    want = [("s", "a", 1.5), ("s", "b", 1.5), ("s", "c", 1.5), ("s", "d", 1.5), ("s", "e", 1.5), ("s", "f", 0.25), ("s", "g", 0.0), ("t", "b", 0.0), ("t", "c", 0.0)]
+    for block in (1, 2, 3, 100):
+        assert sorted((r.suite, r.test, r.run_seconds) for r in evidence.read_test_log(log, block).collect()) == want
+
+
+def test_streamed_log_starts_again(spark, tmp_path):
+    """Lines cut anywhere, the query stopped between the pieces: the rows are those of the whole log."""
+    lines = ["test a ... ok", "test result: ok. finished in 0.00s", "test b ... FAILED", "test result: ok.", "test c ... ok", "test result: ok. finished in 2s", "test d ... ok", "test result: ok", "test e ... ok"]
+    log = [("s", i, x) for i, x in enumerate(lines)]
+    schema = "suite string, pos long, line string"
+    src, out, at = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part in (log[:3], log[3:4], log[4:7], log[7:]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(src)
+        q = streams.stream_test_log(spark.readStream.schema(schema).parquet(src)).writeStream.format("parquet").option("path", out).option("checkpointLocation", at)
+        q.trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(out).unionByName(streams.waiting_tests(spark, at))
+    want = evidence.read_test_log(spark.createDataFrame(log, schema))
+    assert rows(got) == rows(want.select(*got.columns)) and streams.waiting_tests(spark, at).count() == 1
