@@ -141,19 +141,66 @@ def split_commit(files: DataFrame, room: int, parts: int = 4) -> DataFrame:
     return files.groupBy("sha").applyInPandas(fold, "sha string, part int, path string, bytes long")
 
 
-def fit_groups(units: DataFrame, *, most: int = 6, room: int = 4_000) -> DataFrame:
-    """(change, pos, label, cost) to the same with group: closed when it has ``most`` units or no room (+8 a unit, +64)."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        group, n, used, out = 0, 0, 64, []
-        for cost in pdf.sort_values("pos")["cost"]:
-            if n and (n >= most or used + cost + 8 > room):
-                group, n, used = group + 1, 0, 64
-            n, used = n + 1, used + cost + 8
-            out.append(group)
-        return pdf.sort_values("pos").assign(group=pd.array(out, "int32"))
-
-    return units.groupBy("change").applyInPandas(fold, "change string, pos int, label string, cost long, group int")
+def _group_ends(costs: list[int], own: int, most: int, room: int) -> list[int]:
+    """For each of the first ``own`` units, where the next group starts if one starts there."""
+    out = []
+    for i in range(own):
+        k, used = i, 64
+        while k < len(costs) and (k == i or (k - i < most and used + costs[k] + 8 <= room)):
+            used += costs[k] + 8
+            k += 1
+        out.append(k)
+    return out
+
+
+def fit_groups(units: DataFrame, *, most: int = 6, room: int = 4_000, block: int = 4_096) -> DataFrame:
+    """(change, pos, label, cost) to the same with group: closed when it has ``most`` units or no room (+8 a unit, +64).
+
+    Positions number a change's units from 1. One change may be large: its units are folded in blocks, and as a group
+    holds ``most`` units at most, all that a block has to know of those before it is at which of its first ``most`` units
+    the next group starts. So each block says, for each of these, how many groups it has and where it leaves the next
+    block; these answers are put together, and the blocks number their units.
+    """
+    block = max(block, most)
+    rows = units.select("change", "pos", "label", "cost", F.floor((F.col("pos") - 1) / block).alias("_b"), F.lit(True).alias("_own"))
+    # The first units of the next block end groups that start in this one.
+    ahead = rows.where((F.col("_b") > 0) & ((F.col("pos") - 1) % block < most - 1)).withColumns({"_b": F.col("_b") - 1, "_own": F.lit(False)})
+    rows = rows.unionByName(ahead)
+    kind = rows.schema["change"].dataType.simpleString()
+
+    def answers(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        n = int(pdf["_own"].sum())
+        ends = _group_ends(pdf["cost"].tolist(), n, most, room)
+        leaves, counts = [0] * n, [0] * n
+        for i in range(n - 1, -1, -1):
+            j = ends[i]
+            leaves[i], counts[i] = (leaves[j], counts[j] + 1) if j < n else (j - n, 1)
+        out = [(pdf["change"].iloc[0], pdf["_b"].iloc[0], e, *((leaves[e], counts[e]) if e < n else (e - n, 0))) for e in range(most)]
+        return pd.DataFrame(out, columns=["change", "_b", "enter", "leave", "groups"])
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, base, out = 0, 0, []
+        for r in pdf.sort_values(["_b", "enter"]).itertuples(index=False):
+            if r.enter == at and (not out or out[-1][1] < r[1]):
+                out.append((r.change, r[1], at, base))
+                at, base = r.leave, base + r.groups
+        return pd.DataFrame(out, columns=["change", "_b", "_enter", "_base"])
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        n, at, group = int(pdf["_own"].sum()), int(pdf["_enter"].iloc[0]), int(pdf["_base"].iloc[0])
+        ends, out = _group_ends(pdf["cost"].tolist(), n, most, room), [int(pdf["_base"].iloc[0]) - 1] * n
+        while at < n:
+            for k in range(at, min(ends[at], n)):
+                out[k] = group
+            at, group = ends[at], group + 1
+        return pdf[pdf["_own"]].assign(group=pd.array(out, "int32"))[["change", "pos", "label", "cost", "group"]]
+
+    said = rows.groupBy("change", "_b").applyInPandas(answers, f"change {kind}, _b long, enter int, leave int, groups long")
+    entries = said.groupBy("change").applyInPandas(compose, f"change {kind}, _b long, _enter int, _base long")
+    joined = rows.join(entries, ["change", "_b"])
+    return joined.groupBy("change", "_b").applyInPandas(number, f"change {kind}, pos int, label string, cost long, group int")
 
 
 def fit_report(units: DataFrame, view: DataFrame) -> DataFrame:

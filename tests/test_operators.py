@@ -309,3 +309,23 @@ def test_streamed_log_starts_again(spark, tmp_path):
     got = spark.read.parquet(out).unionByName(streams.waiting_tests(spark, at))
     want = evidence.read_test_log(spark.createDataFrame(log, schema))
     assert rows(got) == rows(want.select(*got.columns)) and streams.waiting_tests(spark, at).count() == 1
+
+
+def test_groups_of_a_large_change(spark):
+    """Blocks of any size give the groups of one fold."""
+    import random
+
+    rng = random.Random(5)
+    costs = {c: [rng.choice([1, 30, 300, 900, 5000]) for _ in range(n)] for c, n in (("a", 83), ("b", 1), ("c", 7))}
+    want = {}
+    for c, xs in costs.items():
+        group, n, used = 0, 0, 64
+        for pos, x in enumerate(xs, 1):
+            if n and (n >= 6 or used + x + 8 > 1000):
+                group, n, used = group + 1, 0, 64
+            n, used = n + 1, used + x + 8
+            want[c, pos] = group
+    units = spark.createDataFrame([(c, i, f"{c}{i}", x) for c, xs in costs.items() for i, x in enumerate(xs, 1)], "change string, pos int, label string, cost long")
+    for block in (1, 2, 5, 7, 4096):
+        got = views.fit_groups(units, room=1000, block=block).collect()
+        assert {(r.change, r.pos): r.group for r in got} == want and len(got) == len(want)
