@@ -38,10 +38,10 @@ def _unclean(value: str) -> str:
     return unquote(value, errors="surrogatepass")
 
 
-def record(page_id, url, payload: bytes, size: int, digest: str, kind: str, refers_to, archive: str) -> bytes:
+def record(page_id, url, payload: bytes, size: int, digest: str, kind: str, refers_to, archive: str, offset: int) -> bytes:
     """One WARC/1.1 record. A revisit has no block; it states digest and size of the payload that it refers to."""
     block = payload if kind == "response" else b""
-    name = f"{archive}/{page_id}/{digest}"
+    name = f"{archive}/{offset}/{page_id}/{digest}"  # rows may repeat, places do not
     headers = [
         ("WARC-Type", kind),
         ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"),
@@ -124,7 +124,7 @@ def write_archives(
                         out = store.open_output_stream(f"{path}/{name}", compression=None)
                     page, refers = (None if v is None or v != v else int(v) for v in (r.page_id, r.refers_to))
                     payload = (r.html or "").encode("utf-8", "surrogatepass")
-                    raw = record(page, r.url, payload, int(r.payload_bytes), r.payload_digest, r.record_type, refers, name)
+                    raw = record(page, r.url, payload, int(r.payload_bytes), r.payload_digest, r.record_type, refers, name, at)
                     z = zlib.compressobj(level, zlib.DEFLATED, 31)
                     data = z.compress(raw) + z.flush()
                     out.write(data)

@@ -142,6 +142,8 @@ def test_warc_round_trip(spark):
     want = [("3", rows[0][1], "revisit", "1", ""), ("1", "None", "response", "None", big), ("1", "None", "response", "None", big), ("None", "w", "revisit", "1", "")]
     want += [(str(i), u, "response", "None", h or "") for i, u, h in rows if i in (4, 5, 7, 8, 9)]
     assert got == sorted(want)
+    again = [warc.parse(warc.record(1, None, b"x", 1, "d", "response", None, "a", at))[0]["WARC-Record-ID"] for at in (0, 9)]
+    assert again[0] != again[1]  # a row that repeats in one archive
     some = warc.read_records(index.where("page_id = 5"), folder).collect()
     assert [r.page_id for r in some] == [5] and some[0].html == rows[-1][2]
     assert warc.round_trip(pages.where("page_id = 99")).count() == 0
