@@ -6,13 +6,14 @@
    dense spot is cut like any other.
 3. Each round joins neighbours of neighbours: a node's neighbours, forward and reverse, are compared with one another,
    and every node keeps its ``k`` best. A node whose whole list is above the threshold is saturated: its ``k`` doubles.
-   Rounds end when no list grows and one adds no more than GAIN of all links.
-4. Every compared pair at or above the threshold is a link. Lists stop growing at ``MOST`` neighbours; all nodes of a
-   label with a list still saturated then are compared with one another in cells of bounded size, and so are, for exact
-   counts, the members of each component.
-5. Recall is audited in each label: the links of every 100th node, and of up to AUDIT nodes whose best neighbour found
+   Rounds end when no list grows and the links in the lists grow by no more than GAIN of them.
+4. Every compared pair at or above the threshold is a link. Lists stop growing at ``MOST`` neighbours. A list still
+   saturated then can hide links to another component only: the members of each component are compared exactly for their
+   counts, in cells of bounded size. Pivots of the components with such lists are therefore put in sorted orders of their
+   own, and components whose pivots are within three times the threshold's angle are compared with each other exactly.
+5. Recall is audited in each label: the links of every 100th node, and of about AUDIT nodes whose best neighbour found
    is a link or a near miss, are counted by brute force over the label. Labels with less than ``recall`` of them are
-   searched again with new orders, and after ``tries`` searches compared exactly.
+   searched again with new orders, and after ``tries`` searches compared exactly. What was measured can be written out.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ from .components import components
 WINDOW, MOST, CELL, AUDIT = 10, 32, 1024, 256
 #: How far below the threshold a best neighbour makes a node a near miss.
 MISS = 0.03
-#: The least share of new links that is worth another round. (What is left is missed links inside components, which are
-#: counted exactly, and what the audit is there to notice.)
-GAIN = 0.01
+#: The least share of new links in the lists that is worth another round.
+GAIN = 0.001
 
 
 def unit(vectors) -> np.ndarray:
@@ -84,17 +84,15 @@ def window_pairs(nodes: DataFrame, seed: int, tables: int) -> DataFrame:
     return dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(near, "u long, v long, s double")
 
 
-def best(pairs: DataFrame, k: DataFrame | None, least: int, threshold: float) -> DataFrame:
-    """(u, v, s, k, saturated, kth): the k best neighbours of each node; k (nid, k) where lists have grown."""
-    both = pairs.select("u", "v", "s").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"))
-    both = both.where("u <> v").groupBy("u", "v").agg(F.max("s").alias("s"))
-    if k is not None:
-        both = both.join(k, F.col("u") == F.col("nid"), "left").drop("nid").withColumn("k", F.coalesce("k", F.lit(least)))
-    else:
-        both = both.withColumn("k", F.lit(least))
-    rank = Window.partitionBy("u").orderBy(F.desc("s"), "v")
-    kept = both.withColumn("r", F.row_number().over(rank)).where("r <= k")
+def best(pairs: DataFrame, least: int, threshold: float) -> DataFrame:
+    """(u, v, s, k, saturated, kth): the k best neighbours of each node; k is the greatest that a row of the pairs
+    (u, v, s, k) names for its node u, ``least`` if none does."""
+    both = pairs.select("u", "v", "s", "k").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "s", F.lit(None).cast("int").alias("k")))
+    # Dealt by node, pairs need no further shuffle to be grouped and ranked.
+    both = both.where("u <> v").repartition("u").groupBy("u", "v").agg(F.max("s").alias("s"), F.max("k").alias("k"))
     node = Window.partitionBy("u")
+    both = both.withColumn("k", F.coalesce(F.max("k").over(node), F.lit(least)))
+    kept = both.withColumn("r", F.row_number().over(node.orderBy(F.desc("s"), "v"))).where("r <= k")
     kept = kept.withColumns({"kth": F.min("s").over(node), "n": F.count("*").over(node)})
     return kept.select("u", "v", "s", "k", ((F.col("n") == F.col("k")) & (F.col("kth") >= threshold)).alias("saturated"), "kth")
 
@@ -142,12 +140,13 @@ def descend(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
 def exact_counts(nodes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
     """(cid, more): for each node of a component, the copies of other nodes of it at or above the threshold."""
+    shared = max(1, -(-comps.count() // CELL))  # groups of about CELL nodes
     sizes = comps.groupBy("component").agg(F.ceil(F.count("*") / CELL).cast("int").alias("chunks")).withColumnRenamed("component", "_c")
     m = comps.join(sizes, F.col("component") == F.col("_c")).join(nodes.select("nid", "vec", "copies"), F.col("node") == F.col("nid"))
     m = m.withColumn("c", F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int"))
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     # Small components share groups, a large one has its cells to itself.
-    group = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("component"), F.lit(512))).otherwise(F.col("component") + 512)
+    group = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("component"), F.lit(shared))).otherwise(F.col("component") + shared)
     m = m.select(group.alias("g"), "component", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "c", "nid", "vec", "copies")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -201,12 +200,54 @@ def exact_links(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFr
     return m.groupBy("label", "dim", "c1", "c2").applyInPandas(link, "u long, v long")
 
 
+def neighbours_links(nodes: DataFrame, graph: DataFrame, comps: DataFrame, threshold: float, seed: int, tables: int) -> DataFrame:
+    """(u, v): links that join the components with saturated lists to those next to them.
+
+    Of such a component, the least saturated node and about one saturated node in MOST are pivots. Two components are
+    next to each other if pivots of theirs meet in one of the sorted orders of all pivots and lie within three times the
+    threshold's angle: one for the link, and one on each side as members lie around pivots. All pairs between both are
+    compared, in cells.
+    """
+    full = graph.where("saturated").select(F.col("u").alias("node")).distinct().join(comps, "node")
+    least = full.groupBy("component").agg(F.min("node").alias("least")).withColumnRenamed("component", "_c")
+    pivots = full.join(least, F.col("component") == F.col("_c"))
+    some = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(MOST)) == 0
+    pivots = stored(pivots.where((F.col("node") == F.col("least")) | some).select("node", "component"), "vector-pivots")
+    if pivots.isEmpty():
+        return nodes.sparkSession.createDataFrame([], "u long, v long")
+    near = window_pairs(nodes.join(pivots, F.col("nid") == F.col("node"), "left_semi"), seed, tables)
+    near = near.where(F.col("s") >= float(np.cos(min(np.pi, 3 * np.arccos(min(1.0, threshold))))))
+    side = lambda s: pivots.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
+    near = near.join(side("u"), "u").join(side("v"), "v").where("cu <> cv")
+    near = stored(near.select(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")).distinct(), "vector-neighbours")
+    sizes = comps.groupBy("component").agg(F.ceil(F.count("*") / CELL).cast("int").alias("chunks"))
+    size = lambda s: sizes.select(F.col("component").alias(s), F.col("chunks").alias(f"n{s}"))
+    near = near.join(size("a"), "a").join(size("b"), "b")
+    # A cell is one chunk of component a beside one chunk of component b.
+    part = lambda s, o: near.select("a", "b", F.col(s).alias("component"), F.col(f"n{s}").alias("own"), F.col(f"n{o}").alias("other"), F.lit(s).alias("s"))
+    m = part("a", "b").union(part("b", "a")).join(comps, "component").join(nodes.select("nid", "vec"), F.col("node") == F.col("nid"))
+    m = m.withColumn("c", F.pmod(F.xxhash64("nid"), F.col("own")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("other") - 1)))
+    ca, cb = (F.when(F.col("s") == s, F.col("c")).otherwise(F.col("o")).alias(f"c{s}") for s in "ab")
+    m = m.select("a", "b", ca, cb, "s", "nid", "vec")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["s"] == "a"], pdf[pdf["s"] == "b"]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"u": [], "v": []}).astype("int64")
+        # Both components are joined in themselves, so one link is enough.
+        i, j = np.nonzero(unit(x["vec"]) @ unit(y["vec"]).T >= threshold)
+        return pd.DataFrame({"u": x["nid"].to_numpy()[i[:1]], "v": y["nid"].to_numpy()[j[:1]]})
+
+    return m.groupBy("a", "b", "ca", "cb").applyInPandas(link, "u long, v long")
+
+
 def audit(nodes: DataFrame, graph: DataFrame, counts: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(label, dim) of which too few links are found.
+    """(label, dim, asked, of_links, of_nodes, failed): how many nodes with links were asked, and what was found of theirs.
 
-    Every 100th node of a label, AUDIT nodes at least, and up to AUDIT nodes whose best neighbour in the graph (u, s) is
+    Every 100th node of a label, AUDIT nodes at least, and about AUDIT nodes whose best neighbour in the graph (u, s) is
     within MISS of the threshold or above it, are compared with all nodes of the label, in cells. Both the share of
-    links found and its mean over linked nodes must reach ``recall``.
+    links found and its mean over linked nodes must reach ``recall``, else the label has ``failed``. Labels without links
+    are left out.
     """
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n_all"))
     share = F.greatest(F.lit(1), F.least(F.lit(100), F.floor(F.col("n_all") / AUDIT)))
@@ -214,7 +255,8 @@ def audit(nodes: DataFrame, graph: DataFrame, counts: DataFrame, threshold: floa
     sizes = sizes.select("label", "dim", share.alias("share"), chunks.alias("chunks"), (F.ceil(chunks / share) + 1).cast("int").alias("blocks"))
     h = F.xxhash64("nid", F.lit(5))
     close = graph.where(F.col("s") >= threshold - MISS).select(F.col("u").alias("_u")).distinct().join(nodes.select("nid", "label", "dim"), F.col("_u") == F.col("nid"))
-    close = close.withColumn("r", F.row_number().over(Window.partitionBy("label", "dim").orderBy(h))).where(F.col("r") <= AUDIT).select("_u")
+    some = close.groupBy("label", "dim").agg(F.greatest(F.lit(1), F.floor(F.count("*") / AUDIT)).alias("some"))
+    close = close.join(some, ["label", "dim"]).where(F.pmod(F.xxhash64("nid", F.lit(6)), "some") == 0).select("_u")
     m = nodes.select("label", "dim", "nid", "vec", "copies").join(sizes, ["label", "dim"]).join(close, F.col("nid") == F.col("_u"), "left")
     all_ = m.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.pmod(F.xxhash64("nid"), "chunks").cast("int").alias("c"),
         F.lit(False).alias("asked"), "nid", "vec", "copies")
@@ -232,48 +274,55 @@ def audit(nodes: DataFrame, graph: DataFrame, counts: DataFrame, threshold: floa
     true = all_.union(asked).groupBy("label", "dim", "b", "c").applyInPandas(brute, "q long, n long").groupBy("q").agg(F.sum("n").alias("n"))
     both = true.where("n > 0").join(counts, F.col("q") == F.col("cid"), "left").join(nodes.select("nid", "label", "dim"), F.col("q") == F.col("nid"))
     got = F.least(F.coalesce("more", F.lit(0)), "n")
-    seen = both.groupBy("label", "dim").agg((F.sum(got) / F.sum("n")).alias("of_links"), F.avg(got / F.col("n")).alias("of_nodes"))
-    return seen.where(F.least("of_links", "of_nodes") < recall).select("label", "dim")
+    shares = [(F.sum(got) / F.sum("n")).alias("of_links"), F.avg(got / F.col("n")).alias("of_nodes")]
+    seen = both.groupBy("label", "dim").agg(F.count("*").alias("asked"), *shares)
+    return seen.withColumn("failed", F.least("of_links", "of_nodes") < recall)
 
 
 def near_vectors(
-    df: DataFrame, *, id_col="vec_id", vec_col="embedding", label_col="label", threshold=0.98, k=8, tables=6, tries=3, recall=0.95, seed=11
-) -> DataFrame:
+    df: DataFrame, *, id_col="vec_id", vec_col="embedding", label_col="label", threshold=0.98, k=8, tables=6, tries=3, recall=0.95, seed=11,
+    audit_path: str | None = None,
+) -> DataFrame:
     """One row per row of ``df``: the id, n_links, component_id, kept.
 
     Only vectors of one label and one length are compared. A null label, a null, empty or zero vector and one with a
     null or non-finite component link with nothing: n_links is 0 and component_id the row's own id. Equal vectors
     link; each row counts. kept tells whether the id is its component's smallest (false for null ids). Repeated rows
     are returned each. Components stay as they come (float, or double for all other types); cosines are computed in
-    double precision. A missing label column leaves all rows without links; an empty table gives no rows.
+    double precision. ``audit_path`` names a new folder for what the audits measured, a row for each search and each
+    label that has links. A missing label column leaves all rows without links; an empty table gives no rows.
     """
     df = ensure_columns(df, **{id_col: "long", vec_col: "array<float>", label_col: "int"})
     kind = df.schema[vec_col].dataType
     kind = "array<float>" if kind.simpleString() == "array<float>" else "array<double>"
     rows = df.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast(kind).alias("vec"), F.col(label_col).alias("label"))
     nodes = nodes_of(rows)
-    links = ks = failing = None
+    links = failing = None
     for attempt in range(tries):
         todo = nodes if failing is None else nodes.join(failing, ["label", "dim"], "left_semi")
         pairs = stored(window_pairs(todo, seed + attempt, tables), "vector-pairs")
-        found = stored(linked(pairs, threshold).distinct(), "vector-found")
+        found = linked(pairs, threshold)
+        pairs, seen = pairs.withColumn("k", F.lit(None).cast("int")), None
         while True:
-            graph = stored(best(pairs, ks, k, threshold), "vector-graph")
-            grown = F.when(F.col("saturated"), F.least(2 * F.col("k"), F.lit(MOST))).otherwise(F.col("k"))
-            ks = graph.select(F.col("u").alias("nid"), grown.alias("k")).distinct()
-            growing = not graph.where(F.col("saturated") & (F.col("k") < MOST)).isEmpty()
-            new = stored(descend(graph, nodes, threshold), "vector-pairs")
-            pairs = graph.select("u", "v", "s").union(new)
-            before, found = found, stored(found.union(linked(new, threshold)).distinct(), "vector-found")
-            n = found.count()
-            if not growing and n - before.count() <= GAIN * n:
+            graph = stored(best(pairs, k, threshold), "vector-graph")
+            growing, n = graph.agg(F.max(F.col("saturated") & (F.col("k") < MOST)), F.count_if(F.col("s") >= threshold)).first()
+            if seen is not None and not growing and n - seen <= GAIN * n:
                 break
-        links = found if links is None else links.union(found)
-        dense = graph.where("saturated").select(F.col("u").alias("nid")).distinct().join(nodes, "nid").select("label", "dim").distinct()
-        links = links.union(exact_links(nodes, dense, threshold))
+            grown = F.when(F.col("saturated"), F.least(2 * F.col("k"), F.lit(MOST))).otherwise(F.col("k"))
+            new, seen = stored(descend(graph, nodes, threshold), "vector-pairs"), n
+            found = found.union(linked(new, threshold))
+            pairs = graph.select("u", "v", "s", grown.alias("k")).union(new.withColumn("k", F.lit(None).cast("int")))
+        links = stored((found if links is None else links.union(found)).distinct(), "vector-found")
         comps = stored(components(links), "vector-components")
+        more = stored(neighbours_links(nodes, graph, comps, threshold, seed + attempt, tables), "vector-found")
+        if not more.isEmpty():
+            links = links.union(more)
+            comps = stored(components(links), "vector-components")
         counts = stored(exact_counts(nodes, comps, threshold), "vector-links")
-        failing = stored(audit(todo, graph, counts, threshold, recall), "vector-audit")
+        measured = stored(audit(todo, graph, counts, threshold, recall), "vector-audit")
+        if audit_path:
+            measured.withColumn("search", F.lit(attempt)).write.mode("append").parquet(audit_path)
+        failing = measured.where("failed").select("label", "dim")
         if failing.isEmpty():
             break
     else:

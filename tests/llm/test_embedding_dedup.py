@@ -116,4 +116,40 @@ def test_audit_names_labels_with_lost_links(spark):
     nodes = spark.createDataFrame(rows, "nid long, label int, dim int, vec array<float>, copies long")
     counts = spark.createDataFrame([*((i, 19) for i in range(20)), (300, 1), (301, 1)], "cid long, more long")
     graph = spark.createDataFrame([(200, 0.99)], "u long, s double")
-    assert sorted(r.label for r in ed.audit(nodes, graph, counts, 0.98, 0.95).collect()) == [0, 1]
+    assert sorted(r.label for r in ed.audit(nodes, graph, counts, 0.98, 0.95).where("failed").collect()) == [0, 1]
+
+
+def test_full_lists_lead_to_neighbouring_components_only(spark, monkeypatch, tmp_path):
+    """Two groups of near copies with links between them, among thousands of single vectors of one label."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal(32)
+    side -= side @ x[0] * x[0]
+    side /= np.linalg.norm(side)
+    first = x[0].copy()
+    turn = lambda angle: np.cos(angle) * first + np.sin(angle) * side
+    x[:60] = [turn(a) + 0.001 * rng.standard_normal(32) for a in np.linspace(0.0, 0.05, 60)]
+    x[60:130] = [turn(a) + 0.001 * rng.standard_normal(32) for a in np.linspace(0.2, 0.25, 70)]
+    df = spark.createDataFrame([(i, [float(a) for a in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = ed.unit(x)
+    hit = u @ u.T >= 0.98
+    exact = lambda *a: (_ for _ in ()).throw(AssertionError("compared a whole label"))
+    monkeypatch.setattr(ed, "exact_links", exact)
+    got = {r.vec_id: r for r in ed.near_vectors(df, audit_path=f"{tmp_path}/audit").collect()}
+    assert {i: got[i].n_links for i in got} == {i: int(hit[i].sum()) - 1 for i in range(3000)}
+    assert {got[i].component_id for i in range(130)} == {0} and all(got[i].kept for i in range(130, 3000))
+    rows = spark.read.parquet(f"{tmp_path}/audit").collect()
+    assert [(r.label, r.search, r.failed, r.of_links) for r in rows] == [(0, 0, False, 1.0)]
+
+
+def test_components_with_hidden_links_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(ed, "CELL", 16)
+    angles = [*np.linspace(0.0, 0.05, 40), *np.linspace(0.2, 0.25, 40), *np.linspace(1.5, 1.55, 40)]
+    t = [(i, 1, 2, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angles)]
+    nodes = spark.createDataFrame(t, "nid long, label int, dim int, vec array<double>")
+    graph = spark.createDataFrame([(i, True) for i in range(120)], "u long, saturated boolean")
+    comps = spark.createDataFrame([(i, i // 40 * 40) for i in range(120)], "node long, component long")
+    links = [tuple(sorted((r.u, r.v))) for r in ed.neighbours_links(nodes, graph, comps, 0.98, 1, 6).collect()]
+    assert links and all(u < 40 <= v < 80 and np.cos(angles[u] - angles[v]) >= 0.98 for u, v in links)
+    assert ed.neighbours_links(nodes, graph.where("not saturated"), comps, 0.98, 1, 6).count() == 0
