@@ -141,10 +141,11 @@ def mix_counts(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col=
     ``shards`` lists the shards that draw the row, by number, parted by commas; taken counts what is listed there.
 
     Null ids hash alike and null sources are a source of their own, last in order. Null and empty texts have size 0.
-    Rows that repeat an id are drawn together. A source without words has target 0. Reruns give the same result.
+    Rows that repeat an id are drawn together. A source without words has target 0. Reruns give the same result. A
+    missing id, text or source column counts as nulls; an empty table gives no rows. Other columns do not matter.
     """
     p = DEFAULTS | params
-    docs = ensure_columns(docs, **{source_col: "string"})
+    docs = ensure_columns(docs, **{id_col: "long", text_col: "string", source_col: "string"})
     sized = stored(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     sources, plan = plan_mix(sized, **p)
     # A block is drawn as a whole up to ``cap`` times, and in part once.
@@ -167,10 +168,10 @@ def mix_sources(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col
     """The mix itself: the rows of ``docs``, each as often as it is drawn, with ``shard`` and ``shard_order``.
 
     Rows without words are not drawn, except that a block takes its own along. Columns of ``docs`` named ``shard`` or
-    ``shard_order`` are replaced. Rows are dealt out by shard and stand there in ``shard_order``, which shuffles them.
+    ``shard_order`` are replaced; a missing id, text or source column is added as nulls. Rows are dealt out by shard and stand there in ``shard_order``, which shuffles them.
     """
     p = DEFAULTS | params
-    docs = without(ensure_columns(docs, **{source_col: "string"}), "shard", "shard_order")
+    docs = without(ensure_columns(docs, **{id_col: "long", text_col: "string", source_col: "string"}), "shard", "shard_order")
     small = stored(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     sources, plan = plan_mix(small, **p)
     draws = plan.select(F.col("source").alias("_ws"), F.col("block").alias("_wb"), "shard", "upto").withColumn("_n", F.monotonically_increasing_id())

@@ -124,9 +124,10 @@ def quality_rules(
 
     Null and empty texts have no words, fail the base rules and are not kept. Null languages and sources are groups
     of their own. Repeated rows count and return each. Columns named like a result column are replaced. Only texts
-    themselves are compared, so ties do not matter. A missing language or source column counts as null.
+    themselves are compared, so ties do not matter. A missing text, language or source column counts as null; an empty
+    table gives no rows.
     """
-    docs = ensure_columns(docs, **{lang_col: "string", source_col: "string"})
+    docs = ensure_columns(docs, **{text_col: "string", lang_col: "string", source_col: "string"})
     names = [*BASE, "n_lines", "n_upper", "n_shouts", "kept", "reason"]
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in {n.lower() for n in names}]
     # What is carried travels in one column, out of the way of all others.

@@ -257,3 +257,16 @@ def test_sessions_without_a_shared_folder_are_told():
         shared_dir(bare, "x")
     bare.sparkContext.getCheckpointDir = lambda: "hdfs://c/dir/"
     assert shared_dir(bare, "x").startswith("hdfs://c/dir/x-")
+
+
+def test_missing_columns_and_empty_tables_of_mixing_and_quality(spark):
+    from dossier.llm import mixing, quality
+
+    bare = spark.createDataFrame([(1, "x"), (2, None)], "size long, shard string")
+    rows = mixing.mix_counts(bare).collect()
+    assert [(r.doc_id, r["size"], r.taken) for r in rows] == [(None, 0, 0)] * 2
+    assert mixing.mix_sources(bare).count() == 0
+    rows = quality.quality_rules(bare).collect()
+    assert sorted((r["size"], r.n_words, r.base_failed, r.kept, r.reason) for r in rows) == [(1, 0, True, False, "base"), (2, 0, True, False, "base")]
+    assert mixing.mix_counts(bare.limit(0)).count() == 0 and mixing.mix_sources(bare.limit(0)).count() == 0
+    assert quality.quality_rules(bare.limit(0)).count() == 0
