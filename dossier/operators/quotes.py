@@ -96,19 +96,20 @@ def check_quotes(quotes: DataFrame, files: DataFrame, framing: list[str] = ()) -
     """Support of each quote by its commit's files (sha, path, before, after): support and prose_only.
 
     Prompt if the quote is part of a framing text or holds one; else the best of Added (in after, not in before),
-    InCommit, Loose (white space and case folded) and Absent over all files.
+    InCommit, Loose (white space and case folded) and Absent over all files. Null quotes and blank ones are Absent; of these
+    only the empty quote is in every file.
     """
     fold = lambda c: T.flat(F.coalesce(F.col(c), F.lit("")))
     both = F.concat_ws("\n", "f.before", "f.after")
     level = (
         F.when(F.contains(F.coalesce("f.after", F.lit("")), F.col("q.quote")) & ~F.contains(F.coalesce("f.before", F.lit("")), F.col("q.quote")), 4)
         .when(F.contains(both, F.col("q.quote")), 3)
-        .when(F.contains(T.flat(both), fold("q.quote")), 2)
+        .when(F.contains(T.flat(both), T.flat(F.col("q.quote"))), 2)
         .otherwise(1)
     )
     j = quotes.alias("q").join(files.alias("f"), F.col("q.sha") == F.col("f.sha"), "left")
     j = j.select("q.sha", "q.quote_id", "q.quote", "f.path", level.alias("level"))
-    found = F.col("level") >= 2
+    found = (F.col("level") >= 2) & ((F.trim("quote") != "") | (F.col("quote") == ""))
     g = j.groupBy("sha", "quote_id").agg(
         F.first("quote").alias("quote"), F.max("level").alias("level"),
         F.coalesce(F.bool_and(F.when(found, T.is_prose_path(F.col("path")))), F.lit(False)).alias("prose_only"),

@@ -64,3 +64,15 @@ def test_imports_without_the_training_data_package():
         shutil.copy(f"{root}/__spark_entry__.py", d)
         code = "import __spark_entry__ as e; q = e.queries(); assert 'quote_support' in q and not any(k.startswith('op') for k in q)"
         subprocess.run([sys.executable, "-c", code], cwd=d, check=True, env=os.environ | {"PYTHONPATH": d})
+
+
+def test_support_levels_of_blank_and_missing_quotes(spark, tmp_path):
+    """Null texts and texts that end in blanks, as SQL has them."""
+    texts = [None, "   ", "text" + " " * 12, "text\n" + " " * 12]
+    rows = [(10 * i + k, t) for i, t in enumerate(texts) for k in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.QUERIES["quote_support_levels"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(f"SELECT sha, quote_id, support, prose_only FROM ({plans.ORACLES['quote_support_levels']})").fetchall()
+    assert sorted(map(tuple, got.select("sha", "quote_id", "support", "prose_only").collect())) == sorted(want)
