@@ -250,6 +250,23 @@ def chunk_units(units: DataFrame, size: int = 6) -> DataFrame:
     return units.withColumn("chunk", F.floor((F.col("pos") - 1) / size).cast("int") if size else F.lit(0))
 
 
+def count_anchored_units(units: DataFrame, files: DataFrame) -> DataFrame:
+    """(change, units): how many labels ``units_anchored_to_files`` gives each change.
+
+    Labels of one file are counted by file, and only these counts meet the changes; only labels of several files meet
+    them one by one.
+    """
+    u = units.select("label", T.source_path(F.col("source")).alias("file")).where("file is not null").repartition("label")
+    # Dealt out first, a label is grouped once, in its own partition.
+    g = u.groupBy("label").agg(F.min("file").alias("file"), F.max("file").alias("_last"))
+    once = g.where("file = _last").groupBy("file").agg(F.count("*").alias("n"))
+    many = u.join(g.where("file <> _last").select("label"), "label", "left_semi")
+    f = files.select("change", "file").distinct()
+    both = f.join(once, "file").select("change", "n")
+    both = both.unionByName(f.join(many, "file").groupBy("change").agg(F.count_distinct("label").alias("n")))
+    return both.groupBy("change").agg(F.sum("n").alias("units"))
+
+
 def order_files_by_corpus(files: DataFrame, units: DataFrame) -> DataFrame:
     """Files (change, file, ord) by how many units are anchored to them, their own order on ties."""
     u = units.select(T.source_path(F.col("source")).alias("file")).where("file is not null").groupBy("file").agg(F.count("*").alias("anchored"))

@@ -1,6 +1,7 @@
 """Edge cases of the operators on small frames."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -329,3 +330,16 @@ def test_groups_of_a_large_change(spark):
     for block in (1, 2, 5, 7, 4096):
         got = views.fit_groups(units, room=1000, block=block).collect()
         assert {(r.change, r.pos): r.group for r in got} == want and len(got) == len(want)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_units_of_changes_are_counted_by_file(spark):
+    """Labels of several files count once a change; the others are counted before they meet the changes."""
+    src = [("a", "f@x"), ("a", "g@x"), ("a", "f@y"), ("b", "f@x"), ("c", "h@x"), ("d", None), ("e", "no path")]
+    units = spark.createDataFrame(src, "label string, source string")
+    files = spark.createDataFrame([("1", "f"), ("1", "g"), ("2", "g"), ("3", "h"), ("3", "h"), ("4", "z")], "change string, file string")
+    got = retrieval.count_anchored_units(units, files)
+    assert rows(got) == rows(retrieval.units_anchored_to_files(units, files).groupBy("change").count()) == [("1", 2), ("2", 1), ("3", 1)]
