@@ -42,6 +42,8 @@ def term_stats(post: DataFrame) -> DataFrame:
 
 #: What sums of scores may differ by when they are added up in another order.
 SLACK = 1e-6
+#: Postings that a task sums up for all queries.
+POSTINGS = 1 << 19
 
 
 def bm25_search(
@@ -85,27 +87,27 @@ def top_scores(asked: DataFrame, index: DataFrame, most: int, *, min_weight: flo
     Documents count only if one shared term weighs at least ``min_weight``. ``bonus`` (query, doc, bonus) is added to the
     sum, and is a document's score where no term is shared.
 
-    Not every document that shares a term is scored. Those that share a query's rarest terms are scored first; the
-    ``most``-th of them sets the query's threshold. With the query's terms in order of their greatest weights, a document
-    is at most what its last term weighs in it and all terms before weigh anywhere: only postings for which that reaches
-    the threshold make a document a candidate, and only candidates are looked up under all terms.
+    Documents under a query's rarest terms are scored first; the ``most``-th of them sets the query's threshold. Then one
+    pass over the index, dealt out by document, sums up each document's weights for all queries that it shares a term
+    with, and only pairs that reach the threshold leave their task.
     """
-    bounds = index.groupBy("term").agg(F.count("*").alias("n"), F.max("w").alias("bound"))
+    bounds = index.groupBy("term").agg(F.count("*").alias("n"))
     asked = stored(asked.select("query", "term").join(bounds, "term"), "query-terms")
     extra = None if bonus is None else stored(bonus, "bonus")
     first = stored(scored(first_hits(asked, index, 16 * most), asked, index, min_weight, extra), "first-hits")
     reached = ranked(first, ["query"], [F.desc("score")], most).groupBy("query").agg(F.count("*").alias("k"), F.min("score").alias("least"))
-    reached = reached.where(F.col("k") == most).select("query", (F.col("least") - SLACK).alias("least"))
-    pairs = candidates(stored(with_thresholds(asked, reached), "thresholds"), index)
+    reached = stored(reached.where(F.col("k") == most).select("query", (F.col("least") - SLACK).alias("least")), "thresholds")
+    pairs = stored(candidates(asked, reached, index, min_weight, extra), "candidates")
     all_ = scored(pairs, asked, index, min_weight, extra)
     return all_.withColumn("_r", F.rank().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9))))).where(F.col("_r") <= most).drop("_r")
 
 
 def first_hits(asked: DataFrame, index: DataFrame, enough: int) -> DataFrame:
-    """(query, doc) under each query's rarest terms, as many of them as it takes to ``enough`` postings."""
+    """(query, doc) under each query's rarest terms, ``enough`` postings at most: any will do for a threshold."""
     w = Window.partitionBy("query").orderBy("n", "term").rowsBetween(Window.unboundedPreceding, -1)
     rare = asked.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") < enough)
-    return rare.select("query", "term").join(index, "term").select("query", "doc").distinct()
+    hits = rare.select("query", "term", "n").join(index, "term")
+    return ranked(hits, ["query"], [F.col("n"), F.col("term"), F.col("doc")], enough).select("query", "doc").distinct()
 
 
 def scored(pairs: DataFrame, asked: DataFrame, index: DataFrame, min_weight: float, bonus: DataFrame | None) -> DataFrame:
@@ -120,17 +122,15 @@ def scored(pairs: DataFrame, asked: DataFrame, index: DataFrame, min_weight: flo
     return both.select("query", "doc", (F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))).alias("score"))
 
 
-def with_thresholds(asked: DataFrame, reached: DataFrame) -> DataFrame:
-    """``asked`` with need: what a term has to weigh in a document so that the document may reach the query's threshold
-    without any later term. 0 where no threshold is known. Of equal bounds, frequent terms come first."""
-    before = Window.partitionBy("query").orderBy("bound", F.desc("n"), "term").rowsBetween(Window.unboundedPreceding, -1)
-    need = F.coalesce(F.col("least") - F.coalesce(F.sum("bound").over(before), F.lit(0.0)), F.lit(0.0))
-    return asked.join(reached, "query", "left").select("query", "term", "bound", need.alias("need")).where("bound >= need")
-
-
-def candidates(split: DataFrame, index: DataFrame) -> DataFrame:
-    """(query, doc) of the postings that weigh what their query needs of them."""
-    return split.join(index, "term").where(F.col("w") >= F.col("need")).select("query", "doc").distinct()
+def candidates(asked: DataFrame, reached: DataFrame, index: DataFrame, min_weight: float, bonus: DataFrame | None) -> DataFrame:
+    """(query, doc) whose shared terms reach the query's threshold (query, least), with the greatest bonus where there is
+    one; all that share a term where the query has no threshold."""
+    most = (bonus.agg(F.max("bonus")).first()[0] or 0.0) if bonus is not None else 0.0  # one number
+    parts = max(index.sparkSession.sparkContext.defaultParallelism, index.count() // POSTINGS)
+    # All postings of a document are in one partition, so that its sums need no further shuffle.
+    hits = index.repartition(parts, "doc").join(asked.select("query", "term"), "term")
+    g = hits.groupBy("doc", "query").agg(F.sum("w").alias("score"), F.max("w").alias("top")).where(F.col("top") >= min_weight)
+    return g.join(reached, "query", "left").where(F.col("least").isNull() | (F.col("score") + most >= F.col("least"))).select("query", "doc")
 
 
 def context_scope(tasks: DataFrame, files: DataFrame, hits: DataFrame, units: DataFrame, most: int = 6) -> DataFrame:

@@ -55,3 +55,15 @@ def test_overlaps_keep_ties_and_bonuses(spark):
     bonus = spark.createDataFrame([("q", 5, 3.5), ("q", 4, 0.5)], "query string, doc int, bonus double")
     assert rows(retrieval.top_scores(asked, index, 2, bonus=bonus)) == [(1, 4.0), (5, 3.5)]
     assert retrieval.top_scores(asked, index.where("doc = 5"), 2).count() == 0
+
+
+def test_only_pairs_that_reach_the_threshold_are_looked_up(spark, monkeypatch):
+    """All documents share a word with all queries, so that every pair was a candidate and met all terms of its query."""
+    pairs = []
+    scored = retrieval.scored
+    monkeypatch.setattr(retrieval, "scored", lambda p, *a: pairs.append(p.count()) or scored(p, *a))
+    index = spark.createDataFrame([(d, t, 1.0) for d in range(500) for t in ["all", "both"] + [f"r{d}"] * (d < 8)], "doc int, term string, w double")
+    asked = spark.createDataFrame([(q, t) for q in range(4) for t in ["all", "both", "r1", "r2", "r5"]], "query int, term string")
+    got = retrieval.top_scores(asked, index, 3)
+    assert sorted((r.query, r.doc, r.score) for r in got.collect()) == [(q, d, 3.0) for q in range(4) for d in (1, 2, 5)]
+    assert pairs[0] <= 4 * 48 and pairs[1] == 12
