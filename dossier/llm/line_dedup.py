@@ -12,7 +12,10 @@ one, earlier by document id, then line number.
    many lines share a token, those left are compared with the next few, twice. This settles most members of a group of
    near copies with a bounded number of pairs each. (It only affects speed: whatever it leaves goes on to step 4.)
 4. Lines that are not settled are joined, as the later ones, with all lines on all prefix tokens. The length filter
-   and the positional filter (tokens left after the shared one can't make up the overlap) are part of the join.
+   and the positional filter (tokens left after the shared one can't make up the overlap) are part of the join. Hash
+   buckets can't tell what MANY lines share once a bucket holds more tokens than that, so prefix tokens are counted by
+   themselves here, and those of MANY lines or more come last: each line keeps some spare tokens, which take their
+   places. Lines with too few spare ones keep their prefix, and are joined on crowded tokens too.
 5. Pairs are verified on all tokens of both lines: on 32-bit names first, which can only overstate an overlap, then on
    the words.
 
@@ -31,6 +34,8 @@ from .common import ensure_columns, small, stored
 #: Hash buckets of tokens. What is frequent stands out from the mean of a bucket; all other tokens are equally rare.
 BUCKETS, STEPS = 1 << 20, (2, 8, 32)
 CROWD, LEADERS, ROUNDS = 32, 16, 2
+#: Lines that may share a token of the last join before it comes last.
+MANY = 16
 
 
 def normal(line: Column) -> Column:
@@ -94,7 +99,7 @@ def ordered(t: str, frequent: list[list[list[int]]]) -> Column:
 
 
 def distinct_lines(own: DataFrame, frequent: list[list[list[int]]], threshold: float, width: int) -> DataFrame:
-    """All lines with words, each once: lid, at (where the first stands), o, n tokens, prefix.
+    """All lines with words, each once: lid, at (where the first stands), o, n tokens, prefix, spare (the tokens after it).
 
     Equal lines are found by two 64-bit hashes. ``o`` never decreases with ``at``: it is the id where ids are integers,
     else 0.
@@ -102,11 +107,12 @@ def distinct_lines(own: DataFrame, frequent: list[list[list[int]]], threshold: f
     at = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("no").alias("no"))
     lines = all_lines(own).select(at.alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), hashes(F.col("line")).alias("h"))
     lines = lines.select("at", "h1", "h2", tokens("h", width, lambda x: F.xxhash64(x)).alias("t")).select("at", "h1", "h2", ordered("t", frequent).alias("t"))
-    lines = lines.select("at", "h1", "h2", F.size("t").alias("n"), F.slice("t", F.lit(1), prefix_length(F.size("t"), threshold)).alias("prefix"))
-    once = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    lines = lines.select("at", "h1", "h2", "t", F.size("t").alias("n"), prefix_length(F.size("t"), threshold).alias("p"))
+    lines = lines.select("at", "h1", "h2", "n", F.slice("t", F.lit(1), F.col("p")).alias("prefix"), F.slice("t", F.col("p") + 1, F.col("p").bitwiseOR(1)).alias("spare"))
+    once = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "prefix", "spare")])
     whole = own.schema["_id"].dataType.typeName() in ("byte", "short", "integer", "long")
     o = F.coalesce(F.greatest(F.col("at.id").cast("long"), F.lit(0)), F.lit((1 << 63) - 1)) if whole else F.lit(0).cast("long")
-    return stored(once.select(F.monotonically_increasing_id().alias("lid"), "at", o.alias("o"), "n", "prefix"), "lines")
+    return stored(once.select(F.monotonically_increasing_id().alias("lid"), "at", o.alias("o"), "n", "prefix", "spare"), "lines")
 
 
 def prefix_length(n: Column, threshold: float) -> Column:
@@ -163,19 +169,45 @@ def settle(own: DataFrame, lines: DataFrame, threshold: float, width: int) -> Da
     return stored(done.distinct(), "settled-lines")
 
 
+def crowded_lines(lines: DataFrame) -> DataFrame:
+    """(hid, many): lines with tokens, in their prefix or spare ones, that MANY lines or more have there, and which."""
+    t = lines.where("n > 0").select("lid", F.explode(F.concat("prefix", "spare")).alias("t"))
+    many = t.groupBy("t").agg(F.count("*").alias("k")).where(F.col("k") >= MANY).select(F.col("t").alias("tk"))
+    hit = t.join(small(stored(many, "crowded-tokens"), 16), F.col("t") == F.col("tk"), "left_semi")
+    return stored(hit.groupBy(F.col("lid").alias("hid")).agg(F.collect_list("t").alias("many")), "crowded-lines")
+
+
 def all_candidates(lines: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
-    """(x, y): each line y that is not settled with all lines x, not later, that it may match."""
+    """(x, y): each line y that is not settled with all lines x, not later, that it may match.
+
+    Two lines whose prefixes have crowded tokens last share one that is not crowded, or one of them is short of those;
+    a line that is short is met on all tokens of the first prefixes. Places in a prefix without crowded tokens are never
+    greater than in the first one, so that the positional filter only gets weaker between the two.
+    """
     flagged = lines.where("n > 0").join(small(settled.withColumnRenamed("late", "done"), 24), F.col("lid") == F.col("done"), "left")
     # q is o for open lines and -1 - o for settled ones, which no o is below.
     q = F.when(F.col("done").isNull(), F.col("o")).otherwise(-1 - F.col("o"))
-    t = flagged.select(q.alias("q"), "lid", "n", F.posexplode("prefix").alias("i", "t"))
-    t = t.select("t", "lid", "q", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("m"))
-    side = lambda s: t.select(F.col("t").alias(f"t{s}"), F.col("lid").alias(s), F.col("q").alias(f"q{s}"), F.col("m").alias(f"m{s}"))
+    flagged = flagged.select(q.alias("q"), "lid", "n", "prefix", "spare")
+    hit = small(crowded_lines(lines), 128)
+    apart = flagged.join(hit, F.col("lid") == F.col("hid"))
+    apart = apart.withColumn("rest", F.array_except(F.concat("prefix", "spare"), "many"))
+    apart = apart.withColumn("short", F.size("rest") < F.size("prefix")).withColumn("rest", F.slice("rest", F.lit(1), F.size("prefix")))
+    apart = stored(apart.select("q", "lid", "n", "prefix", "rest", "many", "short"), "lines-apart")
+    own = lambda df, c: df.select("*", F.posexplode(c).alias("i", "t"))
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("m")
+    row = ["t", "lid", "q", packed]
+    crowd = own(apart, "prefix").withColumn("in", F.array_contains("many", F.col("t")))
+    t = own(flagged.join(hit, F.col("lid") == F.col("hid"), "left_anti"), "prefix").select(*row)
+    t = t.union(own(apart.where("not short"), "rest").select(*row)).union(crowd.where("short and not in").select(*row))
+    c = stored(crowd.where("in").select(*row, "short"), "crowded-rows")
+    side = lambda t, s: t.select(F.col("t").alias(f"t{s}"), F.col("lid").alias(s), F.col("q").alias(f"q{s}"), F.col("m").alias(f"m{s}"))
     n_i = lambda s: {"n": F.shiftright(f"m{s}", 32), "i": F.col(f"m{s}").bitwiseAND(0xFFFFFFFF)}
     not_later = F.col("qx").bitwiseXOR(F.shiftright("qx", 63)) <= F.col("qy")
     # Both sides are one exchange, as no condition is on one of them alone.
     on = (F.col("tx") == F.col("ty")) & (F.col("x") != F.col("y")) & not_later & may_match(n_i("x"), n_i("y"), threshold)
-    return side("x").join(side("y"), on).select("x", "y").distinct()
+    pairs = lambda a, b: side(a, "x").join(side(b, "y"), on).select("x", "y")
+    short = c.where("short")
+    return pairs(t, t).union(pairs(short, c)).union(pairs(c.where("not short"), short)).distinct()
 
 
 def asked_lines(own: DataFrame, lines: DataFrame, pairs: DataFrame, width: int) -> DataFrame:

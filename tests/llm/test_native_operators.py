@@ -94,6 +94,36 @@ def test_line_dedup_pairs_of_a_large_group(spark):
     assert line_dedup.all_candidates(lines, settled, 0.8).count() <= 100 * 3000
 
 
+def test_line_dedup_tokens_that_do_not_stand_out(spark, monkeypatch):
+    # 20 phrases in 100 lines each: as frequent as a bucket's other tokens together, so that buckets can't tell them.
+    monkeypatch.setattr(line_dedup, "BUCKETS", 1 << 8)
+    texts = [" ".join([f"a{i}-{k}" for k in range(12)] + [f"p{i % 20}-{k}" for k in range(6)] + [f"b{i}-{k}" for k in range(12)]) for i in range(2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string").withColumn("_th", line_dedup.F.xxhash64("_text"))
+    frequent = line_dedup.frequent_buckets(df, 5)
+    assert not frequent[0][0]
+    lines = line_dedup.distinct_lines(df, frequent, 0.8, 5)
+    none = spark.createDataFrame([], "late long")
+    assert line_dedup.all_candidates(lines, none, 0.8).count() <= 2000
+
+
+@pytest.mark.parametrize("many", [2, 4])
+def test_line_dedup_crowded_tokens_match_brute_force(spark, monkeypatch, many):
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    monkeypatch.setattr(line_dedup, "settle", lambda own, lines, *_: lines.where("false").selectExpr("lid as late"))  # all goes to the last join
+    rng = random.Random(many)
+    base = [[f"v{rng.randrange(400)}" for _ in range(rng.randint(5, 45))] for _ in range(50)]
+    rows = []
+    for i in range(200):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(400)}"
+        if rng.random() < 0.3:
+            w += rng.choice(base)[:8]
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == brute_lines(rows)
+
+
 def test_line_dedup_threshold(spark):
     words = [f"w{i}" for i in range(40)]
     line = lambda k: " ".join(words[: 40 - k] + [f"x{k}-{i}" for i in range(k)])
