@@ -55,45 +55,63 @@ def drain_queue(
     return shas.writeStream.foreachBatch(drain).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-READING = "suite {0}, pos long, test string, outcome string, run_seconds double"
-WAITING = "places array<long>, tests array<string>, outcomes array<string>, last double"
-
-
-def close_tests(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Folds a suite's new lines: tests wait in the state until a result line tells or repeats a non-zero time."""
-    if state.exists:
-        places, tests, outcomes, last = (*map(list, state.get[:3]), state.get[3])
-    else:
-        places, tests, outcomes, last = [], [], [], 0.0
-    done = []
-    for r in pd.concat(list(frames)).sort_values("pos", kind="stable").itertuples(index=False):
-        if not r.result:
-            places.append(int(r.pos))
-            tests.append(r.test)
-            outcomes.append(r.outcome)
-            continue
-        last = last if pd.isna(r.time) else float(r.time)
-        if last > 0:
-            done += [(key[0], p, t, o, last) for p, t, o in zip(places, tests, outcomes, strict=True)]
-            places, tests, outcomes = [], [], []
-    state.update((places, tests, outcomes, last))
-    yield pd.DataFrame(done, columns=["suite", "pos", "test", "outcome", "run_seconds"])
-
-
-def stream_test_log(lines: DataFrame) -> DataFrame:
+READING = "suite string, pos long, test string, outcome string, run_seconds double"
+WAITING = "suites array<{0}>, places array<long>, tests array<string>, outcomes array<string>, known array<{0}>, lasts array<double>"
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def close_tests(whole: bool):
+    """The fold of a group of suites, whose names are texts outside the state and, if ``whole``, integers in it."""
+    named = lambda names: [None if pd.isna(s) else int(s) if whole else s for s in names]
+    texts = lambda names: pd.Series([None if s is None else str(s) for s in names], dtype=object)
+
+    def fold(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Folds the new lines of many suites: tests wait in the state until a result line tells or repeats a non-zero
+        time of their suite."""
+        suites, places, tests, outcomes, known, lasts = state.get if state.exists else ([], [], [], [], [], [])
+        # What is known of a suite comes first, as a result line that tells nobody; then what waits, then the new lines.
+        last = pd.DataFrame({"suite": texts(known), "time": pd.Series(lasts, dtype=float), "turn": 0})
+        held = pd.DataFrame({"suite": texts(suites), "pos": pd.Series(places, dtype="int64"), "test": texts(tests), "outcome": texts(outcomes), "turn": 1})
+        new = pd.concat(list(frames))[["suite", "pos", "test", "outcome", "result", "time"]].assign(turn=2)
+        d = pd.concat([x for x in (last, held, new) if len(x)], ignore_index=True)
+        for name in ("pos", "time", "test", "outcome", "result"):
+            d[name] = d[name] if name in d else None
+        d["pos"] = d["pos"].fillna(0).astype("int64")
+        d["time"], d["result"] = d["time"].astype(float), d["result"].eq(True)
+        d["code"] = pd.factorize(d["suite"], use_na_sentinel=False)[0]
+        d = d.sort_values(["code", "turn", "pos"], kind="stable", ignore_index=True)
+        told = d["time"].groupby(d["code"]).ffill().fillna(0.0)
+        d["run_seconds"] = told.where(d["result"] & (told > 0)).groupby(d["code"]).bfill()
+        rows = d[(d["turn"] > 0) & ~d["result"]]
+        wait, done = rows[rows["run_seconds"].isna()], rows[rows["run_seconds"].notna()]
+        ends = pd.DataFrame({"suite": d["suite"], "code": d["code"], "told": told}).drop_duplicates("code", keep="last")
+        state.update((named(wait["suite"]), wait["pos"].tolist(), wait["test"].tolist(), wait["outcome"].tolist(), named(ends["suite"]), ends["told"].tolist()))
+        if len(done):
+            yield done[["suite", "pos", "test", "outcome", "run_seconds"]]
+
+    return fold
+
+
+def stream_test_log(lines: DataFrame, groups: int = 256) -> DataFrame:
     """Arriving lines (suite, pos, line) of test output to readings (suite, pos, test, outcome, run_seconds), each as soon
     as its suite's time is known: in the end, with ``waiting_tests``, the rows of ``read_test_log``.
 
     A suite's lines arrive in the order of their positions from batch to batch, in any order within one. The state of a
-    suite is its last time and the tests that still wait; a query that starts again goes on from its checkpoint.
+    suite is its last time and the tests that still wait; a query that starts again goes on from its checkpoint. Suites,
+    named by integers or texts, are dealt by a hash to ``groups`` groups, which share a state and a call: the calls do not
+    grow with the suites. ``groups`` can't change with a checkpoint.
     """
     kind = lines.schema["suite"].dataType.simpleString()
-    events = log_events(lines).select("suite", "pos", "test", "outcome", "result", "time")
-    return events.groupBy("suite").applyInPandasWithState(close_tests, READING.format(kind), WAITING, "append", GroupStateTimeout.NoTimeout)
+    held = kind if kind in WHOLE else "string"
+    events = log_events(lines).select(F.col("suite").cast("string"), "pos", "test", "outcome", "result", "time")
+    dealt = events.withColumn("_group", F.pmod(F.xxhash64("suite"), F.lit(groups)).cast("int")).groupBy("_group")
+    done = dealt.applyInPandasWithState(close_tests(kind in WHOLE), READING, WAITING.format(held), "append", GroupStateTimeout.NoTimeout)
+    return done.withColumn("suite", F.col("suite").cast(kind))
 
 
 def waiting_tests(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Tests in the state of a stopped ``stream_test_log``, which no non-zero time has followed: their time is 0."""
-    held = spark.read.format("statestore").load(checkpoint).select("key.*", "value.groupState.*")
-    rows = held.select(F.col(held.columns[0]).alias("suite"), F.explode(F.arrays_zip("places", "tests", "outcomes")).alias("x"))
-    return rows.select("suite", F.col("x.places").alias("pos"), F.col("x.tests").alias("test"), F.col("x.outcomes").alias("outcome"), F.lit(0.0).alias("run_seconds"))
+    held = spark.read.format("statestore").load(checkpoint).select("value.groupState.*")
+    rows = held.select(F.explode(F.arrays_zip("suites", "places", "tests", "outcomes")).alias("x"))
+    names = {"suite": "suites", "pos": "places", "test": "tests", "outcome": "outcomes"}
+    return rows.select(*[F.col(f"x.{c}").alias(n) for n, c in names.items()], F.lit(0.0).alias("run_seconds"))

@@ -3,6 +3,7 @@
 import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import text as T
@@ -312,6 +313,26 @@ def test_streamed_log_starts_again(spark, tmp_path):
     assert rows(got) == rows(want.select(*got.columns)) and streams.waiting_tests(spark, at).count() == 1
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_streamed_suites_share_calls(spark, tmp_path, kind):
+    """Many suites, a null one among them, in few groups: their calls do not grow with the suites, nor do times mix."""
+    src, out, at = (str(tmp_path / n) for n in ("in", "out", "state"))
+    suite = F.when(F.col("id") % 300 != 7, F.col("id") % 300 + (1 << 60)).cast(kind)
+    result = F.concat(F.lit("test result: ok. finished in "), (F.col("id") % 7).cast("string"), F.lit("s"))
+    line = F.when((F.col("id") / 300).cast("int") % 4 == 3, result).otherwise(F.concat(F.lit("test t"), F.col("id").cast("string"), F.lit(" ... ok")))
+    log = spark.range(3000).select(suite.alias("suite"), F.col("id").alias("pos"), line.alias("line"))
+    for k in range(2):
+        log.where(F.floor(F.col("pos") / 1500) == k).write.mode("append").parquet(src)
+        q = streams.stream_test_log(spark.readStream.schema(log.schema).parquet(src), groups=3).writeStream.format("parquet").option("path", out).option("checkpointLocation", at)
+        q.trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(out).unionByName(streams.waiting_tests(spark, at))
+    named = F.lit("-1").cast(kind)  # a name for the suite without one, which joins would lose
+    want = evidence.read_test_log(log.withColumn("suite", F.coalesce("suite", named))).withColumn("suite", F.nullif("suite", named))
+    assert got.schema["suite"].dataType == log.schema["suite"].dataType
+    assert rows(got) == rows(want.select(*got.columns))
+    assert spark.read.format("statestore").load(at).count() <= 3
+
+
 def test_groups_of_a_large_change(spark):
     """Blocks of any size give the groups of one fold."""
     import random
