@@ -138,15 +138,19 @@ def context_scope(tasks: DataFrame, files: DataFrame, hits: DataFrame, units: Da
 
     tasks: (task, repo, path), a row for each file; files: (repo, sha, path) of all commits; hits: (task, doc, rank) by
     search; units: (doc, repo, sha). Commits that share a file with the task, and those of its ``most`` best units; all of
-    the repository where no commit shares one.
+    the repository where no commit shares one. A task of one repository meets each of its commits once, so these rows, most
+    of all, need no distinct.
     """
     touched = tasks.join(files.select("repo", "sha", "path").distinct(), ["repo", "path"]).select("task", "repo", "sha").distinct()
     asked = tasks.select("task", "repo").distinct()
     known = touched.select("task").distinct()
     found = hits.where(F.col("rank") <= most).select("task", "doc").join(units.select("doc", "repo", "sha"), "doc")
     found = found.join(asked.join(known, "task", "left_semi"), ["task", "repo"]).select("task", "sha")
-    whole = asked.join(known, "task", "left_anti").join(files.select("repo", "sha").distinct(), "repo").select("task", "sha")
-    return touched.select("task", "sha").union(found).union(whole).distinct()
+    rest = asked.join(known, "task", "left_anti").where("repo is not null").groupBy("task").agg(F.collect_list("repo").alias("repos"))
+    commits = files.select("repo", "sha").distinct()
+    whole = lambda some: some.select("task", F.explode("repos").alias("repo")).join(commits, "repo").select("task", "sha")
+    one, many = whole(rest.where(F.size("repos") == 1)), whole(rest.where(F.size("repos") > 1)).distinct()
+    return touched.select("task", "sha").union(found).distinct().union(one).union(many)
 
 
 def diff_query(lines: DataFrame, files: DataFrame, most: int = 80) -> DataFrame:

@@ -67,3 +67,16 @@ def test_only_pairs_that_reach_the_threshold_are_looked_up(spark, monkeypatch):
     got = retrieval.top_scores(asked, index, 3)
     assert sorted((r.query, r.doc, r.score) for r in got.collect()) == [(q, d, 3.0) for q in range(4) for d in (1, 2, 5)]
     assert pairs[0] <= 4 * 48 and pairs[1] == 12
+
+
+def test_scope_of_whole_repositories(spark):
+    """Tasks without a shared file take all commits of their repositories, each once; those of one repository without a
+    distinct over the pairs."""
+    tasks = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (2, "a", "x"), (2, "b", "x"), (3, "b", "f"), (4, None, "x")], "task long, repo string, path string")
+    files = spark.createDataFrame([("a", 10, "f"), ("a", 10, "g"), ("a", 11, "f"), ("b", 11, "f"), ("b", 12, "h")], "repo string, sha long, path string")
+    hits = spark.createDataFrame([(3, 7, 1), (2, 7, 1)], "task long, doc long, rank int")
+    units = spark.createDataFrame([(7, "b", 12)], "doc long, repo string, sha long")
+    got = retrieval.context_scope(tasks, files, hits, units)
+    assert sorted(map(tuple, got.collect())) == [(1, 10), (1, 11), (2, 10), (2, 11), (2, 12), (3, 11), (3, 12)]
+    top = got._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert top.startswith("Union")
