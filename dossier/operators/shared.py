@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -20,3 +21,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, row_bytes: int, most: int = 64 << 20) -> DataFrame:
+    """The stored ``df`` marked for broadcast if its rows, of about ``row_bytes`` bytes each, take at most ``most`` bytes."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df

@@ -129,8 +129,10 @@ def _write(spark: SparkSession, folder: str, batch: str, rows: DataFrame, by: st
 def _add(spark: SparkSession, folder: str, batch: DataFrame, key: str, by: str, buckets: int) -> tuple[Manifest, str | None, int, list[int]]:
     """Adds what ``batch`` holds and the store does not: (version before, batch written, added, buckets read)."""
     m = load_manifest(spark, folder) or Manifest(buckets=buckets)
-    one = _placed(batch.where(F.col(key).isNotNull()).dropDuplicates([key]), F.col(by), m)
-    one = stored(one, "store-batch")
+    one = stored(_placed(batch.where(F.col(key).isNotNull()), F.col(by), m), "store-batch")
+    # Whole records are shuffled for it only if keys are repeated.
+    if not one.groupBy(key).count().where("count > 1").isEmpty():
+        one = stored(one.dropDuplicates([key]), "store-batch")
     read: list[int] = []
     if m.batches:
         maybe = stored(may_hold(spark, folder, m, one.select(key, "_bucket", "_word", "_bits")).select(key, "_bucket"), "store-maybe")

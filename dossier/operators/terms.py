@@ -7,11 +7,11 @@ the changes of the manifest's batches, so no document is read again for them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
-from .shared import stored
+from .shared import small, stored
 
 DELTA = "term string, df long, n_docs long, n_terms long"
 
@@ -29,20 +29,24 @@ def update_term_stats(spark: SparkSession, folder: str, batch: DataFrame, bucket
         return 0
     new = store.read_store_batch(spark, folder, rows, name)
     docs = stored(store._placed(new.select("doc").distinct(), F.col("doc"), m), "documents")
-    known = store.may_hold(spark, folder, m, docs)
-    read = sorted(r["_bucket"] for r in known.select("_bucket").distinct().collect())  # a number for each bucket at most
-    old = store.read_store(spark, folder, rows, read).join(docs.select("doc"), "doc", "left_semi")
-    latest = Window.partitionBy("doc").orderBy(F.desc("version"))
-    both = old.withColumn("was", F.lit(True)).unionByName(new.withColumn("was", F.lit(False)))
-    top = lambda df: df.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
-    after = top(both).where("not was").withColumn("sign", F.lit(1))
-    before = top(old.withColumn("was", F.lit(True))).join(after.select("doc"), "doc", "left_semi").withColumn("sign", F.lit(-1))
-    changed = stored(before.unionByName(after).select("sign", F.coalesce("terms", F.array().cast("array<string>")).alias("terms")), "changes")
-    none = F.lit(0).cast("long")
-    each = changed.select("sign", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("sign").alias("df"))
-    total = changed.where(F.size("terms") > 0).agg(F.coalesce(F.sum("sign"), none).alias("n_docs"), F.coalesce(F.sum(F.col("sign") * F.size("terms")), none).alias("n_terms"))
-    deltas = each.where("df <> 0").select("term", "df", none.alias("n_docs"), none.alias("n_terms"))
-    deltas = deltas.unionByName(total.select(F.lit(None).cast("string").alias("term"), none.alias("df"), "n_docs", "n_terms"))
+    maybe = store.may_hold(spark, folder, m, docs)
+    read = sorted(r["_bucket"] for r in maybe.select("_bucket").distinct().collect())  # a number for each bucket at most
+    # Which versions count is told by their numbers alone. Word lists are read once, of those that come or go.
+    old = store.read_store(spark, folder, rows, read)
+    known = old.select("doc", "version").join(docs.select("doc"), "doc", "left_semi")
+    both = known.withColumn("was", F.lit(True)).unionByName(new.select("doc", "version", F.lit(False).alias("was")))
+    last = both.groupBy("doc").agg(F.max(F.when(F.col("was"), F.col("version"))).alias("before"), F.max(F.when(~F.col("was"), F.col("version"))).alias("after"))
+    last = stored(last.where("before is null or after > before"), "versions")
+    come = last.select("doc", F.col("after").alias("version"))
+    go = last.where("before is not null").select("doc", F.col("before").alias("version"))
+    after = new if come.count() == added else new.join(small(come, 64), ["doc", "version"], "left_semi")
+    before = old.join(small(go, 64), ["doc", "version"], "left_semi")
+    changed = before.withColumn("sign", F.lit(-1)).unionByName(after.withColumn("sign", F.lit(1)))
+    # A document's length goes with the first of its terms.
+    each = changed.select("sign", F.size("terms").alias("n"), F.posexplode(F.array_distinct("terms")).alias("i", "term"))
+    first = lambda c: F.sum(F.when(F.col("i") == 0, c).otherwise(0)).alias
+    deltas = each.groupBy("term").agg(F.sum("sign").alias("df"), first(F.col("sign"))("n_docs"), first(F.col("sign") * F.col("n"))("n_terms"))
+    deltas = deltas.where("df <> 0 or n_docs <> 0 or n_terms <> 0")
     deltas.write.parquet(f"{folder}/deltas/_merge={name}")
     store._commit(spark, folder, store.Manifest(m.version + 1, m.buckets, m.words, m.batches | {name: added}))
     return added

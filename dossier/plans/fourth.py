@@ -539,7 +539,7 @@ SELECT df, count(*) AS terms, (SELECT count(*) FROM v WHERE len(ts) > 0) AS n_do
 """)
 def kept_terms(t) -> DataFrame:
     """Frequencies kept over four batches: halves of all texts, whole texts, older versions of those, and withdrawals."""
-    d = t("documents").select(F.col("doc_id").cast("string").alias("doc"), "doc_id", words_of("text").alias("ws")).where("ws is not null")
+    d = t("documents").select(F.col("doc_id").cast("string").alias("doc"), "doc_id", "text", words_of("text").alias("ws")).where("text is not null")
     half = F.slice("ws", F.lit(1), F.floor(F.size("ws") / 2).cast("int"))
     batch = lambda rows, version, words: rows.select("doc", F.lit(version).cast("long").alias("version"), words.alias("terms"))
     at, spark = scratch(d, "terms"), d.sparkSession

@@ -37,3 +37,22 @@ def test_any_order_of_batches(spark, tmp_path, seed, monkeypatch):
         with pytest.raises(RuntimeError):
             terms.update_term_stats(spark, at, frame([("d0", 99, ["zzz"])]), buckets=4)
     assert {r.term: r.df for r in terms.kept_term_stats(spark, at).collect()} == want
+
+
+def test_repeated_and_older_versions_in_one_batch(spark, tmp_path):
+    frame = lambda part: spark.createDataFrame(part, "doc string, version long, terms array<string>")
+    at = str(tmp_path / "t")
+    stats = lambda: ({r.term: r.df for r in terms.kept_term_stats(spark, at).collect()}, tuple(terms.kept_lengths(spark, at).first()))
+    assert terms.update_term_stats(spark, at, frame([("a", 1, ["x"]), ("a", 2, ["x", "x", "y"]), ("a", 2, ["x", "x", "y"]), ("b", 5, [None, "x"]), ("c", 1, [])]), buckets=4) == 4
+    assert stats() == ({"x": 2, "y": 1}, (2, 5))
+    assert terms.update_term_stats(spark, at, frame([("b", 4, ["z"]), ("c", 2, ["z"]), ("a", 3, None), (None, 1, ["q"])]), buckets=4) == 3
+    assert stats() == ({"x": 1, "z": 1}, (2, 3))
+
+
+def test_word_lists_are_not_sorted_to_find_repeated_keys(spark, tmp_path, monkeypatch):
+    seen = []
+    keep = store.stored
+    monkeypatch.setattr(store, "stored", lambda df, name: (seen.append((name, df._jdf.queryExecution().optimizedPlan().toString())), keep(df, name))[1])
+    rows = spark.createDataFrame([(f"d{i}", 1, ["x", f"y{i}"]) for i in range(20)], "doc string, version long, terms array<string>")
+    assert terms.update_term_stats(spark, str(tmp_path / "t"), rows, buckets=4) == 20
+    assert [name for name, _ in seen] == ["store-batch"] and "Aggregate" not in seen[0][1]
