@@ -15,7 +15,7 @@ one, earlier by document id, then line number.
    and the positional filter (tokens left after the shared one can't make up the overlap) are part of the join. Hash
    buckets can't tell what MANY lines share once a bucket holds more tokens than that, so prefix tokens are counted by
    themselves here, and those of MANY lines or more come last: each line keeps some spare tokens, which take their
-   places. Lines with too few spare ones keep their prefix, and are joined on crowded tokens too.
+   places. Lines with too few spare ones are joined on their least crowded tokens too.
 5. Pairs are verified on all tokens of both lines: on 32-bit names first, which can only overstate an overlap, then on
    the words.
 
@@ -93,8 +93,11 @@ def ordered(t: str, frequent: list[list[list[int]]]) -> Column:
     """Distinct tokens, rarest first, as integers: how many of the STEPS their bucket reaches, then the hash."""
     tables = [F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<array<int>>") for x in frequent]  # constants: each is read once
     high, low = lambda x: F.shiftright(x.bitwiseAND(BUCKETS - 1), 8).cast("int"), lambda x: x.bitwiseAND(255).cast("int")
-    rank = lambda x: sum(F.array_contains(F.get(table, high(x)), low(x)).cast("long") for table in tables)
-    name = lambda x: F.shiftleft(F.coalesce(rank(x), F.lit(0)), 57).bitwiseOR(F.shiftrightunsigned(x, 7))
+
+    def rank(x, k=0):  # a bucket that does not reach a step reaches none of those after it
+        return F.when(F.array_contains(F.get(tables[k], high(x)), low(x)), 1 + rank(x, k + 1)).otherwise(F.lit(0)) if k < len(tables) else F.lit(0)
+
+    name = lambda x: F.shiftleft(rank(x).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(x, 7))
     return F.sort_array(F.array_distinct(F.transform(t, name)))
 
 
@@ -170,44 +173,47 @@ def settle(own: DataFrame, lines: DataFrame, threshold: float, width: int) -> Da
 
 
 def crowded_lines(lines: DataFrame) -> DataFrame:
-    """(hid, many): lines with tokens, in their prefix or spare ones, that MANY lines or more have there, and which."""
+    """(hid, many): lines with tokens, in their prefix or spare ones, that MANY lines or more have there, and which, the
+    least crowded first."""
     t = lines.where("n > 0").select("lid", F.explode(F.concat("prefix", "spare")).alias("t"))
-    many = t.groupBy("t").agg(F.count("*").alias("k")).where(F.col("k") >= MANY).select(F.col("t").alias("tk"))
-    hit = t.join(small(stored(many, "crowded-tokens"), 16), F.col("t") == F.col("tk"), "left_semi")
-    return stored(hit.groupBy(F.col("lid").alias("hid")).agg(F.collect_list("t").alias("many")), "crowded-lines")
+    many = t.groupBy("t").agg(F.count("*").alias("k")).where(F.col("k") >= MANY).select(F.col("t").alias("tk"), "k")
+    hit = t.join(small(stored(many, "crowded-tokens"), 24), F.col("t") == F.col("tk"))
+    hit = hit.groupBy(F.col("lid").alias("hid")).agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("many"))
+    return stored(hit.select("hid", F.col("many.t").alias("many")), "crowded-lines")
 
 
 def all_candidates(lines: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
     """(x, y): each line y that is not settled with all lines x, not later, that it may match.
 
-    Two lines whose prefixes have crowded tokens last share one that is not crowded, or one of them is short of those;
-    a line that is short is met on all tokens of the first prefixes. Places in a prefix without crowded tokens are never
-    greater than in the first one, so that the positional filter only gets weaker between the two.
+    Let W be a line's prefix and spare tokens, p and s of them, with crowded tokens last, and m the first one in that
+    order that matching lines A and B of a and b tokens share in their W. Tokens before m in A's W that are not in B are
+    p(A) - 1 at most. If there are others, they stand in B beyond its W, so m is crowded (else they would stand before it
+    there), and all of B's W but b - overlap tokens is in A's. Then p(A) + s(A) - p(B) - s(B) + b - overlap at most stand
+    before m. With a threshold of h that is linear in b, greatest for b = h * a or b = a / h, and less than the share
+    max(2 * (1 - h)^2, 3 - 2 * h - 1 / h) of a, and 3 for rounding. So a line needs its first p tokens that are not
+    crowded, and crowded ones only as far as it has fewer than the greater of the two counts.
     """
     flagged = lines.where("n > 0").join(small(settled.withColumnRenamed("late", "done"), 24), F.col("lid") == F.col("done"), "left")
     # q is o for open lines and -1 - o for settled ones, which no o is below.
     q = F.when(F.col("done").isNull(), F.col("o")).otherwise(-1 - F.col("o"))
     flagged = flagged.select(q.alias("q"), "lid", "n", "prefix", "spare")
-    hit = small(crowded_lines(lines), 128)
-    apart = flagged.join(hit, F.col("lid") == F.col("hid"))
-    apart = apart.withColumn("rest", F.array_except(F.concat("prefix", "spare"), "many"))
-    apart = apart.withColumn("short", F.size("rest") < F.size("prefix")).withColumn("rest", F.slice("rest", F.lit(1), F.size("prefix")))
-    apart = stored(apart.select("q", "lid", "n", "prefix", "rest", "many", "short"), "lines-apart")
-    own = lambda df, c: df.select("*", F.posexplode(c).alias("i", "t"))
-    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("m")
-    row = ["t", "lid", "q", packed]
-    crowd = own(apart, "prefix").withColumn("in", F.array_contains("many", F.col("t")))
-    t = own(flagged.join(hit, F.col("lid") == F.col("hid"), "left_anti"), "prefix").select(*row)
-    t = t.union(own(apart.where("not short"), "rest").select(*row)).union(crowd.where("short and not in").select(*row))
-    c = stored(crowd.where("in").select(*row, "short"), "crowded-rows")
-    side = lambda t, s: t.select(F.col("t").alias(f"t{s}"), F.col("lid").alias(s), F.col("q").alias(f"q{s}"), F.col("m").alias(f"m{s}"))
+    flagged = flagged.join(small(crowded_lines(lines), 256), F.col("lid") == F.col("hid"), "left")
+    p, rest = F.size("prefix"), F.when(F.col("many").isNotNull(), F.array_except(F.concat("prefix", "spare"), "many"))
+    flagged = flagged.select("q", "lid", "n", "prefix", "many", rest.alias("rest"))
+    share = max(2 * (1 - threshold) ** 2, 3 - 2 * threshold - 1 / threshold)
+    room = F.greatest(F.greatest(p, F.floor(F.col("n") * F.lit(share) + 1e-9).cast("int") + 4) - F.size("rest"), F.lit(0))
+    use = F.when(F.col("many").isNull(), F.col("prefix")).otherwise(F.concat(F.slice("rest", F.lit(1), p), F.slice("many", F.lit(1), room)))
+    plain = F.when(F.col("many").isNull(), p).otherwise(F.least(p, F.size("rest")))
+    t = flagged.select("q", "lid", "n", use.alias("use"), plain.alias("plain")).select("q", "lid", "n", "plain", F.posexplode("use").alias("i", "t"))
+    # What stands before a crowded token may be shared nevertheless: its place says nothing.
+    place = F.when(F.col("i") < F.col("plain"), F.col("i")).otherwise(0)
+    t = t.select("t", "lid", "q", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(place.cast("long")).alias("m"))
+    side = lambda s: t.select(F.col("t").alias(f"t{s}"), F.col("lid").alias(s), F.col("q").alias(f"q{s}"), F.col("m").alias(f"m{s}"))
     n_i = lambda s: {"n": F.shiftright(f"m{s}", 32), "i": F.col(f"m{s}").bitwiseAND(0xFFFFFFFF)}
     not_later = F.col("qx").bitwiseXOR(F.shiftright("qx", 63)) <= F.col("qy")
     # Both sides are one exchange, as no condition is on one of them alone.
     on = (F.col("tx") == F.col("ty")) & (F.col("x") != F.col("y")) & not_later & may_match(n_i("x"), n_i("y"), threshold)
-    pairs = lambda a, b: side(a, "x").join(side(b, "y"), on).select("x", "y")
-    short = c.where("short")
-    return pairs(t, t).union(pairs(short, c)).union(pairs(c.where("not short"), short)).distinct()
+    return side("x").join(side("y"), on).select("x", "y").distinct()
 
 
 def asked_lines(own: DataFrame, lines: DataFrame, pairs: DataFrame, width: int) -> DataFrame:

@@ -124,6 +124,34 @@ def test_line_dedup_crowded_tokens_match_brute_force(spark, monkeypatch, many):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == brute_lines(rows)
 
 
+def test_line_dedup_lines_short_of_spare_tokens(spark):
+    # 60 lines of each of 20 phrases, half of a line: those with too few spare tokens meet each other, not all lines.
+    texts = [" ".join([f"a{i}-{k}" for k in range(13)] + [f"p{i % 20}-{k}" for k in range(28)] + [f"b{i}-{k}" for k in range(13)]) for i in range(1200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string").withColumn("_th", line_dedup.F.xxhash64("_text"))
+    lines = line_dedup.distinct_lines(df, line_dedup.frequent_buckets(df.limit(0), 5), 0.8, 5)
+    assert line_dedup.all_candidates(lines, spark.createDataFrame([], "late long"), 0.8).count() <= 10_000
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.9])
+def test_line_dedup_crowded_tokens_at_other_thresholds(spark, monkeypatch, threshold):
+    monkeypatch.setattr(line_dedup, "MANY", 2)
+    rng = random.Random(7)
+    base = [[f"v{rng.randrange(300)}" for _ in range(rng.randint(5, 45))] for _ in range(12)]
+    texts = []
+    for _ in range(120):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(300)}"
+        texts.append(" ".join(w[rng.randint(0, 2) :] if len(w) > 9 else w))
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string").withColumn("_th", line_dedup.F.xxhash64("_text"))
+    lines = line_dedup.distinct_lines(df, line_dedup.frequent_buckets(df, 5), threshold, 5)
+    at = {r.lid: r.at.id for r in lines.collect()}
+    got = {(at[r.x], at[r.y]) for r in line_dedup.all_candidates(lines, spark.createDataFrame([], "late long"), threshold).collect()}
+    want = {(i, k) for k in range(len(texts)) for i in range(k) if _jaccard(texts[i], texts[k]) >= threshold}
+    assert want and want <= got
+
+
 def test_line_dedup_threshold(spark):
     words = [f"w{i}" for i in range(40)]
     line = lambda k: " ".join(words[: 40 - k] + [f"x{k}-{i}" for i in range(k)])
