@@ -4,20 +4,20 @@ A line's tokens are its shingles of five words (fewer words: the whole line). Li
 word or the Jaccard similarity of their tokens is at least ``threshold``; a line is removed if it matches an earlier
 one, earlier by document id, then line number.
 
-1. Tokens are counted over all documents in hash buckets, and ordered by that count, then by hash, so what many lines
-   share comes last. (The order only affects speed.) Of its n ordered tokens the first n - ceil(threshold * n) + 1 are
-   a line's prefix; lines with a similarity of at least the threshold share a prefix token.
-2. Equal lines become one, standing where the first of them does. Lines of fewer than five words match nothing else.
+1. Of a line's n distinct tokens, lowest hashes first, the first n - ceil(threshold * n) + SHARED are sought in other
+   lines. Two lines that match have at least ceil(threshold * n) tokens in common, for either's n, so the first SHARED of
+   these (or all, if fewer) are among the tokens sought of both. A line with fewer sought tokens that another line seeks
+   too matches none and is left out of all that follows. Equal lines become one, standing where the first of them does.
+   Lines of fewer than five words match nothing else.
+2. All tokens of the lines left are counted, each by itself. Those of one line are shared with none and come first, then
+   the others by their counts. The first n - ceil(threshold * n) + 1 in that order are a line's prefix; lines that match
+   share a prefix token.
 3. A line needs one earlier match only. First it is compared with the earliest line of two of its prefix tokens; where
    many lines share a token, those left are compared with the next few, twice. This settles most members of a group of
    near copies with a bounded number of pairs each. (It only affects speed: whatever it leaves goes on to step 4.)
 4. Lines that are not settled are joined, as the later ones, with all lines on all prefix tokens. The length filter
-   and the positional filter (tokens left after the shared one can't make up the overlap) are part of the join. Hash
-   buckets can't tell what MANY lines share once a bucket holds more tokens than that, so prefix tokens are counted by
-   themselves here, and those of MANY lines or more come last: each line keeps some spare tokens, which take their
-   places. Lines with too few spare ones are joined on their least crowded tokens too.
-5. Pairs are verified on all tokens of both lines: on 32-bit names first, which can only overstate an overlap, then on
-   the words.
+   and the positional filter (tokens left after the shared one can't make up the overlap) are part of the join.
+5. Pairs are verified on all tokens of both lines: on their hashes first, then on the words.
 
 What is broadcast has a checked size (``common.small``), else Spark joins by shuffle. No group is collected.
 """
@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import ensure_columns, small, stored
 
+#: Tokens that a line must share with others before all its tokens are read. (It only affects speed.)
+SHARED = 3
 #: Hash buckets of tokens. What is frequent stands out from the mean of a bucket; all other tokens are equally rare.
 BUCKETS, STEPS = 1 << 20, (2, 8, 32)
-CROWD, LEADERS, ROUNDS = 32, 16, 2
-#: Lines that may share a token of the last join before it comes last.
-MANY = 16
+#: Lines of a crowded token, lines that the others of a token are compared with, and how often.
+MANY, LEADERS, ROUNDS = 32, 16, 2
 
 
 def normal(line: Column) -> Column:
@@ -83,14 +84,18 @@ def frequent_buckets(own: DataFrame, width: int) -> list[list[list[int]]]:
     return out
 
 
-def tokens(h: str, width: int, name) -> Column:
-    """``name`` of every ``width`` neighbours of the array column ``h``; none if there are fewer."""
-    left = F.greatest(F.lit(0), F.size(h) - width + 1)
-    return F.transform(F.arrays_zip(*[F.slice(h, F.lit(k + 1), left).alias(f"t{k}") for k in range(width)]), name)
+def tokens(h: str, width: int) -> Column:
+    """A hash of every ``width`` neighbours of the array column ``h``; none if there are fewer."""
+    at = F.sequence(F.lit(0), F.size(h) - width)
+    some = F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
+    return F.when(F.size(h) >= width, some).otherwise(F.array().cast("array<bigint>"))
 
 
 def ordered(t: str, frequent: list[list[list[int]]]) -> Column:
-    """Distinct tokens, rarest first, as integers: how many of the STEPS their bucket reaches, then the hash."""
+    """Distinct tokens in the order of step 1: by hash. Those of ``frequent`` buckets come last, as integers of how many
+    of the STEPS their bucket reaches, then the hash; dedup_lines names none, as counting them costs more than it saves."""
+    if not frequent:
+        return F.sort_array(F.array_distinct(t))
     tables = [F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<array<int>>") for x in frequent]  # constants: each is read once
     high, low = lambda x: F.shiftright(x.bitwiseAND(BUCKETS - 1), 8).cast("int"), lambda x: x.bitwiseAND(255).cast("int")
 
@@ -101,21 +106,57 @@ def ordered(t: str, frequent: list[list[list[int]]]) -> Column:
     return F.sort_array(F.array_distinct(F.transform(t, name)))
 
 
-def distinct_lines(own: DataFrame, frequent: list[list[list[int]]], threshold: float, width: int) -> DataFrame:
-    """All lines with words, each once: lid, at (where the first stands), o, n tokens, prefix, spare (the tokens after it).
+def order(lines: DataFrame) -> Column:
+    """What never decreases with ``at``: the id where ids are integers, else 0."""
+    if lines.select("at.id").schema["id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return F.lit(0).cast("long")
+    return F.coalesce(F.greatest(F.col("at.id").cast("long"), F.lit(0)), F.lit((1 << 63) - 1))
+
 
-    Equal lines are found by two 64-bit hashes. ``o`` never decreases with ``at``: it is the id where ids are integers,
-    else 0.
+def sought_lines(own: DataFrame, frequent: list[list[list[int]]], threshold: float, width: int) -> DataFrame:
+    """All lines with words, each once: lid, at (where the first stands), n tokens, sought (the tokens of step 1).
+
+    Equal lines are found by two 64-bit hashes.
     """
     at = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("no").alias("no"))
     lines = all_lines(own).select(at.alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), hashes(F.col("line")).alias("h"))
-    lines = lines.select("at", "h1", "h2", tokens("h", width, lambda x: F.xxhash64(x)).alias("t")).select("at", "h1", "h2", ordered("t", frequent).alias("t"))
-    lines = lines.select("at", "h1", "h2", "t", F.size("t").alias("n"), prefix_length(F.size("t"), threshold).alias("p"))
-    lines = lines.select("at", "h1", "h2", "n", F.slice("t", F.lit(1), F.col("p")).alias("prefix"), F.slice("t", F.col("p") + 1, F.col("p").bitwiseOR(1)).alias("spare"))
-    once = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "prefix", "spare")])
-    whole = own.schema["_id"].dataType.typeName() in ("byte", "short", "integer", "long")
-    o = F.coalesce(F.greatest(F.col("at.id").cast("long"), F.lit(0)), F.lit((1 << 63) - 1)) if whole else F.lit(0).cast("long")
-    return stored(once.select(F.monotonically_increasing_id().alias("lid"), "at", o.alias("o"), "n", "prefix", "spare"), "lines")
+    lines = lines.select("at", "h1", "h2", tokens("h", width).alias("t")).select("at", "h1", "h2", ordered("t", frequent).alias("t"))
+    lines = lines.select("at", "h1", "h2", "t", F.size("t").alias("n"))
+    sought = F.slice("t", F.lit(1), prefix_length(F.col("n"), threshold) + (SHARED - 1))
+    lines = lines.select("at", "h1", "h2", "n", sought.alias("sought"))
+    once = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n", "sought")])
+    return stored(once.select(F.monotonically_increasing_id().alias("lid"), "at", "n", "sought"), "lines")
+
+
+def sharing_lines(lines: DataFrame, threshold: float) -> DataFrame:
+    """(kid): lines with as many sought tokens in other lines as step 1 asks for."""
+    t = lines.where("n > 0").select("lid", "n", F.explode("sought").alias("t"))
+    more = stored(t.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select(F.col("t").alias("tk")), "shared-tokens")
+    hit = t.join(small(more, 24), F.col("t") == F.col("tk")).groupBy("lid", "n").agg(F.count("*").alias("k"))
+    least = F.least(F.lit(SHARED), F.ceil(F.col("n") * F.lit(threshold) - 1e-9))
+    return stored(hit.where(F.col("k") >= least).select(F.col("lid").alias("kid")), "sharing-lines")
+
+
+def distinct_lines(own: DataFrame, frequent: list[list[list[int]]], threshold: float, width: int) -> DataFrame:
+    """All lines with words, each once: lid, at (where the first stands), o, n tokens, shared, prefix, line.
+
+    ``shared`` are the tokens that other lines have too, rarest first, and ``prefix`` those of them that are in the
+    prefix; both, and the line itself, are null for lines that match no other.
+    """
+    once = sought_lines(own, frequent, threshold, width)
+    kept = small(sharing_lines(once, threshold), 24)
+    asked = asked_lines(own, once.join(kept, F.col("lid") == F.col("kid"), "left_semi").select("lid", "at"), width)
+    t = asked.select("lid", F.explode("t").alias("t"))
+    counts = t.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select(F.col("t").alias("tk"), "k")
+    shared = t.join(small(stored(counts, "token-counts"), 32), F.col("t") == F.col("tk"))
+    shared = shared.groupBy(F.col("lid").alias("sid")).agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("s"))
+    lines = asked.select("lid", "at", F.size("t").alias("n"), "line").join(shared, F.col("lid") == F.col("sid"), "left")
+    lines = lines.select("lid", "at", "n", F.col("s.t").alias("shared"), "line")
+    used = F.greatest(F.lit(0), prefix_length(F.col("n"), threshold) - (F.col("n") - F.size("shared")))
+    lines = lines.select("lid", "at", "n", "shared", F.slice("shared", F.lit(1), used).alias("prefix"), "line")
+    rest = once.join(kept, F.col("lid") == F.col("kid"), "left_anti").select("lid", "at", "n")
+    lines = lines.unionByName(rest, allowMissingColumns=True)
+    return stored(lines.select("lid", "at", order(lines).alias("o"), "n", "shared", "prefix", "line"), "lines-ranked", compression="zstd")
 
 
 def prefix_length(n: Column, threshold: float) -> Column:
@@ -131,9 +172,9 @@ def may_match(a: dict, b: dict, threshold: float) -> Column:
 
 
 def some_tokens(lines: DataFrame) -> DataFrame:
-    """(lid, o, t): the first and the middle one of each line's prefix tokens."""
-    two = F.array_distinct(F.array(F.get("prefix", F.lit(0)), F.get("prefix", F.floor(F.size("prefix") / 2).cast("int"))))
-    return lines.where("n > 0").select("lid", "o", F.explode(two).alias("t"))
+    """(lid, o, t): the last and the middle one of each line's prefix tokens."""
+    two = F.array_distinct(F.array(F.get("prefix", F.size("prefix") - 1), F.get("prefix", F.floor(F.size("prefix") / 2).cast("int"))))
+    return lines.where("size(prefix) > 0").select("lid", "o", F.explode(two).alias("t"))
 
 
 def first_candidates(t: DataFrame) -> DataFrame:
@@ -150,17 +191,17 @@ def leading_candidates(t: DataFrame) -> DataFrame:
 
 
 def crowded(t: DataFrame) -> DataFrame:
-    """The rows (lid, o, t) of tokens that CROWD lines or more have."""
-    many = t.groupBy("t").agg(F.count("*").alias("k")).where(F.col("k") >= CROWD).select(F.col("t").alias("tk"))
+    """The rows (lid, o, t) of tokens that MANY lines or more have."""
+    many = t.groupBy("t").agg(F.count("*").alias("k")).where(F.col("k") >= MANY).select(F.col("t").alias("tk"))
     return t.join(many, F.col("t") == F.col("tk"), "left_semi")
 
 
-def settle(own: DataFrame, lines: DataFrame, threshold: float, width: int) -> DataFrame:
+def settle(_: DataFrame, lines: DataFrame, threshold: float, width: int) -> DataFrame:
     """(late): lines that match the earliest line of one of two tokens. Where many lines share a token, those that are
     left are compared with the earliest few of them, ROUNDS times, each time without the lines compared with before."""
     t = some_tokens(lines)
     pairs = stored(first_candidates(t), "line-pairs")
-    done = matched(own, lines, pairs, threshold, width)
+    done = matched(lines, pairs, threshold, width)
     t = stored(crowded(t), "crowded-tokens")
     for _ in range(ROUNDS):
         gone = done.union(pairs.select("x")).distinct().withColumnRenamed("late", "gone")
@@ -168,46 +209,18 @@ def settle(own: DataFrame, lines: DataFrame, threshold: float, width: int) -> Da
         if t.isEmpty():
             break
         pairs = stored(leading_candidates(t), "line-pairs")
-        done = done.union(matched(own, lines, pairs, threshold, width))
+        done = done.union(matched(lines, pairs, threshold, width))
     return stored(done.distinct(), "settled-lines")
 
 
-def crowded_lines(lines: DataFrame) -> DataFrame:
-    """(hid, many): lines with tokens, in their prefix or spare ones, that MANY lines or more have there, and which, the
-    least crowded first."""
-    t = lines.where("n > 0").select("lid", F.explode(F.concat("prefix", "spare")).alias("t"))
-    many = t.groupBy("t").agg(F.count("*").alias("k")).where(F.col("k") >= MANY).select(F.col("t").alias("tk"), "k")
-    hit = t.join(small(stored(many, "crowded-tokens"), 24), F.col("t") == F.col("tk"))
-    hit = hit.groupBy(F.col("lid").alias("hid")).agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("many"))
-    return stored(hit.select("hid", F.col("many.t").alias("many")), "crowded-lines")
-
-
 def all_candidates(lines: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
-    """(x, y): each line y that is not settled with all lines x, not later, that it may match.
-
-    Let W be a line's prefix and spare tokens, p and s of them, with crowded tokens last, and m the first one in that
-    order that matching lines A and B of a and b tokens share in their W. Tokens before m in A's W that are not in B are
-    p(A) - 1 at most. If there are others, they stand in B beyond its W, so m is crowded (else they would stand before it
-    there), and all of B's W but b - overlap tokens is in A's. Then p(A) + s(A) - p(B) - s(B) + b - overlap at most stand
-    before m. With a threshold of h that is linear in b, greatest for b = h * a or b = a / h, and less than the share
-    max(2 * (1 - h)^2, 3 - 2 * h - 1 / h) of a, and 3 for rounding. So a line needs its first p tokens that are not
-    crowded, and crowded ones only as far as it has fewer than the greater of the two counts.
-    """
-    flagged = lines.where("n > 0").join(small(settled.withColumnRenamed("late", "done"), 24), F.col("lid") == F.col("done"), "left")
+    """(x, y): each line y that is not settled with all lines x, not later, that it may match."""
+    flagged = lines.where("size(prefix) > 0").join(small(settled.withColumnRenamed("late", "done"), 24), F.col("lid") == F.col("done"), "left")
     # q is o for open lines and -1 - o for settled ones, which no o is below.
     q = F.when(F.col("done").isNull(), F.col("o")).otherwise(-1 - F.col("o"))
-    flagged = flagged.select(q.alias("q"), "lid", "n", "prefix", "spare")
-    flagged = flagged.join(small(crowded_lines(lines), 256), F.col("lid") == F.col("hid"), "left")
-    p, rest = F.size("prefix"), F.when(F.col("many").isNotNull(), F.array_except(F.concat("prefix", "spare"), "many"))
-    flagged = flagged.select("q", "lid", "n", "prefix", "many", rest.alias("rest"))
-    share = max(2 * (1 - threshold) ** 2, 3 - 2 * threshold - 1 / threshold)
-    room = F.greatest(F.greatest(p, F.floor(F.col("n") * F.lit(share) + 1e-9).cast("int") + 4) - F.size("rest"), F.lit(0))
-    use = F.when(F.col("many").isNull(), F.col("prefix")).otherwise(F.concat(F.slice("rest", F.lit(1), p), F.slice("many", F.lit(1), room)))
-    plain = F.when(F.col("many").isNull(), p).otherwise(F.least(p, F.size("rest")))
-    t = flagged.select("q", "lid", "n", use.alias("use"), plain.alias("plain")).select("q", "lid", "n", "plain", F.posexplode("use").alias("i", "t"))
-    # What stands before a crowded token may be shared nevertheless: its place says nothing.
-    place = F.when(F.col("i") < F.col("plain"), F.col("i")).otherwise(0)
-    t = t.select("t", "lid", "q", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(place.cast("long")).alias("m"))
+    # Tokens that no other line has stand before the shared ones.
+    t = flagged.select(q.alias("q"), "lid", "n", (F.col("n") - F.size("shared")).alias("own"), F.posexplode("prefix").alias("i", "t"))
+    t = t.select("t", "lid", "q", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("own") + F.col("i")).cast("long")).alias("m"))
     side = lambda s: t.select(F.col("t").alias(f"t{s}"), F.col("lid").alias(s), F.col("q").alias(f"q{s}"), F.col("m").alias(f"m{s}"))
     n_i = lambda s: {"n": F.shiftright(f"m{s}", 32), "i": F.col(f"m{s}").bitwiseAND(0xFFFFFFFF)}
     not_later = F.col("qx").bitwiseXOR(F.shiftright("qx", 63)) <= F.col("qy")
@@ -216,10 +229,8 @@ def all_candidates(lines: DataFrame, settled: DataFrame, threshold: float) -> Da
     return side("x").join(side("y"), on).select("x", "y").distinct()
 
 
-def asked_lines(own: DataFrame, lines: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(lid, at, line, t) of the lines in the pairs, with 32-bit names ``t`` of their tokens."""
-    ends = stored(pairs.select(F.col("x").alias("h")).union(pairs.select(F.col("y").alias("h"))).distinct(), "line-ends")
-    places = lines.select("lid", "at").join(small(ends, 24), F.col("lid") == F.col("h"), "left_semi")
+def asked_lines(own: DataFrame, places: DataFrame, width: int) -> DataFrame:
+    """(lid, at, line, t) of the lines (lid, at), with hashes ``t`` of their distinct tokens."""
     # One row for each document, so that its text is parted once.
     here = places.groupBy(F.col("at.id").alias("_aid"), F.col("at.th").alias("_ath")).agg(F.collect_list(F.struct("at.no", "lid", "at")).alias("_wanted"))
     here = small(stored(here, "lines-wanted"), 256)
@@ -231,17 +242,16 @@ def asked_lines(own: DataFrame, lines: DataFrame, pairs: DataFrame, width: int)
     # Rows that repeat id and text give a line twice.
     found = found.groupBy("lid").agg(F.min("at").alias("at"), F.min("line").alias("line"))
     found = found.withColumn("h", hashes(F.col("line")))
-    return stored(found.select("lid", "at", "line", F.array_distinct(tokens("h", width, lambda x: F.hash(x))).alias("t")), "lines-asked", compression="zstd")
+    return stored(found.select("lid", "at", "line", F.array_distinct(tokens("h", width)).alias("t")), "lines-asked", compression="zstd")
 
 
-def matched(own: DataFrame, lines: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
+def matched(lines: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
     """(late): the later line y of each pair that matches."""
-    asked = asked_lines(own, lines, pairs, width)
-    end = lambda s, c: asked.select(F.col("lid").alias(f"l{s}"), *[F.col(k).alias(f"{k}{s}") for k in c])
+    end = lambda s, c: lines.where("shared is not null").select(F.col("lid").alias(f"l{s}"), *[F.col(k).alias(f"{k}{s}") for k in c])
     joined = lambda p, c: p.join(end("x", c), F.col("x") == F.col("lx")).join(end("y", c), F.col("y") == F.col("ly"))
     enough = lambda common, n: common >= (n - common) * F.lit(threshold) - 1e-9
-    likely = joined(pairs, ["at", "t"]).where("atx < aty").withColumn("c", F.size(F.array_intersect("tx", "ty")))
-    likely = stored(likely.where(enough(F.col("c"), F.size("tx") + F.size("ty"))).select("x", "y"), "likely-pairs")
+    likely = joined(small(pairs, 32), ["at", "n", "shared"]).where("atx < aty").withColumn("c", F.size(F.array_intersect("sharedx", "sharedy")))
+    likely = small(stored(likely.where(enough(F.col("c"), F.col("nx") + F.col("ny"))).select("x", "y"), "likely-pairs"), 32)
     run = lambda w: lambda i: F.array_join(F.slice(w, i, F.lit(width)), " ")
     shingles = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), run(w)))
     words = F.array(F.struct(F.split("linex", " ").alias("a"), F.split("liney", " ").alias("b")))
@@ -252,9 +262,9 @@ def matched(own: DataFrame, lines: DataFrame, pairs: DataFrame, threshold: float
 
 def late_lines(own: DataFrame, threshold: float, width: int) -> tuple[DataFrame, DataFrame]:
     """The distinct lines of (_id, _th, _text), and those of them (late) that match an earlier one."""
-    lines = distinct_lines(own, frequent_buckets(own, width), threshold, width)
+    lines = distinct_lines(own, [], threshold, width)
     settled = settle(own, lines, threshold, width)
-    rest = matched(own, lines, stored(all_candidates(lines, settled, threshold), "line-pairs"), threshold, width)
+    rest = matched(lines, stored(all_candidates(lines, settled, threshold), "line-pairs"), threshold, width)
     return lines, settled.union(rest)
 
 

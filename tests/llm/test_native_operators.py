@@ -132,6 +132,17 @@ def test_line_dedup_lines_short_of_spare_tokens(spark):
     assert line_dedup.all_candidates(lines, spark.createDataFrame([], "late long"), 0.8).count() <= 10_000
 
 
+def test_line_dedup_group_below_the_threshold(spark):
+    # 400 lines that share 71 of 96 tokens with each other: too few to match, so that no pair is a candidate.
+    def text(i):
+        return " ".join(f"x{i}-{k}" if (k - i % 7) in (10, 30, 50, 70, 85) else f"w{k}" for k in range(100))
+
+    df = spark.createDataFrame([(i, text(i)) for i in range(400)], "_id long, _text string").withColumn("_th", line_dedup.F.xxhash64("_text"))
+    lines = line_dedup.distinct_lines(df, line_dedup.frequent_buckets(df.limit(0), 5), 0.8, 5)
+    assert lines.count() == 400
+    assert line_dedup.all_candidates(lines, spark.createDataFrame([], "late long"), 0.8).count() <= 400
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.9])
 def test_line_dedup_crowded_tokens_at_other_thresholds(spark, monkeypatch, threshold):
     monkeypatch.setattr(line_dedup, "MANY", 2)
