@@ -50,7 +50,8 @@ def parted(text: Column) -> Column:
     spaced = text
     for ch in "\t\x0b\x0c\r":
         spaced = F.replace(spaced, F.lit(ch), F.lit(" "))
-    return F.split(F.when(text.rlike("[\t\x0b\x0c\r]"), spaced).otherwise(text), "\n")
+    other = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c")) | F.contains(text, F.lit("\r"))
+    return F.split(F.when(other, spaced).otherwise(text), "\n")
 
 
 def all_lines(own: DataFrame) -> DataFrame:
@@ -147,8 +148,7 @@ def distinct_lines(own: DataFrame, frequent: list[list[list[int]]], threshold: f
     kept = small(sharing_lines(once, threshold), 24)
     asked = asked_lines(own, once.join(kept, F.col("lid") == F.col("kid"), "left_semi").select("lid", "at"), width)
     t = asked.select("lid", F.explode("t").alias("t"))
-    counts = t.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select(F.col("t").alias("tk"), "k")
-    shared = t.join(small(stored(counts, "token-counts"), 32), F.col("t") == F.col("tk"))
+    shared = t.withColumn("k", F.count("*").over(Window.partitionBy("t"))).where("k > 1")
     shared = shared.groupBy(F.col("lid").alias("sid")).agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("s"))
     lines = asked.select("lid", "at", F.size("t").alias("n"), "line").join(shared, F.col("lid") == F.col("sid"), "left")
     lines = lines.select("lid", "at", "n", F.col("s.t").alias("shared"), "line")
@@ -248,7 +248,8 @@ def asked_lines(own: DataFrame, places: DataFrame, width: int) -> DataFrame:
 def matched(lines: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
     """(late): the later line y of each pair that matches."""
     end = lambda s, c: lines.where("shared is not null").select(F.col("lid").alias(f"l{s}"), *[F.col(k).alias(f"{k}{s}") for k in c])
-    joined = lambda p, c: p.join(end("x", c), F.col("x") == F.col("lx")).join(end("y", c), F.col("y") == F.col("ly"))
+    # Each side meets the pairs first, so that only lines in pairs are shuffled.
+    joined = lambda p, c: p.join(end("x", c), F.col("x") == F.col("lx")).join(p.join(end("y", c), F.col("y") == F.col("ly")), ["x", "y"])
     enough = lambda common, n: common >= (n - common) * F.lit(threshold) - 1e-9
     likely = joined(small(pairs, 32), ["at", "n", "shared"]).where("atx < aty").withColumn("c", F.size(F.array_intersect("sharedx", "sharedy")))
     likely = small(stored(likely.where(enough(F.col("c"), F.col("nx") + F.col("ny"))).select("x", "y"), "likely-pairs"), 32)
